@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "ds01_forecasting"
+MODULES = ("datasets", "relational")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -24,7 +26,9 @@ def register(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    pass
+    """Import the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"brindle.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
