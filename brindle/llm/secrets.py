@@ -174,7 +174,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("doc_id", *n, extra, F.sha2(_joined(F.col("s.base")), 256).alias("base_sha256"), _joined(F.col("s.all")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", samples: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[SECRET]", samples: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every secret (overlapping spans as one) replaced by ``mask``; a text without one stays as it is."""
     ratios = fit(samples if samples is not None else labelled_samples(docs.sparkSession))
     text = F.col(text_col)
@@ -189,4 +189,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", samp
         walked = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
         return F.when(F.size(spans) == 0, text).otherwise(walked)
 
-    return docs.withColumn(text_col, let(find_secrets(text, ratios, threshold)["all"], rebuild))
+    out = docs.withColumn(text_col, let(find_secrets(text, ratios, threshold)["all"], rebuild))
+    if chars_col and chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(text.isNull(), F.col(chars_col)).otherwise(F.length(text).cast(docs.schema[chars_col].dataType)))
+    return out
