@@ -123,7 +123,7 @@ def segmentation(sales: DataFrame, snapshots: tuple[str, ...] = SNAPSHOTS) -> Da
     return daily.groupBy("snapshot_date", "store_id", "region_id", "channel").agg(
         F.sum("net").cast("double").alias("revenue_30d"), F.sum("units").alias("units_30d"),
         F.size(F.array_distinct(F.flatten(F.collect_list("skus")))).cast("long").alias("active_skus_30d"),
-        F.round(F.sum("net").cast("double") / F.sum("units"), 6).alias("average_price_30d"),
+        (F.expr("cast(sum(net) * 10000 as bigint) div sum(units)") / 10000).alias("average_price_30d"),
         F.round(F.sum("promo_units") / F.sum("units"), 6).alias("promotion_unit_share_30d"),
         F.round(F.stddev_samp(F.col("net").cast("double")), 4).alias("revenue_volatility_30d"),
     )
@@ -134,7 +134,7 @@ WITH snaps AS (SELECT unnest([{", ".join(f"DATE '{s}'" for s in SNAPSHOTS)}]) AS
 r AS (SELECT s.*, snapshot_date FROM sales s, snaps WHERE sale_date <= snapshot_date AND sale_date > snapshot_date - 30),
 v AS (SELECT snapshot_date, store_id, stddev_samp(net::DOUBLE) AS vol FROM (SELECT snapshot_date, store_id, sale_date, sum(net) AS net FROM r GROUP BY ALL) GROUP BY ALL)
 SELECT r.snapshot_date, r.store_id, region_id, channel, sum(net)::DOUBLE AS revenue_30d, sum(units)::BIGINT AS units_30d, count(DISTINCT sku_id) AS active_skus_30d,
-  round(sum(net)::DOUBLE / sum(units), 6) AS average_price_30d, round(sum(CASE WHEN is_promo THEN units ELSE 0 END) / sum(units)::DOUBLE, 6) AS promotion_unit_share_30d,
+  ((sum(net) * 10000)::BIGINT // sum(units)::BIGINT) / 10000::DOUBLE AS average_price_30d, round(sum(CASE WHEN is_promo THEN units ELSE 0 END) / sum(units)::DOUBLE, 6) AS promotion_unit_share_30d,
   round(any_value(vol), 4) AS revenue_volatility_30d
 FROM r JOIN v ON v.snapshot_date = r.snapshot_date AND v.store_id = r.store_id GROUP BY ALL
 """
@@ -156,7 +156,7 @@ def anomaly(grid: DataFrame) -> DataFrame:
     sold = grid.filter("units > 0")
     week = days_window(CELL, "d", -7, -1)
     return sold.select(
-        "d", *CELL, F.col("units").alias("event_units"), F.round(F.col("revenue") / F.col("units"), 6).alias("event_unit_price"), F.col("is_promo").alias("event_is_promo"),
+        "d", *CELL, F.col("units").alias("event_units"), (F.floor(F.round(F.col("revenue") * 10000) / F.col("units")) / 10000).alias("event_unit_price"), F.col("is_promo").alias("event_is_promo"),
         F.max("units").over(days_window(CELL, "d", -1, -1)).alias("lag_1"), F.max("units").over(days_window(CELL, "d", -7, -7)).alias("lag_7"),
         F.round(F.avg("units").over(week), 6).alias("rolling_mean_7d"), F.round(F.stddev_samp("units").over(week), 6).alias("rolling_std_7d"),
     )
@@ -164,7 +164,7 @@ def anomaly(grid: DataFrame) -> DataFrame:
 
 ANOMALY_SQL = """
 WITH e AS (SELECT * FROM grid WHERE units > 0)
-SELECT e.d, e.cell_id, e.category, e.units AS event_units, round(e.revenue / e.units, 6) AS event_unit_price, e.is_promo AS event_is_promo,
+SELECT e.d, e.cell_id, e.category, e.units AS event_units, floor(round(e.revenue * 10000) / e.units) / 10000::DOUBLE AS event_unit_price, e.is_promo AS event_is_promo,
   a.units AS lag_1, b.units AS lag_7, round(avg(h.units), 6) AS rolling_mean_7d, round(stddev_samp(h.units), 6) AS rolling_std_7d
 FROM e LEFT JOIN e a ON a.cell_id = e.cell_id AND a.category = e.category AND a.d = e.d - 1
 LEFT JOIN e b ON b.cell_id = e.cell_id AND b.category = e.category AND b.d = e.d - 7
