@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.joins import item_pairs
+from brindle.operators.sequences import value_ranks
 
 
 def pair_rules(rows: DataFrame, group: str, item: str, support: float, confidence: float, lift: float) -> DataFrame:
@@ -64,8 +65,10 @@ def counted_itemsets(rows: DataFrame, group: str, item: str, support: float) ->
 
 def review_rank(df: DataFrame, *scores: str, k: int) -> DataFrame:
     """The ``k`` rows with the highest sum of percent ranks; ties by the row's first columns."""
-    from brindle.operators.sequences import percent_rank
-
-    ranks = sum(percent_rank([], F.col(s)) for s in scores)
-    return df.withColumn("review_score", F.round(ranks, 9)).orderBy(F.desc("review_score"), *df.columns[:3]).limit(k)
-
+    ranked, total = df, F.lit(0.0)
+    for s in scores:
+        own = value_ranks(df, s).select(F.col(s).alias(f"_v_{s}"), F.col("pct_rank").alias(f"_r_{s}"))
+        ranked = ranked.join(own, F.col(s) == F.col(f"_v_{s}"))
+        total = total + F.col(f"_r_{s}")
+    out = ranked.withColumn("review_score", F.round(total, 9)).select(*df.columns, "review_score")
+    return out.orderBy(F.desc("review_score"), *df.columns[:3]).limit(k)

@@ -1,23 +1,29 @@
 """Exact ranking metrics, calibration and thresholds over (label, score) rows.
 
-Scores are first counted, one row a distinct score, and windows run over these counts; a stratum whose distinct scores do
-not fit one sorted partition should be rounded first.
+Scores are first counted, one row a distinct score; running sums go over buckets of scores and then within each bucket, so
+no stratum is sorted in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.sequences import running_sums
+from brindle.operators.summaries import quantiles
+
+#: Buckets of scores between zero and one.
+BUCKETS = 4096
+
 
 def score_table(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """For each distinct score: positives, negatives, and how many of each score at least as high."""
     counts = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return counts.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    whole = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    table = running_sums(counts, by, "score", ["pos", "neg"], BUCKETS, descending=True).withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+    return table.join(whole, list(by)) if by else table.crossJoin(F.broadcast(whole))  # without strata one row
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -53,8 +59,8 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float) -> DataFr
 
 def calibration(df: DataFrame, label: str, score: str, bins: int = 8) -> DataFrame:
     """Mean score and observed rate in bins between the score's quantiles."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("edges"))  # one row
-    binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(score))))
+    edges = F.array(*[F.lit(e) for e in quantiles(df, score, [k / bins for k in range(1, bins)])])
+    binned = df.withColumn("bin", F.size(F.filter(edges, lambda e: e < F.col(score))))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("mean_score"), F.round(F.avg(F.col(label).cast("double")), 6).alias("observed_rate"))
 
 

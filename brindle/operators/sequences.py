@@ -53,6 +53,33 @@ def percent_rank(keys: Sequence[str], value: Column) -> Column:
     return (F.rank().over(whole.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2) / F.count(F.lit(1)).over(whole)
 
 
+def running_sums(counts: DataFrame, by: Sequence[str], order: str, values: Sequence[str], width: float, descending: bool = False) -> DataFrame:
+    """Adds ``cum_<value>``, the sum up to and with each row in ``order``, without sorting a key in one task.
+
+    ``counts`` has one row for each (by, order).  Rows are put in buckets of ``1 / width`` of ``order``; the sums of whole
+    buckets are added up over the buckets, those within a bucket over its rows.
+    """
+    direction = F.desc if descending else F.asc
+    held = counts.withColumn("_bucket", F.floor(F.col(order) * width))
+    whole = held.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_all_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = whole.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_at"), *[F.coalesce(F.sum(f"_all_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in values])
+    same = held["_bucket"].eqNullSafe(offsets["_at"])
+    for c in by:
+        same = same & held[c].eqNullSafe(offsets[f"_by_{c}"])
+    within = Window.partitionBy(*by, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = held.join(offsets, same).withColumns({f"cum_{v}": F.sum(v).over(within) + F.col(f"_off_{v}") for v in values})
+    return out.select(*counts.columns, *[f"cum_{v}" for v in values])
+
+
+def value_ranks(df: DataFrame, value: str, width: float = 1.0) -> DataFrame:
+    """(value, pct_rank): the average rank of each distinct value over the number of rows, from counts of values."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))  # one row
+    ranked = running_sums(counts, [], value, ["_n"], width).crossJoin(F.broadcast(total))
+    return ranked.select(value, ((F.col("cum__n") - (F.col("_n") - 1) / 2) / F.col("_total")).alias("pct_rank"))
+
+
 def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: int) -> DataFrame:
     """About ``wanted`` rows of each key, spread evenly over its order."""
     ordered, whole = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)

@@ -8,6 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quantiles(df: DataFrame, column: str, wanted: Sequence[float], buckets: int = 4096) -> list[float]:
+    """Exact linear quantiles without one task that sees all values.
+
+    Values are counted in equal buckets between the extremes (a bounded table), and only the few buckets that hold a wanted
+    rank are put in order, each by itself.  Null and NaN values do not count; without values the quantiles are null.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    ends = x.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")).first()
+    if not ends["n"]:
+        return [None] * len(wanted)
+    step = (ends["high"] - ends["low"]) / buckets or 1.0
+    placed = x.withColumn("b", F.least(F.floor((F.col("x") - ends["low"]) / step), F.lit(buckets - 1)))
+    below, before = 0, {}
+    for r in sorted(placed.groupBy("b").count().collect(), key=lambda r: r["b"]):
+        before[r["b"]] = (below, r["count"])
+        below += r["count"]
+    ranks = {int(k) for q in wanted for k in ((ends["n"] - 1) * q // 1, min((ends["n"] - 1) * q // 1 + 1, ends["n"] - 1))}
+    places = [(b, k - start, k) for k in sorted(ranks) for b, (start, n) in before.items() if start <= k < start + n]
+    offsets = df.sparkSession.createDataFrame(places, "b long, r long, k long")
+    counted = placed.join(F.broadcast(offsets.select("b").distinct()), "b").groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    spans = counted.withColumn("end", F.sum("n").over(upto))
+    hit = spans.join(F.broadcast(offsets), "b").filter("r < end and r >= end - n").select("k", "x").collect()
+    at = {r["k"]: r["x"] for r in hit}
+    out = []
+    for q in wanted:
+        rank = (ends["n"] - 1) * q
+        low, high = at[int(rank // 1)], at[int(min(rank // 1 + 1, ends["n"] - 1))]
+        out.append(low + (high - low) * (rank - rank // 1))
+    return out
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: count, mean, sample deviation, linear quantiles, population skew.  One pass over the data."""
     measures = []
@@ -55,10 +87,10 @@ def sliced(df: DataFrame, dimensions: Sequence[str], measures: Sequence[Column])
 
 def tukey_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """One row: the quartiles and how many values lie beyond the fences."""
-    q = df.agg(F.percentile(column, F.lit(0.25)).alias("q1"), F.percentile(column, F.lit(0.75)).alias("q3"))  # one row
-    wide = (F.col("q3") - F.col("q1")) * factor
-    flagged = df.crossJoin(F.broadcast(q)).agg(F.max("q1").alias("q1"), F.max("q3").alias("q3"), F.count_if((F.col(column) < F.col("q1") - wide) | (F.col(column) > F.col("q3") + wide)).alias("n_outliers"))
-    return flagged
+    low, high = quantiles(df, column, [0.25, 0.75])
+    wide = (high - low) * factor if low is not None else None
+    beyond = F.lit(False) if low is None else (F.col(column) < low - wide) | (F.col(column) > high + wide)
+    return df.agg(F.lit(low).cast("double").alias("q1"), F.lit(high).cast("double").alias("q3"), F.count_if(beyond).alias("n_outliers"))
 
 
 def weighted_quantiles(counts: DataFrame, value: str, weight: str, quantiles: Sequence[float]) -> DataFrame:

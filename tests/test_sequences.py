@@ -87,3 +87,23 @@ def test_plans_of_range_joins_have_no_cartesian_product(spark):
     right = left.select("k", F.col("d").alias("valid_from"), F.date_add("d", 3).alias("valid_to"))
     plan = J.validity_join(left, right, ["k"], "d")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_running_sums_over_buckets_equal_plain_ones(spark):
+    rows = [(k, ((i * 37) % 101) / 101, i % 5) for k in ("a", None) for i in range(101)]
+    df = spark.createDataFrame(rows, "k string, x double, n int")
+    for down in (False, True):
+        got = {(r.k, r.x): r.cum_n for r in W.running_sums(df, ["k"], "x", ["n"], 16, down).collect()}
+        assert len(got) == 202
+        for (k, x), total in got.items():
+            assert total == sum(n for q, y, n in rows if q == k and (y >= x if down else y <= x))
+
+
+def test_exact_quantiles(spark):
+    from brindle.operators.summaries import quantiles
+
+    for values in ([1.0], [1.0, 2.0], [5.0] * 9, [float(x * x % 97) for x in range(500)], [-3.0, 0.0, 1e9]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+        want = df.filter("not isnan(x)").agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.75), F.lit(1.0)))).first()[0]
+        assert quantiles(df, "x", [0.1, 0.5, 0.75, 1.0], buckets=8) == pytest.approx(want)
+    assert quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
