@@ -58,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op5_decontaminate": decontaminate.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
         "op8_chat_format": chat_format.ORACLE_SQL,

@@ -310,3 +310,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def digest(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by grouping all windows, for DuckDB; bytes are pairs of hex digits.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT rid, h, unnest(range(n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH})),
+s AS (SELECT rid, i, sum((gap IS NULL OR gap > {LENGTH})::INT) OVER (PARTITION BY rid ORDER BY i) AS run
+      FROM (SELECT rid, i, i - lag(i) OVER (PARTITION BY rid ORDER BY i) AS gap FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1))),
+r AS (SELECT rid, min(i) AS a, max(i) + {LENGTH} AS b FROM s GROUP BY rid, run),
+g AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY rid ORDER BY a) AS after FROM r),
+k AS (SELECT d.rid, sum(b - a) AS removed, count(*) AS spans,
+             string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(CASE WHEN after IS NULL THEN substr(h, 2 * b + 1) ELSE '' END) AS kept
+      FROM d JOIN g USING (rid) GROUP BY d.rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
