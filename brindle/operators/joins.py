@@ -57,6 +57,15 @@ def in_episode(events: DataFrame, episodes: DataFrame, keys: Sequence[str], date
     return joined.filter((F.col(start) <= F.col(date)) & (F.col(recovery).isNull() | (F.col(date) < F.col(recovery))))
 
 
+def in_one_episode(events: DataFrame, episodes: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """Like :func:`in_episode`, refusing events that lie in no episode or in several."""
+    joined = in_episode(events, episodes, keys, date)
+    several = not joined.groupBy(*keys, date).count().filter("count > 1").isEmpty()
+    if several or not events.join(joined.select(*keys, date), [*keys, date], "left_anti").isEmpty():
+        raise ValueError("an event lies in several episodes" if several else "an event lies in no episode")
+    return joined
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows of ``child`` whose key, not null, has no parent."""
     return child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")

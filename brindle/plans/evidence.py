@@ -213,3 +213,34 @@ def rp03(spark: SparkSession, d: str) -> DataFrame:
     a = scoring.ranking_metrics(df, "y", "p").select("n", F.col("average_precision").alias("a"))
     steps = scoring.score_table(df, "y", "p").agg(F.round(F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("b"))
     return a.crossJoin(steps).select("n", F.when(F.abs(F.col("a") - F.col("b")) <= 1e-9, 0).otherwise(1).cast("long").alias("n_disagreeing"))
+
+
+@register("u05_itemsets_agree", "SELECT 0::BIGINT AS n_only_first, 0::BIGINT AS n_only_second")
+def u05(spark: SparkSession, d: str) -> DataFrame:
+    """Itemsets by frequent-pattern growth and by counting are the same."""
+    from brindle.operators import rules, sets
+
+    rows = roles.sales(spark, d).select("order_id", "brand")
+    return sets.differences(rules.frequent_itemsets(rows, "order_id", "brand", 0.01), rules.counted_itemsets(rows, "order_id", "brand", 0.01))
+
+
+@register("u04_purged_training_rows", oracle(f"WITH {EPISODES_CTE}, x AS (SELECT i.warehouse_id, i.category, i.d, i.warehouse_id || ':' || i.category || ':' || e.episode_start AS episode FROM inventory i LEFT JOIN episodes e ON e.warehouse_id = i.warehouse_id AND e.category = i.category AND e.episode_start <= i.d AND (e.recovery_date IS NULL OR i.d < e.recovery_date)) SELECT warehouse_id, category, d FROM x WHERE d < DATE '1997-02-15' AND (episode IS NULL OR episode NOT IN (SELECT episode FROM x WHERE d >= DATE '1997-02-15' AND episode IS NOT NULL))", "inventory"))
+def u04(spark: SparkSession, d: str) -> DataFrame:
+    """Training days without those of an episode that runs on into the evaluation."""
+    from brindle.operators import sets
+    from brindle.operators.joins import in_episode
+
+    days = roles.inventory(spark, d).select("warehouse_id", "category", "d")
+    held = in_episode(days, ds09(spark, d), ["warehouse_id", "category"], "d")
+    name = F.concat_ws(":", F.col("warehouse_id").cast("string"), "category", F.col("episode_start").cast("string"))
+    marked = days.join(held.select("warehouse_id", "category", "d", name.alias("episode")), ["warehouse_id", "category", "d"], "left")
+    late = F.col("d") >= "1997-02-15"
+    return sets.purge_shared(marked.filter(~late), marked.filter(late), "episode").select("warehouse_id", "category", "d")
+
+
+@register("an03_jaccard_by_category", oracle(f"WITH {_Z_SQL} SELECT category, count(*) FILTER (WHERE direction <> 'NONE' AND event_units >= 60) AS n_both, count(*) FILTER (WHERE direction <> 'NONE' OR event_units >= 60) AS n_union, round(count(*) FILTER (WHERE direction <> 'NONE' AND event_units >= 60) / nullif(count(*) FILTER (WHERE direction <> 'NONE' OR event_units >= 60), 0)::DOUBLE, 9) AS jaccard FROM z GROUP BY 1", "grid"))
+def an03_by(spark: SparkSession, d: str) -> DataFrame:
+    from brindle.operators import sets
+
+    flags = an01(spark, d).select("category", (F.col("direction") != "NONE").alias("a"), (F.col("event_units") >= 60).alias("b"))
+    return sets.jaccard(flags, "a", "b", ["category"])

@@ -18,6 +18,18 @@ SALE_FIELDS = ("sale_id", "store_id", "sku_id", "quantity_units", "unit_price")
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
+def kafka_messages(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
+    """A topic from its start as ``raw``; offsets are kept by the query's checkpoint.  Needs the Kafka package on the class path."""
+    stream = spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", **options}).load()
+    return stream.select(F.col("value").cast("string").alias("raw"))
+
+
+def produce(messages: DataFrame, servers: str, topic: str) -> None:
+    """Write ``raw`` to a topic, keyed by the event's id, so that a repeated write lands in the same partition."""
+    keyed = messages.select(F.get_json_object("raw", "$.event_id").alias("key"), F.col("raw").alias("value"))
+    keyed.write.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic}).save()
+
+
 def sale_event(sales: DataFrame) -> DataFrame:
     """Envelopes (column ``raw``) of sales: the id is a hash of the sale's, the time the end of its day."""
     h = F.sha1(F.concat(F.lit("sale:"), F.col("sale_id").cast("string")))

@@ -107,3 +107,24 @@ def test_exact_quantiles(spark):
         want = df.filter("not isnan(x)").agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.75), F.lit(1.0)))).first()[0]
         assert quantiles(df, "x", [0.1, 0.5, 0.75, 1.0], buckets=8) == pytest.approx(want)
     assert quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
+
+
+def test_events_must_lie_in_one_episode(spark):
+    episodes = spark.createDataFrame([(1, day(2), day(4)), (1, day(3), None)], "k int, episode_start date, recovery_date date")
+    for n, ok in ((2, True), (3, False), (0, False)):
+        events = spark.createDataFrame([(1, day(n))], "k int, d date")
+        if ok:
+            assert J.in_one_episode(events, episodes, ["k"], "d").count() == 1
+        else:
+            with pytest.raises(ValueError):
+                J.in_one_episode(events, episodes, ["k"], "d")
+
+
+def test_frames_compare_with_repeats(spark):
+    from brindle.operators import sets
+
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
+    r = sets.differences(a, a.distinct().unionByName(spark.createDataFrame([(3, "y")], "k int, v string"))).first()
+    assert tuple(r) == (1, 1)
+    train = spark.createDataFrame([(1, "E1"), (2, None), (3, "E2")], "k int, g string")
+    assert sorted(x.k for x in sets.purge_shared(train, spark.createDataFrame([("E1",)], "g string"), "g").collect()) == [2, 3]
