@@ -33,13 +33,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Like :func:`checkpoint`, as a compressed Parquet table; for what is too wide or long for plain checkpoint files.
 
-    The table lies in the session's own checkpoint folder and goes with it.
+    The table lies in the session's own checkpoint folder and is removed when the session's process ends.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
