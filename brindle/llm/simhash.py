@@ -251,11 +251,12 @@ def find_links(fps: DataFrame, distance: int = 4, parts: int = 4, block_rows: in
 
     rows = fps.select("fp", F.explode(F.concat(*keyed)).alias("key"))
     if heavy:
-        # Deal a heavy bucket into g chunks; every pair of chunks meets in one block.
-        g = F.coalesce(F.element_at(F.create_map(*[x for k, n in heavy.items() for x in (F.lit(k).cast("long"), F.lit(n))]), F.col("key")), F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), g)
+        # Deal a heavy bucket into g chunks; every pair of chunks meets in one block.  The list has a bound: parts x 2**width.
+        dealt = F.broadcast(fps.sparkSession.createDataFrame(sorted(heavy.items()), "heavy long, g int"))
+        rows = rows.join(dealt, F.col("key") == F.col("heavy"), "left").withColumn("g", F.coalesce("g", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
         blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(o, F.col("own")) * F.col("g") + F.greatest(o, F.col("own")))
-        rows = rows.withColumn("g", g).withColumn("own", own.cast("int")).select("fp", "key", F.explode(blocks).alias("block"))
+        rows = rows.select("fp", "key", F.explode(blocks).alias("block"))
         rows = rows.select("fp", F.xxhash64("key", "block").alias("bucket"))
     else:
         rows = rows.select("fp", F.col("key").alias("bucket"))
