@@ -50,6 +50,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` starts with."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def crc_bucket(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % buckets

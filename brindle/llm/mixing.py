@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import checkpoint
+from brindle.llm.common import checkpoint, fresh
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -93,11 +93,12 @@ def _sized(goals: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(named) if goals.limit(most + 1).count() <= most else named
 
 
-def copies(prefix: str = "") -> Column:
-    """How often a document is taken, from its keyed columns and its source's plan."""
-    mine = F.struct(F.col(f"{prefix}key").alias("key"), F.col(f"{prefix}tie").alias("tie"), F.col(f"{prefix}size").alias("size"))
-    part = F.col("cut_bin").isNotNull() & ((F.col(f"{prefix}bin") < F.col("cut_bin")) | ((F.col(f"{prefix}bin") == F.col("cut_bin")) & F.coalesce(mine <= F.col("last"), F.lit(False))))
-    return F.col("epochs") + part.cast("long")
+def copies(prefix: str = "", goal: str = "") -> Column:
+    """How often a document is taken, from its keyed columns and its source's plan (names behind the prefixes)."""
+    mine = F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("key", "tie", "size")])
+    bin_, cut = F.col(f"{prefix}bin"), F.col(f"{goal}cut_bin")
+    part = (bin_ < cut) | ((bin_ == cut) & F.coalesce(mine <= F.col(f"{goal}last"), F.lit(False)))
+    return F.col(f"{goal}epochs") + F.coalesce(part, F.lit(False)).cast("long")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
@@ -109,14 +110,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """The documents that the mix takes, with all their columns and ``copies``."""
-    own = keyed(docs, id_col, text_col, source_col, "_mix_", seed)
-    rows = checkpoint(own.select(F.col(source_col).alias("source"), *[F.col(f"_mix_{c}").alias(c) for c in ("size", "key", "tie", "bin")]))
-    goals = _sized(plan(rows)).select(*[F.col(c).alias(f"_goal_{c}") for c in ("goal_source", "epochs", "cut_bin", "last")])
-    joined = own.join(goals, F.col("_goal_goal_source").eqNullSafe(F.col(source_col)))
-    part = (F.col("_mix_bin") < F.col("_goal_cut_bin")) | ((F.col("_mix_bin") == F.col("_goal_cut_bin")) & (F.struct(F.col("_mix_key").alias("key"), F.col("_mix_tie").alias("tie"), F.col("_mix_size").alias("size")) <= F.col("_goal_last")))
-    taken = joined.withColumn("copies", F.col("_goal_epochs") + F.coalesce(part, F.lit(False)).cast("long"))
-    return taken.filter("copies > 0 and _mix_size > 0").select(*docs.columns, "copies")
+    """The documents that the mix takes, with all their columns and ``copies`` (in the place of a column of that name)."""
+    mine, theirs = fresh(docs, "_mix_"), fresh(docs, "_goal_")
+    own = keyed(docs, id_col, text_col, source_col, mine, seed)
+    rows = checkpoint(own.select(F.col(source_col).alias("source"), *[F.col(f"{mine}{c}").alias(c) for c in ("size", "key", "tie", "bin")]))
+    goals = _sized(plan(rows)).select(*[F.col(c).alias(f"{theirs}{c}") for c in ("goal_source", "epochs", "cut_bin", "last")])
+    joined = own.join(goals, F.col(f"{theirs}goal_source").eqNullSafe(F.col(source_col)))
+    taken = joined.drop("copies").withColumn("copies", copies(mine, theirs))
+    return taken.filter((F.col("copies") > 0) & (F.col(f"{mine}size") > 0)).select(*[c for c in docs.columns if c.lower() != "copies"], "copies")
 
 
 ORACLE_SQL = r"""

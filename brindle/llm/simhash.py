@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import byte_texts, checkpoint, let, small_batches
+from brindle.llm.common import byte_texts, checkpoint, fresh, let, small_batches
 
 BITS = 64
 
@@ -53,12 +53,13 @@ def _signed(x: int) -> int:
 
 def with_fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` (named apart from ``fp``) and ``fp``, the fingerprint as a signed long."""
-    out = docs.select(*keep, F.col(text_col).cast("string").alias("_simhash_text"))
+    text = fresh(docs, "_text")
+    out = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     schema = docs.select(*keep).schema.add("fp", "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps = pa.array([_signed(fingerprint(t)) for t in byte_texts(batch, "_simhash_text")], pa.int64())
+            fps = pa.array([_signed(fingerprint(t)) for t in byte_texts(batch, text)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [fps], names=[*keep, "fp"])
 
     return out.mapInArrow(run, schema)
@@ -319,10 +320,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are told apart by their place in ``docs``, which must be read from files (its partitions stay as they are).
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = checkpoint(with_fingerprints(numbered.select("_row", F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), ["_row", "_id"], "_t"))
+    place = fresh(docs, "_row")
+    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    rows = checkpoint(with_fingerprints(numbered.select(F.col(place).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), ["_row", "_id"], "_t"))
     found = fingerprint_classes(rows.select("fp").distinct(), distance)
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best")
     firsts = rows.groupBy("fp").agg(best)
     kept = firsts.join(found, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
-    return numbered.join(kept.select(F.col("best._row").alias("_row")), "_row", "left_semi").drop("_row")
+    return numbered.join(kept.select(F.col("best._row").alias(place)), place, "left_semi").drop(place)

@@ -52,6 +52,14 @@ def test_mixture_agrees(spark):
     assert sorted((r.doc_id, r.copies) for r in out.collect() if r.doc_id is not None) == want
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame(rows(), DOCS)
+    odd = df.withColumnsRenamed({"size": "_mix_size", "key": "copies"}).withColumn("_goal_epochs", M.F.lit(9))
+    out = M.mixture(odd)
+    assert out.columns == ["doc_id", "text", "source", "_mix_size", "_goal_epochs", "copies"]
+    assert sorted((str(r.doc_id), r.copies) for r in out.collect()) == sorted((str(r.doc_id), r.copies) for r in M.mixture(df).collect())
+
+
 def test_better_texts_go_first(spark):
     good = [(i, "w " * 50, "a", "", 0) for i in range(500)]
     bad = [(i + 500, "w# " * 50, "a", "", 0) for i in range(500)]
