@@ -29,8 +29,9 @@ QUICK = {"assign": ASSIGN + r"[A-Za-z0-9+/_.=-]{6}", "access": r"AKIA[A-Z0-9]{16
 #: hex runs shorter than 24 are dropped, so only the long ones need be found (a run is matched whole).
 FAST = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}"}
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: A token without a digit or without a letter is no candidate; what is left goes to the models.
-CANDIDATE = r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])" + TOKEN
+#: A token without a digit or without a letter is no candidate; what is left goes to the models.  Tokens are looked at from
+#: their start only, so a long one costs one pass.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])" + TOKEN
 
 #: Spans sort by start, then by the kind's place in KINDS.
 SPANS = "array<struct<start:int,o:int,stop:int,kind:string,i:int>>"

@@ -34,6 +34,8 @@ LENGTH = 200
 GRAM = 80
 #: Bytes of contexts that one suffix sort takes at once, and those of one anchor beyond which its windows are counted.
 CHUNK, HEAVY = 1 << 20, 1 << 23
+#: Windows of one context that go as one row.
+PIECE = 1 << 15
 
 _MIX = np.random.default_rng(20240229)
 _BYTE = _MIX.integers(0, 2**64, 256, dtype=np.uint64)
@@ -208,7 +210,10 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
         for batch in small_batches(batches, 200):
             out: list[tuple] = []
             for row, text, wanted in zip(batch.column("row").to_pylist(), byte_texts(batch, "t"), batch.column("wanted").to_pylist()):
-                out += [(w["h"], w["single"], row, w["start"], w["n"], text[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
+                for w in wanted:  # very long contexts (periodic texts) in pieces
+                    for at in range(w["start"], w["start"] + w["n"], PIECE):
+                        n = min(PIECE, w["start"] + w["n"] - at)
+                        out.append((w["h"], w["single"], row, at, n, text[at : at + n + length - 1]))
             if out:
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["h", "single", "row", "start", "n", "s"])

@@ -57,5 +57,15 @@ def test_against_brute_force(spark, tmp_path, seed, length, gram, chunk, heavy):
     assert sorted(map(tuple, got), key=str) == sorted([(r[0], *w) for r, w in zip(rows, want)], key=str)
 
 
+def test_long_periodic_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 1000)
+    body = "abcdefghij" * 3000
+    rows = [(1, body, "", 0), (2, "x" * 5000 + body[:250] + "y", "", 0), (3, "q" * 199, "", 0), (4, "unlike " + body[:150], "", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "d"))
+    for heavy in (1 << 23, 2000):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.remove_repeats(spark.read.parquet(str(tmp_path / "d")), heavy=heavy).collect()}
+        assert got == {1: (30000, 30000, 1), 2: (5251, 5250, 1), 3: (199, 0, 0), 4: (157, 0, 0)}
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
