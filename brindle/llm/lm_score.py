@@ -1,17 +1,19 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
 Tokens are the lower-cased words of a text and one end; all unseen words are one class.  The root of the automaton holds the
-base distribution, (count + 0.5) / (N + 0.5 (V + 1)).  Word pairs and triples that make up at least ``GRAM_SHARE`` of the
-training tokens become states, smoothed by absolute discounting: an arc keeps (count - D) / total, the failure arc gets the
-rest, so every state's probabilities sum to one.  A text is scored in one traversal that carries the state.
-
-Words seen in at least ``WORD_SHARE`` of the tokens have arcs of their own; all others follow the failure arcs to the root,
-where their exact counts come from a shuffled join.  The shares bound what is broadcast, at most 1 / share words or n-grams
-of each order at every size of the corpus, and are the model's only pruning: counting covers all training tokens.
-
-Null and empty texts are one end.  A null id is not held out and takes part in the training.  Repeated rows count and are
-scored each on its own.  Without training tokens every token has probability one (N = V = 0).  An empty table gives an
-empty result.
+base distribution, (count + 0.5) / (N + 0.5 (V + 1)).  Every word pair and triple seen at least ``LEAST`` times in training
+is an arc, whatever the size of the corpus, smoothed by absolute discounting: an arc keeps (count - D) / total, the failure
+arc gets the rest, so every state's probabilities sum to one.
+
+The automaton is a table, as large as the corpus makes it.  A step from the state of the last two words depends on those and
+the next word only, so each distinct triple of the documents gets the weight of its path of failure arcs and arc by shuffled
+joins (:func:`weights`), and a text's score is the sum over its steps.  Steps that make up ``GRAM_SHARE`` of all tokens, which
+can be 1 / share at most, are broadcast, the others joined; the share changes where a weight is looked up, never its value.
+:class:`BackoffAutomaton` is the same automaton in one process.
+
+Words are told apart by 64-bit hashes, and so are the triples of the joined steps.  Null and empty texts are one end.  A null
+id is not held out and takes part in the training.  Repeated rows count and are scored each on its own.  Without training
+tokens every token has probability one (N = V = 0).  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import byte_texts, checkpoint, crc_bucket, small_batches
+from brindle.llm.common import byte_texts, checkpoint, crc_bucket, materialise, small_batches
 
-WORD_SHARE = 5e-7
 GRAM_SHARE = 5e-6
+#: Pairs and triples of fewer occurrences are no arcs.
+LEAST = 2
 DISCOUNT = 0.5
 END = b"\n"
 #: The symbol of all words without an arc of their own.
@@ -168,12 +172,15 @@ class Model:
         return len(ids), len(ids) - sum(rare.values()), float(self.base[ids].sum()), self.automaton.score(ids), rare
 
 
-def fit(train: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[Model, DataFrame]:
-    """The model of the texts ``t``, and the counts (word, n) of the words without an arc of their own."""
+def fit(train: DataFrame, word_share: float = 0.0, gram_share: float = 0.0) -> tuple[Model, DataFrame]:
+    """The model of the texts ``t`` in one process, and the counts (word, n) of the words without an arc of their own.
+
+    With shares above 0 it is a part of the automaton: arcs of words and n-grams that make up these shares only.
+    """
     counts = checkpoint(count_words(train))
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = sums["n"] or 0, sums["v"]
-    least, often = word_share * tokens, max(2.0, gram_share * tokens)
+    least, often = word_share * tokens, max(float(LEAST), gram_share * tokens)
     frequent = [(r["word"].encode(), r["n"]) for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()]
     ids = {w: k for k, (w, n) in enumerate(frequent, start=1) if n >= often}
     pairs = {r["gram"]: r["n"] for r in count_grams(train, ids).filter(F.col("n") >= often).collect()}
@@ -186,49 +193,152 @@ def fit(train: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GR
     return Model(frequent, tokens, types, grams), counts.filter(F.col("n") < least)
 
 
-def score_texts(docs: DataFrame, held_out_buckets: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    aside = F.coalesce(crc_bucket(F.col("doc_id"), held_out_buckets) == held_out, F.lit(False))
-    model, rare = fit(rows.filter(~aside), **fitting)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "row long, word string, k long, n_tokens long, n_known long, base double, score double"
-    names = [x.split()[0] for x in fields.split(", ")]
+# ---- the automaton as a table ------------------------------------------------------------------------------------------
+
+#: The word before a text's first; no context with it is a state.
+START = 0
+#: Tokens that are counted together before a task sends them.
+HELD_TOKENS = 2_000_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word) or 1
+        return h
+
+
+def _steps(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, s of every token of the texts (the two words before it and its own, hashed), and the tokens of each text."""
+    if len(hashes) > 500_000:
+        hashes.clear()  # only a cache
+    words: list[bytes] = []
+    lengths = np.zeros(len(texts), dtype=np.int64)
+    for k, text in enumerate(texts):
+        mine = text.lower().split()
+        words += mine
+        words.append(END)
+        lengths[k] = len(mine) + 1
+    s = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    first = np.cumsum(lengths) - lengths
+    b = np.roll(s, 1)
+    b[first] = START
+    a = np.roll(b, 1)
+    a[first] = START
+    return a, b, s, lengths
+
+
+def _spark_hash(*columns: np.ndarray) -> np.ndarray:
+    """``F.xxhash64`` of long columns without nulls."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
+    h = np.full(len(columns[0]), 42, dtype=np.uint64)
+    for x in columns:
+        h += p5 + np.uint64(8)
+        h ^= turn(x * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def count_steps(rows: DataFrame) -> DataFrame:
+    """a, b, s, n, m: the distinct triples of the texts ``t``, in how many tokens not ``aside``, and in how many at all."""
+
+    def counted(held: list[tuple]) -> pa.RecordBatch:
+        a, b, s, trained = (np.concatenate(x) for x in zip(*held))
+        _, at, of, m = np.unique(_spark_hash(a, b, s), return_index=True, return_inverse=True, return_counts=True)
+        n = np.bincount(of, weights=trained, minlength=len(at)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (a, b, s)), pa.array(n), pa.array(m.astype(np.int64))], names=["a", "b", "s", "n", "m"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        row = TaskContext.get().partitionId() << 33
+        hashes, held, tokens = _Hashes(), [], 0
         for batch in small_batches(batches):
-            texts = byte_texts(batch, "t")
-            own: list[tuple] = []
-            row_of, words, times = [], [], []
-            for text in texts:
-                n, known, base, score, rest = m.score(text)
-                # A key with a space is no word: the document's own line joins nothing.
-                own.append((row, b" %d" % row, None, n, known, base, score))
-                row_of += [row] * len(rest)
-                words += rest.keys()
-                times += rest.values()
-                row += 1
-            none = [None] * len(words)
-            columns = [[x[j] for x in own] for j in range(7)]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            joined = [pa.array(a + b, k) for a, b, k in zip(columns, [row_of, words, times, none, none, none, none], kinds)]
-            joined[1] = joined[1].cast(pa.string())
-            ids = batch.column("doc_id")
-            ids = pa.concat_arrays([ids, pa.nulls(len(words), ids.type)])
-            yield pa.RecordBatch.from_arrays([*joined, ids], names=[*names, "doc_id"])
-
-    schema = T.StructType([*T.DataType.fromDDL(fields).fields, rows.schema["doc_id"]])
-    lines = rows.mapInArrow(run, schema)
-    joined = lines.join(rare, "word", "left")
-    at_root = F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.floor))
-    whole = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.lit(0)) + F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce("base", at_root)).alias("base_score"),
-        F.sum(F.coalesce("score", at_root)).alias("score"),
-    )
+            a, b, s, lengths = _steps(byte_texts(batch, "t"), hashes)
+            trained = ~batch.column("aside").to_numpy(zero_copy_only=False).astype(bool)
+            held.append((a, b, s, np.repeat(trained, lengths)))
+            tokens += len(s)
+            if tokens > HELD_TOKENS:
+                yield counted(held)
+                held, tokens = [], 0
+        if held:
+            yield counted(held)
+
+    steps = rows.select("t", "aside").mapInArrow(run, "a long, b long, s long, n long, m long")
+    return steps.groupBy("a", "b", "s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def weights(steps: DataFrame, words: DataFrame, floor: float) -> DataFrame:
+    """t, m, known, base and score (log10) of every triple; ``steps``: a, b, s, n, m; ``words``: s, n of all words.
+
+    Every pair but those that a text starts with is followed by one token, so a state's total is the sum of its triples.
+    """
+    n = F.col("n")
+    kept = F.when(n >= LEAST, n - DISCOUNT).otherwise(0.0)
+
+    def states(grams: DataFrame, *context: str) -> DataFrame:
+        """The contexts that any kept n-gram continues: total, and rest, the weight of the failure arc."""
+        found = grams.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(kept).alias("arcs")).filter("arcs > 0")
+        return found.select(*context, "total", ((F.col("total") - F.col("arcs")) / F.col("total")).alias("rest"))
+
+    def smoothed(grams: DataFrame, *context: str) -> DataFrame:
+        """``p``: the arc's own share and what the failure arc leads to (``below``)."""
+        found = grams.join(states(grams, *context), list(context), "left")
+        return found.withColumn("p", F.coalesce(kept / F.col("total"), F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("below")).drop("total", "rest", "below")
+
+    base = words.select("s", (n > 0).cast("int").alias("known"), ((n + 0.5) / F.lit(floor)).alias("root"))
+    pairs = steps.filter(F.col("b") != START).groupBy("b", "s").agg(F.sum("n").alias("n")).join(base, "s")
+    pairs = smoothed(pairs.withColumn("below", F.col("root")), "b").select("b", "s", "known", "root", F.col("p").alias("below"))
+    firsts = steps.filter(F.col("b") == START).join(base, "s").withColumn("p", F.col("root"))
+    seconds = steps.filter((F.col("b") != START) & (F.col("a") == START)).join(pairs, ["b", "s"]).withColumnRenamed("below", "p")
+    thirds = smoothed(steps.filter((F.col("a") != START)).join(pairs, ["b", "s"]), "a", "b")
+    whole = [F.xxhash64("a", "b", "s").alias("t"), "m", "known", F.log10("root").alias("base"), F.log10("p").alias("score")]
+    return firsts.select(*whole).unionByName(seconds.select(*whole)).unionByName(thirds.select(*whole))
+
+
+def score_texts(docs: DataFrame, held_out_buckets: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", word_share: float = GRAM_SHARE) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row.
+
+    ``word_share``: steps that make up this share of all tokens are looked up in a broadcast table; no bound of the model.
+    """
     aside = F.coalesce(crc_bucket(F.col("doc_id"), held_out_buckets) == held_out, F.lit(False))
-    return whole.select("doc_id", aside.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    steps = materialise(count_steps(rows.withColumn("aside", aside)))
+    words = checkpoint(steps.groupBy("s").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    sums = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.sum("m").alias("m")).first()
+    tokens, types = sums["n"] or 0, sums["v"]
+    weighted = materialise(weights(steps, words, tokens + 0.5 * (types + 1)))
+    often = weighted.filter(F.col("m") >= word_share * (sums["m"] or 0)).select("t", "known", "base", "score").toArrow().sort_by("t")
+    hot = [often.column(c).to_numpy() for c in ("t", "known", "base", "score")]
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, known, base, score = shared.value
+        hashes, row = _Hashes(), TaskContext.get().partitionId() << 33
+        for batch in small_batches(batches, 250):
+            a, b, s, lengths = _steps(byte_texts(batch, "t"), hashes)
+            t, of = _spark_hash(a, b, s).view(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+            at = np.minimum(np.searchsorted(keys, t), max(len(keys) - 1, 0))
+            found = keys[at] == t if len(keys) else np.zeros(len(t), dtype=bool)
+            at, mine, rest = at[found], of[found], t[~found]
+            sums = [np.bincount(mine, minlength=len(lengths))] + [np.bincount(mine, weights=x[at], minlength=len(lengths)) for x in (known, base, score)]
+            # One line a document, for what is known of it here, under a key of its own, and one for each other step.
+            own = row + np.arange(len(lengths))
+            more = len(rest)
+            columns = [
+                pa.array(np.concatenate([own, row + of[~found]])), pa.array(np.concatenate([_spark_hash(own.astype(np.uint64)).view(np.int64), rest])),
+                pa.array(np.concatenate([sums[0], np.ones(more)]).astype(np.int64)), pa.array(np.arange(len(own) + more) < len(own)),
+                *(pa.array(np.concatenate([x, np.zeros(more)])) for x in sums[1:]),
+            ]
+            ids = batch.column("doc_id")
+            row += len(lengths)
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([ids, pa.nulls(more, ids.type)])], names=[*names, "doc_id"])
+
+    fields = "row long, t long, k long, own boolean, known double, base double, score double"
+    names = [x.split()[0] for x in fields.split(", ")]
+    lines = rows.mapInArrow(run, T.StructType([*T.DataType.fromDDL(fields).fields, rows.schema["doc_id"]]))
+    cold = weighted.filter(F.col("m") < word_share * (sums["m"] or 0)).select("t", *(F.col(c).alias(f"_{c}") for c in ("known", "base", "score")))
+    joined = lines.join(cold, "t", "left")
+    total = [F.sum(F.when(F.col("own"), F.col(c)).otherwise(F.col(f"_{c}"))).alias(c) for c in ("known", "base", "score")]
+    whole = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("k").alias("n_tokens"), *total)
+    return whole.select("doc_id", aside.alias("held_out"), "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

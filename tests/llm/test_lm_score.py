@@ -90,3 +90,44 @@ def test_held_out_texts_score_better_than_base(spark):
 
 def test_empty_table(spark):
     assert L.score_texts(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def slow_score(words, grams, tokens, types):
+    """log10 probability by interpolated absolute discounting with all pairs and triples of two occurrences and more."""
+
+    def p(context, w):
+        if not context:
+            return (grams[(w,)] + 0.5) / (tokens + 0.5 * (types + 1))
+        below, total = p(context[1:], w), grams[context]
+        kept = {g[-1]: n - 0.5 for g, n in follow.get(context, ())}
+        return kept.get(w, 0) / total + (total - sum(kept.values())) / total * below if kept else below
+
+    follow = {}
+    for g, n in grams.items():
+        if len(g) > 1 and n >= 2:
+            follow.setdefault(g[:-1], []).append((g, n))
+    return sum(math.log10(p(tuple(words[max(0, i - 2) : i]), w)) for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize("share", [5e-6, 0.01, 0.5])
+def test_repeated_grams_count_whatever_the_size_of_the_corpus(spark, share):
+    # 900,000 tokens in training: 5e-6 of them would be four or five occurrences.
+    some = rows() + [(600 + i, "zq " * 300_000, "", 0.0) for i in range(6)] + [(i, f"one two pair of old oak{i}", "", 0.0) for i in (700, 701, 702)]
+    seqs = [tokens(t) for i, t, *_ in some if not held(i)]
+    grams = Counter(tuple(s[i : i + k]) for s in seqs for k in (1, 2, 3) for i in range(len(s) - k + 1))
+    assert grams[("one", "two", "pair")] == 2 and 4 < 5e-6 * sum(map(len, seqs))
+    types = sum(len(g) == 1 for g in grams)
+    got = {r.doc_id: r for r in L.score_texts(spark.createDataFrame(some, DOCS), word_share=share).filter("doc_id >= 8").collect()}
+    for i, t, *_ in some:
+        if i is not None and i >= 8 and not 600 <= i < 700:
+            assert got[i].score == pytest.approx(slow_score(tokens(t), grams, sum(map(len, seqs)), types)), i
+
+
+def test_table_scores_like_the_automaton_in_one_process(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model, _ = L.fit(spark.createDataFrame([(t,) for i, t in texts.items() if not held(i)], "t string"))
+    missing = math.log10(0.5 / model.floor)
+    for r in L.score_texts(docs, word_share=1e-4).collect():
+        _, _, _, score, rest = model.score((texts[r.doc_id] or "").encode())
+        assert r.score == pytest.approx(score + missing * sum(rest.values()))
