@@ -269,7 +269,7 @@ def an01(spark: SparkSession, d: str) -> DataFrame:
 @register("an02_isolation_forest")
 def an02(spark: SparkSession, d: str) -> DataFrame:
     events = ds05(spark, d).select("d", *CELL, "event_units", "event_unit_price", F.coalesce("lag_1", F.lit(0)).alias("lag_1"))
-    return forest.isolation_scores(events, ["event_units", "event_unit_price", "lag_1"])
+    return forest.isolation_scores(events, ["event_units", "event_unit_price", "lag_1"], keys=["d", *CELL])
 
 
 @register("an03_agreement", oracle(f"WITH {_Z_SQL}, f AS (SELECT direction <> 'NONE' AS a, event_units >= 60 AS b FROM z) SELECT CASE WHEN a AND b THEN 'BOTH' WHEN a THEN 'FIRST_ONLY' WHEN b THEN 'SECOND_ONLY' ELSE 'NEITHER' END AS agreement, count(*) AS n FROM f GROUP BY 1", "grid"))

@@ -22,7 +22,7 @@ from brindle.sources.roles import oracle
 def an05(spark: SparkSession, d: str) -> DataFrame:
     """Share flagged and Jaccard with the first setting, for a grid of contamination and seed."""
     events = ds05(spark, d).select("d", *CELL, "event_units", "event_unit_price").cache()
-    scored = {(c, s): forest.isolation_scores(events, ["event_units", "event_unit_price"], trees=40, contamination=c, seed=s) for c in (0.01, 0.02) for s in (1, 2)}
+    scored = {(c, s): forest.isolation_scores(events, ["event_units", "event_unit_price"], contamination=c, seed=s, keys=["d", *CELL]) for c in (0.01, 0.02) for s in (1, 2)}
     first, out = None, None
     for (c, s), frame in scored.items():
         flags = frame.select("d", *CELL, "is_anomaly")

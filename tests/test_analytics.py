@@ -77,6 +77,27 @@ def test_isolation_forest_finds_the_far_point(spark):
     assert out.filter("is_anomaly").count() <= 6
 
 
+@pytest.mark.parametrize("hot", [5.0, 6.0, 7.0])
+def test_isolation_forest_samples_all_rows(spark, hot):
+    # A third of all rows are one point, which must be in every tree as such.
+    df = spark.range(30_000, numPartitions=5).select("id", *(F.when(F.col("id") % 3 == 0, hot).otherwise(F.rand(k)).alias(c) for k, c in enumerate("xy"))).cache()
+    score = {r.h: r.s for r in forest.isolation_scores(df, ["x", "y"]).groupBy((F.col("id") % 3 == 0).alias("h")).agg(F.avg("anomaly_score").alias("s")).collect()}
+    assert abs(score[True] - score[False]) < 0.05, score
+
+
+def test_isolation_samples(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 3 > 0).cast("double").alias("x"))
+    rows, size = forest.draw(df, ["x"], 20, 256, 7, ["id"])
+    by_tree = {}
+    for r in rows.collect():
+        by_tree.setdefault(r.tree, []).append((r.turn, r.x))
+    firsts = [sorted(by_tree[k])[:256] for k in range(20)]
+    assert size == 256 and all(len(x) == 256 for x in firsts) and len({tuple(x) for x in firsts}) == 20
+    assert all(0.5 < sum(v for _, v in x) / 256 < 0.8 for x in firsts)
+    other, _ = forest.draw(df.repartition(7), ["x"], 20, 256, 7, ["id"])
+    assert sorted(other.collect()) == sorted(rows.collect())
+
+
 def test_cox_recovers_the_direction(spark):
     df = spark.range(600).select(((F.col("id") * 37) % 10 / 10).alias("x"), F.col("id")).withColumn("t", F.greatest(F.lit(1), (7 - F.col("x") * 5 + (F.col("id") * 13) % 3).cast("int"))).withColumn("e", F.col("id") % 5 != 0)
     beta = cox.fit_cox(df, "t", "e", ["x"])
