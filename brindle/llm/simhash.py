@@ -223,6 +223,15 @@ def flips(width: int, t: int) -> list[int]:
     return masks
 
 
+def probe_loads(histogram: np.ndarray, width: int, t: int) -> np.ndarray:
+    """How many fingerprints come to the bucket of each value: its own and those of the smaller values within reach."""
+    at = np.arange(len(histogram))
+    loads = np.zeros(len(histogram))
+    for mask in flips(width, t):
+        loads += np.where(at ^ mask <= at, histogram[at ^ mask], 0)
+    return loads
+
+
 def _probes(value: Column, masks: list[int], offset: int) -> Column:
     """Keys of the values within reach; of two values that differ, the smaller probes the larger, so each pair meets."""
 
@@ -243,12 +252,13 @@ def find_links(fps: DataFrame, distance: int = 4, parts: int = 4, block_rows: in
         histograms[row["part"], row["value"]] = row["count"]
     thresholds = allocate_thresholds([candidate_costs(h, width, 2) for h in histograms], distance)
 
-    keyed = []
+    keyed, heavy = [], {}
     for k, (g, t) in enumerate(zip(groups, thresholds)):
         if t < 0:
             continue
         keyed.append(_probes(part_value(F.col("fp"), g), flips(width, t), k << width))
-    heavy = {int(k << width | v): -(-int(h[v]) // block_rows) for k, h in enumerate(histograms) for v in np.nonzero(h > block_rows)[0]}
+        loads = probe_loads(histograms[k], width, t)
+        heavy |= {int(k << width | v): -(-int(loads[v]) // block_rows) for v in np.nonzero(loads > block_rows)[0]}
 
     rows = fps.select("fp", F.explode(F.concat(*keyed)).alias("key"))
     if heavy:

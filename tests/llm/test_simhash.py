@@ -112,3 +112,14 @@ def test_one_of_each(spark, tmp_path):
 
 def test_empty_table(spark):
     assert S.simhash_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("t", [0, 1, 2])
+def test_loads_count_what_neighbours_send(spark, t):
+    rng = random.Random(1)
+    values = [rng.choice([5, 5, 5, rng.randrange(256)]) for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v int")
+    probes = rows.select(S.F.explode(S._probes(S.F.col("v"), S.flips(8, t), 0)).alias("key")).groupBy("key").count().collect()
+    loads = S.probe_loads(np.bincount(values, minlength=256), 8, t)
+    assert {r["key"]: r["count"] for r in probes} == {v: n for v, n in enumerate(loads) if n}
+    assert t == 0 or loads[7] > 100 > values.count(7)
