@@ -14,32 +14,45 @@ from pyspark.sql import functions as F
 #: The characters that separate words: space and \t \n \v \f \r.  ``bytes.split()`` splits on the same six.
 SPACES = " \t\n\u000b\f\r"
 
+#: Spark's setting that removes the shuffle files of a query when it is through.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, in ``spark.checkpoint.dir``; a session of one machine (tests) may do without it."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Like :func:`checkpoint`, as a compressed Parquet table; for what is too wide or long for plain checkpoint files.
 
-    The table lies in the session's own checkpoint folder and is removed when the session's process ends.
+    The table lies in the session's own checkpoint folder and is removed when the session's process ends.  The shuffle files
+    that went into it are removed as soon as it is written.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    was = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, was)
     folder = sc._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)

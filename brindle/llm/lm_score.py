@@ -1,44 +1,44 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
-Tokens are the lower-cased words of a text and one end; all unseen words are one class.  The root of the automaton holds the
-base distribution, (count + 0.5) / (N + 0.5 (V + 1)).  Every word pair and triple seen at least ``LEAST`` times in training
-is an arc, whatever the size of the corpus, smoothed by absolute discounting: an arc keeps (count - D) / total, the failure
-arc gets the rest, so every state's probabilities sum to one.
-
-The automaton is a table, as large as the corpus makes it.  A step from the state of the last two words depends on those and
-the next word only, so each distinct triple of the documents gets the weight of its path of failure arcs and arc by shuffled
-joins (:func:`weights`), and a text's score is the sum over its steps.  Steps that make up ``GRAM_SHARE`` of all tokens, which
-can be 1 / share at most, are broadcast, the others joined; the share changes where a weight is looked up, never its value.
-:class:`BackoffAutomaton` is the same automaton in one process.
-
-Words are told apart by 64-bit hashes, and so are the triples of the joined steps.  Null and empty texts are one end.  A null
-id is not held out and takes part in the training.  Repeated rows count and are scored each on its own.  Without training
-tokens every token has probability one (N = V = 0).  An empty table gives an empty result.
+Tokens are the lower-cased words of a text and one end.  The root of the automaton holds the base distribution,
+(count + 0.5) / (N + 0.5 (V + 1)).  Every word pair and triple seen at least ``LEAST`` times in training is an arc, whatever
+the size of the corpus, smoothed by absolute discounting: an arc keeps (count - D) / total, the failure arc gets the rest, so
+every state's probabilities sum to one.  :class:`BackoffAutomaton` is that automaton in one process.
+
+For a corpus the automaton is a set of tables, as large as the corpus makes them, and it is never gathered:
+
+1. The texts are numbered in chunks of some ``CHUNK`` tokens (:func:`chunks_of`).
+2. Each chunk asks for the counts of its distinct triples, then pairs, then words.  The asks are dealt out by the key's leading
+   bits, so however frequent an n-gram or its context is, a chunk sends it once.  One chunk leads each key; it alone reports
+   the key as an arc to the state that the arc leaves, together with the asks of the next order.
+3. Each chunk gets its part of the automaton (states, arcs and failure arcs that its texts pass) and walks it.
+
+Words, pairs and triples are told apart by 64-bit hashes.  Null and empty texts are one end.  A null id is not held out and
+takes part in the training.  Repeated rows count and are scored each on its own; there are no ties to break.  Without training
+tokens every token has probability one (N = V = 0).  An empty table gives an empty result.  Other columns are not read,
+whatever their names.  A text is never cut: a very long one makes a chunk of its own, some 100 bytes a token in a worker.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import byte_texts, checkpoint, crc_bucket, materialise, small_batches
+from brindle.llm.common import byte_texts, crc_bucket, materialise, small_batches
 
-GRAM_SHARE = 5e-6
 #: Pairs and triples of fewer occurrences are no arcs.
 LEAST = 2
 DISCOUNT = 0.5
 END = b"\n"
-#: The symbol of all words without an arc of their own.
-RARE = 0
 
 
 class BackoffAutomaton:
@@ -96,249 +96,246 @@ class BackoffAutomaton:
         return total
 
 
-def _flat(counter: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()).cast(pa.string()), pa.array(list(counter.values()), pa.int64())], names=["word", "n"])
+# ---- the automaton as a table ------------------------------------------------------------------------------------------
 
+#: Tokens of the texts that one task holds at once (a text is never cut), and n-grams that one task counts at once.
+CHUNK, BUCKET = 1 << 21, 1 << 20
 
-def count_words(train: DataFrame) -> DataFrame:
-    """word, n over the texts ``t``; the end is counted as the word ``END``."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in small_batches(batches):
-            for text in byte_texts(batch, "t"):
-                held.update(text.lower().split())
-            held[END] += batch.num_rows
-            if len(held) > 300_000:
-                yield _flat(held)
-                held = Counter()
-        yield _flat(held)
+def _pack(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes; near-constant high bytes cost next to nothing."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
+    return zstandard.compress(planes.tobytes(), 1)
 
-    return train.select("t").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
 
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-def _symbols(texts: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    """The tokens of all texts in a row, each text behind a gap of -1; tokens without an id are -1 too."""
-    get, out = ids.get, []
-    for text in texts:
-        out.append(-1)  # no n-gram runs over the border of two texts
-        out += [get(w, -1) for w in text.lower().split()]
-        out.append(get(END, -1))
-    return np.array(out, dtype=np.int64)
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Keys as differences (modulo 2**64), which are small where they are sorted."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
-def count_grams(train: DataFrame, ids: dict[bytes, int], known: np.ndarray | None = None) -> DataFrame:
-    """gram, n of the neighbouring tokens that all have an id: pairs (first << 32 | second), or, where ``known`` has sorted
-    pairs, triples of two known pairs (place of the first pair << 32 | third)."""
-    shared = train.sparkSession.sparkContext.broadcast((ids, known))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, known = shared.value
-        for batch in small_batches(batches):
-            x = _symbols(byte_texts(batch, "t"), ids)
-            grams = np.where((x[:-1] >= 0) & (x[1:] >= 0), x[:-1] << 32 | x[1:], -1)
-            if known is not None:
-                place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                place[known[place] != grams] = -1
-                grams = np.where((place[:-1] >= 0) & (place[1:] >= 0), place[:-1] << 32 | x[2:], -1)
-            grams, n = np.unique(grams[grams >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    return train.select("t").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """What each worker needs: the frequent words with their counts, and the automaton."""
-
-    def __init__(self, frequent: list[tuple[bytes, int]], tokens: int, types: int, grams: dict[tuple[int, ...], int]):
-        self.ids = {w: k for k, (w, _) in enumerate(frequent, start=1)}
-        counts = np.array([0, *(n for _, n in frequent)], dtype=float)
-        self.tokens, self.floor = tokens, tokens + 0.5 * (types + 1)
-        self.base = np.log10((counts + 0.5) / self.floor)
-        self.base[RARE] = 0.0
-        totals = {(k,): n for k, n in enumerate(counts.tolist()) if k} | grams
-        self.automaton = BackoffAutomaton(dict(enumerate(self.base.tolist())), grams, totals)
-        self.end = self.ids.get(END, RARE)
-
-    def score(self, text: bytes) -> tuple[int, int, float, float, Counter]:
-        """Tokens, those of frequent words, both scores but for the rare words at the root, and the rare words."""
-        words = text.lower().split()
-        get = self.ids.get
-        ids = [get(w, RARE) for w in words]
-        rare = Counter([w for w, k in zip(words, ids) if not k])
-        ids.append(self.end)
-        if not self.end:
-            rare[END] += 1
-        return len(ids), len(ids) - sum(rare.values()), float(self.base[ids].sum()), self.automaton.score(ids), rare
-
-
-def fit(train: DataFrame, word_share: float = 0.0, gram_share: float = 0.0) -> tuple[Model, DataFrame]:
-    """The model of the texts ``t`` in one process, and the counts (word, n) of the words without an arc of their own.
-
-    With shares above 0 it is a part of the automaton: arcs of words and n-grams that make up these shares only.
-    """
-    counts = checkpoint(count_words(train))
-    sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, types = sums["n"] or 0, sums["v"]
-    least, often = word_share * tokens, max(float(LEAST), gram_share * tokens)
-    frequent = [(r["word"].encode(), r["n"]) for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()]
-    ids = {w: k for k, (w, n) in enumerate(frequent, start=1) if n >= often}
-    pairs = {r["gram"]: r["n"] for r in count_grams(train, ids).filter(F.col("n") >= often).collect()}
-    grams: dict[tuple[int, ...], int] = {(p >> 32, p & 0xFFFFFFFF): n for p, n in pairs.items()}
-    if pairs:
-        known = np.array(sorted(pairs), dtype=np.int64)
-        for r in count_grams(train, ids, known).filter(F.col("n") >= often).collect():
-            p = int(known[r["gram"] >> 32])
-            grams[(p >> 32, p & 0xFFFFFFFF, r["gram"] & 0xFFFFFFFF)] = r["n"]
-    return Model(frequent, tokens, types, grams), counts.filter(F.col("n") < least)
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
-# ---- the automaton as a table ------------------------------------------------------------------------------------------
+def _mix(*columns: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words' hashes."""
+    h = np.full(len(columns[0]), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for x in columns:
+        h = (h ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+    return h
 
-#: The word before a text's first; no context with it is a state.
-START = 0
-#: Tokens that are counted together before a task sends them.
-HELD_TOKENS = 2_000_000
 
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
 
-class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word) or 1
-        return h
-
-
-def _steps(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """a, b, s of every token of the texts (the two words before it and its own, hashed), and the tokens of each text."""
-    if len(hashes) > 500_000:
-        hashes.clear()  # only a cache
-    words: list[bytes] = []
-    lengths = np.zeros(len(texts), dtype=np.int64)
-    for k, text in enumerate(texts):
-        mine = text.lower().split()
-        words += mine
-        words.append(END)
-        lengths[k] = len(mine) + 1
-    s = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    first = np.cumsum(lengths) - lengths
-    b = np.roll(s, 1)
-    b[first] = START
-    a = np.roll(b, 1)
-    a[first] = START
-    return a, b, s, lengths
-
-
-def _spark_hash(*columns: np.ndarray) -> np.ndarray:
-    """``F.xxhash64`` of long columns without nulls."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
-    h = np.full(len(columns[0]), 42, dtype=np.uint64)
-    for x in columns:
-        h += p5 + np.uint64(8)
-        h ^= turn(x * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ h >> np.uint64(33)) * p2
-        h = (h ^ h >> np.uint64(29)) * p3
-        h ^= h >> np.uint64(32)
-    return h
+        self[word] = n = len(self)
+        return n
+
+
+def chunks_of(rows: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
+    """The texts ``t`` of neighbouring rows as chunks: chunk (a number of its own), doc_id and aside of each text, and packed
+    lengths, words (the hash of each distinct word) and seq (the place of each token's word)."""
+    schema = T.StructType([
+        T.StructField("chunk", T.LongType()),
+        T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)),
+        *T.DataType.fromDDL("aside array<boolean>, tokens long, trained long, lengths binary, words binary, seq binary").fields,
+    ])
+
+    def packed(chunk: int, ids: list[pa.Array], aside: list[np.ndarray], lengths: list[int], seq: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
+        places, sizes, out = np.concatenate(seq), np.array(lengths, dtype=np.int64), np.concatenate(aside)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) or 1 for w in numbers), dtype=np.uint64, count=len(numbers))
+        # Frequent words first, those of like frequency by hash, so that places and differences of hashes are small.
+        rough = np.frexp(np.bincount(places, minlength=len(hashes)))[1]
+        order = np.lexsort((hashes, -rough))
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in (pa.concat_arrays(ids), pa.array(out))]
+        numbers_ = [pa.array([x], pa.int64()) for x in (chunk, int(sizes.sum()), int(sizes[~out].sum()))]
+        blobs = [pa.array([x], pa.binary()) for x in (_pack(sizes), _pack_keys(hashes[order]), _pack(rank[places]))]
+        return pa.RecordBatch.from_arrays([numbers_[0], *lists, *numbers_[1:], *blobs], names=schema.names)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, tokens = TaskContext.get().partitionId() << 33, 0
+        held: tuple = ([], [], [], [], _Numbers())
+        for batch in small_batches(batches, 100):
+            ids, aside, lengths, seq, numbers = held
+            place = numbers.__getitem__
+            for text in byte_texts(batch, "t"):
+                words = text.lower().split()
+                words.append(END)
+                lengths.append(len(words))
+                seq.append(np.fromiter(map(place, words), dtype=np.int32, count=len(words)))
+                tokens += len(words)
+            ids.append(batch.column("doc_id"))
+            aside.append(batch.column("aside").to_numpy(zero_copy_only=False).astype(bool))
+            if tokens > chunk_tokens:
+                yield packed(chunk, *held)
+                chunk, tokens, held = chunk + 1, 0, ([], [], [], [], _Numbers())
+        if held[2]:
+            yield packed(chunk, *held)
+
+    return rows.select("doc_id", "aside", "t").mapInArrow(run, schema)
+
+
+class _Grams:
+    """The distinct n-grams of one order in a chunk: sorted keys, the first token of each, the n-gram of each token (-1 where a
+    text has no n-gram of that order yet), and the occurrences in texts not set aside."""
+
+    def __init__(self, order: int, lengths: np.ndarray, words: np.ndarray, seq: np.ndarray, aside: np.ndarray):
+        first = np.cumsum(lengths) - lengths
+        behind = np.arange(len(seq)) - np.repeat(first, lengths)
+        if order == 1:
+            by_hash = np.argsort(words)
+            rank = np.empty(len(words), dtype=np.int64)
+            rank[by_hash] = np.arange(len(words))
+            self.keys, self.of = words[by_hash], rank[seq]
+        else:
+            at = np.flatnonzero(behind >= order - 1)
+            found = _mix(*(words[seq[at - k]] for k in range(order - 1, -1, -1)))
+            self.keys, start, places = np.unique(found, return_index=True, return_inverse=True)
+            self.start = at[start]
+            self.of = np.full(len(seq), -1, dtype=np.int64)
+            self.of[at] = places
+        counted = self.of[np.repeat(~aside, lengths) & (self.of >= 0)]
+        self.n = np.bincount(counted, minlength=len(self.keys))
+
+
+def _parts(row: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """lengths, words, seq and aside of one chunk."""
+    value = lambda c: row.column(c)[0].as_py()
+    return _unpack(value("lengths"), np.int64), _unpack_keys(value("words")), _unpack(value("seq"), np.int32), np.array(value("aside"), dtype=bool)
+
+
+ASKS = "bucket long, chunk long, keys binary, amounts array<binary>"
+ANSWERS = "chunk long, bucket long, seen long, totals array<binary>"
+
+
+def _asks(chunk: int, keys: np.ndarray, amounts: list[np.ndarray], bits: int) -> pa.Table:
+    """Sorted keys with amounts of them, dealt out by the leading ``bits`` bits."""
+    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if a < b]
+    return pa.table({
+        "bucket": pa.array([k for k, _, _ in spans], pa.int64()),
+        "chunk": pa.array([chunk] * len(spans), pa.int64()),
+        "keys": pa.array([_pack_keys(keys[a:b]) for _, a, b in spans], pa.binary()),
+        "amounts": pa.array([[_pack(x[a:b]) for x in amounts] for _, a, b in spans], pa.list_(pa.binary())),
+    })
+
+
+def _totals(asks: DataFrame, least: int) -> DataFrame:
+    """Per chunk and bucket, in the order of the keys asked: the sum of each amount over all chunks, the first one zero where
+    below ``least``, and 1 for the one chunk that leads a key.  ``seen``: keys of the bucket whose first sum is above zero."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = [_unpack_keys(x) for x in rows.column("keys").to_pylist()]
+        cuts = np.cumsum([0, *map(len, keys)]).tolist()
+        every, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        amounts = [np.concatenate([_unpack(x, np.int64) for x in column]) for column in zip(*rows.column("amounts").to_pylist())]
+        sums = [np.bincount(of, weights=x, minlength=len(every)).astype(np.int64) for x in amounts]
+        seen = [int((sums[0] > 0).sum())] + [0] * (len(keys) - 1)
+        sums[0][sums[0] < least] = 0
+        lead = np.zeros(len(of), dtype=np.int64)
+        lead[first] = 1
+        found = [x[of] for x in sums] + [lead]
+        return pa.table({
+            "chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "seen": pa.array(seen, pa.int64()),
+            "totals": pa.array([[_pack(x[a:b]) for x in found] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.binary())),
+        })
+
+    return asks.groupBy("bucket").applyInArrow(run, ANSWERS)
+
+
+def _read(answers: pa.Table, size: int) -> list[np.ndarray]:
+    """The totals of one chunk over all buckets; ``size``: how many there are of each key."""
+    rows = [x for _, x in sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()), key=lambda x: x[0])]
+    return [np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack(x[k], np.int64) for x in rows)]) for k in range(size)]
+
+
+def count_longest(chunks: DataFrame, bits: int) -> DataFrame:
+    """Answers for the triples: n, lead."""
 
-def count_steps(rows: DataFrame) -> DataFrame:
-    """a, b, s, n, m: the distinct triples of the texts ``t``, in how many tokens not ``aside``, and in how many at all."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            grams = _Grams(3, *_parts(batch))
+            yield from _asks(batch.column("chunk")[0].as_py(), grams.keys, [grams.n], bits).to_batches()
 
-    def counted(held: list[tuple]) -> pa.RecordBatch:
-        a, b, s, trained = (np.concatenate(x) for x in zip(*held))
-        _, at, of, m = np.unique(_spark_hash(a, b, s), return_index=True, return_inverse=True, return_counts=True)
-        n = np.bincount(of, weights=trained, minlength=len(at)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (a, b, s)), pa.array(n), pa.array(m.astype(np.int64))], names=["a", "b", "s", "n", "m"])
+    return _totals(chunks.mapInArrow(run, ASKS), LEAST)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, tokens = _Hashes(), [], 0
-        for batch in small_batches(batches):
-            a, b, s, lengths = _steps(byte_texts(batch, "t"), hashes)
-            trained = ~batch.column("aside").to_numpy(zero_copy_only=False).astype(bool)
-            held.append((a, b, s, np.repeat(trained, lengths)))
-            tokens += len(s)
-            if tokens > HELD_TOKENS:
-                yield counted(held)
-                held, tokens = [], 0
-        if held:
-            yield counted(held)
-
-    steps = rows.select("t", "aside").mapInArrow(run, "a long, b long, s long, n long, m long")
-    return steps.groupBy("a", "b", "s").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-
-def weights(steps: DataFrame, words: DataFrame, floor: float) -> DataFrame:
-    """t, m, known, base and score (log10) of every triple; ``steps``: a, b, s, n, m; ``words``: s, n of all words.
-
-    Every pair but those that a text starts with is followed by one token, so a state's total is the sum of its triples.
-    """
-    n = F.col("n")
-    kept = F.when(n >= LEAST, n - DISCOUNT).otherwise(0.0)
 
-    def states(grams: DataFrame, *context: str) -> DataFrame:
-        """The contexts that any kept n-gram continues: total, and rest, the weight of the failure arc."""
-        found = grams.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(kept).alias("arcs")).filter("arcs > 0")
-        return found.select(*context, "total", ((F.col("total") - F.col("arcs")) / F.col("total")).alias("rest"))
+def count_shorter(chunks: DataFrame, order: int, longer: DataFrame, bits: int, least: int) -> DataFrame:
+    """Answers for the n-grams of ``order``: n, and of the arcs that leave them as states their occurrences and number, lead.
 
-    def smoothed(grams: DataFrame, *context: str) -> DataFrame:
-        """``p``: the arc's own share and what the failure arc leads to (``below``)."""
-        found = grams.join(states(grams, *context), list(context), "left")
-        return found.withColumn("p", F.coalesce(kept / F.col("total"), F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("below")).drop("total", "rest", "below")
+    ``longer``: the answers for the next order; an arc is reported by the one chunk that leads it.
+    """
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = _parts(chunk)
+        grams, arcs = _Grams(order, *parts), _Grams(order + 1, *parts)
+        found = _read(answers, 2 if order == 2 else 4) if len(arcs.keys) else [np.zeros(0, dtype=np.int64)] * 2
+        mine = (found[0] > 0) & (found[-1] == 1)
+        n, state = found[0][mine], grams.of[arcs.start[mine] - 1]
+        uses = np.bincount(state, weights=n, minlength=len(grams.keys)).astype(np.int64)
+        return _asks(chunk.column("chunk")[0].as_py(), grams.keys, [grams.n, uses, np.bincount(state, minlength=len(grams.keys))], bits)
 
-    base = words.select("s", (n > 0).cast("int").alias("known"), ((n + 0.5) / F.lit(floor)).alias("root"))
-    pairs = steps.filter(F.col("b") != START).groupBy("b", "s").agg(F.sum("n").alias("n")).join(base, "s")
-    pairs = smoothed(pairs.withColumn("below", F.col("root")), "b").select("b", "s", "known", "root", F.col("p").alias("below"))
-    firsts = steps.filter(F.col("b") == START).join(base, "s").withColumn("p", F.col("root"))
-    seconds = steps.filter((F.col("b") != START) & (F.col("a") == START)).join(pairs, ["b", "s"]).withColumnRenamed("below", "p")
-    thirds = smoothed(steps.filter((F.col("a") != START)).join(pairs, ["b", "s"]), "a", "b")
-    whole = [F.xxhash64("a", "b", "s").alias("t"), "m", "known", F.log10("root").alias("base"), F.log10("p").alias("score")]
-    return firsts.select(*whole).unionByName(seconds.select(*whole)).unionByName(thirds.select(*whole))
+    return _totals(chunks.groupBy("chunk").cogroup(longer.groupBy("chunk")).applyInArrow(run, ASKS), least)
 
 
-def score_texts(docs: DataFrame, held_out_buckets: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", word_share: float = GRAM_SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row.
+def _walk(chunks: DataFrame, answers: DataFrame, floor: float) -> DataFrame:
+    """doc_id, aside, n_tokens, n_known, base_score and score of every text; ``answers``: those of all orders (``order``).
 
-    ``word_share``: steps that make up this share of all tokens are looked up in a broadcast table; no bound of the model.
+    A chunk gets the states, arcs and failure arcs that its texts pass.  A token's weight is that of its arc and of the failure
+    arcs before it: from the state of two words to that of one to the root.
     """
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        lengths, words, seq, aside = parts = _parts(chunk)
+        orders = np.array(answers.column("order").to_pylist())
+        one, two, three = (_Grams(k, *parts) for k in (1, 2, 3))
+        n1, uses1, arcs1, _ = _read(answers.filter(pa.array(orders == 1)), 4)
+        n2, uses2, arcs2, _ = _read(answers.filter(pa.array(orders == 2)), 4)
+        n3, _ = _read(answers.filter(pa.array(orders == 3)), 2)
+
+        def failure(n: np.ndarray, uses: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+            return np.where(arcs > 0, 1 - (uses - DISCOUNT * arcs) / np.maximum(n, 1), 1.0)
+
+        root = (n1 + 0.5) / floor
+        p = root[one.of]
+        for grams, n, lower, total, rest in ((two, n2, one, n1, failure(n1, uses1, arcs1)), (three, n3, two, n2, failure(n2, uses2, arcs2))):
+            at = np.flatnonzero(grams.of >= 0)
+            state, kept = lower.of[at - 1], n[grams.of[at]]
+            p[at] = np.where(kept > 0, kept - DISCOUNT, 0.0) / np.maximum(total[state], 1) + rest[state] * p[at]
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        sums = [np.bincount(text, weights=x, minlength=len(lengths)) for x in (n1[one.of] > 0, np.log10(root)[one.of], np.log10(p))]
+        return pa.table({
+            "doc_id": chunk.column("doc_ids").combine_chunks().flatten(), "aside": pa.array(aside), "n_tokens": pa.array(lengths),
+            "n_known": pa.array(sums[0].astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2]),
+        })
+
+    fields = "aside boolean, n_tokens long, n_known long, base_score double, score double"
+    schema = T.StructType([T.StructField("doc_id", chunks.schema["doc_ids"].dataType.elementType), *T.DataType.fromDDL(fields).fields])
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def score_texts(docs: DataFrame, held_out_buckets: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK, bucket_grams: int = BUCKET) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row."""
     aside = F.coalesce(crc_bucket(F.col("doc_id"), held_out_buckets) == held_out, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    steps = materialise(count_steps(rows.withColumn("aside", aside)))
-    words = checkpoint(steps.groupBy("s").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
-    sums = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.sum("m").alias("m")).first()
-    tokens, types = sums["n"] or 0, sums["v"]
-    weighted = materialise(weights(steps, words, tokens + 0.5 * (types + 1)))
-    often = weighted.filter(F.col("m") >= word_share * (sums["m"] or 0)).select("t", "known", "base", "score").toArrow().sort_by("t")
-    hot = [often.column(c).to_numpy() for c in ("t", "known", "base", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, known, base, score = shared.value
-        hashes, row = _Hashes(), TaskContext.get().partitionId() << 33
-        for batch in small_batches(batches, 250):
-            a, b, s, lengths = _steps(byte_texts(batch, "t"), hashes)
-            t, of = _spark_hash(a, b, s).view(np.int64), np.repeat(np.arange(len(lengths)), lengths)
-            at = np.minimum(np.searchsorted(keys, t), max(len(keys) - 1, 0))
-            found = keys[at] == t if len(keys) else np.zeros(len(t), dtype=bool)
-            at, mine, rest = at[found], of[found], t[~found]
-            sums = [np.bincount(mine, minlength=len(lengths))] + [np.bincount(mine, weights=x[at], minlength=len(lengths)) for x in (known, base, score)]
-            # One line a document, for what is known of it here, under a key of its own, and one for each other step.
-            own = row + np.arange(len(lengths))
-            more = len(rest)
-            columns = [
-                pa.array(np.concatenate([own, row + of[~found]])), pa.array(np.concatenate([_spark_hash(own.astype(np.uint64)).view(np.int64), rest])),
-                pa.array(np.concatenate([sums[0], np.ones(more)]).astype(np.int64)), pa.array(np.arange(len(own) + more) < len(own)),
-                *(pa.array(np.concatenate([x, np.zeros(more)])) for x in sums[1:]),
-            ]
-            ids = batch.column("doc_id")
-            row += len(lengths)
-            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([ids, pa.nulls(more, ids.type)])], names=[*names, "doc_id"])
-
-    fields = "row long, t long, k long, own boolean, known double, base double, score double"
-    names = [x.split()[0] for x in fields.split(", ")]
-    lines = rows.mapInArrow(run, T.StructType([*T.DataType.fromDDL(fields).fields, rows.schema["doc_id"]]))
-    cold = weighted.filter(F.col("m") < word_share * (sums["m"] or 0)).select("t", *(F.col(c).alias(f"_{c}") for c in ("known", "base", "score")))
-    joined = lines.join(cold, "t", "left")
-    total = [F.sum(F.when(F.col("own"), F.col(c)).otherwise(F.col(f"_{c}"))).alias(c) for c in ("known", "base", "score")]
-    whole = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("k").alias("n_tokens"), *total)
-    return whole.select("doc_id", aside.alias("held_out"), "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    chunks = materialise(chunks_of(rows.withColumn("aside", aside), chunk_tokens))
+    sums = chunks.agg(F.sum("tokens").alias("all"), F.sum("trained").alias("n")).first()
+    bits = max(1, math.ceil(math.log2(max(sums["all"] or 0, 1) / bucket_grams)))
+    triples = materialise(count_longest(chunks, bits))
+    pairs = materialise(count_shorter(chunks, 2, triples, bits, LEAST))
+    words = materialise(count_shorter(chunks, 1, pairs, bits, 1))
+    types, tokens = words.agg(F.sum("seen")).first()[0] or 0, sums["n"] or 0
+    answers = [x.select("chunk", "bucket", "totals", F.lit(k).alias("order")) for k, x in ((1, words), (2, pairs), (3, triples))]
+    whole = _walk(chunks, answers[0].unionByName(answers[1]).unionByName(answers[2]), tokens + 0.5 * (types + 1))
+    return whole.select("doc_id", F.col("aside").alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

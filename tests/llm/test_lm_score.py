@@ -27,11 +27,16 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
 
 
-@pytest.mark.parametrize("share", [5e-7, 0.01, 0.5])
+def sizes(share):
+    """Chunks and buckets from tiny to larger than the corpus."""
+    return {"chunk_tokens": share, "bucket_grams": share}
+
+
+@pytest.mark.parametrize("share", [50, 700, 1 << 20])
 def test_base_scores_against_brute_force(spark, share):
     counts = Counter(w for i, t, *_ in rows() if not held(i) for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
-    got = L.score_texts(spark.createDataFrame(rows(), DOCS), word_share=share).collect()
+    got = L.score_texts(spark.createDataFrame(rows(), DOCS), **sizes(share)).collect()
     assert len(got) == len(rows())
     texts = {i: t for i, t, *_ in rows()}
     for r in got:
@@ -41,45 +46,31 @@ def test_base_scores_against_brute_force(spark, share):
         assert r.score < 0
 
 
-def test_states_sum_to_one_and_traversal_follows_failures(spark):
-    model, _ = L.fit(spark.createDataFrame([(t,) for _, t, *_ in rows()], "t string"), word_share=0.01, gram_share=0.01)
-    a, symbols = model.automaton, range(1, len(model.ids) + 1)
-    rare = 1 - sum(10 ** a.weight(0, s) for s in symbols)
-    assert len(a.arcs) > 8 and 0 < rare < 1
+def automaton(texts):
+    """The automaton of all texts in one process, and the number of each word."""
+    seqs = [tokens(t) for t in texts]
+    words = sorted({w for s in seqs for w in s})
+    ids = {w: k for k, w in enumerate(words, start=1)}
+    grams = Counter(tuple(ids[w] for w in s[i : i + k]) for s in seqs for k in (1, 2, 3) for i in range(len(s) - k + 1))
+    floor = sum(map(len, seqs)) + 0.5 * (len(words) + 1)
+    roots = {0: math.log10(0.5 / floor)} | {k: math.log10((grams[(k,)] + 0.5) / floor) for k in ids.values()}
+    longer = {g: n for g, n in grams.items() if len(g) > 1 and n >= L.LEAST}
+    return L.BackoffAutomaton(roots, longer, grams), ids
+
+
+def test_states_sum_to_one_and_traversal_follows_failures():
+    a, ids = automaton([t for _, t, *_ in rows()])
+    assert len(a.arcs) > 8
     for state in range(len(a.arcs)):
-        assert sum(10 ** a.weight(state, s) for s in symbols) + 10 ** a.weight(state, L.RARE) * rare == pytest.approx(1.0)
-    words = tokens("the cat sat on3 the rare3x the cat é zzz")
-    ids = [model.ids.get(w.encode(), L.RARE) for w in words]
+        assert sum(10 ** a.weight(state, s) for s in [0, *ids.values()]) == pytest.approx(1.0)
+    symbols = [ids.get(w, 0) for w in tokens("the cat sat on3 the rare3x the cat é zzz")]
     state, total = 0, 0.0
-    for s in ids:
+    for s in symbols:
         total += a.weight(state, s)
         while s not in a.arcs[state]:
             state = a.fail[state]
         state = a.arcs[state][s][0]
-    assert a.score(ids) == pytest.approx(total)
-
-
-def test_counts_of_grams(spark):
-    train = spark.createDataFrame([(t,) for _, t, *_ in rows()], "t string")
-    model, _ = L.fit(train, word_share=0.001, gram_share=0.001)
-    seqs = [tokens(t) for _, t, *_ in rows()]
-    names = {k: w.decode() for w, k in model.ids.items()}
-    n = sum(map(len, seqs))
-    for order in (2, 3):
-        want = Counter(tuple(s[i : i + order]) for s in seqs for i in range(len(s) - order + 1))
-        want = {g: c for g, c in want.items() if c >= max(2, 0.001 * n)}
-        got = {tuple(names[x] for x in g) for g in _kept(model, order)}
-        assert got == set(want)
-
-
-def _kept(model, order):
-    """The n-grams of the automaton, read off its states."""
-    a = model.automaton
-    names = {0: ()}
-    for state in range(len(a.arcs)):
-        if state in a.contexts:
-            names[state] = a.contexts[state]
-    return {(*names[s], x) for s in names if len(names[s]) == order - 1 for x in a.arcs[s]}
+    assert a.score(symbols) == pytest.approx(total)
 
 
 def test_held_out_texts_score_better_than_base(spark):
@@ -109,7 +100,7 @@ def slow_score(words, grams, tokens, types):
     return sum(math.log10(p(tuple(words[max(0, i - 2) : i]), w)) for i, w in enumerate(words))
 
 
-@pytest.mark.parametrize("share", [5e-6, 0.01, 0.5])
+@pytest.mark.parametrize("share", [1000, 1 << 20])
 def test_repeated_grams_count_whatever_the_size_of_the_corpus(spark, share):
     # 900,000 tokens in training: 5e-6 of them would be four or five occurrences.
     some = rows() + [(600 + i, "zq " * 300_000, "", 0.0) for i in range(6)] + [(i, f"one two pair of old oak{i}", "", 0.0) for i in (700, 701, 702)]
@@ -117,7 +108,7 @@ def test_repeated_grams_count_whatever_the_size_of_the_corpus(spark, share):
     grams = Counter(tuple(s[i : i + k]) for s in seqs for k in (1, 2, 3) for i in range(len(s) - k + 1))
     assert grams[("one", "two", "pair")] == 2 and 4 < 5e-6 * sum(map(len, seqs))
     types = sum(len(g) == 1 for g in grams)
-    got = {r.doc_id: r for r in L.score_texts(spark.createDataFrame(some, DOCS), word_share=share).filter("doc_id >= 8").collect()}
+    got = {r.doc_id: r for r in L.score_texts(spark.createDataFrame(some, DOCS), **sizes(share)).filter("doc_id >= 8").collect()}
     for i, t, *_ in some:
         if i is not None and i >= 8 and not 600 <= i < 700:
             assert got[i].score == pytest.approx(slow_score(tokens(t), grams, sum(map(len, seqs)), types)), i
@@ -126,8 +117,17 @@ def test_repeated_grams_count_whatever_the_size_of_the_corpus(spark, share):
 def test_table_scores_like_the_automaton_in_one_process(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    model, _ = L.fit(spark.createDataFrame([(t,) for i, t in texts.items() if not held(i)], "t string"))
-    missing = math.log10(0.5 / model.floor)
-    for r in L.score_texts(docs, word_share=1e-4).collect():
-        _, _, _, score, rest = model.score((texts[r.doc_id] or "").encode())
-        assert r.score == pytest.approx(score + missing * sum(rest.values()))
+    a, ids = automaton([t for i, t in texts.items() if not held(i)])
+    for r in L.score_texts(docs, **sizes(1500)).collect():
+        assert r.score == pytest.approx(a.score([ids.get(w, 0) for w in tokens(texts[r.doc_id])]))
+
+
+def test_texts_that_occur_twice_stand_out(spark):
+    # Documents of words of their own, some of them twice: only a model of the whole corpus tells these apart.
+    texts = [" ".join(f"w{(i * 7919 + k * k * 31) % 4000}" for k in range(60)) for i in range(200)]
+    ids = [i for i in range(1000) if not held(i)]
+    some = list(zip(ids, texts + texts[:20]))
+    per = {r.doc_id: r.score / r.n_tokens for r in L.score_texts(spark.createDataFrame(some, "doc_id long, text string"), **sizes(3000)).collect()}
+    twice = [per[i] for k, i in enumerate(ids[:220]) if k < 20 or k >= 200]
+    once = [per[i] for i in ids[20:200]]
+    assert min(twice) > max(once)
