@@ -3,7 +3,8 @@
 Every byte covered by a string of ``length`` bytes that also starts anywhere else goes; matches stay within one text,
 overlaps count, and all strings are judged on the input.  A null text counts as empty; texts below ``length`` bytes keep
 all their bytes.  Repeated rows are copies of each other like any other rows, null ids keep their own rows, other columns
-are not read, and an empty table gives an empty result.
+are not read, and an empty table gives an empty result.  A very long text is held by one task, some dozen numbers a byte; its contexts go in
+pieces.
 
 How the strings come to the suffix sort:
 
@@ -24,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,7 +101,7 @@ def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
 # ---- the suffix sort -------------------------------------------------------------------------------------------------
 
 
-def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Order of the keys, their dense ranks from 1, and the largest rank."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
@@ -110,19 +111,31 @@ def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return order, rank, int(steps[-1]) if len(steps) else 0
 
 
+def _packed(*columns: np.ndarray) -> np.ndarray:
+    """Numbers that sort like the rows of the columns (none negative); what would pass 62 bits is ranked first."""
+    keys, bound = np.zeros(len(columns[0]), dtype=np.int64), 1
+    for column in columns:
+        size = int(column.max(initial=0)) + 1
+        if bound * size >= 1 << 62:
+            _, keys, bound = _ranks(keys)
+            bound += 1
+        if bound * size >= 1 << 62:
+            _, column, size = _ranks(column)
+            size += 1
+        keys = keys * size + column
+        bound *= size
+    return keys
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of positive numbers by the difference cover {1, 2} modulo 3."""
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), dtype=np.int64)
-    size = int(s.max()) + 1
-    if size > 2_000_000:
-        s = _names(s)[1]
-        size = int(s.max()) + 1
     t = np.concatenate([s, np.zeros(3, dtype=np.int64)])
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sampled = np.concatenate([one, two])
-    order, rank, names = _names((t[sampled] * size + t[sampled + 1]) * size + t[sampled + 2])
+    order, rank, names = _ranks(_packed(t[sampled], t[sampled + 1], t[sampled + 2]))
     if names < len(sampled):
         # Recurse on the names: first those of the positions 1 mod 3, then those of 2 mod 3.
         order = suffix_array(rank)
@@ -132,14 +145,15 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     at[sampled] = rank
     ordered = sampled[order]
     ordered = ordered[ordered < n]
-    big = len(sampled) + 2
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(t[zero] * big + at[zero + 1], kind="stable")]
+    zero = zero[np.argsort(_packed(t[zero], at[zero + 1]), kind="stable")]
     # Merge: a remaining suffix is compared with a sampled one by one character and a rank, or by two and a rank.
-    one, two = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
-    below = np.searchsorted(t[one] * big + at[one + 1], t[zero] * big + at[zero + 1])
-    pair = lambda i: (t[i] * size + t[i + 1]) * big + at[i + 2]
-    below += np.searchsorted(pair(two), pair(zero))
+    below = np.zeros(len(zero), dtype=np.int64)
+    for rest, width in ((1, 1), (2, 2)):
+        some = ordered[ordered % 3 == rest]
+        both = np.concatenate([some, zero])
+        place = _packed(*(t[both + k] for k in range(width)), at[both + width])
+        below += np.searchsorted(place[: len(some)], place[len(some) :])
     out = np.empty(n, dtype=np.int64)
     place = below + np.arange(len(zero))
     out[place] = zero
@@ -276,11 +290,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk:
     mixed = repeats.filter("mixed").drop("mixed")
     one = F.min(F.struct("row", "start", "n")).alias("x")
     classes = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), one)
-    classes = materialise(classes.select("h", "c", (F.col("times") == 1).alias("single"), "x.*", F.sum(F.col("x.n") + length).over(Window.partitionBy("h")).alias("bytes"), F.max(F.col("times") == 1).over(Window.partitionBy("h")).alias("open")))
+    classes = materialise(classes.select("h", "c", (F.col("times") == 1).alias("single"), "x.*"))
+    # Anchors all of whose contexts are repeated need no sort; sums come from partial sums, never from one task's window.
+    anchors = materialise(classes.groupBy("h").agg(F.sum(F.col("n") + length).alias("bytes"), F.max("single").alias("open")).filter("open"))
     copies = mixed.join(classes.filter("not single").select("h", "c"), ["h", "c"], "left_semi").select("row", "start", stop)
 
-    wanted = classes.filter("open").select("row", F.struct("h", "single", "start", "n").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    big = classes.filter(F.col("open") & (F.col("bytes") > heavy)).select("h").distinct()
+    wanted = classes.join(anchors.select("h"), "h", "left_semi").select("row", F.struct("h", "single", "start", "n").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
+    big = anchors.filter(F.col("bytes") > heavy).select("h")
     cut = _cut(docs.join(wanted, "row").select("row", "t", "wanted"), length)
     if big.isEmpty():
         return plain.unionByName(copies).unionByName(_sorted_parts(cut.repartition("h").sortWithinPartitions("h"), length, chunk))

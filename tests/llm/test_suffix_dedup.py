@@ -34,6 +34,34 @@ def test_suffix_arrays(seed):
     assert S.suffix_array(big).tolist() == sorted(range(40), key=lambda i: big[i:].tolist())
 
 
+def test_suffix_array_of_more_names_than_packed_keys_hold():
+    # Over two million names at a level of the recursion: three of them do not fit into 63 bits.
+    rng = np.random.default_rng(7)
+    s = rng.integers(1, 27, 6_000_000).astype(np.int64)
+    s[4_000_000:] = s[:2_000_000]
+    order = S.suffix_array(s)
+    assert np.array_equal(np.sort(order), np.arange(len(s)))
+    place = np.empty(len(s) + 1, dtype=np.int64)
+    place[order] = np.arange(1, len(s) + 1)
+    place[len(s)] = 0
+    # Neighbours in order differ by a smaller first number, or by the same and a smaller rest.
+    a, b = order[:-1], order[1:]
+    assert ((s[a] < s[b]) | (s[a] == s[b]) & (place[a + 1] < place[b + 1])).all()
+
+
+def test_one_line_in_many_surroundings(spark, tmp_path):
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(100))
+    words = ["".join(rng.choice("klmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(50_000)]
+    around = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, around(15) + line + around(15), "", 0) for i in range(25_000)]
+    rows += [(30_000 + i, "-" * i + rows[i][1], "", 0) for i in range(3)]
+    spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in S.remove_repeats(spark.read.parquet(str(tmp_path / "d"))).filter("n_removed > 0").collect()}
+    want = {k: (len(rows[i][1]) + (k >= 30_000) * i, len(rows[i][1])) for i in range(3) for k in (i, 30_000 + i)}
+    assert got == want
+
+
 def texts(seed):
     rng = random.Random(seed)
     passage = ["".join(rng.choice("abé d\0") for _ in range(rng.choice([30, 60, 200, 500]))) for _ in range(12)]
