@@ -7,7 +7,10 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,54 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def place_of(docs: DataFrame) -> Column:
+    """The place of a row of files: a hash of the file's path, and the row's number in it.  The same in every scan."""
+    file = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(file["file_path"]).alias("file"), file["row_index"].alias("row"))
+
+
+def from_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows have places in files, else a written copy of it."""
+    try:
+        docs.select(place_of(docs)).schema
+        return docs
+    except AnalysisException:
+        return materialise(docs)
+
+
+#: Rows up to which the small side of a join (two numbers a row) is broadcast: some 50 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (materialised, narrow), which is broadcast if its counted rows allow it."""
+    small = right.count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if small else right, on, how)
+
+
+class Hashes(dict):
+    """64-bit hashes of words, none of them 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word) or 1
+        return h
+
+    def trim(self, most: int = 500_000) -> None:
+        if len(self) > most:
+            self.clear()  # only a cache
+
+
+def mix(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of several columns of such."""
+    h = np.full(len(columns[0]), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for x in columns:
+        h = (h ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it and wherever the plan moves it."""
     return F.element_at(F.transform(F.array(value), body), 1)

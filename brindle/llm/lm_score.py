@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import byte_texts, crc_bucket, materialise, small_batches
+from brindle.llm.common import byte_texts, crc_bucket, materialise, mix, small_batches
 
 #: Pairs and triples of fewer occurrences are no arcs.
 LEAST = 2
@@ -99,7 +99,7 @@ class BackoffAutomaton:
 # ---- the automaton as a table ------------------------------------------------------------------------------------------
 
 #: Tokens of the texts that one task holds at once (a text is never cut), and n-grams that one task counts at once.
-CHUNK, BUCKET = 1 << 21, 1 << 20
+CHUNK, BUCKET = 1 << 20, 1 << 20
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -122,17 +122,6 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
-def _mix(*columns: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the words' hashes."""
-    h = np.full(len(columns[0]), 0x9E3779B97F4A7C15, dtype=np.uint64)
-    for x in columns:
-        h = (h ^ x) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-    return h
-
-
 class _Numbers(dict):
     """Numbers words in the order in which they come."""
 
@@ -200,7 +189,7 @@ class _Grams:
             self.keys, self.of = words[by_hash], rank[seq]
         else:
             at = np.flatnonzero(behind >= order - 1)
-            found = _mix(*(words[seq[at - k]] for k in range(order - 1, -1, -1)))
+            found = mix(*(words[seq[at - k]] for k in range(order - 1, -1, -1)))
             self.keys, start, places = np.unique(found, return_index=True, return_inverse=True)
             self.start = at[start]
             self.of = np.full(len(seq), -1, dtype=np.int64)
@@ -231,7 +220,7 @@ def _asks(chunk: int, keys: np.ndarray, amounts: list[np.ndarray], bits: int) ->
     })
 
 
-def _totals(asks: DataFrame, least: int) -> DataFrame:
+def _totals(asks: DataFrame, bits: int, least: int) -> DataFrame:
     """Per chunk and bucket, in the order of the keys asked: the sum of each amount over all chunks, the first one zero where
     below ``least``, and 1 for the one chunk that leads a key.  ``seen``: keys of the bucket whose first sum is above zero."""
 
@@ -251,7 +240,12 @@ def _totals(asks: DataFrame, least: int) -> DataFrame:
             "totals": pa.array([[_pack(x[a:b]) for x in found] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.binary())),
         })
 
-    return asks.groupBy("bucket").applyInArrow(run, ANSWERS)
+    return asks.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(run, ANSWERS)
+
+
+def _meet(chunks: DataFrame, answers: DataFrame, tasks: int):
+    """Each chunk with its answers; there are as many tasks as chunks, so a task's share does not grow with the input."""
+    return chunks.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
 
 
 def _read(answers: pa.Table, size: int) -> list[np.ndarray]:
@@ -268,10 +262,10 @@ def count_longest(chunks: DataFrame, bits: int) -> DataFrame:
             grams = _Grams(3, *_parts(batch))
             yield from _asks(batch.column("chunk")[0].as_py(), grams.keys, [grams.n], bits).to_batches()
 
-    return _totals(chunks.mapInArrow(run, ASKS), LEAST)
+    return _totals(chunks.mapInArrow(run, ASKS), bits, LEAST)
 
 
-def count_shorter(chunks: DataFrame, order: int, longer: DataFrame, bits: int, least: int) -> DataFrame:
+def count_shorter(chunks: DataFrame, order: int, longer: DataFrame, tasks: int, bits: int, least: int) -> DataFrame:
     """Answers for the n-grams of ``order``: n, and of the arcs that leave them as states their occurrences and number, lead.
 
     ``longer``: the answers for the next order; an arc is reported by the one chunk that leads it.
@@ -286,10 +280,10 @@ def count_shorter(chunks: DataFrame, order: int, longer: DataFrame, bits: int, l
         uses = np.bincount(state, weights=n, minlength=len(grams.keys)).astype(np.int64)
         return _asks(chunk.column("chunk")[0].as_py(), grams.keys, [grams.n, uses, np.bincount(state, minlength=len(grams.keys))], bits)
 
-    return _totals(chunks.groupBy("chunk").cogroup(longer.groupBy("chunk")).applyInArrow(run, ASKS), least)
+    return _totals(_meet(chunks, longer, tasks).applyInArrow(run, ASKS), bits, least)
 
 
-def _walk(chunks: DataFrame, answers: DataFrame, floor: float) -> DataFrame:
+def _walk(chunks: DataFrame, answers: DataFrame, tasks: int, floor: float) -> DataFrame:
     """doc_id, aside, n_tokens, n_known, base_score and score of every text; ``answers``: those of all orders (``order``).
 
     A chunk gets the states, arcs and failure arcs that its texts pass.  A token's weight is that of its arc and of the failure
@@ -322,7 +316,7 @@ def _walk(chunks: DataFrame, answers: DataFrame, floor: float) -> DataFrame:
 
     fields = "aside boolean, n_tokens long, n_known long, base_score double, score double"
     schema = T.StructType([T.StructField("doc_id", chunks.schema["doc_ids"].dataType.elementType), *T.DataType.fromDDL(fields).fields])
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return _meet(chunks, answers, tasks).applyInArrow(run, schema)
 
 
 def score_texts(docs: DataFrame, held_out_buckets: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK, bucket_grams: int = BUCKET) -> DataFrame:
@@ -330,12 +324,13 @@ def score_texts(docs: DataFrame, held_out_buckets: int = 5, held_out: int = 1, i
     aside = F.coalesce(crc_bucket(F.col("doc_id"), held_out_buckets) == held_out, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     chunks = materialise(chunks_of(rows.withColumn("aside", aside), chunk_tokens))
-    sums = chunks.agg(F.sum("tokens").alias("all"), F.sum("trained").alias("n")).first()
+    sums = chunks.agg(F.sum("tokens").alias("all"), F.sum("trained").alias("n"), F.count(F.lit(1)).alias("chunks")).first()
+    tasks = max(1, sums["chunks"])
     bits = max(1, math.ceil(math.log2(max(sums["all"] or 0, 1) / bucket_grams)))
     triples = materialise(count_longest(chunks, bits))
-    pairs = materialise(count_shorter(chunks, 2, triples, bits, LEAST))
-    words = materialise(count_shorter(chunks, 1, pairs, bits, 1))
+    pairs = materialise(count_shorter(chunks, 2, triples, tasks, bits, LEAST))
+    words = materialise(count_shorter(chunks, 1, pairs, tasks, bits, 1))
     types, tokens = words.agg(F.sum("seen")).first()[0] or 0, sums["n"] or 0
     answers = [x.select("chunk", "bucket", "totals", F.lit(k).alias("order")) for k, x in ((1, words), (2, pairs), (3, triples))]
-    whole = _walk(chunks, answers[0].unionByName(answers[1]).unionByName(answers[2]), tokens + 0.5 * (types + 1))
+    whole = _walk(chunks, answers[0].unionByName(answers[1]).unionByName(answers[2]), tasks, tokens + 0.5 * (types + 1))
     return whole.select("doc_id", F.col("aside").alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
