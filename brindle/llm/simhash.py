@@ -323,18 +323,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
-    """The documents of the smallest id of every class, one row each, with all columns of ``docs``.
-
-    Rows are told apart by their place in ``docs``, which must be read from files (its partitions stay as they are).
-    """
-    place = fresh(docs, "_row")
-    numbered = docs.withColumn(place, F.monotonically_increasing_id())
-    rows = checkpoint(with_fingerprints(numbered.select(F.col(place).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), ["_row", "_id"], "_t"))
-    found = fingerprint_classes(rows.select("fp").distinct(), distance)
-    best = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best")
-    firsts = rows.groupBy("fp").agg(best)
-    kept = firsts.join(found, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
-    return numbered.join(kept.select(F.col("best._row").alias(place)), place, "left_semi").drop(place)

@@ -99,17 +99,6 @@ def test_thresholds_cover_the_pigeonhole():
     assert sum(t + 1 for t in chosen) == 5 and chosen[1] == 2
 
 
-def test_one_of_each(spark, tmp_path):
-    rows = [(5, "a b c d e f", "x", "q"), (5, "a b c d e f", "x", "q"), (2, "A b c d e f", "y", "q"), (7, "other words are here", None, "q"), (None, "other words are here", None, "q"), (None, None, None, None)]
-    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    odd = docs.withColumnsRenamed({"lang": "_row", "fp": "_text"})
-    assert sorted(S.one_of_each(odd).collect(), key=str) == sorted(S.one_of_each(docs).collect(), key=str)
-    kept = S.one_of_each(docs)
-    assert kept.columns == ["doc_id", "text", "lang", "fp"]
-    assert sorted(kept.collect(), key=str) == sorted([(2, "A b c d e f", "y", "q"), (7, "other words are here", None, "q"), (None, None, None, None)], key=str)
-
-
 def test_empty_table(spark):
     assert S.simhash_components(spark.createDataFrame([], DOCS)).count() == 0
 
