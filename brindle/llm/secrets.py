@@ -1,16 +1,20 @@
 """Secret scans with DataFrame functions only: fixed patterns, plus tokens that look random to two Markov models.
 
-Two character bigram models, of random strings and of ordinary identifiers, are fitted on labelled samples; a token's
-score is the mean log-likelihood ratio of its character pairs.  Tokens above the threshold that overlap no pattern match
-are added as kind ``random``.
+Two character bigram models, of random strings and of ordinary identifiers, words and numbers, are fitted on labelled samples;
+a token's score is the mean log-likelihood ratio of its character pairs.  A token is a run of 20 or more characters of base64 or
+of an identifier, the length from which the mean is reliable.  Tokens above the threshold that overlap no pattern match are
+added as kind ``random``.
 
 Positions are code points, the end exclusive.  A null text counts as empty; every row is judged on its own, so repeated
-rows, null ids and extra columns need no care; an empty table gives an empty result.
+rows, null ids and extra columns need no care; spans of one start sort by kind; an empty table gives an empty result.  Work on a
+very long text grows with its length and with the power 1.5 of its matches (sums and overlaps go by blocks of about the square
+root of their number).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +32,14 @@ KINDS = (
 QUICK = {"assign": ASSIGN + r"[A-Za-z0-9+/_.=-]{6}", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 #: hex runs shorter than 24 are dropped, so only the long ones need be found (a run is matched whole).
 FAST = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}"}
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: A token without a digit or without a letter is no candidate; what is left goes to the models.  Tokens are looked at from
-#: their start only, so a long one costs one pass.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])" + TOKEN
+#: Tokens are looked at from their start only, so a long one costs one pass; the models judge each.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 
-#: Spans sort by start, then by the kind's place in KINDS.
-SPANS = "array<struct<start:int,o:int,stop:int,kind:string,i:int>>"
+#: Spans sort by start, then by the kind's place in KINDS; ``body`` is the matched text.
+SPANS = "array<struct<start:int,o:int,stop:int,kind:string,i:int,body:string>>"
 CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 #: Mean log-likelihood ratio (nats a character pair) from which a token counts as random.
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 
 # Parts of ordinary identifiers, joined in the usual ways to form the labelled samples.
 PARTS = (
@@ -48,9 +50,10 @@ PARTS = (
 
 
 def labelled_samples(spark: SparkSession, random_rows: int = 2000) -> DataFrame:
-    """(text, random): strings drawn by hashing numbers, and identifiers joined from ``PARTS``.
+    """(text, random): strings drawn by hashing numbers, and identifiers joined from ``PARTS``, long numbers, and rules of one
+    character.
 
-    The bound: ``random_rows`` times three random strings, and at most four styles of every pair of parts with numbers.
+    The bound: ``random_rows`` times three random strings and one number, seven styles of every part, one rule a character.
     """
     n = spark.range(random_rows)
     seed = F.concat(F.lit("sample"), F.col("id").cast("string"))
@@ -73,7 +76,9 @@ def labelled_samples(spark: SparkSession, random_rows: int = 2000) -> DataFrame:
         F.concat("p", "q", "r", "p"),
         F.concat(F.lit("2024-01-"), F.lpad((F.col("i") % 28).cast("string"), 2, "0"), F.lit("_"), F.col("p"), F.lit("_v"), F.col("i").cast("string")),
     )
-    return random.unionByName(three.select(F.explode(styles).alias("text"), F.lit(False).alias("random")))
+    numbers = n.select(F.translate(F.substring(F.sha2(seed, 256), 1, 24), "abcdef", "012345").alias("text"), F.lit(False).alias("random"))
+    rules = spark.range(1).select(F.explode(F.transform(F.array(*map(F.lit, CLASSES)), lambda c: F.repeat(c, F.lit(24)))).alias("text"), F.lit(False).alias("random"))
+    return random.unionByName(three.select(F.explode(styles).alias("text"), F.lit(False).alias("random"))).unionByName(numbers).unionByName(rules)
 
 
 def fit(samples: DataFrame) -> list[float]:
@@ -95,20 +100,42 @@ def fit(samples: DataFrame) -> list[float]:
     return [a - b for a, b in zip(rows[True], rows[False])]
 
 
+def _root(size: Column) -> Column:
+    return F.ceil(F.sqrt(size)).cast("int") + 1
+
+
+def _before(values: Column, fold: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """The sum (or another fold) of the numbers before each, by those of blocks of about the square root of their number."""
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), fold)
+
+    def by_blocks(width: Column) -> Column:
+        def within(befores: Column) -> Column:
+            at = F.sequence(F.lit(0), F.size(values) - 1)
+            return F.transform(at, lambda i: fold(F.get(befores, F.floor(i / width).cast("int")), total(F.slice(values, F.floor(i / width).cast("int") * width + 1, i % width))))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int"))
+        sums = F.transform(blocks, lambda k: total(F.slice(values, k * width + 1, width)))
+        return let(sums, lambda own: let(F.transform(blocks, lambda k: total(F.slice(own, F.lit(1), k))), within))
+
+    return let(_root(F.size(values)), by_blocks)
+
+
 def _spans(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
     """Spans of the matches of ``pattern`` whose group is long enough: the text is cut at the matches and lengths add up."""
 
     def place(found: Column) -> Column:
         def run(pieces: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(pieces, i))
-                end = start + F.length(F.get(found, i))
-                span = F.struct(start.alias("start"), F.lit(order).alias("o"), end.alias("stop"), F.lit(kind).alias("kind"), i.alias("i"))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+            def spans(befores: Column) -> Column:
+                def one(i: Column) -> Column:
+                    start = F.get(befores, i) + F.length(F.get(pieces, i))
+                    body = F.get(found, i)
+                    return F.struct(start.alias("start"), F.lit(order).alias("o"), (start + F.length(body)).alias("stop"), F.lit(kind).alias("kind"), i.alias("i"), body.alias("body"))
 
-            none = F.array().cast(SPANS)
-            walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
-            return walked["out"]
+                return F.transform(F.sequence(F.lit(0), F.size(found) - 1), one)
+
+            return let(let(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m)), lambda sizes: _before(sizes)), spans)
 
         return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(let(F.split(text, pattern, -1), run))
 
@@ -138,13 +165,28 @@ def _score(token: Column, ratios: Column) -> Column:
     return let(F.transform(F.split(token, ""), _class), total)
 
 
+def _overlaps(base: Column, spans: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``base`` (sorted): first by the reach of blocks of ``base``, then one by one."""
+
+    def by_blocks(width: Column) -> Column:
+        def block(k: Column) -> Column:
+            own = F.slice(base, k * width + 1, width)
+            return let(own, lambda x: F.struct(F.get(x, F.lit(0))["start"].alias("low"), F.array_max(F.transform(x, lambda b: b["stop"])).alias("high"), x.alias("own")))
+
+        def free(blocks: Column) -> Column:
+            meets = lambda s, a, b: (a < s["stop"]) & (s["start"] < b)
+            return F.filter(spans, lambda s: ~F.exists(blocks, lambda k: meets(s, k["low"], k["high"]) & F.exists(k["own"], lambda b: meets(s, b["start"], b["stop"]))))
+
+        return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(base) - 1) / width).cast("int")), block), free)
+
+    return F.when(F.size(base) == 0, spans).otherwise(let(_root(F.size(base)), by_blocks))
+
+
 def random_spans(text: Column, base: Column, ratios: Column, threshold: float = THRESHOLD) -> Column:
     """Spans of random-looking tokens that overlap none of ``base``."""
     none = F.array().cast(SPANS)
-    tokens = _spans(text, CANDIDATE, 0, 20, "random", len(KINDS))
-    free = F.filter(tokens, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    judged = F.filter(free, lambda s: _score(text.substr(s["start"] + 1, s["stop"] - s["start"]), ratios) > threshold)
-    return F.when(text.rlike(CANDIDATE), judged).otherwise(none)
+    free = let(_spans(text, CANDIDATE, 0, 20, "random", len(KINDS)), lambda tokens: _overlaps(base, tokens))
+    return F.when(text.rlike(CANDIDATE), F.filter(free, lambda s: _score(s["body"], ratios) > threshold)).otherwise(none)
 
 
 def find_secrets(text: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
@@ -181,14 +223,21 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     text = F.col(text_col)
 
     def rebuild(spans: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            cut = s["start"] >= acc["at"]
-            piece = F.when(cut, F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
-            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        walked = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
-        return F.when(F.size(spans) == 0, text).otherwise(walked)
+        """The pieces between the spans, and a mask for each run of spans that overlap."""
+        at = F.sequence(F.lit(0), F.size(spans) - 1)
+
+        def masked(before: Column) -> Column:
+            """``before``: how far the spans before each reach."""
+
+            def piece(i: Column) -> Column:
+                start, end = F.get(spans, i)["start"], F.get(before, i)
+                return F.when((start >= end) | (i == 0), F.concat(text.substr(end + 1, start - end), F.lit(mask))).otherwise("")
+
+            rest = F.greatest(F.get(before, F.size(before) - 1), F.get(spans, F.size(spans) - 1)["stop"])
+            return F.concat(F.array_join(F.transform(at, piece), ""), text.substr(rest + 1, F.length(text)))
+
+        reach = let(F.transform(spans, lambda s: s["stop"]), lambda stops: _before(stops, lambda a, b: F.greatest(a, b)))
+        return F.when(F.size(spans) == 0, text).otherwise(let(reach, masked))
 
     out = docs.withColumn(text_col, let(find_secrets(text, ratios, threshold)["all"], rebuild))
     if chars_col and chars_col in docs.columns:
