@@ -9,7 +9,9 @@ vectors are computed in blocks, and the ``neighbours`` nearest labels vote with
 Null and empty texts, and all scores where no neighbour is similar at all, get the share of label 1.  Labels of rows whose
 crc32 bucket is the held-out one are never read; a null id is not held out.  Null labels are ignored.  Repeated documents
 get their own rows; repeated labels vote once per label and id.  Without labels the score is 0.5.  Only the id and the
-text of a document are read.
+text of a document are read.  Neighbours as near as the last one that votes vote too, so ties need no order; of labelled
+documents of one id that of the smallest hash counts, so reruns agree.  An empty table gives an empty result.  A very long text is
+one row of a task, some 20 bytes a byte of it.
 """
 
 from __future__ import annotations
@@ -102,10 +104,13 @@ class Neighbours:
         for at in range(0, len(texts), block):
             latent = self._unit(np.stack([terms(t) for t in texts[at : at + block]]) @ self.project)
             cosines = latent @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** self.power
-            sums = weights.sum(axis=1)
-            voted = (weights * self.labels[near]).sum(axis=1) / np.maximum(sums, 1e-12)
+            # All that are as near as the k-th vote, so ties need no order.  Rounded, cosines do not depend on their block.
+            cosines = np.round(cosines, 5)
+            least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, -k]
+            row, near = np.nonzero(cosines >= least[:, None])
+            weights = np.maximum(cosines[row, near].astype(float), 0) ** self.power
+            sums = np.bincount(row, weights=weights, minlength=len(latent))
+            voted = np.bincount(row, weights=weights * self.labels[near], minlength=len(latent)) / np.maximum(sums, 1e-12)
             out[at : at + block] = np.where(sums > 1e-9, voted, self.prior)
         return np.clip(out, 0.0, 1.0)
 
@@ -124,7 +129,7 @@ def labelled_rows(docs: DataFrame, chosen: list[tuple], id_type: T.DataType) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", buckets: int = 4, held_out: int = 2, max_labelled: int = MAX_LABELLED, **model) -> Neighbours:
-    """``docs``: doc_id, t.  The collected vectors are bounded by ``max_labelled`` (of documents, the first of each id)."""
+    """``docs``: doc_id, t.  The collected vectors are bounded by ``max_labelled`` (of documents of one id, that of the smallest hash)."""
     chosen = labelled_ids(labels, label_col, buckets, held_out, max_labelled)
     rows = labelled_rows(docs, chosen, labels.schema["doc_id"].dataType)
 
@@ -133,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", buckets:
             vectors = [terms(t).astype(np.float16).tobytes() for t in byte_texts(batch, "t")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(vectors, pa.binary())], names=["label", "v"])
 
-    found = rows.dropDuplicates(["doc_id", "label"]).select("label", "t").mapInArrow(run, "label int, v binary").orderBy(F.xxhash64("v")).collect()
+    found = rows.groupBy("doc_id", "label").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")).select("label", "t").mapInArrow(run, "label int, v binary").orderBy(F.xxhash64("v")).collect()
     vectors = np.array([np.frombuffer(r["v"], dtype=np.float16) for r in found], dtype=np.float32).reshape(-1, TERMS)
     return Neighbours(vectors, np.array([r["label"] for r in found], dtype=float), **model)
 
