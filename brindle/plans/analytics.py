@@ -75,8 +75,8 @@ def select_model(errors: dict[str, float], simplest_first: tuple[str, ...], tole
 def fc04(spark: SparkSession, d: str) -> DataFrame:
     """Each candidate fitted on the first weeks and judged once on later ones, with a week's gap between."""
     frame = ds01(spark, d).filter("target_complete").withColumn("y", F.col("target_units_next_7d").cast("double"))
-    frame = frame.withColumns({c: F.col(c).cast("double") for c in ("lag_1", "lag_7", "rolling_mean_7d", "rolling_std_7d", "scheduled_price")})
-    train, test = frame.filter("d <= '1997-02-20'"), frame.filter("d >= '1997-03-01'")
+    frame = frame.withColumns({c: F.col(c).cast("double") for c in ("lag_1", "lag_7", "rolling_mean_7d", "rolling_std_7d", "scheduled_price")}).persist()  # every iteration of a fit reads it
+    train, test = frame.filter(F.col("d") <= roles.split_day(spark, d, 0.7)), frame.filter(F.col("d") > F.date_add(F.lit(roles.split_day(spark, d, 0.7)).cast("date"), 7))
     out = None
     for name, pipeline in forecast_models(frame).items():
         scored = pipeline.fit(train).transform(test).withColumn("p", F.greatest("p", F.lit(0.0)))
@@ -148,7 +148,7 @@ def so06(spark: SparkSession, d: str) -> DataFrame:
     """A logistic model with balanced class weights, judged on later days."""
     frame = ds02(spark, d).filter("stockout_within_7d is not null and available > 0").withColumn("y", F.col("stockout_within_7d").cast("int"))
     frame = frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("available", "replenishment_sum_7d", "sales_velocity_7d")})
-    train, test = frame.filter("d <= '1997-02-15'"), frame.filter("d >= '1997-02-23'")
+    train, test = frame.filter(F.col("d") <= roles.split_day(spark, d, 0.7)), frame.filter(F.col("d") > F.date_add(F.lit(roles.split_day(spark, d, 0.7)).cast("date"), 7))
     n = train.groupBy("y").count().withColumn("weight", F.sum("count").over(Window.partitionBy()) / (2 * F.col("count"))).drop("count")
     vectors = VectorAssembler(inputCols=["available", "replenishment_sum_7d", "sales_velocity_7d"], outputCol="v")
     model = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=0.01).fit(vectors.transform(train.join(F.broadcast(n), "y")))
@@ -207,10 +207,10 @@ _FEATURES = ("revenue_30d", "units_30d", "active_skus_30d")
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
-    return ds03(spark, d).filter("snapshot_date = '1997-03-31'")
+    return ds03(spark, d).join(F.broadcast(roles.snapshots(spark, d).agg(F.max("snapshot_date").alias("snapshot_date"))), "snapshot_date")
 
 
-_LATEST_SQL = "latest AS (SELECT store_id, sum(net)::DOUBLE AS revenue_30d, sum(units)::BIGINT AS units_30d, count(DISTINCT sku_id) AS active_skus_30d FROM sales WHERE sale_date <= DATE '1997-03-31' AND sale_date > DATE '1997-03-01' GROUP BY 1)"
+_LATEST_SQL = "latest AS (SELECT store_id, sum(net)::DOUBLE AS revenue_30d, sum(units)::BIGINT AS units_30d, count(DISTINCT sku_id) AS active_skus_30d FROM sales, (SELECT max(last_day(l_shipdate::DATE)) AS s FROM lineitem WHERE last_day(l_shipdate::DATE) <= (SELECT max(l_shipdate::DATE) FROM lineitem)) WHERE sale_date <= s AND sale_date > s - 30 GROUP BY 1)"
 _SCALED_SQL = f"{_LATEST_SQL}, q AS (SELECT " + ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}" for c in _FEATURES) + " FROM latest), scaled AS (SELECT store_id, " + ", ".join(f"({c} - q_{c}[2]) / CASE WHEN q_{c}[3] = q_{c}[1] THEN 1.0 ELSE q_{c}[3] - q_{c}[1] END::DOUBLE AS {c}_scaled" for c in _FEATURES) + " FROM latest, q)"
 
 

@@ -107,9 +107,9 @@ for _name, _column in DIMENSIONS.items():
     _breakdown(_name, _column)
 
 
-@register("bi05_stock_by_warehouse", oracle("SELECT warehouse_id, sum(available)::BIGINT AS stock, count(*) FILTER (WHERE available <= 0) AS n_out FROM inventory WHERE d = DATE '1997-03-31' GROUP BY 1", "inventory"))
+@register("bi05_stock_by_warehouse", oracle("SELECT warehouse_id, sum(available)::BIGINT AS stock, count(*) FILTER (WHERE available <= 0) AS n_out FROM inventory WHERE d = (SELECT max(d) FROM inventory) GROUP BY 1", "inventory"))
 def bi05(spark: SparkSession, d: str) -> DataFrame:
-    return roles.inventory(spark, d).filter("d = '1997-03-31'").groupBy("warehouse_id").agg(F.sum("available").alias("stock"), F.count_if(F.col("available") <= 0).alias("n_out"))
+    return roles.inventory(spark, d).join(F.broadcast(roles.ends(spark, d).select(F.col("high").alias("d"))), "d").groupBy("warehouse_id").agg(F.sum("available").alias("stock"), F.count_if(F.col("available") <= 0).alias("n_out"))
 
 
 @register("bi06_revenue_share", oracle("SELECT category, sum(net)::DOUBLE AS revenue, round(sum(net)::DOUBLE / sum(sum(net)) OVER ()::DOUBLE, 9) AS share FROM sales GROUP BY 1", "sales"))

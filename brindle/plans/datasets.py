@@ -37,7 +37,7 @@ def forecasting(grid: DataFrame, prices: DataFrame, promotions: DataFrame) -> Da
     frame = frame.withColumn("target_complete", complete).withColumn("target_units_next_7d", F.when(complete, F.col("_next")))
     frame = validity_join(frame, prices, CELL, "d").withColumnRenamed("price", "scheduled_price").drop("valid_from", "valid_to")
     running = expand_days(promotions, F.col("start_date"), F.col("end_date"), "d").groupBy("d").agg(F.min("promotion_id").alias("scheduled_promotion_id"))
-    frame = frame.join(F.broadcast(running), "d", "left")  # at most one row a promoted day of the quarter
+    frame = frame.join(F.broadcast(running), "d", "left")  # at most one row a day of the calendar
     return frame.withColumn("scheduled_is_promo", F.col("scheduled_promotion_id").isNotNull()).drop("_next", "revenue", "is_promo")
 
 
@@ -62,7 +62,7 @@ WINDOW w AS (PARTITION BY g.cell_id, g.category ORDER BY g.d RANGE BETWEEN INTER
 
 @register("ds01_forecasting", oracle(FORECASTING_SQL, "grid", "prices", "promotions"))
 def ds01(spark: SparkSession, d: str) -> DataFrame:
-    return forecasting(roles.grid(spark, d), roles.prices(spark, d), roles.promotions(spark))
+    return forecasting(roles.grid(spark, d), roles.prices(spark, d), roles.promotions(spark, d))
 
 
 def stockout(inventory: DataFrame, reorder: int = REORDER_POINT, safety: int = SAFETY_STOCK, horizon: int = 7) -> DataFrame:
@@ -109,14 +109,11 @@ def ds02(spark: SparkSession, d: str) -> DataFrame:
     return stockout(roles.inventory(spark, d))
 
 
-SNAPSHOTS = ("1997-01-31", "1997-02-28", "1997-03-31")
-
-
-def segmentation(sales: DataFrame, snapshots: tuple[str, ...] = SNAPSHOTS) -> DataFrame:
-    """Thirty-day store features at each snapshot.  Each sale is listed under the snapshots that it counts for."""
-    dates = F.array(*[F.to_date(F.lit(s)) for s in snapshots])
-    counted = F.filter(dates, lambda s: (F.col("sale_date") <= s) & (F.col("sale_date") > F.date_add(s, -30)))
-    rows = sales.withColumn("snapshot_date", F.explode(counted))
+def segmentation(sales: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Thirty-day store features at each month end.  Each sale is listed under the snapshots that it counts for."""
+    near = F.array(F.last_day("sale_date"), F.last_day(F.add_months(F.trunc("sale_date", "month"), 1)))
+    rows = sales.withColumn("snapshot_date", F.explode(F.filter(near, lambda s: F.col("sale_date") > F.date_add(s, -30))))
+    rows = rows.join(F.broadcast(snapshots), "snapshot_date")  # one row a month
     daily = rows.groupBy("snapshot_date", "store_id", "region_id", "channel", "sale_date").agg(
         F.sum("net").alias("net"), F.sum("units").alias("units"), F.sum(F.when(F.col("is_promo"), F.col("units")).otherwise(0)).alias("promo_units"), F.collect_set("sku_id").alias("skus")
     )
@@ -129,8 +126,8 @@ def segmentation(sales: DataFrame, snapshots: tuple[str, ...] = SNAPSHOTS) -> Da
     )
 
 
-SEGMENTATION_SQL = f"""
-WITH snaps AS (SELECT unnest([{", ".join(f"DATE '{s}'" for s in SNAPSHOTS)}]) AS snapshot_date),
+SEGMENTATION_SQL = """
+WITH snaps AS (SELECT DISTINCT last_day(l_shipdate::DATE) AS snapshot_date FROM lineitem WHERE last_day(l_shipdate::DATE) <= (SELECT max(l_shipdate::DATE) FROM lineitem)),
 r AS (SELECT s.*, snapshot_date FROM sales s, snaps WHERE sale_date <= snapshot_date AND sale_date > snapshot_date - 30),
 v AS (SELECT snapshot_date, store_id, stddev_samp(net::DOUBLE) AS vol FROM (SELECT snapshot_date, store_id, sale_date, sum(net) AS net FROM r GROUP BY ALL) GROUP BY ALL)
 SELECT r.snapshot_date, r.store_id, region_id, channel, sum(net)::DOUBLE AS revenue_30d, sum(units)::BIGINT AS units_30d, count(DISTINCT sku_id) AS active_skus_30d,
@@ -142,7 +139,7 @@ FROM r JOIN v ON v.snapshot_date = r.snapshot_date AND v.store_id = r.store_id G
 
 @register("ds03_segmentation", oracle(SEGMENTATION_SQL, "sales"))
 def ds03(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation(roles.sales(spark, d))
+    return segmentation(roles.sales(spark, d), roles.snapshots(spark, d))
 
 
 @register("ds04_segment_assignment", oracle(SEGMENTATION_SQL, "sales"))
@@ -164,12 +161,11 @@ def anomaly(grid: DataFrame) -> DataFrame:
 
 ANOMALY_SQL = """
 WITH e AS (SELECT * FROM grid WHERE units > 0)
-SELECT e.d, e.cell_id, e.category, e.units AS event_units, floor(round(e.revenue * 10000) / e.units) / 10000::DOUBLE AS event_unit_price, e.is_promo AS event_is_promo,
-  a.units AS lag_1, b.units AS lag_7, round(avg(h.units), 6) AS rolling_mean_7d, round(stddev_samp(h.units), 6) AS rolling_std_7d
-FROM e LEFT JOIN e a ON a.cell_id = e.cell_id AND a.category = e.category AND a.d = e.d - 1
-LEFT JOIN e b ON b.cell_id = e.cell_id AND b.category = e.category AND b.d = e.d - 7
-LEFT JOIN e h ON h.cell_id = e.cell_id AND h.category = e.category AND h.d >= e.d - 7 AND h.d < e.d
-GROUP BY ALL
+SELECT d, cell_id, category, units AS event_units, floor(round(revenue * 10000) / units) / 10000::DOUBLE AS event_unit_price, is_promo AS event_is_promo,
+  max(units) OVER (PARTITION BY cell_id, category ORDER BY d RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS lag_1,
+  max(units) OVER (PARTITION BY cell_id, category ORDER BY d RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING) AS lag_7,
+  round(avg(units) OVER w, 6) AS rolling_mean_7d, round(stddev_samp(units) OVER w, 6) AS rolling_std_7d
+FROM e WINDOW w AS (PARTITION BY cell_id, category ORDER BY d RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)
 """
 
 
@@ -230,13 +226,13 @@ promo_daily AS (
   LEFT JOIN prices p ON p.cell_id = e.cell_id AND p.category = e.category AND e.calendar_date BETWEEN p.valid_from AND p.valid_to
   LEFT JOIN (SELECT a.promotion_id, c.d, string_agg(b.promotion_id::VARCHAR, ',' ORDER BY b.promotion_id) AS ids
              FROM promotions a JOIN promotions b ON a.promotion_id <> b.promotion_id AND a.promotion_id % 3 = b.promotion_id % 3
-             JOIN (SELECT unnest(generate_series(DATE '1996-10-01', DATE '1997-06-30', INTERVAL 1 DAY))::DATE AS d) c ON c.d BETWEEN b.start_date AND b.end_date GROUP BY ALL) o
+             JOIN (SELECT unnest(generate_series(min(start_date), max(end_date), INTERVAL 1 DAY))::DATE AS d FROM promotions) c ON c.d BETWEEN b.start_date AND b.end_date GROUP BY ALL) o
     ON o.promotion_id = e.promotion_id AND o.d = e.calendar_date)"""
 
 
 @register("ds07_promotion_daily", oracle(f"WITH {PROMOTION_DAILY_CTE} SELECT * FROM promo_daily", "grid", "prices", "promotions"))
 def ds07(spark: SparkSession, d: str) -> DataFrame:
-    return promotion_daily(roles.grid(spark, d), roles.prices(spark, d), roles.promotions(spark))
+    return promotion_daily(roles.grid(spark, d), roles.prices(spark, d), roles.promotions(spark, d))
 
 
 def promotion_performance(daily: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def pr01(spark: SparkSession, d: str) -> DataFrame:
 @register("pr05_baseline_sensitivity", oracle(f"WITH {PROMOTION_DAILY_CTE}, r AS (SELECT promotion_id, cell_id, category, avg(realized_units) FILTER (WHERE period = 'DURING') AS during, avg(realized_units) FILTER (WHERE period = 'PRE') AS pre, avg(realized_units) FILTER (WHERE period = 'PRE' AND date_diff('day', calendar_date, s.start_date) <= 7) AS pre7 FROM promo_daily JOIN promotions s USING (promotion_id) WHERE is_observable GROUP BY ALL) SELECT promotion_id, count(*) AS n, count(*) FILTER (WHERE sign(during - pre) = sign(during - pre7)) AS n_same_sign, round(avg(abs(pre - pre7)), 6) AS mean_shift FROM r WHERE pre IS NOT NULL AND pre7 IS NOT NULL GROUP BY 1", "grid", "prices", "promotions"))
 def pr05(spark: SparkSession, d: str) -> DataFrame:
     """Do effects keep their sign against a shorter baseline?"""
-    daily = ds07(spark, d).filter("is_observable").join(F.broadcast(roles.promotions(spark).select("promotion_id", "start_date")), "promotion_id")
+    daily = ds07(spark, d).filter("is_observable").join(F.broadcast(roles.promotions(spark, d).select("promotion_id", "start_date")), "promotion_id")
     u, pre = F.col("realized_units"), F.col("period") == "PRE"
     near = pre & (F.datediff("start_date", "calendar_date") <= 7)
     r = daily.groupBy("promotion_id", *CELL).agg(F.avg(F.when(F.col("period") == "DURING", u)).alias("during"), F.avg(F.when(pre, u)).alias("pre"), F.avg(F.when(near, u)).alias("pre7")).filter("pre is not null and pre7 is not null")

@@ -35,7 +35,7 @@ def dim_warehouse(spark: SparkSession, d: str) -> DataFrame:
 
 @register("m_dim_promotion", oracle("SELECT promotion_id AS promotion_key, * FROM promotions", "promotions"))
 def dim_promotion(spark: SparkSession, d: str) -> DataFrame:
-    return roles.promotions(spark).select(F.col("promotion_id").alias("promotion_key"), "*")
+    return roles.promotions(spark, d).select(F.col("promotion_id").alias("promotion_key"), "*")
 
 
 @register("m_fact_orders", "SELECT o_orderkey, o_custkey, o_orderdate::DATE AS order_date, o_orderstatus, o_totalprice::DECIMAL(18,2)::DOUBLE AS total FROM orders")

@@ -34,7 +34,9 @@ def rows() -> Column:
     return F.count(F.lit(1))
 
 
-LAST = "1997-03-31"
+def last_day(stock: DataFrame) -> DataFrame:
+    """The stock of the last day, a one-row aggregate."""
+    return stock.join(F.broadcast(stock.agg(F.max("d").alias("d"))), "d")
 
 
 # ---- the ten smoke queries
@@ -47,7 +49,7 @@ panel("bi05_price_history", "prices", lambda p: p.filter("cell_id = 3 and catego
 panel("bi05_inventory_history", "inventory", lambda i: i.filter("warehouse_id = 1 and category = 'PROMO'").select("d", "available", "change").orderBy("d"), "SELECT d, available, change FROM inventory WHERE warehouse_id = 1 AND category = 'PROMO' ORDER BY 1")
 panel("bi05_basket_contents", "sales", lambda s: s.filter("order_id <= 20").groupBy("order_id", "sku_id", "brand").agg(total("units", "quantity")), "SELECT order_id, sku_id, brand, sum(units)::BIGINT AS quantity FROM sales WHERE order_id <= 20 GROUP BY ALL")
 panel("bi05_average_basket", "sales", lambda s: s.groupBy("order_id").agg(F.count_distinct("sku_id").alias("n")).agg(F.round(F.avg("n"), 6).alias("mean_skus")), "SELECT round(avg(n), 6) AS mean_skus FROM (SELECT count(DISTINCT sku_id) AS n FROM sales GROUP BY order_id)")
-panel("bi05_low_stock", "inventory", lambda i: i.filter(f"d = '{LAST}' and available <= {roles.REORDER_POINT}").select("warehouse_id", "category", "available").orderBy("available", "warehouse_id", "category"), f"SELECT warehouse_id, category, available FROM inventory WHERE d = DATE '{LAST}' AND available <= {roles.REORDER_POINT}")
+panel("bi05_low_stock", "inventory", lambda i: last_day(i).filter(f"available <= {roles.REORDER_POINT}").select("warehouse_id", "category", "available").orderBy("available", "warehouse_id", "category"), f"SELECT warehouse_id, category, available FROM inventory WHERE d = (SELECT max(d) FROM inventory) AND available <= {roles.REORDER_POINT}")
 
 # ---- business panels
 panel("bi06_kpi_totals", "sales", lambda s: s.agg(money("gross", "gross_revenue"), total("units", "units"), rows().alias("n_sales"), F.count_distinct("store_id").alias("n_stores")), "SELECT sum(gross)::DOUBLE AS gross_revenue, sum(units)::BIGINT AS units, count(*) AS n_sales, count(DISTINCT store_id) AS n_stores FROM sales")
@@ -56,7 +58,7 @@ panel("bi06_revenue_by_region", "sales", lambda s: s.groupBy("region_name").agg(
 panel("bi06_store_table", "sales", lambda s: s.groupBy("store_id", "region_name", "channel").agg(total("units", "units"), money("gross", "revenue"), F.count_distinct("sale_date").alias("n_days")), "SELECT store_id, region_name, channel, sum(units)::BIGINT AS units, sum(gross)::DOUBLE AS revenue, count(DISTINCT sale_date) AS n_days FROM sales GROUP BY ALL")
 panel("bi06_sku_labels", "sales", lambda s: s.groupBy(F.concat(F.col("brand"), F.lit(" [SKU "), F.col("sku_id").cast("string"), F.lit("]")).alias("sku_label")).agg(money("gross", "revenue")).orderBy(F.desc("revenue"), "sku_label").limit(10), "SELECT brand || ' [SKU ' || sku_id || ']' AS sku_label, sum(gross)::DOUBLE AS revenue FROM sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 panel("bi06_latest_sales", "sales", lambda s: s.select(F.date_format("sale_date", "yyyy-MM-dd").alias("day"), "order_id", "line_number", "sku_id", "store_id", "units", F.col("gross").cast("double").alias("gross")).orderBy(F.desc("day"), "order_id", "line_number", "sku_id", "gross").limit(50), "SELECT strftime(sale_date, '%Y-%m-%d') AS day, order_id, line_number, sku_id, store_id, units, gross::DOUBLE AS gross FROM sales ORDER BY day DESC, order_id, line_number, sku_id, gross LIMIT 50")
-panel("bi06_stock_by_category", "inventory", lambda i: i.filter(f"d = '{LAST}'").groupBy("category").agg(total("available", "units")), f"SELECT category, sum(available)::BIGINT AS units FROM inventory WHERE d = DATE '{LAST}' GROUP BY 1")
+panel("bi06_stock_by_category", "inventory", lambda i: last_day(i).groupBy("category").agg(total("available", "units")), f"SELECT category, sum(available)::BIGINT AS units FROM inventory WHERE d = (SELECT max(d) FROM inventory) GROUP BY 1")
 panel("bi06_stock_counts", "inventory", lambda i: i.agg(F.count_distinct("warehouse_id").alias("n_warehouses"), F.count_distinct("category").alias("n_skus"), F.count_if(F.col("available") < 5).alias("n_low_rows")), "SELECT count(DISTINCT warehouse_id) AS n_warehouses, count(DISTINCT category) AS n_skus, count(*) FILTER (WHERE available < 5) AS n_low_rows FROM inventory")
 panel("bi06_stock_series", "inventory", lambda i: i.groupBy("d").agg(total("available", "units"), F.count_if(F.col("available") <= 0).alias("n_out")), "SELECT d, sum(available)::BIGINT AS units, count(*) FILTER (WHERE available <= 0) AS n_out FROM inventory GROUP BY 1")
 

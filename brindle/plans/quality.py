@@ -39,7 +39,7 @@ def q04(spark: SparkSession, d: str) -> DataFrame:
 
     before = F.lag("available").over(Window.partitionBy("warehouse_id", "category").orderBy("d"))
     later = F.lead("valid_from").over(Window.partitionBy("cell_id", "category").orderBy("valid_from"))
-    whole = roles.calendar(spark).agg(F.count(F.lit(1)).alias("a")).crossJoin(t("nation").agg(F.count(F.lit(1)).alias("b"))).crossJoin(t("part").agg(F.count_distinct("p_type").alias("c")))  # one row each
+    whole = roles.calendar(spark, d).agg(F.count(F.lit(1)).alias("a")).crossJoin(t("nation").agg(F.count(F.lit(1)).alias("b"))).crossJoin(t("part").agg(F.count_distinct("p_type").alias("c")))  # one row each
     parts = [
         n("line_order_missing", J.orphans(lines, orders, "l_orderkey", "o_orderkey")),
         n("line_part_missing", J.orphans(lines, t("part"), "l_partkey", "p_partkey")),

@@ -47,10 +47,10 @@ def pf06(spark, d):
     return roles.grid(spark, d).groupBy(*CELL).agg(F.count(F.lit(1)).alias("days"), F.when(F.count_if(F.col("units") > 0) >= 10, F.sum("units")).alias("units_if_active"))
 
 
-@register("pf09_split_between", oracle("SELECT CASE WHEN d BETWEEN DATE '1997-01-01' AND DATE '1997-02-15' THEN 'train' WHEN d BETWEEN DATE '1997-02-23' AND DATE '1997-03-10' THEN 'validation' WHEN d BETWEEN DATE '1997-03-18' AND DATE '1997-03-31' THEN 'test' ELSE 'embargo' END AS split, count(*) AS n, min(d) AS first_day, max(d) AS last_day FROM grid GROUP BY 1", "grid"))
+@register("pf09_split_between", oracle("SELECT CASE WHEN d BETWEEN DATE '1900-01-01' AND DATE '1999-06-30' THEN 'train' WHEN d BETWEEN DATE '1999-07-08' AND DATE '2000-06-30' THEN 'validation' WHEN d BETWEEN DATE '2000-07-08' AND DATE '9999-12-31' THEN 'test' ELSE 'embargo' END AS split, count(*) AS n, min(d) AS first_day, max(d) AS last_day FROM grid GROUP BY 1", "grid"))
 def pf09(spark, d):
     c = F.col("d")
-    split = F.when(c.between("1997-01-01", "1997-02-15"), "train").when(c.between("1997-02-23", "1997-03-10"), "validation").when(c.between("1997-03-18", "1997-03-31"), "test").otherwise("embargo")
+    split = F.when(c.between("1900-01-01", "1999-06-30"), "train").when(c.between("1999-07-08", "2000-06-30"), "validation").when(c.between("2000-07-08", "9999-12-31"), "test").otherwise("embargo")
     return roles.grid(spark, d).groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
 
 
@@ -155,16 +155,16 @@ def j11(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@register("j12_interval_overlaps", oracle("WITH x AS (SELECT cell_id, category, episode_start AS s, coalesce(recovery_date, DATE '1997-04-01') AS e, row_number() OVER (ORDER BY cell_id, category, episode_start) AS id FROM (SELECT warehouse_id AS cell_id, category, episode_start, recovery_date FROM (WITH %s SELECT * FROM episodes))) SELECT a.cell_id, a.id AS low_id, b.id AS high_id FROM x a JOIN x b ON a.cell_id = b.cell_id AND a.id < b.id AND a.s <= b.e AND b.s <= a.e" % EPISODES_CTE, "inventory"))
+@register("j12_interval_overlaps", oracle("WITH x AS (SELECT cell_id, category, episode_start AS s, coalesce(recovery_date, DATE '9999-12-31') AS e, row_number() OVER (ORDER BY cell_id, category, episode_start) AS id FROM (SELECT warehouse_id AS cell_id, category, episode_start, recovery_date FROM (WITH %s SELECT * FROM episodes))) SELECT a.cell_id, a.id AS low_id, b.id AS high_id FROM x a JOIN x b ON a.cell_id = b.cell_id AND a.id < b.id AND a.s <= b.e AND b.s <= a.e" % EPISODES_CTE, "inventory"))
 def j12(spark, d):
-    e = ds09(spark, d).select(F.col("warehouse_id").alias("cell_id"), "category", F.col("episode_start").alias("s"), F.coalesce("recovery_date", F.to_date(F.lit("1997-04-01"))).alias("e"))
+    e = ds09(spark, d).select(F.col("warehouse_id").alias("cell_id"), "category", F.col("episode_start").alias("s"), F.coalesce("recovery_date", F.to_date(F.lit("9999-12-31"))).alias("e"))
     numbered = e.withColumn("id", F.row_number().over(Window.orderBy("cell_id", "category", "s")))  # some dozen episodes
     return J.overlaps(numbered, ["cell_id"], "id", "s", "e")
 
 
 @register("j13_series_expand", oracle("SELECT promotion_id, unnest(generate_series(start_date - days::INT, end_date + days::INT, INTERVAL 1 DAY))::DATE AS calendar_date FROM promotions", "promotions"))
 def j13(spark, d):
-    return J.expand_days(roles.promotions(spark), F.expr("date_sub(start_date, days)"), F.expr("date_add(end_date, days)")).select("promotion_id", "calendar_date")
+    return J.expand_days(roles.promotions(spark, d), F.expr("date_sub(start_date, days)"), F.expr("date_add(end_date, days)")).select("promotion_id", "calendar_date")
 
 
 @register("j14_event_in_episode", oracle("WITH %s SELECT i.warehouse_id, i.category, i.d, e.episode_start, 'W' || i.warehouse_id || '_S' || i.category || '_' || strftime(e.episode_start, '%%Y%%m%%d') AS episode_id FROM inventory i JOIN episodes e ON e.warehouse_id = i.warehouse_id AND e.category = i.category AND e.episode_start <= i.d AND (e.recovery_date IS NULL OR i.d < e.recovery_date) WHERE i.available <= 0" % EPISODES_CTE, "inventory"))
@@ -219,9 +219,9 @@ def j20(spark, d):
 
 @register("j21_promotion_bridge", oracle("SELECT c.d, x.cell_id, min(promotion_id) AS promotion_id FROM calendar c JOIN promotions ON c.d BETWEEN start_date AND end_date JOIN (SELECT n_nationkey AS cell_id FROM nation) x ON x.cell_id % 3 = promotion_id % 3 GROUP BY ALL", "calendar", "promotions"))
 def j21(spark, d):
-    active = J.expand_days(roles.promotions(spark), F.col("start_date"), F.col("end_date"), "d").withColumn("m", F.col("promotion_id") % 3)
+    active = J.expand_days(roles.promotions(spark, d), F.col("start_date"), F.col("end_date"), "d").withColumn("m", F.col("promotion_id") % 3)
     cells = table(spark, d, "nation").select(F.col("n_nationkey").alias("cell_id"), (F.col("n_nationkey") % 3).alias("m"))
-    return active.filter(F.col("d").between(roles.GRID_START, roles.GRID_END)).join(cells, "m").groupBy("d", "cell_id").agg(F.min("promotion_id").alias("promotion_id"))
+    return active.join(F.broadcast(roles.calendar(spark, d)), "d", "left_semi").join(cells, "m").groupBy("d", "cell_id").agg(F.min("promotion_id").alias("promotion_id"))
 
 
 # ---- aggregations

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The dense series cover one quarter, both ends included.
-GRID_START, GRID_END = "1997-01-01", "1997-03-31"
-#: Promotions (id, name, start, days); the first starts with the grid, so its days before are out of bounds.
-PROMOTIONS = ((1, "opening", "1997-01-01", 14), (2, "winter", "1997-01-25", 10), (3, "spring", "1997-02-01", 21))
+#: A promotion starts every so many days from the first day on, so the days before the first are out of bounds.  Their names and
+#: lengths take turns; every seventh lasts ``LONG`` days and overlaps others.
+EVERY, NAMES, DAYS, LONG = 30, ("opening", "winter", "spring"), (14, 10, 21), 100
 REORDER_POINT, SAFETY_STOCK, FIRST_STOCK = 20, 5, 30
 
 
@@ -45,32 +44,50 @@ def sales(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def calendar(spark: SparkSession, start: str = GRID_START, end: str = GRID_END) -> DataFrame:
-    return spark.sql(f"SELECT explode(sequence(date'{start}', date'{end}')) AS d")
+def ends(spark: SparkSession, d: str) -> DataFrame:
+    """The first and the last day with sales: low, high (one row)."""
+    day = F.to_date("l_shipdate")
+    return table(spark, d, "lineitem").agg(F.min(day).alias("low"), F.max(day).alias("high"))
+
+
+def calendar(spark: SparkSession, d: str) -> DataFrame:
+    """Every day from the first to the last with sales."""
+    return ends(spark, d).filter("low is not null").select(F.explode(F.sequence("low", "high")).alias("d"))
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The month ends within the calendar (one row a month)."""
+    return calendar(spark, d).select(F.col("d").alias("snapshot_date")).filter(F.col("snapshot_date") == F.last_day("snapshot_date"))
+
+
+def split_day(spark: SparkSession, d: str, share: float) -> str:
+    """The day that ends the first ``share`` of the calendar."""
+    low, high = ends(spark, d).first()
+    return str(low + (high - low) * share)
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every day x cell x category of the quarter with its units, zero where nothing was sold."""
+    """Every day x cell x category with its units, zero where nothing was sold."""
     cells = table(spark, d, "nation").select(F.col("n_nationkey").alias("cell_id"), F.col("n_regionkey").alias("region_id"))
     categories = table(spark, d, "part").select(F.col("p_type").alias("category")).distinct()
-    sold = sales(spark, d).filter(F.col("sale_date").between(GRID_START, GRID_END)).groupBy(F.col("sale_date").alias("d"), "cell_id", "category")
+    sold = sales(spark, d).groupBy(F.col("sale_date").alias("d"), "cell_id", "category")
     sold = sold.agg(F.sum("units").alias("sold"), F.sum("net").alias("net"), F.max("is_promo").alias("promo"))
-    # The product of three dimensions, the calendar and the categories being a few dozen rows, is the grid itself.
-    dense = calendar(spark).crossJoin(cells).crossJoin(categories)
+    # The product of three dimensions (days, cells and categories; no fact) is the grid itself.
+    dense = calendar(spark, d).crossJoin(cells).crossJoin(categories)
     full = dense.join(sold, ["d", "cell_id", "category"], "left")
     return full.select("d", "cell_id", "region_id", "category", F.coalesce("sold", F.lit(0)).alias("units"), F.coalesce(F.col("net").cast("double"), F.lit(0.0)).alias("revenue"), F.coalesce("promo", F.lit(False)).alias("is_promo"))
 
 
 def inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Daily stock of every warehouse x category of the quarter: the first stock plus the running receipts less issues."""
+    """Daily stock of every warehouse x category: the first stock plus the running receipts less issues."""
     from pyspark.sql import Window
 
-    moved = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).filter(F.to_date("l_shipdate").between(GRID_START, GRID_END))
+    moved = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     change = F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("long"))
     moved = moved.groupBy(F.to_date("l_shipdate").alias("d"), (F.col("l_suppkey") % 4).alias("warehouse_id"), F.col("p_type").alias("category")).agg(change.alias("change"))
     warehouses = spark.range(4).select(F.col("id").alias("warehouse_id"))
     categories = table(spark, d, "part").select(F.col("p_type").alias("category")).distinct()
-    full = calendar(spark).crossJoin(warehouses).crossJoin(categories).join(moved, ["d", "warehouse_id", "category"], "left")
+    full = calendar(spark, d).crossJoin(warehouses).crossJoin(categories).join(moved, ["d", "warehouse_id", "category"], "left")
     running = Window.partitionBy("warehouse_id", "category").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     full = full.withColumn("change", F.coalesce("change", F.lit(0)))
     return full.select("d", "warehouse_id", "category", "change", (F.lit(FIRST_STOCK) + F.sum("change").over(running)).alias("available"))
@@ -85,9 +102,13 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
     return weekly.select("cell_id", "category", "valid_from", F.date_add("valid_from", 6).alias("valid_to"), "price")
 
 
-def promotions(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({i}, '{n}', date'{s}', date_add(date'{s}', {k - 1}), {k})" for i, n, s, k in PROMOTIONS)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(promotion_id, promotion_name, start_date, end_date, days)")
+def promotions(spark: SparkSession, d: str) -> DataFrame:
+    """One row a promotion: promotion_id, promotion_name, start_date, end_date, days (one in ``EVERY`` days of the calendar)."""
+    k = F.col("k")
+    days = F.when(k % 7 == 3, LONG).otherwise(F.element_at(F.array(*map(F.lit, DAYS)), k % 3 + 1))
+    rows = ends(spark, d).filter("low is not null").select("low", F.explode(F.sequence(F.lit(0), F.floor(F.datediff("high", "low") / EVERY).cast("int"))).alias("k"))
+    rows = rows.select((k + 1).alias("promotion_id"), F.element_at(F.array(*map(F.lit, NAMES)), k % 3 + 1).alias("promotion_name"), F.expr(f"date_add(low, {EVERY} * k)").alias("start_date"), days.alias("days"))
+    return rows.select("promotion_id", "promotion_name", "start_date", F.expr("date_add(start_date, days - 1)").alias("end_date"), "days")
 
 
 # The same roles for DuckDB, as common table expressions.
@@ -100,28 +121,28 @@ SQL_ROLES = {
          l_discount >= 0.05 AS is_promo, l_linestatus AS line_status, l_returnflag AS return_flag, l_linenumber AS line_number
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey)""",
-    "calendar": f"calendar AS (SELECT unnest(generate_series(DATE '{GRID_START}', DATE '{GRID_END}', INTERVAL 1 DAY))::DATE AS d)",
-    "grid": f"""grid AS (
+    "calendar": "calendar AS (SELECT unnest(generate_series(low, high, INTERVAL 1 DAY))::DATE AS d FROM (SELECT min(l_shipdate::DATE) AS low, max(l_shipdate::DATE) AS high FROM lineitem))",
+    "grid": """grid AS (
   SELECT c.d, n_nationkey AS cell_id, n_regionkey AS region_id, p.category, coalesce(s.sold, 0)::BIGINT AS units, coalesce(s.net, 0)::DOUBLE AS revenue, coalesce(s.promo, false) AS is_promo
   FROM calendar c CROSS JOIN nation CROSS JOIN (SELECT DISTINCT p_type AS category FROM part) p
-  LEFT JOIN (SELECT sale_date, cell_id, category, sum(units) AS sold, sum(net) AS net, bool_or(is_promo) AS promo FROM sales
-             WHERE sale_date BETWEEN DATE '{GRID_START}' AND DATE '{GRID_END}' GROUP BY ALL) s
+  LEFT JOIN (SELECT sale_date, cell_id, category, sum(units) AS sold, sum(net) AS net, bool_or(is_promo) AS promo FROM sales GROUP BY ALL) s
   ON s.sale_date = c.d AND s.cell_id = n_nationkey AND s.category = p.category)""",
     "inventory": f"""inventory AS (
   SELECT d, warehouse_id, category, change, ({FIRST_STOCK} + sum(change) OVER (PARTITION BY warehouse_id, category ORDER BY d))::BIGINT AS available FROM (
     SELECT c.d, w.warehouse_id, p.category, coalesce(m.change, 0)::BIGINT AS change
     FROM calendar c CROSS JOIN (SELECT unnest(range(4)) AS warehouse_id) w CROSS JOIN (SELECT DISTINCT p_type AS category FROM part) p
     LEFT JOIN (SELECT l_shipdate::DATE AS d, l_suppkey % 4 AS warehouse_id, p_type AS category, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE -l_quantity END) AS change
-               FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate::DATE BETWEEN DATE '{GRID_START}' AND DATE '{GRID_END}' GROUP BY ALL) m
+               FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) m
     ON m.d = c.d AND m.warehouse_id = w.warehouse_id AND m.category = p.category))""",
     "prices": """prices AS (
   SELECT cell_id, category, date_trunc('week', sale_date)::DATE AS valid_from, (date_trunc('week', sale_date) + INTERVAL 6 DAY)::DATE AS valid_to,
          ((sum(net) * 10000)::BIGINT // sum(units)::BIGINT) / 10000::DOUBLE AS price FROM sales GROUP BY ALL)""",
-    "promotions": "promotions AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{n}', DATE '{s}', (DATE '{s}' + INTERVAL {k - 1} DAY)::DATE, {k})" for i, n, s, k in PROMOTIONS)
-    + ") t(promotion_id, promotion_name, start_date, end_date, days))",
+    "promotions": f"""promotions AS (
+  SELECT (k + 1)::INT AS promotion_id, ({list(NAMES)})[k % 3 + 1] AS promotion_name, low + ({EVERY} * k)::INT AS start_date, low + ({EVERY} * k)::INT + days - 1 AS end_date, days
+  FROM (SELECT low, k, (CASE WHEN k % 7 = 3 THEN {LONG} ELSE ({list(DAYS)})[k % 3 + 1] END)::INT AS days
+        FROM (SELECT min(d) AS low, unnest(range((max(d) - min(d)) // {EVERY} + 1)) AS k FROM calendar)))""",
 }
-_NEEDS = {"grid": ["calendar", "sales"], "inventory": ["calendar"], "prices": ["sales"]}
+_NEEDS = {"grid": ["calendar", "sales"], "inventory": ["calendar"], "prices": ["sales"], "promotions": ["calendar"]}
 
 
 def oracle(body: str, *roles: str) -> str:
