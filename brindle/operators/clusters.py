@@ -10,13 +10,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.summaries import quantiles
+
 
 def robust_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
     """(x - median) / (p75 - p25) with exact linear quantiles; a spread of zero counts as one."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns])  # one row
-    spread = lambda c: F.when(F.col(f"_q_{c}")[2] == F.col(f"_q_{c}")[0], 1.0).otherwise(F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0])
-    scaled = df.crossJoin(F.broadcast(q)).withColumns({f"{c}{suffix}": (F.col(c) - F.col(f"_q_{c}")[1]) / spread(c) for c in columns})
-    return scaled.drop(*[f"_q_{c}" for c in columns])
+    scaled = {}
+    for c in columns:
+        low, middle, high = quantiles(df, c, [0.25, 0.5, 0.75])
+        scaled[f"{c}{suffix}"] = F.lit(None).cast("double") if low is None else (F.col(c) - middle) / ((high - low) or 1.0)
+    return df.withColumns(scaled)
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, row_id: Sequence[str], columns: Sequence[str]) -> DataFrame:

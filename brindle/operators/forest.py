@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.operators.summaries import quantiles
+
 EULER = 0.5772156649015329
 
 
@@ -117,5 +119,6 @@ def isolation_scores(df: DataFrame, columns: Sequence[str], trees: int = 300, sa
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(2.0 ** (-mean / scale), 9))], names=[*batch.schema.names, "anomaly_score"])
 
     scored = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("anomaly_score", T.DoubleType())]))
-    cut = scored.agg(F.percentile("anomaly_score", F.lit(1 - contamination)).alias("_cut"))  # one row
-    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("anomaly_score") > F.col("_cut")).drop("_cut")
+    scored = scored.persist()  # read for the cut and for the result
+    cut = quantiles(scored, "anomaly_score", [1 - contamination])[0]
+    return scored.withColumn("is_anomaly", F.lit(False) if cut is None else F.col("anomaly_score") > cut)

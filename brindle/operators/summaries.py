@@ -93,11 +93,22 @@ def tukey_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame
     return df.agg(F.lit(low).cast("double").alias("q1"), F.lit(high).cast("double").alias("q3"), F.count_if(beyond).alias("n_outliers"))
 
 
-def weighted_quantiles(counts: DataFrame, value: str, weight: str, quantiles: Sequence[float]) -> DataFrame:
-    """The smallest value whose cumulative weight reaches each quantile of all weight.  ``counts``: one row a value."""
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cumulative = counts.withColumn("_c", F.sum(weight).over(upto)).withColumn("_all", F.sum(weight).over(Window.partitionBy()))
-    wanted = cumulative.withColumn("q", F.explode(F.array(*[F.lit(q) for q in quantiles]))).filter(F.col("_c") >= F.col("q") * F.col("_all"))
+def weighted_quantiles(counts: DataFrame, value: str, weight: str, quantiles: Sequence[float], buckets: int = 4096) -> DataFrame:
+    """The smallest value whose cumulative weight reaches each quantile of all weight.  ``counts``: one row a value.
+
+    Weights are added up in equal buckets between the extremes (a bounded table), then within each bucket.
+    """
+    ends = counts.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    low, step = float(ends["low"] or 0), (float(ends["high"] or 0) - float(ends["low"] or 0)) / buckets or 1.0
+    placed = counts.withColumn("_b", F.least(F.floor((F.col(value) - low) / step), F.lit(buckets - 1)))
+    below, offsets = 0, []
+    for r in sorted(placed.groupBy("_b").agg(F.sum(weight).alias("w")).collect(), key=lambda r: r["_b"]):
+        offsets.append((r["_b"], below))
+        below += r["w"]
+    before = counts.sparkSession.createDataFrame(offsets, "_b long, _before long")
+    upto = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cumulative = placed.join(F.broadcast(before), "_b").withColumn("_c", F.col("_before") + F.sum(weight).over(upto))
+    wanted = cumulative.withColumn("q", F.explode(F.array(*[F.lit(q) for q in quantiles]))).filter(F.col("_c") >= F.col("q") * below)
     return wanted.groupBy("q").agg(F.min(value).alias("quantile_value"))
 
 

@@ -329,13 +329,13 @@ def bk04(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- promotion
 
-_PERIOD_RATES = f"{PROMOTION_DAILY_CTE}, pm AS (SELECT promotion_id, cell_id, category, period, count(*) FILTER (WHERE is_observable) AS n_days, sum(realized_units)::BIGINT AS units, CASE WHEN count(*) FILTER (WHERE is_observable) > 0 THEN round(sum(realized_units) / (count(*) FILTER (WHERE is_observable))::DOUBLE, 6) END AS units_per_day, CASE WHEN sum(realized_units) > 0 THEN round(round(sum(realized_revenue) * 100) / sum(realized_units), 5) END AS unit_price_cents FROM promo_daily GROUP BY ALL)"
+_PERIOD_RATES = f"{PROMOTION_DAILY_CTE}, pm AS (SELECT promotion_id, cell_id, category, period, count(*) FILTER (WHERE is_observable) AS n_days, sum(realized_units)::BIGINT AS units, CASE WHEN count(*) FILTER (WHERE is_observable) > 0 THEN round(sum(realized_units) / (count(*) FILTER (WHERE is_observable))::DOUBLE, 6) END AS units_per_day, CASE WHEN sum(realized_units) > 0 THEN round(round(sum(realized_revenue::DECIMAL(18,4)) * 100)::DOUBLE / sum(realized_units), 5) END AS unit_price_cents FROM promo_daily GROUP BY ALL)"
 
 
 def period_rates(daily: DataFrame) -> DataFrame:
     """Days seen, units, units a day and realized price of each exposure and period."""
     seen = F.count_if("is_observable")
-    return daily.groupBy("promotion_id", *CELL, "period").agg(seen.alias("n_days"), F.sum("realized_units").alias("units"), F.round(F.sum("realized_units") / F.nullif(seen, F.lit(0)), 6).alias("units_per_day"), F.when(F.sum("realized_units") > 0, F.round(F.round(F.sum("realized_revenue") * 100) / F.nullif(F.sum("realized_units"), F.lit(0)), 5)).alias("unit_price_cents"))
+    return daily.groupBy("promotion_id", *CELL, "period").agg(seen.alias("n_days"), F.sum("realized_units").alias("units"), F.round(F.sum("realized_units") / F.nullif(seen, F.lit(0)), 6).alias("units_per_day"), F.when(F.sum("realized_units") > 0, F.round(F.round(F.sum(F.col("realized_revenue").cast("decimal(18,4)")) * 100).cast("double") / F.nullif(F.sum("realized_units"), F.lit(0)), 5)).alias("unit_price_cents"))
 
 
 @register("pr02_period_rates", oracle(f"WITH {_PERIOD_RATES} SELECT * FROM pm", "grid", "prices", "promotions"))

@@ -15,7 +15,7 @@ from brindle.plans.analytics import _PERIOD_SQL
 from brindle.plans.catalog import register
 from brindle.plans.datasets import CELL, EPISODES_CTE, PROMOTION_DAILY_CTE, ds02, ds03, ds05, ds07, ds09
 from brindle.sources import roles, simulate
-from brindle.sources.roles import oracle
+from brindle.sources.roles import oracle, table
 
 
 @register("an05_sensitivity")
@@ -158,19 +158,29 @@ def rp06(spark: SparkSession, d: str) -> DataFrame:
     return ranked.orderBy(F.desc("_s"), "rule_id").limit(15).select("rule_id", "antecedent", "consequent", F.round("_s", 9).alias("ranking_score"))
 
 
-@register("q11_simulated_checks")
+@register("q11_simulated_checks", oracle("""
+SELECT count(*) AS n, count(*) FILTER (WHERE b + change <> available) AS n_flow_broken, count(*) FILTER (WHERE before IS NOT NULL AND before <> d - 1) AS n_gap,
+  (SELECT count(*) FROM (SELECT 1 FROM inventory GROUP BY warehouse_id, category, d HAVING count(*) > 1)) AS n_duplicates,
+  (SELECT sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE -l_quantity END)::BIGINT FROM lineitem JOIN part ON l_partkey = p_partkey) - sum(change)::BIGINT AS n_units_lost
+FROM (SELECT *, lag(available) OVER (PARTITION BY warehouse_id, category ORDER BY d) AS b, lag(d) OVER (PARTITION BY warehouse_id, category ORDER BY d) AS before FROM inventory)
+""", "inventory"))
 def q11(spark: SparkSession, d: str) -> DataFrame:
-    """The simulation's own laws: flow, demand identity, unique grain."""
-    s = simulate.simulate_stock(spark, 3, 4, 60)
-    before = F.lag("closing").over(Window.partitionBy("warehouse_id", "sku_id").orderBy("day"))
-    twice = s.groupBy("warehouse_id", "sku_id", "day").count().filter("count > 1").agg(F.count(F.lit(1)).alias("n_duplicates"))
-    laws = s.withColumn("b", before).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("opening") + F.col("received") - F.col("sold") != F.col("closing")).alias("n_flow_broken"), F.count_if(F.col("b") != F.col("opening")).alias("n_gap"), F.count_if(F.col("sold") + F.col("lost") != F.col("demand")).alias("n_identity_broken"))
-    return laws.crossJoin(twice)
-
-
-@register("si02_price_schedule", "SELECT sku_id, valid_from, (valid_from + INTERVAL 6 DAY)::DATE AS valid_to, round(round(10 + sku_id * 0.5, 2) * CASE WHEN w % 3 = 2 THEN 0.9 ELSE 1.0 END, 2)::DOUBLE AS price FROM (SELECT unnest(range(8))::INT AS sku_id) CROSS JOIN (SELECT w, (DATE '2024-01-01' + INTERVAL (7 * w) DAY)::DATE AS valid_from FROM (SELECT unnest(range(13)) AS w))")
+    """The laws of the stock series: each day's flow, no gap, unique grain, and no unit of the lines lost."""
+    stock = roles.inventory(spark, d)
+    days = Window.partitionBy("warehouse_id", "category").orderBy("d")
+    laws = stock.withColumns({"b": F.lag("available").over(days), "before": F.lag("d").over(days)}).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("b") + F.col("change") != F.col("available")).alias("n_flow_broken"), F.count_if(F.col("before") != F.date_sub("d", 1)).alias("n_gap"), F.sum("change").alias("_change")
+    )
+    twice = stock.groupBy("warehouse_id", "category", "d").count().filter("count > 1").agg(F.count(F.lit(1)).alias("n_duplicates"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).agg(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("long")).alias("_lines"))
+    return laws.crossJoin(twice).crossJoin(lines).select("n", "n_flow_broken", "n_gap", "n_duplicates", (F.col("_lines") - F.col("_change")).alias("n_units_lost"))  # one row each
+
+
+@register("si02_price_schedule", oracle("SELECT brand, valid_from, (valid_from + INTERVAL 6 DAY)::DATE AS valid_to, CASE WHEN w % 3 = 2 THEN floor(base * 90) / 100 ELSE floor(base * 100) / 100 END::DOUBLE AS price FROM (SELECT p_brand AS brand, max(p_retailprice) AS base FROM part GROUP BY 1) CROSS JOIN (SELECT w, low + (7 * w)::INT AS valid_from FROM (SELECT min(d) AS low, unnest(range((max(d) - min(d)) // 7 + 1)) AS w FROM calendar))", "calendar"))
 def si02(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.weekly_prices(spark, 8, "2024-01-01", "2024-03-31")
+    """A weekly schedule of every brand from the highest price of its parts."""
+    bases = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.max("p_retailprice").alias("base"))
+    return simulate.weekly_prices(bases, roles.calendar(spark, d), "brand", "base")
 
 
 @register("si03_donor_statistics", oracle("WITH x AS (SELECT category, units, is_promo, gross::DOUBLE AS gross, gross::DOUBLE / max(gross::DOUBLE) OVER (PARTITION BY category) AS r FROM sales) SELECT category, count(*) AS n, round(avg(is_promo::INT), 6) AS flag_rate, round(avg((units > 0)::INT), 6) AS nonzero_rate, quantile_cont(units, 0.5)::DOUBLE AS p50, quantile_cont(units, 0.9)::DOUBLE AS p90, round(avg(r), 6) AS price_ratio FROM x GROUP BY 1", "sales"))

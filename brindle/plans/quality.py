@@ -17,47 +17,88 @@ from brindle.sources.roles import oracle, table
 @register("q04_integrity_checks", oracle("""
 SELECT 'line_order_missing' AS check_name, count(*) AS violations FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'line_part_missing', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'line_supplier_missing', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
 UNION ALL SELECT 'order_customer_missing', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT 'line_grain_duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
-UNION ALL SELECT 'order_part_duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey)
 UNION ALL SELECT 'quantity_not_positive', count(*) FROM lineitem WHERE l_quantity <= 0
 UNION ALL SELECT 'discount_out_of_range', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1
+UNION ALL SELECT 'price_negative', count(*) FROM lineitem WHERE l_extendedprice < 0
 UNION ALL SELECT 'shipped_before_order', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate
+UNION ALL SELECT 'line_grain_duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+UNION ALL SELECT 'order_part_duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey)
+UNION ALL SELECT 'order_total_off', count(*) FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2)) AS t FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE abs(coalesce(t, 0) - o_totalprice::DECIMAL(18,2)) > 0.01
+UNION ALL SELECT 'order_grain_duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)
 UNION ALL SELECT 'money_identity_broken', count(*) FROM sales WHERE gross - discount <> net
+UNION ALL SELECT 'discount_above_gross', count(*) FROM sales WHERE discount > gross
+UNION ALL SELECT 'sale_without_price', count(*) FROM sales s WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.cell_id = s.cell_id AND p.category = s.category AND s.sale_date BETWEEN p.valid_from AND p.valid_to)
 UNION ALL SELECT 'stock_flow_broken', count(*) FROM (SELECT available, change, lag(available) OVER (PARTITION BY warehouse_id, category ORDER BY d) AS b FROM inventory) WHERE b + change <> available
+UNION ALL SELECT 'stock_category_missing', count(*) FROM inventory WHERE category NOT IN (SELECT p_type FROM part)
+UNION ALL SELECT 'stock_grain_duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM inventory GROUP BY d, warehouse_id, category)
+UNION ALL SELECT 'stock_negative', count(*) FROM inventory WHERE available < 0
+UNION ALL SELECT 'stock_not_as_moved', count(*) FROM inventory i LEFT JOIN (SELECT l_shipdate::DATE AS d, l_suppkey % 4 AS warehouse_id, p_type AS category, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE -l_quantity END)::BIGINT AS moved FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) m USING (d, warehouse_id, category) WHERE change <> coalesce(moved, 0)
 UNION ALL SELECT 'grid_rows_missing', abs((SELECT count(*) FROM grid) - (SELECT count(*) FROM calendar) * (SELECT count(*) FROM nation) * (SELECT count(DISTINCT p_type) FROM part))
+UNION ALL SELECT 'grid_parent_missing', count(*) FROM grid WHERE cell_id NOT IN (SELECT n_nationkey FROM nation) OR category NOT IN (SELECT p_type FROM part)
+UNION ALL SELECT 'grid_grain_duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM grid GROUP BY d, cell_id, category)
+UNION ALL SELECT 'grid_units_lost', abs((SELECT sum(units) FROM grid) - (SELECT sum(units) FROM sales))::BIGINT
 UNION ALL SELECT 'price_overlaps', count(*) FROM prices a JOIN prices b ON a.cell_id = b.cell_id AND a.category = b.category AND a.valid_from < b.valid_from AND b.valid_from <= a.valid_to
-UNION ALL SELECT 'sale_without_price', count(*) FROM sales s WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.cell_id = s.cell_id AND p.category = s.category AND s.sale_date BETWEEN p.valid_from AND p.valid_to)
-""", "sales", "grid", "inventory", "prices"))
+UNION ALL SELECT 'price_start_duplicates', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM prices GROUP BY cell_id, category, valid_from)
+UNION ALL SELECT 'price_cell_missing', count(*) FROM prices WHERE cell_id NOT IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'price_dates_turned', count(*) FROM prices WHERE valid_to < valid_from
+UNION ALL SELECT 'promotion_dates_turned', count(*) FROM promotions WHERE end_date < start_date
+UNION ALL SELECT 'promotion_cell_missing', count(*) FROM promotions WHERE promotion_id % 3 NOT IN (SELECT n_nationkey % 3 FROM nation)
+""", "sales", "grid", "inventory", "prices", "promotions"))
 def q04(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of violations.  Each table or role is read once for all checks of its rows, and once for each of its grains."""
     t = lambda n: table(spark, d, n)
-    n = lambda name, rows: rows.agg(F.lit(name).alias("check_name"), F.count(F.lit(1)).alias("violations"))
-    lines, orders, sales, stock, prices = t("lineitem"), t("orders"), roles.sales(spark, d), roles.inventory(spark, d), roles.prices(spark, d)
-
-    def extra(name: str, keys: list[str]) -> DataFrame:
-        return lines.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.lit(name).alias("check_name"), F.coalesce(F.sum("x"), F.lit(0)).alias("violations"))
-
+    lines, orders, sales, stock, prices, grid = t("lineitem"), t("orders"), roles.sales(spark, d), roles.inventory(spark, d), roles.prices(spark, d), roles.grid(spark, d)
+    has = lambda n, key: t(n).select(F.col(key).alias(f"_{key}")).distinct()
+    kinds = t("part").select(F.col("p_type").alias("_kind")).distinct()
+
+    def long(one: DataFrame) -> DataFrame:
+        """One row of counts as rows (check_name, violations)."""
+        pairs = [F.struct(F.lit(c).alias("check_name"), F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias("violations")) for c in one.columns]
+        return one.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+    def extra(name: str, rows: DataFrame, *keys: str) -> DataFrame:
+        return long(rows.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.sum("x").alias(name)))
+
+    def joined(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+        return rows.join(other, F.col(key) == F.col(other.columns[0]), "left")
+
+    dated = orders.select(F.col("o_orderkey").alias("_o"), "o_orderdate")
+    checked = joined(joined(joined(lines, dated, "l_orderkey"), has("part", "p_partkey"), "l_partkey"), has("supplier", "s_suppkey"), "l_suppkey")
+    rows = checked.agg(
+        F.count_if(F.col("_o").isNull()).alias("line_order_missing"), F.count_if(F.col("_p_partkey").isNull()).alias("line_part_missing"), F.count_if(F.col("_s_suppkey").isNull()).alias("line_supplier_missing"),
+        F.count_if(F.col("l_quantity") <= 0).alias("quantity_not_positive"), F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 1)).alias("discount_out_of_range"),
+        F.count_if(F.col("l_extendedprice") < 0).alias("price_negative"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("shipped_before_order"),
+    )
+    totals = lines.groupBy(F.col("l_orderkey").alias("_l")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("t"))
+    off = F.abs(F.coalesce("t", F.lit(0)) - F.col("o_totalprice").cast("decimal(18,2)")) > 0.01
+    ordered = joined(joined(orders, totals, "o_orderkey"), has("customer", "c_custkey"), "o_custkey").agg(F.count_if(off).alias("order_total_off"), F.count_if(F.col("_c_custkey").isNull()).alias("order_customer_missing"))
+    sold = J.validity_join(sales, prices, ["cell_id", "category"], "sale_date").agg(
+        F.count_if(F.col("gross") - F.col("discount") != F.col("net")).alias("money_identity_broken"), F.count_if(F.col("discount") > F.col("gross")).alias("discount_above_gross"), F.count_if(F.col("price").isNull()).alias("sale_without_price"), F.sum("units").alias("_sold")
+    )
     before = F.lag("available").over(Window.partitionBy("warehouse_id", "category").orderBy("d"))
+    moved = lines.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.to_date("l_shipdate").alias("d"), (F.col("l_suppkey") % 4).alias("warehouse_id"), F.col("p_type").alias("category"))
+    moved = moved.agg(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("long")).alias("moved"))
+    held = joined(stock.withColumn("b", before).join(moved, ["d", "warehouse_id", "category"], "left"), kinds, "category").agg(
+        F.count_if(F.col("b") + F.col("change") != F.col("available")).alias("stock_flow_broken"), F.count_if(F.col("_kind").isNull()).alias("stock_category_missing"),
+        F.count_if(F.col("available") < 0).alias("stock_negative"), F.count_if(F.col("change") != F.coalesce("moved", F.lit(0))).alias("stock_not_as_moved"),
+    )
+    whole = roles.calendar(spark, d).agg(F.count(F.lit(1)).alias("a")).crossJoin(t("nation").agg(F.count(F.lit(1)).alias("b"))).crossJoin(kinds.agg(F.count(F.lit(1)).alias("c")))  # one row each
+    cells = joined(joined(grid, has("nation", "n_nationkey"), "cell_id"), kinds, "category").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("u"), F.count_if(F.col("_n_nationkey").isNull() | F.col("_kind").isNull()).alias("grid_parent_missing"))
     later = F.lead("valid_from").over(Window.partitionBy("cell_id", "category").orderBy("valid_from"))
-    whole = roles.calendar(spark, d).agg(F.count(F.lit(1)).alias("a")).crossJoin(t("nation").agg(F.count(F.lit(1)).alias("b"))).crossJoin(t("part").agg(F.count_distinct("p_type").alias("c")))  # one row each
-    parts = [
-        n("line_order_missing", J.orphans(lines, orders, "l_orderkey", "o_orderkey")),
-        n("line_part_missing", J.orphans(lines, t("part"), "l_partkey", "p_partkey")),
-        n("order_customer_missing", J.orphans(orders, t("customer"), "o_custkey", "c_custkey")),
-        extra("line_grain_duplicates", ["l_orderkey", "l_linenumber"]),
-        extra("order_part_duplicates", ["l_orderkey", "l_partkey"]),
-        n("quantity_not_positive", lines.filter("l_quantity <= 0")),
-        n("discount_out_of_range", lines.filter("l_discount < 0 or l_discount > 1")),
-        n("shipped_before_order", lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate < o_orderdate")),
-        n("money_identity_broken", sales.filter("gross - discount <> net")),
-        n("stock_flow_broken", stock.withColumn("b", before).filter("b + change <> available")),
-        roles.grid(spark, d).agg(F.count(F.lit(1)).alias("n")).crossJoin(whole).select(F.lit("grid_rows_missing").alias("check_name"), F.abs(F.col("n") - F.col("a") * F.col("b") * F.col("c")).alias("violations")),
-        n("price_overlaps", prices.withColumn("later", later).filter("later <= valid_to")),
-        n("sale_without_price", J.validity_join(sales, prices, ["cell_id", "category"], "sale_date").filter("price is null")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    priced = joined(prices.withColumn("later", later), has("nation", "n_nationkey"), "cell_id").agg(
+        F.count_if(F.col("later") <= F.col("valid_to")).alias("price_overlaps"), F.count_if(F.col("_n_nationkey").isNull()).alias("price_cell_missing"), F.count_if(F.col("valid_to") < F.col("valid_from")).alias("price_dates_turned")
+    )
+    thirds = t("nation").select((F.col("n_nationkey") % 3).alias("_third")).distinct()
+    promoted = roles.promotions(spark, d).join(thirds, F.col("promotion_id") % 3 == F.col("_third"), "left").agg(F.count_if(F.col("end_date") < F.col("start_date")).alias("promotion_dates_turned"), F.count_if(F.col("_third").isNull()).alias("promotion_cell_missing"))
+    gridded = cells.crossJoin(whole).crossJoin(sold.select("_sold")).select(F.abs(F.col("n") - F.col("a") * F.col("b") * F.col("c")).alias("grid_rows_missing"), "grid_parent_missing", F.abs(F.col("u") - F.col("_sold")).alias("grid_units_lost"))  # one row each
+    out = long(rows)
+    for part in (
+        long(ordered), long(sold.drop("_sold")), long(held), long(gridded), long(priced), long(promoted), extra("line_grain_duplicates", lines, "l_orderkey", "l_linenumber"), extra("order_part_duplicates", lines, "l_orderkey", "l_partkey"),
+        extra("order_grain_duplicates", orders, "o_orderkey"), extra("stock_grain_duplicates", stock, "d", "warehouse_id", "category"), extra("grid_grain_duplicates", grid, "d", "cell_id", "category"), extra("price_start_duplicates", prices, "cell_id", "category", "valid_from"),
+    ):
+        out = out.unionByName(part)
     return out
 
 

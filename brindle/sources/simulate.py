@@ -1,47 +1,18 @@
-"""A small seeded simulation of demand and stock, and statistics of donor tables."""
+"""Price schedules, and statistics of donor tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-POLICY = {"first": 60, "reorder": 25, "order": 50, "lead_days": 3}
-
-
-def simulate_stock(spark: SparkSession, warehouses: int, skus: int, days: int, seed: int = 1, start: str = "2024-01-01") -> DataFrame:
-    """Daily demand, sales, lost sales and stock of every warehouse and product under a reorder policy.
-
-    A series' state passes from day to day, so each is one group; its randomness depends on its own key only.
-    """
-    keys = spark.range(warehouses * skus).select((F.col("id") / skus).cast("int").alias("warehouse_id"), (F.col("id") % skus).cast("int").alias("sku_id"))
-
-    def series(key: tuple, group: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, key[0], key[1]])
-        stock, due, out = POLICY["first"], {}, []
-        for day in range(days):
-            received = due.pop(day, 0)
-            demand = int(rng.poisson(6 + 4 * np.sin(2 * np.pi * day / 7)))
-            sold = min(demand, stock + received)
-            left = stock + received - sold
-            out.append((key[0], key[1], day, demand, sold, demand - sold, received, stock, left))
-            if left <= POLICY["reorder"] and not due:
-                due[day + POLICY["lead_days"]] = POLICY["order"]
-            stock = left
-        return pd.DataFrame(out, columns=["warehouse_id", "sku_id", "day", "demand", "sold", "lost", "received", "opening", "closing"])
-
-    schema = "warehouse_id int, sku_id int, day int, demand int, sold int, lost int, received int, opening int, closing int"
-    return keys.groupBy("warehouse_id", "sku_id").applyInPandas(series, schema).withColumn("d", F.date_add(F.to_date(F.lit(start)), F.col("day")))
-
 
-def weekly_prices(spark: SparkSession, skus: int, start: str, end: str, base: float = 10.0) -> DataFrame:
-    """A price for every product and week, both ends of its validity inclusive; each third week 10 % lower."""
-    weeks = spark.sql(f"SELECT posexplode(sequence(date'{start}', date'{end}', interval 7 days)) AS (week, valid_from)")
-    price = F.round(F.lit(base) + F.col("sku_id") * 0.5, 2) * F.when(F.col("week") % 3 == 2, 0.9).otherwise(1.0)
-    return spark.range(skus).select(F.col("id").cast("int").alias("sku_id")).crossJoin(F.broadcast(weeks)).select("sku_id", "valid_from", F.date_add("valid_from", 6).alias("valid_to"), F.round(price, 2).alias("price"))
+def weekly_prices(bases: DataFrame, days: DataFrame, key: str, base: str) -> DataFrame:
+    """A price for every ``key`` and week of the calendar ``days``, both ends of its validity inclusive; each third week 10 %
+    lower, in cents."""
+    ends = days.agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    weeks = ends.select(F.posexplode(F.expr("sequence(low, high, interval 7 days)")).alias("week", "valid_from"))  # one row a week
+    price = F.when(F.col("week") % 3 == 2, F.floor(F.col(base) * 90) / 100).otherwise(F.floor(F.col(base) * 100) / 100)
+    return bases.crossJoin(F.broadcast(weeks)).select(key, "valid_from", F.date_add("valid_from", 6).alias("valid_to"), price.alias("price"))
 
 
 def donor_statistics(df: DataFrame, group: str, value: str, flag: str, price: str) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 FIELDS = ("event_id", "event_type", "event_time", "source", "schema_version", "payload")
 SALE_FIELDS = ("sale_id", "store_id", "sku_id", "quantity_units", "unit_price")
-UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: The type of the events whose payload is checked.
+SALE = "sale"
 
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -35,30 +36,37 @@ def sale_event(sales: DataFrame) -> DataFrame:
     h = F.sha1(F.concat(F.lit("sale:"), F.col("sale_id").cast("string")))
     part = lambda a, n: F.substring(h, a, n)
     uid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
-    at = F.concat(F.col("sale_date").cast("string"), F.lit("T23:59:59Z"))
+    at = F.concat(F.col("sale_date").cast("string"), F.lit("T23:59:59+00:00"))
     payload = F.struct(*SALE_FIELDS)
-    body = F.struct(uid.alias("event_id"), F.lit("sale_recorded").alias("event_type"), at.alias("event_time"), F.lit("replay").alias("source"), F.lit(1).alias("schema_version"), payload.alias("payload"))
+    body = F.struct(uid.alias("event_id"), F.lit(SALE).alias("event_type"), at.alias("event_time"), F.lit("replay").alias("source"), F.lit(1).alias("schema_version"), payload.alias("payload"))
     return sales.select(F.to_json(body).alias("raw"))
 
 
 def validate(messages: DataFrame) -> DataFrame:
-    """Adds the parsed envelope and ``reason``, the first broken rule or null."""
+    """Adds the parsed envelope ``e``, a sale's payload ``p``, and ``reason``, the first broken rule or null.
+
+    A field that is there is not missing, even if null.  Only sales must have a sale's payload.
+    """
     parsed = F.from_json("raw", "event_id string, event_type string, event_time string, source string, schema_version string, payload string", {"mode": "PERMISSIVE"})
-    body = messages.withColumn("e", parsed).withColumn("p", F.from_json("e.payload", ", ".join(f"{f} string" for f in SALE_FIELDS)))
-    missing = F.filter(F.array(*[F.when(F.col(f"e.{f}").isNull(), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())
-    lost = F.filter(F.array(*[F.when(F.col(f"p.{f}").isNull(), F.lit(f)) for f in SALE_FIELDS]), lambda x: x.isNotNull())
+    body = messages.withColumn("e", parsed).withColumn("_keys", F.json_object_keys("raw"))
+    body = body.withColumn("p", F.from_json("e.payload", ", ".join(f"{f} string" for f in SALE_FIELDS))).withColumn("_sale_keys", F.json_object_keys("e.payload"))
+    without = lambda fields, keys: F.filter(F.array(*map(F.lit, fields)), lambda f: ~F.array_contains(F.coalesce(keys, F.array().cast("array<string>")), f))
+    missing, lost = without(FIELDS, "_keys"), without(SALE_FIELDS, "_sale_keys")
     number = lambda f: F.col(f"p.{f}").try_cast("decimal(38,6)")
+    digits = F.regexp_replace(F.regexp_replace(F.lower("e.event_id"), "urn:|uuid:|-", ""), "^[{}]+|[{}]+$", "")
+    untrue = lambda c: ~F.coalesce(c, F.lit(False))
+    sale = F.coalesce(F.col("e.event_type") == SALE, F.lit(False))
     reason = (
-        F.when(F.col("e").isNull() | F.get_json_object("raw", "$").isNull(), "invalid_json")
+        F.when(F.col("_keys").isNull(), "invalid_json")
         .when(F.size(missing) > 0, F.concat(F.lit("missing_envelope_fields:"), F.array_join(missing, ",")))
-        .when(~F.lower("e.event_id").rlike(UUID), "invalid_event_id")
-        .when(F.try_to_timestamp(F.col("e.event_time")).isNull() | ~F.col("e.event_time").rlike("(Z|[+-][0-9]{2}:[0-9]{2})$"), "invalid_event_time")
-        .when(F.col("e.schema_version") != "1", "unsupported_schema_version")
-        .when(F.size(lost) > 0, F.concat(F.lit("missing_payload_fields:"), F.array_join(lost, ",")))
-        .when(number("quantity_units").isNull() | number("unit_price").isNull(), "invalid_number")
-        .when((number("quantity_units") < 0) | (number("unit_price") < 0), "negative_value")
+        .when(untrue(digits.rlike("^[0-9a-f]{32}$")), "invalid_event_id")
+        .when(F.try_to_timestamp(F.col("e.event_time")).isNull(), "invalid_event_time")
+        .when(untrue(F.col("e.schema_version") == "1"), "unsupported_schema_version")
+        .when(sale & (F.size(lost) > 0), F.concat(F.lit("missing_payload_fields:"), F.array_join(lost, ",")))
+        .when(sale & (number("quantity_units").isNull() | number("unit_price").isNull()), "invalid_number")
+        .when(sale & ((number("quantity_units") < 0) | (number("unit_price") < 0)), "negative_value")
     )
-    return body.withColumn("reason", reason)
+    return body.withColumn("reason", reason).drop("_keys", "_sale_keys")
 
 
 def accepted(validated: DataFrame) -> DataFrame:

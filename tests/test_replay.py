@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.streaming import replay
 
-GOOD = {"event_id": "12345678-1234-1234-1234-123456789abc", "event_type": "sale_recorded", "event_time": "2024-01-01T23:59:59Z", "source": "x", "schema_version": 1, "payload": {"sale_id": 1, "store_id": 2, "sku_id": 3, "quantity_units": "4", "unit_price": "1.5"}}
+GOOD = {"event_id": "12345678-1234-1234-1234-123456789abc", "event_type": "sale", "event_time": "2024-01-01T23:59:59Z", "source": "x", "schema_version": 1, "payload": {"sale_id": 1, "store_id": 2, "sku_id": 3, "quantity_units": "4", "unit_price": "1.5"}}
 
 
 def reason(spark, body):
@@ -19,11 +19,18 @@ def test_first_broken_rule_is_the_reason(spark):
     assert reason(spark, "{nonsense") == "invalid_json"
     assert reason(spark, {"bad": True}).startswith("missing_envelope_fields:event_id")
     assert reason(spark, GOOD | {"event_id": "x"}) == "invalid_event_id"
-    assert reason(spark, GOOD | {"event_time": "2024-01-01T00:00:00"}) == "invalid_event_time"
+    assert reason(spark, GOOD | {"event_time": "yesterday"}) == "invalid_event_time"
+    assert reason(spark, GOOD | {"event_id": None}) == "invalid_event_id" and reason(spark, GOOD | {"event_id": "{12345678123412341234123456789ABC}"}) is None
     assert reason(spark, GOOD | {"schema_version": 2}) == "unsupported_schema_version"
     assert reason(spark, GOOD | {"payload": {"sale_id": 1}}).startswith("missing_payload_fields:store_id")
     assert reason(spark, GOOD | {"payload": GOOD["payload"] | {"unit_price": "x"}}) == "invalid_number"
     assert reason(spark, GOOD | {"payload": GOOD["payload"] | {"quantity_units": -1}}) == "negative_value"
+    assert reason(spark, GOOD | {"payload": GOOD["payload"] | {"quantity_units": None}}) == "invalid_number"
+    assert reason(spark, GOOD | {"schema_version": None}) == "unsupported_schema_version"
+    # Other types of events have payloads of their own, and a field that is there may be null.
+    assert reason(spark, GOOD | {"event_type": "restock", "payload": {"a": -1}}) is None
+    assert reason(spark, GOOD | {"event_type": None, "source": None, "payload": None}) is None
+    assert reason(spark, GOOD | {"payload": [1]}).startswith("missing_payload_fields:sale_id")
 
 
 def test_built_events_are_accepted(spark):

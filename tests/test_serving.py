@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from brindle.operators import eda, serving
 from brindle.operators.contracts import ContractError, Feature, Signature
-from brindle.sources import simulate
 
 
 def engine(score=lambda df: df.withColumn("p", F.col("x") / 10)):
@@ -63,10 +62,3 @@ def test_exploratory_runs(spark):
     assert eda.fingerprint(df)["content"] == eda.fingerprint(df.repartition(7))["content"]
     delta = eda.compare_runs(run, eda.run_eda(df.limit(30).withColumn("z", F.lit(1)).drop("c"), ["k"], "x"))
     assert (delta["added"], delta["removed"], delta["metrics"]["rows"]["absolute"]) == (["z"], ["c"], -10)
-
-
-def test_simulation_is_seeded_and_lawful(spark):
-    a = simulate.simulate_stock(spark, 2, 3, 30)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, simulate.simulate_stock(spark, 2, 3, 30).repartition(5).collect()))
-    assert a.filter("opening + received - sold <> closing or sold + lost <> demand or closing < 0").isEmpty()
-    assert a.count() == 180
