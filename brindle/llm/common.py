@@ -76,7 +76,7 @@ def from_files(docs: DataFrame) -> DataFrame:
         return materialise(docs)
 
 
-#: Rows up to which the small side of a join (two numbers a row) is broadcast: some 50 MB.
+#: Rows up to which the small side of a join (a few numbers a row) is broadcast: some 50 MB.
 BROADCAST_ROWS = 1_000_000
 
 

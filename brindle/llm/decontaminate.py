@@ -4,15 +4,18 @@ Words are runs of digits, ASCII letters (lower-cased) and all characters above 0
 an item; an item of fewer words, but not none, is one window.  A document word inside any occurrence of a window is hit.
 Each text streams through the automaton, which tracks the longest item passage ending at every word.
 
-Items are taken to the driver in blocks of at most ``block_words`` words, one automaton each, so that what is broadcast has
-a bound; each further block is one more pass over the documents.  Null and empty texts have no words and no hits, null and
+Items are taken to the driver in blocks of at most ``block_words`` words (and the item that passes them), one automaton each, so
+that what is broadcast has a bound, some 120 MB; each further block is one more pass over the documents.  Null and empty texts have no words and no hits, null and
 empty items no windows.  An item listed twice counts once per distinct id; a null item id is ignored in the lists of items
-but its windows hit.  Repeated rows and null document ids keep their own result rows.
+but its windows hit.  Repeated rows and null document ids keep their own result rows; lists of items are
+in code-point order, so there are no ties.  An empty table of documents gives an empty result, an empty benchmark no hits.  Other
+columns are not read by the report and kept by the removal.  A very long text is one row of a task, some 100 bytes a word.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -20,99 +23,134 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import byte_texts, small_batches
+from brindle.llm.common import byte_texts, from_files, small_batches
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items that hold each window."""
+    """Suffix automaton of several word sequences, with the items that hold each window.
+
+    States and words are numbers in flat arrays; what only few states have (a second arc, a second item) is in dictionaries.
+    Some 120 bytes an item word.
+    """
 
     def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], width: int = 10):
         self.width = width
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: list[tuple[int, str | None, int]] = []
+        self.words: dict[bytes, int] = {}
+        #: The first arc of each state: word and target.  ``more``: the other arcs of a state.
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.names: list[str] = []
+        numbers: dict[str, int] = {}
+        ends: list[tuple[int, int, int]] = []
         for name, words in items:
+            item = -1 if name is None else numbers.setdefault(name, len(numbers))
             last = 0
             for k, w in enumerate(words):
-                last = self._extend(last, w)
+                last = self._extend(last, self.words.setdefault(w, len(self.words)))
                 if k + 1 >= width:
-                    ends.append((last, name, width))
+                    ends.append((last, item, width))
             if 0 < len(words) < width:
-                ends.append((last, name, len(words)))
+                ends.append((last, item, len(words)))
+        self.names = list(numbers)
         self.least = min((k for *_, k in ends), default=0)
-        #: windows[state]: (length, items) of the windows that end where this state does, longest first.
-        own: list[dict[int, set]] = [{} for _ in self.next]
-        for state, name, k in ends:
+        #: The window that ends where a state does: its length (0: none) and item.  ``others``: all windows of states with several.
+        self.size, self.item = array("i", bytes(4 * len(self.link))), array("i", bytes(4 * len(self.link)))
+        self.others: dict[int, set[tuple[int, int]]] = {}
+        for state, item, k in ends:
             while self.length[self.link[state]] >= k:
                 state = self.link[state]
-            names = own[state].setdefault(k, set())
-            if name is not None:
-                names.add(name)
-        self.windows: list[list[tuple[int, set]]] = [[] for _ in self.next]
-        for state in sorted(range(len(self.next)), key=self.length.__getitem__):
-            above = self.windows[self.link[state]] if state else []
-            self.windows[state] = sorted(own[state].items(), reverse=True) + above if own[state] else above
-
-    def _extend(self, last: int, w: bytes) -> int:
-        nxt, link, length = self.next, self.link, self.length
+            if not self.size[state]:
+                self.size[state], self.item[state] = k, item
+            elif (self.size[state], self.item[state]) != (k, item):
+                self.others.setdefault(state, {(self.size[state], self.item[state])}).add((k, item))
+        #: The nearest state with a window: the state itself or one that its failure links lead to; -1 for none.
+        self.near = array("i", [-1]) * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            self.near[state] = state if self.size[state] else self.near[self.link[state]]
+
+    def arc(self, state: int, w: int) -> int:
+        """Where the word leads from a state, or -1."""
+        if self.word[state] == w:
+            return self.to[state]
+        more = self.more.get(state)
+        return -1 if more is None else more.get(w, -1)
+
+    def _set(self, state: int, w: int, target: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.to[state] = w, target
+        else:
+            self.more.setdefault(state, {})[w] = target
+
+    def _state(self, length: int, link: int) -> int:
+        for column, value in ((self.word, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            column.append(value)
+        return len(self.link) - 1
+
+    def _extend(self, last: int, w: int) -> int:
+        link, length = self.link, self.length
 
         def split(p: int, q: int) -> int:
-            copy = len(nxt)
-            nxt.append(dict(nxt[q]))
-            link.append(link[q])
-            length.append(length[p] + 1)
+            copy = self._state(length[p] + 1, link[q])
+            self.word[copy], self.to[copy] = self.word[q], self.to[q]
+            if q in self.more:
+                self.more[copy] = dict(self.more[q])
             link[q] = copy
-            while p >= 0 and nxt[p].get(w) == q:
-                nxt[p][w] = copy
+            while p >= 0 and self.arc(p, w) == q:
+                self._set(p, w, copy)
                 p = link[p]
             return copy
 
-        q = nxt[last].get(w)
-        if q is not None:
+        q = self.arc(last, w)
+        if q >= 0:
             return q if length[q] == length[last] + 1 else split(last, q)
-        new = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        new = self._state(length[last] + 1, 0)
         p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = new
+        while p >= 0 and self.arc(p, w) < 0:
+            self._set(p, w, new)
             p = link[p]
         if p >= 0:
-            q = nxt[p][w]
+            q = self.arc(p, w)
             link[new] = q if length[q] == length[p] + 1 else split(p, q)
         return new
 
+    def windows(self, state: int) -> Iterator[tuple[int, int]]:
+        """Length and item of the windows that end where the state does."""
+        at = self.near[state]
+        while at >= 0:
+            yield from self.others.get(at) or ((self.size[at], self.item[at]),)
+            at = self.near[self.link[at]]
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Maximal runs of hit words (end exclusive), and the items with windows in ``words``."""
-        nxt, link, length, windows, least = self.next, self.link, self.length, self.windows, self.least
-        root, runs, items = nxt[0], [], set()
+        first, to, more, link, length, near, least = self.word, self.to, self.more, self.link, self.length, self.near, self.least
+        root, runs, items = self.more.get(0, {}), [], set()
         if not least:
             return runs, items
         v = n = 0
-        for i, w in enumerate(words):
-            if not v:
-                v = root.get(w, 0)
-                n = 1 if v else 0
-            else:
-                t = nxt[v].get(w)
-                while t is None and v:
-                    v = link[v]
-                    n = length[v]
-                    t = nxt[v].get(w)
-                if t is None:
-                    n = 0
-                    continue
-                v = t
-                n += 1
-            if n >= least and windows[v]:
+        for i, w in enumerate(map(self.words.get, words)):
+            if w is None:  # no item has the word
+                v = n = 0
+                continue
+            while True:
+                if first[v] == w:
+                    t = to[v]
+                else:
+                    t = root.get(w) if not v else more[v].get(w) if v in more else None
+                if t is not None or not v:
+                    break
+                v = link[v]
+                n = length[v]
+            v, n = t or 0, n + 1 if t else 0
+            if n >= least and near[v] >= 0:
                 longest = 0
-                for k, names in windows[v]:
+                for k, item in self.windows(v):
                     if k <= n:
-                        longest = longest or k
-                        items |= names
+                        longest = max(longest, k)
+                        if item >= 0:
+                            items.add(self.names[item])
                 if longest:
                     start = i + 1 - longest
                     while runs and runs[-1][1] >= start:
@@ -121,7 +159,7 @@ class Automaton:
         return runs, items
 
 
-def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = 10, block_words: int = 2_000_000) -> Iterator[Automaton]:
+def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = 10, block_words: int = 1_000_000) -> Iterator[Automaton]:
     """One automaton for each block of items."""
     block, held = [], 0
     for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).distinct().toLocalIterator():
@@ -152,8 +190,9 @@ def _scan_block(rows: DataFrame, automaton: Automaton) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, runs (hit word ranges, end exclusive, disjoint and in order) and items (sorted) of every row."""
+    docs = from_files(docs)  # several blocks number the rows alike
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     parts = [_scan_block(rows, a) for a in automata(benchmark, item_col, "text", width, block_words)]
     if len(parts) == 1:
@@ -201,7 +240,7 @@ def clean(text: bytes, scans, max_run: int, max_coverage: float) -> bytes | None
         text = b"".join([*kept, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", width: int = 10, max_run: int = 1, max_coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", width: int = 10, max_run: int = 1, max_coverage: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
     """``docs`` with the hit passages cut out of the texts, without the documents that mostly consist of them.
 
     Texts without a hit stay byte for byte; null texts stay null.  Each block of items is one pass.

@@ -10,7 +10,8 @@ spanning forest of the verified links is emitted, never all pairs; buckets above
 
 Null and empty texts have fingerprint zero and link like any other.  Repeated rows keep their own result row.  Rows with a
 null id take part; they never name a component unless all ids of it are null (then the component is null).  An empty table
-gives an empty result.  Other columns are not read.
+gives an empty result.  Other columns are not read, whatever their names.  Links have no order, so there are no ties.  A very long
+text is one row of a task; its shingles' hashes take eight bytes each.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import byte_texts, checkpoint, fresh, let, small_batches
+from brindle.llm.common import byte_texts, checkpoint, fresh, let, sized_join, small_batches
 
 BITS = 64
 
@@ -320,6 +321,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = checkpoint(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), ["doc_id"], "_t"))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = checkpoint(fingerprint_classes(nodes, distance, parts, block_rows))
-    named = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Only linked fingerprints meet by root, and one root may have most of them: the smallest ids come from partial minima, and
+    # the tables they are looked up in are narrow, so they are broadcast while their counted rows allow it.
+    linked = nodes.join(found, "fp")
+    lows = checkpoint(linked.groupBy("root").agg(F.min("low").alias("component_id")))
+    named = nodes.join(sized_join(linked.select("fp", "root"), lows, "root").select("fp", "component_id"), "fp", "left")
+    named = checkpoint(named.select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    return sized_join(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

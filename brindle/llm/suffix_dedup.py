@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import byte_texts, materialise, small_batches
+from brindle.llm.common import byte_texts, from_files, materialise, small_batches
 
 LENGTH = 200
 GRAM = 80
@@ -311,8 +311,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept, the remaining bytes, of every row.
 
-    Rows are told apart by their place in ``docs``, which must be read from files (its partitions stay as they are).
+    Rows are told apart by their place in the files of ``docs``; other input is written first.
     """
+    docs = from_files(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     found = find_repeats(rows.select("row", "t"), length, gram, chunk, heavy)
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
