@@ -15,7 +15,7 @@ from brindle.operators.summaries import quantiles
 
 def robust_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
     """(x - median) / (p75 - p25) with exact linear quantiles; a spread of zero counts as one."""
-    scaled = {}
+    df, scaled = df.persist(), {}  # each quantile reads it several times
     for c in columns:
         low, middle, high = quantiles(df, c, [0.25, 0.5, 0.75])
         scaled[f"{c}{suffix}"] = F.lit(None).cast("double") if low is None else (F.col(c) - middle) / ((high - low) or 1.0)
