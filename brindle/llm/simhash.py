@@ -319,12 +319,13 @@ def fingerprint_classes(fps: DataFrame, distance: int = 4, parts: int = 4, block
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, parts: int = 4, block_rows: int = 20_000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row."""
     rows = checkpoint(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), ["doc_id"], "_t"))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("times"))
     found = checkpoint(fingerprint_classes(nodes, distance, parts, block_rows))
     # Only linked fingerprints meet by root, and one root may have most of them: the smallest ids come from partial minima, and
     # the tables they are looked up in are narrow, so they are broadcast while their counted rows allow it.
     linked = nodes.join(found, "fp")
     lows = checkpoint(linked.groupBy("root").agg(F.min("low").alias("component_id")))
     named = nodes.join(sized_join(linked.select("fp", "root"), lows, "root").select("fp", "component_id"), "fp", "left")
-    named = checkpoint(named.select("fp", F.coalesce("component_id", "low").alias("component_id")))
-    return sized_join(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # A row that is alone with its fingerprint, which has no link, is its own component and needs no lookup.
+    named = checkpoint(named.filter("times > 1 or component_id is not null").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    return sized_join(rows, named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
