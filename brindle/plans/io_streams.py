@@ -15,8 +15,11 @@ from brindle.streaming import replay
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the session's checkpoint folder; a temporary one only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    """A fresh folder under the session's checkpoint folder; a session of one machine (tests) may do without that."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
 
 
 @register("src01_read_by_suffix", "SELECT r_regionkey, r_name FROM region")
