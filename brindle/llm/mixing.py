@@ -7,8 +7,8 @@ to the budget that is left, the last one if at least half of it fits.
 Sources are ordered by code point, null last, and weigh 5, 2, 1, repeating; together they get 150 % of all words.  A target
 stops at twice its source's size and the excess is shared again by weight among the others.
 
-The budget's end is found without sorting a source: words are summed in bins of the key, and only the bin where the budget
-ends is put in order.  A null text has no words; documents without words are never taken.  A null id draws its key from the
+The budget's end is found without sorting a source: words are summed in bins of the key, then in bins of the bin where the
+budget ends, and only the one of these where it ends is put in order, some 16 millionth of a source.  A null text has no words; documents without words are never taken.  A null id draws its key from the
 text.  Rows that are alike in source, id, key and size stand or fall together.  An empty table gives an empty result.
 """
 
@@ -65,28 +65,54 @@ def targets(sizes: DataFrame) -> DataFrame:
     return levels.withColumn("target", F.coalesce(target, F.lit(0.0))).select("source", "source_size", "target")
 
 
+def _ends(bins: DataFrame, goals: DataFrame) -> DataFrame:
+    """cut_source, cut_bin, below: the bin of a source where its ``rest`` ends, and the words before that bin.
+
+    ``bins``: source, bin, words.  ``goals``: source, rest, and below, the words before the first bin.
+    """
+    in_order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    summed = bins.withColumn("sum", F.sum("words").over(in_order)).join(_sized(goals.select("source", "rest", F.col("below").alias("start"))), F.expr("goal_source <=> source"))
+    ends = summed.withColumn("upto", F.col("start") + F.col("sum")).filter("upto >= rest and rest > 0")
+    first = ends.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("below"))).alias("e"))
+    return first.select(F.col("source").alias("cut_source"), F.col("e.bin").alias("cut_bin"), F.col("e.below").alias("below"))
+
+
 def plan(rows: DataFrame) -> DataFrame:
     """For each source: target, epochs, the bin where the rest of the budget ends, and the last (key, tie, size) taken.
 
     ``rows``: source, size, key, tie, bin of every document.
     """
-    bins = checkpoint(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")))
+    bins = checkpoint(rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.min("key").alias("low"), F.max("key").alias("high")))
     goals = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = goals.withColumn("epochs", epochs.cast("long"))
     goals = checkpoint(goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    in_order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ends = bins.withColumn("sum", F.sum("words").over(in_order)).join(_sized(goals), F.expr("goal_source <=> source")).filter("sum >= rest and rest > 0")
-    end = ends.groupBy("source").agg(F.min(F.struct("bin", (F.col("sum") - F.col("words")).alias("below"))).alias("e"))
-    cuts = checkpoint(end.select(F.col("source").alias("cut_source"), F.col("e.bin").alias("cut_bin"), F.col("e.below").alias("below")))
-    goals = goals.join(cuts, F.expr("cut_source <=> source"), "left").drop("cut_source")
-    inside = rows.join(_sized(goals), F.expr("goal_source <=> source and bin = cut_bin"))
+    cuts = _ends(bins.select("source", "bin", "words"), goals.withColumn("below", F.lit(0)))
+    spans = bins.join(cuts, F.expr("cut_source <=> source and cut_bin = bin")).select("source", "cut_bin", "below", "low", "high")
+    spans = checkpoint(spans.join(_sized(goals.select("source", "rest")), F.expr("goal_source <=> source")).drop("goal_source"))
+    # That bin again in bins, between its own extremes.  Rows that are alike stand or fall together, so they are one row.
+    place = F.when(F.col("high") > F.col("low"), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * BINS)).otherwise(0)
+    inside = rows.join(_sized(spans), F.expr("goal_source <=> source and bin = cut_bin"))
+    inside = inside.groupBy("source", F.least(place, F.lit(BINS - 1)).cast("int").alias("bin"), "key", "tie", "size").agg(F.sum("size").alias("words"))
+    inside = checkpoint(inside)
+    finer = checkpoint(_ends(inside.groupBy("source", "bin").agg(F.sum("words").alias("words")), spans))
+    last_bin = inside.join(_sized(spans.select("source", "rest")), F.expr("goal_source <=> source")).drop("goal_source")
+    last_bin = last_bin.join(_sized(finer.withColumnRenamed("cut_source", "source")), F.expr("goal_source <=> source and bin = cut_bin"))
     walk = Window.partitionBy("source").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
-    taken = inside.withColumn("sum", F.sum("size").over(walk) + F.col("below")).filter("sum - size / 2 <= rest")
+    begin = F.sum("words").over(walk) - F.col("words") + F.col("below")
+    taken = last_bin.withColumn("begin", begin).filter("begin + size / 2 <= rest")
+    taken = taken.select("source", "key", "tie", "size").unionByName(_before(inside, finer))
     last = taken.groupBy("source").agg(F.max(F.struct("key", "tie", "size")).alias("last")).withColumnRenamed("source", "last_source")
+    goals = goals.join(spans.select(F.col("source").alias("cut_source"), "cut_bin", "below"), F.expr("cut_source <=> source"), "left").drop("cut_source")
     return checkpoint(goals.join(last, F.expr("last_source <=> source"), "left").drop("last_source"))
 
 
+def _before(inside: DataFrame, finer: DataFrame) -> DataFrame:
+    """The rows in the finer bins before the one where the budget ends."""
+    ends = finer.select(F.col("cut_source").alias("source"), "cut_bin")
+    return inside.join(_sized(ends), F.expr("goal_source <=> source and bin < cut_bin")).select("source", "key", "tie", "size")
+
+
 def _sized(goals: DataFrame, most: int = 10_000) -> DataFrame:
     """The per-source table for a join: broadcast if it has at most ``most`` rows, else left to the optimiser."""
     named = goals.withColumnRenamed("source", "goal_source")

@@ -71,3 +71,23 @@ def test_better_texts_go_first(spark):
 def test_empty_table(spark):
     assert M.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
     assert M.mixture(spark.createDataFrame([(1, None, None, "", 0)], DOCS)).count() == 0
+
+
+def test_budget_end_against_brute_force(spark, monkeypatch):
+    alike = [(None, "one text " * 5, "a", "", 0)] * 400
+    docs = alike + [(i, "w " * (i % 23), "abc"[i % 3], "", 0) for i in range(600)]
+    df = spark.createDataFrame(docs, DOCS)
+    keyed = M.keyed(df.select("doc_id", "text", "source"), "doc_id", "text", "source").collect()
+    for bins in (1, 2, 4096):
+        monkeypatch.setattr(M, "BINS", bins)
+        got = M.mix_sources(df).collect()
+        for source in "abc":
+            mine = [r for r in got if r.source == source]
+            rest = mine[0].target - mine[0].target // mine[0].source_size * mine[0].source_size
+            ordered, seen, want = sorted((r.key, r.tie, r.size, r.doc_id) for r in keyed if r.source == source), 0, []
+            begins = {}
+            for key, tie, size, doc_id in ordered:
+                begin = begins.setdefault((key, tie, size), seen)
+                want.append((str(doc_id), size, int(begin + size / 2 <= rest) + int(mine[0].target // mine[0].source_size)))
+                seen += size
+            assert sorted((str(r.doc_id), r.size, r.copies) for r in mine if r.size) == sorted(w for w in want if w[1]), (bins, source)
