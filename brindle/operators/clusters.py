@@ -63,6 +63,39 @@ def cluster_quality(df: DataFrame, cluster: str, columns: Sequence[str]) -> Data
     return ch.crossJoin(db).select("k", "n", F.round((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), 6).alias("calinski_harabasz"), "davies_bouldin")
 
 
+def silhouette(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
+    """Mean silhouette by squared Euclidean distance, over all and by cluster (``cluster`` null for all).
+
+    The mean squared distance to a cluster follows from its size, its centroid and its mean square, so no pairs are formed.
+    A point alone in its cluster counts as 0.
+    """
+    norm = sum(F.pow(F.col(c), 2) for c in columns)
+    sums = df.groupBy(F.col(cluster).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg(norm).alias("q"), *[F.avg(c).alias(f"m_{c}") for c in columns])
+    held = sums.agg(F.collect_list(F.struct("*")).alias("_all"))  # one row, some dozen clusters
+    far = lambda x: norm - 2 * sum(F.col(c) * x[f"m_{c}"] for c in columns) + x["q"]
+    points = df.crossJoin(F.broadcast(held))
+    own = F.element_at(F.filter("_all", lambda x: x["k"] == F.col(cluster)), 1)
+    points = points.withColumn("_own", own).withColumn("_b", F.array_min(F.transform(F.filter("_all", lambda x: x["k"] != F.col(cluster)), far)))
+    points = points.withColumn("_a", far(F.col("_own")) * F.col("_own.n") / F.nullif(F.col("_own.n") - 1, F.lit(0)))
+    s = F.when(F.col("_own.n") == 1, 0.0).otherwise((F.col("_b") - F.col("_a")) / F.nullif(F.greatest("_a", "_b"), F.lit(0.0)))
+    both = points.select(F.explode(F.array(F.col(cluster), F.lit(None))).alias("cluster"), s.alias("_s"))
+    return both.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_s"), 6).alias("silhouette"))
+
+
+def label_agreement(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
+    """For each group: rows, the share with equal labels, and the adjusted Rand index, from the table of label pairs."""
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    table = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
+    both = table.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)).alias("_same"), F.sum(pairs("n")).alias("_both"))
+    for label, name in ((a, "_a"), (b, "_b")):
+        margin = table.groupBy(*by, label).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(pairs("n")).alias(name))
+        both = both.join(margin, list(by))
+    chance = F.col("_a") * F.col("_b") / F.nullif(pairs("n_rows"), F.lit(0.0))
+    most = (F.col("_a") + F.col("_b")) / 2
+    ari = F.when(most == chance, 1.0).otherwise((F.col("_both") - chance) / (most - chance))
+    return both.select(*by, "n_rows", F.round(F.col("_same") / F.col("n_rows"), 6).alias("retention"), F.round(ari, 6).alias("adjusted_rand"))
+
+
 def kmeans_segments(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """The best of several k-means runs, labels ordered along the first principal component of the centroids."""
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df)

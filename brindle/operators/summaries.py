@@ -41,12 +41,12 @@ def quantiles(df: DataFrame, column: str, wanted: Sequence[float], buckets: int
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row a column: count, mean, sample deviation, linear quantiles, population skew.  One pass over the data."""
+    """One row a column: count, mean, sample deviation, linear quantiles, population skew.  Quantiles by buckets, as above."""
     measures = []
     for c in columns:
         x = F.col(c).cast("double")
-        # The quantiles of one column are one expression, so values are counted once.
-        measures.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.percentile(x, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)])).alias("q"), F.max(x).alias("high"), F.skewness(x).alias("skew")).alias(c))
+        q = F.array(*[F.lit(v).cast("double") for v in quantiles(df, c, (0.25, 0.5, 0.75, 0.95))])
+        measures.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), q.alias("q"), F.max(x).alias("high"), F.skewness(x).alias("skew")).alias(c))
     flat = df.agg(*measures).select(F.explode(F.array(*[F.col(c) for c in columns])).alias("s")).select("s.*")
     r = lambda c: F.round(c, 6)
     return flat.select("column_name", "n", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), "low", *[r(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95"))], "high", r(F.col("skew")).alias("skew"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
@@ -14,7 +14,7 @@ from brindle.operators import clusters, cox, forest, rules, scoring
 from brindle.operators import sequences as W
 from brindle.operators import summaries as A
 from brindle.plans.catalog import register
-from brindle.plans.datasets import CELL, PROMOTION_DAILY_CTE, STOCKOUT_SQL, ds01, ds02, ds03, ds05, ds07
+from brindle.plans.datasets import CELL, PROMOTION_DAILY_CTE, SEGMENTATION_SQL, STOCKOUT_SQL, ds01, ds02, ds03, ds05, ds07
 from brindle.sources import roles
 from brindle.sources.roles import oracle, table
 
@@ -143,19 +143,28 @@ def so10(spark: SparkSession, d: str) -> DataFrame:
     return scoring.curve(_scored(spark, d), "y", "p")
 
 
-@register("so06_balanced_logistic")
-def so06(spark: SparkSession, d: str) -> DataFrame:
-    """A logistic model with balanced class weights, judged on later days."""
+def _judged(spark: SparkSession, d: str, model) -> DataFrame:
+    """Ranking metrics on later days of a stockout model that is fitted with balanced class weights."""
     frame = ds02(spark, d).filter("stockout_within_7d is not null and available > 0").withColumn("y", F.col("stockout_within_7d").cast("int"))
     frame = frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("available", "replenishment_sum_7d", "sales_velocity_7d")})
     train, test = frame.filter(F.col("d") <= roles.split_day(spark, d, 0.7)), frame.filter(F.col("d") > F.date_add(F.lit(roles.split_day(spark, d, 0.7)).cast("date"), 7))
     n = train.groupBy("y").count().withColumn("weight", F.sum("count").over(Window.partitionBy()) / (2 * F.col("count"))).drop("count")
     vectors = VectorAssembler(inputCols=["available", "replenishment_sum_7d", "sales_velocity_7d"], outputCol="v")
-    model = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=0.01).fit(vectors.transform(train.join(F.broadcast(n), "y")))
-    scored = model.transform(vectors.transform(test)).select("y", F.round(vector_to_array("probability")[1], 6).alias("p"))
+    fitted = model.fit(vectors.transform(train.join(F.broadcast(n), "y")))
+    scored = fitted.transform(vectors.transform(test)).select("y", F.round(vector_to_array("probability")[1], 6).alias("p"))
     return scoring.ranking_metrics(scored, "y", "p")
 
 
+@register("so06_balanced_logistic")
+def so06(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d, LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight", regParam=0.01))
+
+
+@register("so06_boosted_trees")
+def so06_boosted(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d, GBTClassifier(featuresCol="v", labelCol="y", weightCol="weight", maxIter=10, maxDepth=4, seed=7))
+
+
 # ---- survival
 
 _COHORT_SQL = f"cohort AS (SELECT * FROM (SELECT warehouse_id, category, d, available, event_observed, CASE WHEN event_observed THEN event_time_days ELSE censor_time_days END AS t FROM ({STOCKOUT_SQL})) WHERE available > 0 AND t > 0)"
@@ -246,6 +255,25 @@ def sg06(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_quality(points, "cluster", ["x", "y"])
 
 
+@register("sg06_silhouette", oracle(f"WITH {_LATEST_SQL}, p AS (SELECT store_id, store_id % 3 AS cluster, revenue_30d AS x, units_30d::DOUBLE AS y FROM latest), k AS (SELECT a.store_id, a.cluster, b.cluster AS other, count(*) AS n, sum(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS s FROM p a CROSS JOIN p b GROUP BY ALL), m AS (SELECT store_id, cluster, max(s / nullif(n - 1, 0)) FILTER (WHERE cluster = other) AS a, min(s / n) FILTER (WHERE cluster <> other) AS b FROM k GROUP BY ALL), v AS (SELECT cluster, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM m) SELECT cluster::BIGINT AS cluster, count(*) AS n, round(avg(s), 6) AS silhouette FROM v GROUP BY 1 UNION ALL SELECT NULL, count(*), round(avg(s), 6) FROM v", "sales"))
+def sg06_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    points = _latest(spark, d).select((F.col("store_id") % 3).alias("cluster"), F.col("revenue_30d").alias("x"), F.col("units_30d").cast("double").alias("y"))
+    return clusters.silhouette(points, "cluster", ["x", "y"])
+
+
+@register("sg06_label_retention", oracle(f"WITH h AS ({SEGMENTATION_SQL}), e AS (SELECT quantile_cont(revenue_30d, [0.25, 0.75]) AS e FROM h WHERE snapshot_date = (SELECT max(snapshot_date) FROM h)), l AS (SELECT snapshot_date, store_id, CASE WHEN revenue_30d < e[1] THEN 0 WHEN revenue_30d < e[2] THEN 1 ELSE 2 END AS k FROM h, e), j AS (SELECT l.snapshot_date, l.k AS a, r.k AS b FROM l JOIN l r ON l.store_id = r.store_id AND r.snapshot_date = (SELECT max(snapshot_date) FROM h) WHERE l.snapshot_date < r.snapshot_date), n AS (SELECT snapshot_date, count(*) AS n, avg((a = b)::INT) AS same FROM j GROUP BY 1), t AS (SELECT snapshot_date, sum(c * (c - 1) / 2) AS s FROM (SELECT snapshot_date, count(*) AS c FROM j GROUP BY snapshot_date, a, b) GROUP BY 1), ta AS (SELECT snapshot_date, sum(c * (c - 1) / 2) AS s FROM (SELECT snapshot_date, count(*) AS c FROM j GROUP BY snapshot_date, a) GROUP BY 1), tb AS (SELECT snapshot_date, sum(c * (c - 1) / 2) AS s FROM (SELECT snapshot_date, count(*) AS c FROM j GROUP BY snapshot_date, b) GROUP BY 1) SELECT snapshot_date, n AS n_rows, round(same, 6) AS retention, round(CASE WHEN (ta.s + tb.s) / 2 = ta.s * tb.s / (n * (n - 1) / 2) THEN 1.0 ELSE (t.s - ta.s * tb.s / (n * (n - 1) / 2)) / ((ta.s + tb.s) / 2 - ta.s * tb.s / (n * (n - 1) / 2)) END, 6) AS adjusted_rand FROM n JOIN t USING (snapshot_date) JOIN ta USING (snapshot_date) JOIN tb USING (snapshot_date)", "sales"))
+def sg06_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Revenue groups of the stores at earlier snapshots against those at the latest, by the latest one's cuts."""
+    history = ds03(spark, d).persist()
+    last = _latest(spark, d)
+    low, high = A.quantiles(last, "revenue_30d", [0.25, 0.75])
+    label = F.when(F.col("revenue_30d") < F.lit(low), 0).when(F.col("revenue_30d") < F.lit(high), 1).otherwise(2)
+    latest_day = F.broadcast(last.agg(F.max("snapshot_date").alias("_last")))
+    labelled = history.crossJoin(latest_day).select("snapshot_date", "_last", "store_id", label.alias("a"))  # one row joined
+    reference = labelled.filter("snapshot_date = _last").select("store_id", F.col("a").alias("b"))
+    return clusters.label_agreement(labelled.filter("snapshot_date < _last").join(reference, "store_id"), "a", "b", ["snapshot_date"])
+
+
 # ---- anomaly
 
 _Z_SQL = f"z AS (SELECT d, cell_id, category, event_units, n, CASE WHEN n >= 2 AND std > 0 THEN round((event_units - mean) / std, 6) END AS z, n >= 2 AS scorable, CASE WHEN n < 2 THEN 'NONE' WHEN std > 0 THEN CASE WHEN (event_units - mean) / std >= 3 THEN 'HIGH' WHEN (event_units - mean) / std <= -3 THEN 'LOW' ELSE 'NONE' END WHEN event_units > mean THEN 'HIGH' WHEN event_units < mean THEN 'LOW' ELSE 'NONE' END AS direction FROM (SELECT d, cell_id, category, units AS event_units, count(*) OVER w AS n, avg(units) OVER w AS mean, stddev_samp(units) OVER w AS std FROM grid WHERE units > 0 WINDOW w AS (PARTITION BY cell_id, category ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.operators import eda, forest, scoring, serving
 from brindle.operators.contracts import Feature, Signature
 from brindle.operators.sequences import latest
-from brindle.plans.analytics import _COMPARISON_SQL, _LATEST_SQL, _SCORED_SQL, _Z_SQL, _cohort, _latest, _rules, _scored, an01, bk04, pr03
+from brindle.plans.analytics import _COMPARISON_SQL, _LATEST_SQL, _Z_SQL, _cohort, _latest, _rules, _scored, _table_sql, an01, bk04, pr03
 from brindle.plans.analytics import _PERIOD_SQL
 from brindle.plans.catalog import register
 from brindle.plans.datasets import CELL, EPISODES_CTE, PROMOTION_DAILY_CTE, ds02, ds03, ds05, ds07, ds09
@@ -109,17 +109,13 @@ def so08(spark: SparkSession, d: str) -> DataFrame:
 
 @register("sv05_proportionality")
 def sv05(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation of the Schoenfeld residuals of one covariate with time: near zero where hazards are proportional."""
+    """The test of proportional hazards by Schoenfeld residuals, one row a covariate."""
     from brindle.operators import cox
 
-    frame = _cohort(spark, d).select("t", "event_observed", (F.col("available") / 50.0).alias("stock")).cache()
-    beta = cox.fit_cox(frame, "t", "event_observed", ["stock"])
-    w = F.exp(F.col("stock") * float(beta[0]))
-    at = frame.groupBy("t").agg(F.sum(w).alias("w"), F.sum(w * F.col("stock")).alias("wx"))  # one row a duration
-    risk = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    mean = at.select("t", (F.sum("wx").over(risk) / F.sum("w").over(risk)).alias("mean"))
-    residual = frame.filter("event_observed").join(F.broadcast(mean), "t").select("t", (F.col("stock") - F.col("mean")).alias("r"))
-    return residual.agg(F.count(F.lit(1)).alias("n_events"), F.round(F.corr("t", "r"), 6).alias("residual_time_correlation"))
+    columns = ["stock", "velocity"]
+    frame = _cohort(spark, d).select("t", "event_observed", (F.col("available") / 50.0).alias("stock"), (F.coalesce("sales_velocity_7d", F.lit(0.0)) / 20.0).alias("velocity")).cache()
+    found = cox.proportionality(frame, "t", "event_observed", columns, cox.fit_cox(frame, "t", "event_observed", columns))
+    return spark.createDataFrame([(c, n, round(s, 4), round(q, 6)) for c, n, s, q in found], "covariate string, n_events long, statistic double, p_value double")
 
 
 @register("sg01_latest_cohort", oracle("WITH s AS (SELECT store_id, max(sale_date) AS last_day, count(DISTINCT sale_date) AS n_days FROM sales GROUP BY 1) SELECT * FROM s WHERE last_day >= DATE '2001-01-01'", "sales"))
@@ -216,22 +212,25 @@ def ed01(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "dataset string, n_rows long, repeated_keys long, target_coverage double, readiness string, n_findings int")
 
 
-@register("rp03_metric_agreement", f"WITH {_SCORED_SQL} SELECT count(*) AS n, 0::BIGINT AS n_disagreeing FROM scored LIMIT 1")
+@register("rp03_metric_agreement", f"WITH {_table_sql()}, a AS (SELECT sum(pos + neg)::BIGINT AS n, sum(pos / all_pos::DOUBLE * tp / (tp + fp)) AS a FROM t), b AS (SELECT avg(precision) AS b FROM scored JOIN (SELECT p, tp / (tp + fp)::DOUBLE AS precision FROM t) USING (p) WHERE y = 1) SELECT n, round(a, 6) AS average_precision, (abs(a - b) > 1e-6)::BIGINT AS n_disagreeing FROM a, b")
 def rp03(spark: SparkSession, d: str) -> DataFrame:
-    """Average precision by the ranking table and again from the curve's steps must agree."""
+    """Average precision by the ranking table and again as the mean precision at the scores of the positive rows."""
     df = _scored(spark, d)
-    a = scoring.ranking_metrics(df, "y", "p").select("n", F.col("average_precision").alias("a"))
-    steps = scoring.score_table(df, "y", "p").agg(F.round(F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("b"))
-    return a.crossJoin(steps).select("n", F.when(F.abs(F.col("a") - F.col("b")) <= 1e-9, 0).otherwise(1).cast("long").alias("n_disagreeing"))
+    a = scoring.ranking_metrics(df, "y", "p").select("n", "average_precision")
+    at = scoring.score_table(df, "y", "p").select(F.col("score").alias("p"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    b = df.filter("y = 1").join(at, "p").agg(F.avg("precision").alias("b"))
+    return a.crossJoin(b).select("n", "average_precision", (F.abs(F.col("average_precision") - F.col("b")) > 1e-6).cast("long").alias("n_disagreeing"))  # one row each
 
 
-@register("u05_itemsets_agree", "SELECT 0::BIGINT AS n_only_first, 0::BIGINT AS n_only_second")
+@register("u05_itemsets_agree", oracle("WITH i AS (SELECT DISTINCT order_id, brand FROM sales), c AS (SELECT brand AS a, '' AS b, count(*) AS n FROM i GROUP BY 1 UNION ALL SELECT x.brand, y.brand, count(*) FROM i x JOIN i y ON x.order_id = y.order_id AND x.brand < y.brand GROUP BY 1, 2) SELECT count(*) AS n_itemsets, sum(n)::BIGINT AS n_occurrences, 0::BIGINT AS n_only_first, 0::BIGINT AS n_only_second FROM c WHERE n >= 0.01 * (SELECT count(DISTINCT order_id) FROM i)", "sales"))
 def u05(spark: SparkSession, d: str) -> DataFrame:
-    """Itemsets by frequent-pattern growth and by counting are the same."""
+    """Itemsets by frequent-pattern growth and by counting are the same; how many there are, and their occurrences."""
     from brindle.operators import rules, sets
 
     rows = roles.sales(spark, d).select("order_id", "brand")
-    return sets.differences(rules.frequent_itemsets(rows, "order_id", "brand", 0.01), rules.counted_itemsets(rows, "order_id", "brand", 0.01))
+    grown = rules.frequent_itemsets(rows, "order_id", "brand", 0.01).persist()
+    totals = grown.agg(F.count(F.lit(1)).alias("n_itemsets"), F.sum("n").alias("n_occurrences"))
+    return totals.crossJoin(sets.differences(grown, rules.counted_itemsets(rows, "order_id", "brand", 0.01)))  # one row each
 
 
 @register("u04_purged_training_rows", oracle(f"WITH {EPISODES_CTE}, x AS (SELECT i.warehouse_id, i.category, i.d, i.warehouse_id || ':' || i.category || ':' || e.episode_start AS episode FROM inventory i LEFT JOIN episodes e ON e.warehouse_id = i.warehouse_id AND e.category = i.category AND e.episode_start <= i.d AND (e.recovery_date IS NULL OR i.d < e.recovery_date)) SELECT warehouse_id, category, d FROM x WHERE d < DATE '1997-02-15' AND (episode IS NULL OR episode NOT IN (SELECT episode FROM x WHERE d >= DATE '1997-02-15' AND episode IS NOT NULL))", "inventory"))

@@ -102,12 +102,36 @@ def q04(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@register("q05_rejected_inserts", "SELECT * FROM (VALUES ('negative_quantity', 1), ('bad_status', 1), ('discount_above_one', 1), ('valid', 0)) t(case_name, rejected)")
+_INSERTS = {"orphan_order": {"o": "-1"}, "orphan_part": {"p": "-1"}, "negative_quantity": {"quantity": "-1"}, "duplicate_line_grain": {"line": "l"}, "duplicate_order_grain": {"fresh": "o"}, "promotion_range_turned": {"stop": "0"}, "price_above_regular": {"price": "2"}, "valid": {}}
+_INSERT_FIELDS = {"o": "o", "p": "p", "line": "99", "fresh": "-2", "quantity": "1", "start": "1", "stop": "1", "price": "1", "regular": "1"}
+
+
+def _inserted(case: str) -> list[str]:
+    """The values of one row to be inserted: those of a good row but for the case's own."""
+    return [f"{_INSERTS[case].get(f, v)} AS new_{f}" for f, v in _INSERT_FIELDS.items()]
+
+
+@register("q05_rejected_inserts", "WITH first AS (SELECT l_orderkey AS o, l_linenumber AS l, l_partkey AS p FROM lineitem ORDER BY 1, 2, 3 LIMIT 1), new AS (" + " UNION ALL ".join(f"SELECT '{c}' AS case_name, {', '.join(_inserted(c))} FROM first" for c in _INSERTS) + ") SELECT case_name, (new_o NOT IN (SELECT o_orderkey FROM orders) OR new_p NOT IN (SELECT p_partkey FROM part) OR new_quantity <= 0 OR new_stop < new_start OR new_price > new_regular OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = new_o AND l_linenumber = new_line) OR new_fresh IN (SELECT o_orderkey FROM orders))::INT AS rejected FROM new")
 def q05(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that the table checks must refuse."""
-    rows = spark.createDataFrame([("negative_quantity", -1.0, "O", 0.0), ("bad_status", 1.0, "X", 0.0), ("discount_above_one", 1.0, "O", 1.5), ("valid", 1.0, "F", 0.1)], "case_name string, l_quantity double, l_linestatus string, l_discount double")
-    ok = F.expr("l_quantity > 0 and l_linestatus in ('O', 'F') and l_discount between 0 and 1")
-    return rows.select("case_name", (~ok).cast("int").alias("rejected"))
+    """Rows that the tables' keys, references and checks must refuse, and one that they must take."""
+    lines, orders, parts = (table(spark, d, n) for n in ("lineitem", "orders", "part"))
+    first = lines.agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("f")).select(F.col("f.l_orderkey").alias("o"), F.col("f.l_linenumber").alias("l"), F.col("f.l_partkey").alias("p"))
+    cases = [F.struct(F.lit(c).alias("case_name"), *[F.expr(x) for x in _inserted(c)]) for c in _INSERTS]
+    new = F.broadcast(first.select(F.explode(F.array(*cases)).alias("x")).select("x.*"))  # eight rows
+
+    def known(others: DataFrame, matched, name: str) -> DataFrame:
+        """The cases that have a match, which is looked for among all rows."""
+        return others.join(new, matched).select("case_name").distinct().withColumn(name, F.lit(True))
+
+    found = [
+        known(orders, F.col("o_orderkey") == F.col("new_o"), "has_order"), known(parts, F.col("p_partkey") == F.col("new_p"), "has_part"),
+        known(lines, (F.col("l_orderkey") == F.col("new_o")) & (F.col("l_linenumber") == F.col("new_line")), "has_line"), known(orders, F.col("o_orderkey") == F.col("new_fresh"), "has_fresh"),
+    ]
+    rows = new
+    for f in found:
+        rows = rows.join(f, "case_name", "left")
+    bad = F.expr("has_order is null or has_part is null or has_line or has_fresh or new_quantity <= 0 or new_stop < new_start or new_price > new_regular")
+    return rows.select("case_name", F.coalesce(bad, F.lit(False)).cast("int").alias("rejected"))
 
 
 @register("q06_row_reconciliation", "SELECT * FROM (SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS n_source, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) AS n_target)")

@@ -1,5 +1,7 @@
 """Literal cases of the analytical operators."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,49 @@ def test_kmeans_is_stable(spark):
 def test_tukey(spark, value, n):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 5, value)], "x double")
     assert A.tukey_outliers(df, "x").first().n_outliers == n
+
+
+def efron(rows, beta):
+    """Efron's log likelihood, written out."""
+    total = 0.0
+    for t in {t for t, e, *_ in rows if e}:
+        weight = lambda x: math.exp(sum(b * v for b, v in zip(beta, x)))
+        dead = [x for s, e, *x in rows if s == t and e]
+        at_risk, tied = sum(weight(x) for s, _, *x in rows if s >= t), sum(weight(x) for x in dead)
+        total += sum(math.log(weight(x)) for x in dead) - sum(math.log(at_risk - k / len(dead) * tied) for k in range(len(dead)))
+    return total - 0.05 * sum(b * b for b in beta)
+
+
+def test_cox_is_at_the_top_of_efrons_likelihood(spark):
+    rows = [(1 + i * 7 % 4, i % 3 != 0, (i * 37 % 10) / 10, (i * i % 7) / 7) for i in range(80)]
+    df = spark.createDataFrame(rows, "t int, e boolean, a double, b double")
+    beta, h = list(cox.fit_cox(df, "t", "e", ["a", "b"], penalty=0.1)), 1e-4
+    for j in range(2):
+        up, down = [b + h * (i == j) for i, b in enumerate(beta)], [b - h * (i == j) for i, b in enumerate(beta)]
+        assert efron(rows, up) - efron(rows, down) == pytest.approx(0, abs=1e-7)
+    tests = cox.proportionality(df, "t", "e", ["a", "b"], beta)
+    assert all(n == sum(e for _, e, *_ in rows) and s >= 0 and 0 <= p <= 1 for _, n, s, p in tests)
+    none = spark.createDataFrame([(1, False, 0.1, 0.2)], "t int, e boolean, a double, b double")
+    assert list(cox.fit_cox(none, "t", "e", ["a", "b"])) == [0, 0] and cox.proportionality(none, "t", "e", ["a", "b"], [0, 0])[0][1] == 0
+
+
+def test_inverse_sums_agree_beyond_the_direct_range():
+    for a, d in ((10_500.5, 10_400), (30_000.0, 30_000), (1e6, 20_000)):
+        x = [1 / (a - k) for k in range(d)]
+        assert cox._inverse_sums(a, d) == pytest.approx((sum(x), sum(v * v for v in x)), rel=1e-9)
+
+
+def test_proportionality_finds_a_trend(spark):
+    # The effect of x turns its sign with time.
+    rows = [(t, True, 1.0 if (i % 10 < 8) == (t <= 4) else 0.0) for t in range(1, 9) for i in range(40)]
+    df = spark.createDataFrame(rows, "t int, e boolean, x double")
+    (_, _, statistic, p), = cox.proportionality(df, "t", "e", ["x"], cox.fit_cox(df, "t", "e", ["x"]))
+    assert statistic > 10 and p < 0.01
+
+
+def test_lone_points_and_equal_labels(spark):
+    df = spark.createDataFrame([(0, 0.0), (0, 2.0), (1, 9.0)], "k int, x double")
+    got = {r.cluster: (r.n, r.silhouette) for r in clusters.silhouette(df, "k", ["x"]).collect()}
+    assert got[1] == (1, 0.0) and got[0] == (2, pytest.approx(((81 - 4) / 81 + (49 - 4) / 49) / 2, abs=1e-6)) and got[None][0] == 3
+    same = spark.createDataFrame([("d", 1, 1), ("d", 2, 2), ("d", 2, 2)], "g string, a int, b int")
+    assert clusters.label_agreement(same, "a", "b", ["g"]).first()[1:] == (3, 1.0, 1.0)
