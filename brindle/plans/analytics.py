@@ -87,12 +87,14 @@ def fc04(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- stockout classification
 
-#: Labels and scores for the metrics: returned lines against a fixed rule.
-_SCORED_SQL = "scored AS (SELECT (l_returnflag = 'R')::INT AS y, ((l_orderkey * 7 + l_partkey * 13) % 1000) / 1000.0::DOUBLE AS p, l_linestatus AS grp FROM lineitem)"
+#: Labels and scores for the metrics: a stockout within a week, by a logistic rule of the stock at hand.
+_SCORED_SQL = f"scored AS (SELECT stockout_within_7d::INT AS y, round(1 / (1 + exp((least(available, 500) - 20) / 10.0::DOUBLE)), 6) AS p, category AS grp FROM ({STOCKOUT_SQL}) WHERE available > 0 AND stockout_within_7d IS NOT NULL)"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (((F.col("l_orderkey") * 7 + F.col("l_partkey") * 13) % 1000) / 1000.0).alias("p"), F.col("l_linestatus").alias("grp"))
+    known = ds02(spark, d).filter("available > 0 and stockout_within_7d is not null")
+    p = F.round(1 / (1 + F.exp((F.least("available", F.lit(500)) - 20) / 10.0)), 6)
+    return known.select(F.col("stockout_within_7d").cast("int").alias("y"), p.alias("p"), F.col("category").alias("grp"))
 
 
 @register("so03_rule_baselines", oracle(f"WITH s AS ({STOCKOUT_SQL}) SELECT warehouse_id, category, d, 0 AS never, (available <= 20)::INT AS at_reorder, (available <= 5)::INT AS at_safety, (coalesce(sales_velocity_7d, 0) > 0 AND available / nullif(sales_velocity_7d, 0) <= 7)::INT AS low_cover FROM s", "inventory"))
@@ -102,8 +104,8 @@ def so03(spark: SparkSession, d: str) -> DataFrame:
     return ds02(spark, d).select("warehouse_id", "category", "d", F.lit(0).alias("never"), (F.col("available") <= 20).cast("int").alias("at_reorder"), (F.col("available") <= 5).cast("int").alias("at_safety"), F.coalesce(cover, F.lit(False)).cast("int").alias("low_cover"))
 
 
-_RANKING = """SELECT {by}sum(pos + neg)::BIGINT AS n, round(sum(pos / all_pos::DOUBLE * tp / (tp + fp)), 6) AS average_precision,
-  round(sum(pos * (all_neg - fp + neg / 2.0::DOUBLE)) / (max(all_pos)::DOUBLE * max(all_neg)), 6) AS roc_auc,
+_RANKING = """SELECT {by}sum(pos + neg)::BIGINT AS n, round(sum(pos / nullif(all_pos, 0)::DOUBLE * tp / (tp + fp)), 6) AS average_precision,
+  round(sum(pos * (all_neg - fp + neg / 2.0::DOUBLE)) / nullif(max(all_pos)::DOUBLE * max(all_neg), 0), 6) AS roc_auc,
   round(sum(pos * (1 - p) * (1 - p) + neg * p * p) / sum(pos + neg), 6) AS brier, round(sum(pos) / sum(pos + neg)::DOUBLE, 6) AS prevalence FROM t {group}"""
 
 
@@ -113,32 +115,32 @@ def _table_sql(by: str = "") -> str:
     return f"{_SCORED_SQL}, c AS (SELECT {cols}p, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM scored GROUP BY ALL), t AS (SELECT *, sum(pos) OVER ({part}ORDER BY p DESC) AS tp, sum(neg) OVER ({part}ORDER BY p DESC) AS fp, sum(pos) OVER ({part}) AS all_pos, sum(neg) OVER ({part}) AS all_neg FROM c)"
 
 
-@register("so04_ranking_metrics", f"WITH {_table_sql()} " + _RANKING.format(by="", group=""))
+@register("so04_ranking_metrics", oracle(f"WITH {_table_sql()} " + _RANKING.format(by="", group=""), "inventory"))
 def so04(spark: SparkSession, d: str) -> DataFrame:
     return scoring.ranking_metrics(_scored(spark, d), "y", "p")
 
 
-@register("so04_confusion", f"WITH {_SCORED_SQL}, m AS (SELECT count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp, count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn FROM scored) SELECT *, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM m")
+@register("so04_confusion", oracle(f"WITH {_SCORED_SQL}, m AS (SELECT count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp, count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn FROM scored) SELECT *, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM m", "inventory"))
 def so04_confusion(spark: SparkSession, d: str) -> DataFrame:
     return scoring.confusion(_scored(spark, d), "y", "p", 0.5)
 
 
-@register("so05_best_threshold", f"WITH {_table_sql()}, k AS (SELECT p AS threshold, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / all_pos::DOUBLE, 6) AS recall, round(fp / all_neg::DOUBLE, 6) AS fpr, round(2 * tp / (tp + fp + all_pos)::DOUBLE, 6) AS f1 FROM t) SELECT * FROM k ORDER BY f1 DESC, threshold LIMIT 1")
+@register("so05_best_threshold", oracle(f"WITH {_table_sql()}, k AS (SELECT p AS threshold, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / all_pos::DOUBLE, 6) AS recall, round(fp / all_neg::DOUBLE, 6) AS fpr, round(2 * tp / (tp + fp + all_pos)::DOUBLE, 6) AS f1 FROM t) SELECT * FROM k ORDER BY f1 DESC, threshold LIMIT 1", "inventory"))
 def so05(spark: SparkSession, d: str) -> DataFrame:
     return scoring.best_threshold(_scored(spark, d), "y", "p")
 
 
-@register("so07_calibration", f"WITH {_SCORED_SQL}, e AS (SELECT quantile_cont(p, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS edges FROM scored) SELECT len(list_filter(edges, lambda x: x < p))::INT AS bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS observed_rate FROM scored, e GROUP BY 1")
+@register("so07_calibration", oracle(f"WITH {_SCORED_SQL}, e AS (SELECT quantile_cont(p, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS edges FROM scored) SELECT len(list_filter(edges, lambda x: x < p))::INT AS bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS observed_rate FROM scored, e GROUP BY 1", "inventory"))
 def so07(spark: SparkSession, d: str) -> DataFrame:
     return scoring.calibration(_scored(spark, d), "y", "p")
 
 
-@register("so09_sliced_metrics", f"WITH {_table_sql('grp')} " + _RANKING.format(by="grp, ", group="GROUP BY grp"))
+@register("so09_sliced_metrics", oracle(f"WITH {_table_sql('grp')} " + _RANKING.format(by="grp, ", group="GROUP BY grp"), "inventory"))
 def so09(spark: SparkSession, d: str) -> DataFrame:
     return scoring.ranking_metrics(_scored(spark, d), "y", "p", ["grp"])
 
 
-@register("so10_threshold_curves", f"WITH {_table_sql()} SELECT p AS threshold, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / all_pos::DOUBLE, 6) AS recall, round(fp / all_neg::DOUBLE, 6) AS fpr, round(2 * tp / (tp + fp + all_pos)::DOUBLE, 6) AS f1 FROM t")
+@register("so10_threshold_curves", oracle(f"WITH {_table_sql()} SELECT p AS threshold, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / all_pos::DOUBLE, 6) AS recall, round(fp / all_neg::DOUBLE, 6) AS fpr, round(2 * tp / (tp + fp + all_pos)::DOUBLE, 6) AS f1 FROM t", "inventory"))
 def so10(spark: SparkSession, d: str) -> DataFrame:
     return scoring.curve(_scored(spark, d), "y", "p")
 

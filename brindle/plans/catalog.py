@@ -25,6 +25,11 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def registered(name: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """A query that is registered already, and its oracle."""
+    return _QUERIES[name], _ORACLES[name]
+
+
 def _load() -> None:
     """Import the modules that register queries."""
     for name in MODULES:

@@ -212,7 +212,7 @@ def ed01(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "dataset string, n_rows long, repeated_keys long, target_coverage double, readiness string, n_findings int")
 
 
-@register("rp03_metric_agreement", f"WITH {_table_sql()}, a AS (SELECT sum(pos + neg)::BIGINT AS n, sum(pos / all_pos::DOUBLE * tp / (tp + fp)) AS a FROM t), b AS (SELECT avg(precision) AS b FROM scored JOIN (SELECT p, tp / (tp + fp)::DOUBLE AS precision FROM t) USING (p) WHERE y = 1) SELECT n, round(a, 6) AS average_precision, (abs(a - b) > 1e-6)::BIGINT AS n_disagreeing FROM a, b")
+@register("rp03_metric_agreement", oracle(f"WITH {_table_sql()}, a AS (SELECT sum(pos + neg)::BIGINT AS n, sum(pos / all_pos::DOUBLE * tp / (tp + fp)) AS a FROM t), b AS (SELECT avg(precision) AS b FROM scored JOIN (SELECT p, tp / (tp + fp)::DOUBLE AS precision FROM t) USING (p) WHERE y = 1) SELECT n, round(a, 6) AS average_precision, (abs(a - b) > 1e-6)::BIGINT AS n_disagreeing FROM a, b", "inventory"))
 def rp03(spark: SparkSession, d: str) -> DataFrame:
     """Average precision by the ranking table and again as the mean precision at the scores of the positive rows."""
     df = _scored(spark, d)
