@@ -118,10 +118,10 @@ def target_coverage(spark: SparkSession, d: str) -> DataFrame:
     return ds01(spark, d).groupBy("category").agg(F.round(F.avg(F.col("target_complete").cast("int")), 6).alias("coverage"), F.count("scheduled_price").alias("n_priced"))
 
 
-def bands(value: str, edges: tuple[float, ...], name: str) -> tuple[Column, str]:
-    """The number of edges at or below the value, as a column and as SQL; null for a null value."""
+def bands(value: str, edges: tuple[float, ...], name: str) -> tuple[Callable[[], Column], str]:
+    """The number of edges at or below the value, null for a null value: what builds the column when a query runs, and the SQL."""
     text = " + ".join(f"({value} >= {e})::INT" for e in edges)
-    return sum(((F.col(value) >= e).cast("int") for e in edges), F.lit(0)).alias(name), f"({text})::INT AS {name}"
+    return lambda: sum(((F.col(value) >= e).cast("int") for e in edges), F.lit(0)).alias(name), f"({text})::INT AS {name}"
 
 
 def share(n: Column, of: str, name: str) -> Column:
@@ -133,7 +133,7 @@ over("bi07_anomaly_kpis", "an01_z_scores", lambda z: z.agg(rows().alias("n_event
 over("bi07_method_shares", "an03_agreement", lambda a: a.crossJoin(F.broadcast(a.agg(F.sum("n").alias("_t")))).select("agreement", "n", F.round(F.col("n") / F.col("_t"), 6).alias("share")), "SELECT agreement, n, round(n / sum(n) OVER ()::DOUBLE, 6) AS share FROM result")
 over("bi07_rule_kpis", "bk02_pair_rules", lambda r: r.agg(rows().alias("n_rules"), F.max("lift").alias("max_lift"), F.round(F.avg("confidence") * 100, 4).alias("mean_confidence_pct")), "SELECT count(*) AS n_rules, max(lift) AS max_lift, round(avg(confidence) * 100, 4) AS mean_confidence_pct FROM result")
 _band, _band_sql = bands("confidence", (0.25, 0.35, 0.45), "band")
-over("bi07_confidence_bands", "bk02_pair_rules", lambda r, b=_band: r.groupBy(b).agg(rows().alias("n_rules"), F.max("lift").alias("max_lift")), f"SELECT {_band_sql}, count(*) AS n_rules, max(lift) AS max_lift FROM result GROUP BY 1")
+over("bi07_confidence_bands", "bk02_pair_rules", lambda r, b=_band: r.groupBy(b()).agg(rows().alias("n_rules"), F.max("lift").alias("max_lift")), f"SELECT {_band_sql}, count(*) AS n_rules, max(lift) AS max_lift FROM result GROUP BY 1")
 over("bi07_recommended_products", "bk02_pair_rules", lambda r: r.groupBy(F.col("consequent").alias("product")).agg(rows().alias("n_rules")).orderBy(F.desc("n_rules"), "product").limit(10), "SELECT consequent AS product, count(*) AS n_rules FROM result GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 over("bi07_rule_pairs", "bk02_pair_rules", lambda r: r.select(F.concat_ws(" -> ", "antecedent", "consequent").alias("rule_pair"), F.round("lift", 3).alias("lift")).orderBy(F.desc("lift"), "rule_pair").limit(10), "SELECT antecedent || ' -> ' || consequent AS rule_pair, round(lift, 3) AS lift FROM result ORDER BY 2 DESC, 1 LIMIT 10")
 over("bi07_error_by_category", "fc01_baselines", lambda f: f.groupBy("category").agg(F.round(F.avg(F.abs(F.col("trailing_week") - F.col("y"))), 6).alias("mae"), rows().alias("n_rows")), "SELECT category, round(avg(abs(trailing_week - y)), 6) AS mae, count(*) AS n_rows FROM result GROUP BY 1")
@@ -143,12 +143,12 @@ over("bi07_campaign_rates", "pr02_period_rates", lambda p: p.groupBy(F.concat(F.
 over("bi07_promotion_lift_by_category", "pr03_comparisons", lambda p: p.groupBy("category", "comparison").agg(F.round(F.avg("relative_change") * 100, 4).alias("mean_change_pct"), F.count("relative_change").alias("n")), "SELECT category, comparison, round(avg(relative_change) * 100, 4) AS mean_change_pct, count(relative_change) AS n FROM result GROUP BY ALL")
 over("bi07_lift_classes", "pr03_comparisons", lambda p: p.groupBy("comparison", F.when(F.col("relative_change") > 0, "up").when(F.col("relative_change") < 0, "down").when(F.col("relative_change") == 0, "flat").otherwise("unknown").alias("class")).agg(rows().alias("n")), "SELECT comparison, CASE WHEN relative_change > 0 THEN 'up' WHEN relative_change < 0 THEN 'down' WHEN relative_change = 0 THEN 'flat' ELSE 'unknown' END AS class, count(*) AS n FROM result GROUP BY ALL")
 _band, _band_sql = bands("margin", (0.5, 1.0, 1.5), "band")
-over("bi07_margin_bands", "sg05_nearest_centroid", lambda c, b=_band: c.groupBy("cluster", b).agg(rows().alias("n_stores")), f"SELECT cluster, {_band_sql}, count(*) AS n_stores FROM result GROUP BY ALL")
+over("bi07_margin_bands", "sg05_nearest_centroid", lambda c, b=_band: c.groupBy("cluster", b()).agg(rows().alias("n_stores")), f"SELECT cluster, {_band_sql}, count(*) AS n_stores FROM result GROUP BY ALL")
 over("bi07_segment_sizes", "sg05_nearest_centroid", lambda c: c.groupBy("cluster").agg(rows().alias("n_stores"), F.round(F.avg("distance"), 4).alias("mean_distance")), "SELECT cluster, count(*) AS n_stores, round(avg(distance), 4) AS mean_distance FROM result GROUP BY 1")
 over("bi07_cohort_kpis", "ds10_survival_cohort", lambda c: c.groupBy("cohort_status").agg(rows().alias("n"), F.count_if("event_observed").alias("n_events"), total("duration_days", "days")), "SELECT cohort_status, count(*) AS n, count(*) FILTER (WHERE event_observed) AS n_events, sum(duration_days)::BIGINT AS days FROM result GROUP BY 1")
 over("bi07_events_by_warehouse", "ds10_survival_cohort", lambda c: c.groupBy("warehouse_id").agg(rows().alias("n"), share(F.col("event_observed"), "event_observed", "event_share")), "SELECT warehouse_id, count(*) AS n, round(count(*) FILTER (WHERE event_observed) / count(event_observed)::DOUBLE, 6) AS event_share FROM result GROUP BY 1")
 _band, _band_sql = bands("available", (1, 5, 20, 50, 200), "band")
-over("bi07_risk_by_stock_band", "ds02_stockout", lambda s, b=_band: s.groupBy(b).agg(rows().alias("n"), F.count_if("stockout_within_7d").alias("n_stockouts")), f"SELECT {_band_sql}, count(*) AS n, count(*) FILTER (WHERE stockout_within_7d) AS n_stockouts FROM result GROUP BY 1")
+over("bi07_risk_by_stock_band", "ds02_stockout", lambda s, b=_band: s.groupBy(b()).agg(rows().alias("n"), F.count_if("stockout_within_7d").alias("n_stockouts")), f"SELECT {_band_sql}, count(*) AS n, count(*) FILTER (WHERE stockout_within_7d) AS n_stockouts FROM result GROUP BY 1")
 over("bi07_next_stockouts", "ds02_stockout", lambda s: s.filter("first_stockout_date is not null and available > 0").select("d", "warehouse_id", "category", "available", "first_stockout_date").orderBy(F.desc("d"), "available", "warehouse_id", "category").limit(25), "SELECT d, warehouse_id, category, available, first_stockout_date FROM result WHERE first_stockout_date IS NOT NULL AND available > 0 ORDER BY d DESC, available, warehouse_id, category LIMIT 25")
 over("bi07_rule_decisions", "so03_rule_baselines", lambda s: s.groupBy("category").agg(total("at_reorder", "n_at_reorder"), total("at_safety", "n_at_safety"), total("low_cover", "n_low_cover"), rows().alias("n")), "SELECT category, sum(at_reorder)::BIGINT AS n_at_reorder, sum(at_safety)::BIGINT AS n_at_safety, sum(low_cover)::BIGINT AS n_low_cover, count(*) AS n FROM result GROUP BY 1")
 over("bi07_survival_by_warehouse", "sv01_kaplan_meier_by_warehouse", lambda s: s.groupBy("warehouse_id").agg(F.min("survival").alias("last_survival"), total("events", "events")), "SELECT warehouse_id, min(survival) AS last_survival, sum(events)::BIGINT AS events FROM result GROUP BY 1")
