@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import chat_format, decontaminate, lm_score, mixing, quality_knn, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from brindle.llm import chat_format, decontaminate, hard_negatives, lm_score, mixing, packing, phrases, quality_knn, quality_rules, secrets, simhash, suffix_dedup, toxicity
 from brindle.llm.common import table
 
 
@@ -51,6 +53,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=hard_negatives.noisy_label())
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return {**found, "pipeline": corpus_pipeline.run}
@@ -63,4 +77,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix_sources": mixing.ORACLE_SQL,
         "op8_chat_format": chat_format.ORACLE_SQL,
         "op9_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_phrases": phrases.ORACLE_SQL,
+        "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     }
