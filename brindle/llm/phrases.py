@@ -1,6 +1,6 @@
 """Collocations: phrases of two to five words that occur far more often than their parts would by chance.
 
-PCY/DHP hashing, one pass over the texts for each length k.  A pass counts the k-grams that may be frequent, exactly, and at the
+PCY/DHP hashing, one pass over the texts for each length k; the first one stores them as chunks of word numbers.  A pass counts the k-grams that may be frequent, exactly, and at the
 same time counts all (k+1)-grams made of such by hash buckets.  The buckets that reach the least count become a bitmap, the
 frequent k-grams another one; both are broadcast, and the next pass counts a (k+1)-gram only if its bucket and both of its
 k-grams (Apriori) have their bits.  A bitmap has one bit for every ``min_count / 4`` words of the corpus, and ``MOST_BITS`` (64 MB) at
@@ -37,6 +37,7 @@ CLEAN = bytes.maketrans(BREAKS + UPPER, b"." * len(BREAKS) + UPPER.lower())
 CHUNK, MOST_BITS, SLICE = 2_000_000, 1 << 29, 1 << 16
 
 COUNTS = "lang string, phrase string, h long, n long, slice long, packed binary"
+CHUNKS = "ids binary, words binary, lang_of binary, langs array<string>"
 
 
 def segments(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -53,35 +54,45 @@ class Chunk:
     """Texts as one row of word numbers.  0 stands between pieces; one word of two languages has two numbers."""
 
     def __init__(self):
-        self.words: list[tuple[str, bytes]] = [("", b"")]
-        self.hashes = array("Q", [0])
+        self.words, self.lang_of, self.langs = [b""], array("i", [-1]), []
         self.ids = array("i", [0])
         self._of: dict[str, _Numbers] = {}
 
     def add(self, lang: str, text: bytes) -> None:
         numbers = self._of.get(lang)
         if numbers is None:
-            numbers = self._of[lang] = _Numbers(self, lang)
+            numbers = self._of[lang] = _Numbers(self, len(self.langs))
+            self.langs.append(lang)
         for part in segments(text):
             self.ids.extend(map(numbers.__getitem__, part.replace(b".", b" . ").split()))
             self.ids.append(0)
 
-    def phrase(self, at: int, k: int) -> tuple[str, str]:
-        words = [self.words[i] for i in self.ids[at : at + k]]
-        return words[0][0], b" ".join(w for _, w in words).decode()
+    def packed(self) -> list:
+        """The row of :data:`CHUNKS`; no word has a line break."""
+        return [self.ids.tobytes(), b"\n".join(self.words), self.lang_of.tobytes(), self.langs]
+
+    @classmethod
+    def unpacked(cls, ids: bytes, words: bytes, lang_of: bytes, langs: list[str]) -> Chunk:
+        chunk = cls()
+        chunk.ids, chunk.words, chunk.lang_of, chunk.langs = np.frombuffer(ids, np.int32), words.split(b"\n"), np.frombuffer(lang_of, np.int32), langs
+        return chunk
+
+    def hashes(self) -> np.ndarray:
+        seeds = [*map(xxhash.xxh3_64_intdigest, self.langs), 0]
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[k]) for w, k in zip(self.words, self.lang_of)), np.uint64, len(self.words))
 
 
 class _Numbers(dict):
     """Word to number, for one language of a chunk."""
 
-    def __init__(self, chunk: Chunk, lang: str):
+    def __init__(self, chunk: Chunk, lang: int):
         super().__init__({b".": 0})
-        self.chunk, self.lang, self.seed = chunk, lang, xxhash.xxh3_64_intdigest(lang)
+        self.chunk, self.lang = chunk, lang
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.chunk.words)
-        self.chunk.words.append((self.lang, word))
-        self.chunk.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
+        self.chunk.words.append(word)
+        self.chunk.lang_of.append(self.lang)
         return number
 
 
@@ -99,20 +110,36 @@ def has_bit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def tally(ids: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
-    """(a place, the number) of each different k-gram among those at ``at``; by hash, and by words where hashes are equal by chance."""
+def tally(ids: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place and the number of each different k-gram among those at ``at``; by hash, and by words where hashes are equal by chance."""
     _, first, which, n = np.unique(h[at], return_index=True, return_inverse=True, return_counts=True)
     example = at[first]
-    if all((ids[at + j] == ids[example[which] + j]).all() for j in range(k)):
-        yield from zip(example.tolist(), n.tolist())
-        return
-    _, first, n = np.unique(np.stack([ids[at + j] for j in range(k)], axis=1), axis=0, return_index=True, return_counts=True)
-    yield from zip(at[first].tolist(), n.tolist())
+    if not all((ids[at + j] == ids[example[which] + j]).all() for j in range(k)):
+        _, first, n = np.unique(np.stack([ids[at + j] for j in range(k)], axis=1), axis=0, return_index=True, return_counts=True)
+    return at[first], n
+
 
+def _phrases(chunk: Chunk, ids: np.ndarray, h: np.ndarray, at: np.ndarray, n: np.ndarray, k: int) -> list[pa.Array]:
+    """The first columns of :data:`COUNTS`."""
+    word = chunk.words.__getitem__
+    texts = [b" ".join(map(word, gram)) for gram in zip(*(ids[at + j].tolist() for j in range(k)))]
+    langs = pa.DictionaryArray.from_arrays(pa.array(np.asarray(chunk.lang_of)[ids[at]], pa.int32()), pa.array(chunk.langs, pa.string())).cast(pa.string())
+    return [langs, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(h[at].view(np.int64)), pa.array(n, pa.int64())]
 
-def count_chunk(chunk: Chunk, k: int, shorter: np.ndarray | None, buckets: np.ndarray | None, bits: int, longest: int, least: int) -> Iterator[tuple]:
-    """Rows of :data:`COUNTS`: the k-grams that may be frequent, and the bucket counts of the (k+1)-grams made of them."""
-    ids, hashes = np.frombuffer(chunk.ids, np.int32), np.frombuffer(chunk.hashes, np.uint64)
+
+def _slices(longer: np.ndarray, bits: int, least: int) -> list[tuple[int, bytes]]:
+    """The bucket counts of some hashes, packed by slices of buckets."""
+    bucket, n = np.unique(longer & np.uint64(bits - 1), return_counts=True)
+    n = np.minimum(n, least).astype(np.uint32)  # more does not matter
+    slices = bucket >> np.uint64(16)
+    low = (bucket & np.uint64(SLICE - 1)).astype(np.uint16)
+    starts = np.flatnonzero(np.diff(slices, prepend=np.uint64(bits))).tolist()
+    return [(int(slices[a]), low[a:b].tobytes() + n[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(bucket)])]
+
+
+def count_chunk(chunk: Chunk, k: int, shorter: np.ndarray | None, buckets: np.ndarray | None, bits: int, longest: int, least: int) -> Iterator[list[pa.Array]]:
+    """Columns of :data:`COUNTS`: the k-grams that may be frequent, and the bucket counts of the (k+1)-grams made of them."""
+    ids, hashes = np.frombuffer(chunk.ids, np.int32), chunk.hashes()
     if len(ids) < k:
         return
     h, may = grams(ids, hashes, k)
@@ -121,37 +148,38 @@ def count_chunk(chunk: Chunk, k: int, shorter: np.ndarray | None, buckets: np.nd
         may = may & known[:-1] & known[1:]
         at = np.flatnonzero(may)
         may[at] = has_bit(buckets, h[at])
-    at = np.flatnonzero(may)
-    for place, n in tally(ids, h, at, k):
-        yield *chunk.phrase(place, k), int(h[place].view(np.int64)), n, None, None
+        at, n = tally(ids, h, np.flatnonzero(may), k)
+    else:  # numbers are words
+        n = np.bincount(ids, minlength=len(hashes))[1:]
+        at = np.zeros(len(hashes), np.int64)
+        at[ids] = np.arange(len(ids))
+        at = at[1:]
+    for a in range(0, len(at), 100_000):
+        part = slice(a, a + 100_000)
+        columns = _phrases(chunk, ids, h, at[part], n[part], k)
+        yield [*columns, pa.nulls(len(columns[0]), pa.int64()), pa.nulls(len(columns[0]), pa.binary())]
     if k < longest and len(ids) > k:
         at = np.flatnonzero(may[:-1] & may[1:])
-        longer = mix(h[at], hashes[ids[at + k]])
-        bucket, n = np.unique(longer & np.uint64(bits - 1), return_counts=True)
-        n = np.minimum(n, least).astype(np.uint32)  # more does not matter
-        slices = bucket >> np.uint64(16)
-        starts = np.flatnonzero(np.diff(slices, prepend=np.uint64(bits))).tolist()
-        for a, b in zip(starts, [*starts[1:], len(bucket)]):
-            yield None, None, None, None, int(slices[a]), (bucket[a:b] & np.uint64(SLICE - 1)).astype(np.uint16).tobytes() + n[a:b].tobytes()
+        packed = _slices(mix(h[at], hashes[ids[at + k]]), bits, least)
+        for a in range(0, len(packed), 500):
+            numbers, parts = zip(*packed[a : a + 500])
+            yield [*(pa.nulls(len(parts), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())]
 
 
-def _pass(texts: DataFrame, k: int, shorter, buckets, bits: int, longest: int, least: int, chunk_words: int) -> DataFrame:
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast((shorter, buckets))
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64()), ("slice", pa.int64()), ("packed", pa.binary())])
+NAMES = [part.split()[0] for part in f"{COUNTS}, {CHUNKS}".split(", ")]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-            for row in count_chunk(chunk, k, *shared.value, bits, longest, least):
-                held.append(row)
-                size += len(row[5] or b"")
-                if len(held) >= 50_000 or size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
+def _first_pass(texts: DataFrame, bits: int, longest: int, least: int, chunk_words: int) -> DataFrame:
+    """Rows of :data:`COUNTS` for single words and buckets of pairs, and the chunks, which the other passes read."""
+    kinds = [pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+
+    def rows(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        for columns in count_chunk(chunk, 1, None, None, bits, longest, least):
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), t) for t in kinds)], names=NAMES)
+        empty = [pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*empty, *(pa.array([x], t) for x, t in zip(chunk.packed(), kinds))], names=NAMES)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
         for batch in small_batches(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch, "text")):
@@ -159,9 +187,22 @@ def _pass(texts: DataFrame, k: int, shorter, buckets, bits: int, longest: int, l
                 if len(chunk.ids) >= chunk_words:
                     yield from rows(chunk)
                     chunk = Chunk()
-        yield from rows(chunk)
+        if len(chunk.words) > 1:
+            yield from rows(chunk)
+
+    return materialise(texts.mapInArrow(run, f"{COUNTS}, {CHUNKS}"))
+
+
+def _pass(chunks: DataFrame, k: int, shorter, buckets, bits: int, longest: int, least: int) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast((shorter, buckets))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            chunk = Chunk.unpacked(*(batch.column(c)[0].as_py() for c in ("ids", "words", "lang_of", "langs")))
+            for columns in count_chunk(chunk, k, *shared.value, bits, longest, least):
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES[:6])
 
-    return materialise(texts.mapInArrow(run, COUNTS))
+    return materialise(chunks.mapInArrow(run, COUNTS))
 
 
 def _filled(counts: DataFrame, least: int) -> DataFrame:
@@ -212,9 +253,12 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     bits = min(MOST_BITS, max(1 << 18, 1 << (size * 4 // (6 * min_count)).bit_length()))
     shorter = buckets = None
     found, totals = [], None
+    counts = _first_pass(texts, bits, longest, min_count, chunk_words)
+    chunks = counts.filter("ids is not null").select("ids", "words", "lang_of", "langs")
     for k in range(1, longest + 1):
-        counts = _pass(texts, k, shorter, buckets, bits, longest, min_count, chunk_words)
-        phrases = counts.filter("slice is null")
+        if k > 1:
+            counts = _pass(chunks, k, shorter, buckets, bits, longest, min_count)
+        phrases = counts.filter("phrase is not null").select("lang", "phrase", "h", "n")
         if k == 1:
             totals = phrases.groupBy("lang").agg(F.sum("n").alias("n"))
         frequent = materialise(phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("h").alias("h")).filter(F.col("f") >= min_count))

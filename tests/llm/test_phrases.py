@@ -72,7 +72,7 @@ def test_empty_table(spark):
 
 def test_equal_hashes_are_told_apart():
     ids, h = np.array([1, 2, 1, 3, 1, 2], np.int32), np.zeros(5, np.uint64)
-    assert sorted((tuple(ids[a : a + 2]), n) for a, n in phrases.tally(ids, h, np.arange(5), 2)) == [((1, 2), 2), ((1, 3), 1), ((2, 1), 1), ((3, 1), 1)]
+    assert sorted((tuple(ids[a : a + 2]), n) for a, n in zip(*phrases.tally(ids, h, np.arange(5), 2))) == [((1, 2), 2), ((1, 3), 1), ((2, 1), 1), ((3, 1), 1)]
 
 
 def test_long_texts_are_cut_at_breaks_only():
