@@ -53,6 +53,8 @@ def test_words_give_what_whole_texts_give(spark, tokenizer):
     rng = random.Random(1)
     signs = ["a", "É", "é", " ", "́", "\x1c", "\x85", "\xa0", " ", "\n", "\t", "'s", "'", "Σ", "ΣΣ ", "İ", "1", "٣", "日", "<|endoftext|>", "<|startoftext|> ", "🙂", "‍", "ﬁ", "ẛ̣", "-", "\r\n", "\x0b"]
     texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    latin = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x250)]]
+    texts += ["".join(rng.choice(latin + [" "] * 40 + ["'s", "'LL"]) for _ in range(40)) for _ in range(3000)]
     words = packing.Words(PATH, packing.width_of(PATH))
     for text in texts:
         if text is not None:
@@ -104,5 +106,14 @@ def test_index_scores_as_by_the_formula_and_neighbours_share_windows():
     assert np.mean(same) < 2  # four documents chosen at random lie in three topics
 
 
+def test_other_vocabularies_get_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.Words.fits(PATH) and not packing.Words.fits(path)
+    rows = [(1, " The red  fox", None, None), (2, None, None, None)]
+    other = Tokenizer.from_file(path)
+    pieces = packing.pack(spark.createDataFrame(rows, DDL), path, window=16).collect()
+    check(pieces, {1: encoded(other, rows[0][1]), 2: [2]}, 16)
+
+
 def test_powers():
     assert packing.powers(13) == [8, 4, 1] and packing.powers(0) == []
