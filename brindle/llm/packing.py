@@ -11,8 +11,7 @@ of like wording are near each other, and a shard is the next ``shard_tokens`` to
 the row, so a group of copies or a language with a third of all rows spreads over as many shards as it needs.  Document
 frequencies and the mean length are of all documents; both have one number a token of the vocabulary at most.
 
-In a vocabulary with word ends the tokens of a white-space separated word do not depend on its neighbours, so words are looked up in a
-cache that a worker empties when it grows; other vocabularies get whole texts.
+Parts of words are looked up in a cache that a worker empties when it grows.
 
 Null and empty texts are the end id alone.  Null ids are kept, and repeated rows are documents of their own.  Ties fall to the order above.
 An empty table gives an empty result.  Other columns are not read.  A very long text is one row of a task.  Which sequence a document lies in
@@ -23,13 +22,15 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +38,22 @@ from tokenizers import Tokenizer
 
 from brindle.llm.common import byte_texts, from_files, materialise, mix, place_of, small_batches
 
-#: BM25's constants (fixed values), and words after which a cache is emptied.
+#: BM25's constants (fixed values), and parts of words after which a cache is emptied.
 K1, B, CACHE = 1.2, 0.75, 500_000
 
 #: The form of the vocabulary with word ends (fixed values): how it cleans texts and parts words.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile("[!-~\u00a1-\u024f]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _class(kind: str) -> str:
+    """Latin signs of a kind, and U+0307, which lower-casing brings in, among the others."""
+    return "".join(re.escape(c) for c in map(chr, [*range(33, 127), *range(0xA1, 0x250)]) if unicodedata.category(c)[0] == kind)
+
+
+#: The same for plain texts: ASCII and Latin letters, whose forms and kinds are settled.
+PLAIN = re.compile("[\t-\r -~\u00a1-\u024f]*").fullmatch
+PARTS = re.compile(f"[{_class('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_class('N')}]|[^\\t-\\r {_class('L')}{_class('N')}]+").findall
 
 #: Its letters for bytes: printable ones stand for themselves, the others for the signs from U+0100 on, in order.
 SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -52,49 +62,54 @@ LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SH
 PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Words(dict):
-    """White-space separated word to its token ids, packed.
-
-    Plain Latin words are parted and written in the vocabulary's letters here, and only their parts go through the merges, once each;
-    all others go through the whole tokenizer.
-    """
+class Parts(dict):
+    """Part of a word, in lower case, to its token ids, packed."""
 
-    def __init__(self, path: str, dtype: np.dtype):
+    def __init__(self, model, code: str):
         super().__init__()
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.model, self.parts = self.tokenizer.model, {}
+        self.model, self.code = model, code
 
-    @classmethod
-    def fits(cls, path: str) -> bool:
-        """Whether words do not depend on their neighbours: the form of the vocabulary with word ends."""
-        form = json.loads(Path(path).read_text())
-        return [form["normalizer"], form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]] == [NORMALIZER, PARTS.pattern] if form["model"].get("end_of_word_suffix") == "</w>" else False
-
-    def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) > CACHE:
-                self.parts.clear()
-            letters = text.encode().decode("latin-1").translate(LETTERS)
-            found = self.parts[text] = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        text = word.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join(map(self.part, PARTS.findall(text.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[word] = ids
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(LETTERS)
+        self[part] = ids = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
         return ids
 
 
+class Encoder:
+    """Texts to token ids, packed.
+
+    In the vocabulary with word ends no part of a word depends on its neighbours.  Plain Latin texts are parted here, and each
+    different part goes through the merges once; of other texts, the words that are not plain go through the whole tokenizer.  Other
+    vocabularies get whole texts.
+    """
+
+    def __init__(self, path: str, dtype: np.dtype):
+        self.tokenizer, self.code = Tokenizer.from_file(path), "H" if dtype.itemsize == 2 else "I"
+        form = json.loads(Path(path).read_text())
+        self.by_part = form["model"].get("end_of_word_suffix") == "</w>" and form["normalizer"] == NORMALIZER and form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == PATTERN
+        self.parts = Parts(self.tokenizer.model, self.code)
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, PARTS(text.lower())))
+
+    def __call__(self, text: bytes) -> bytes:
+        t = text.decode()
+        if not self.by_part:
+            return self.whole(t)
+        if PLAIN(t) and "<|" not in t:
+            return self.plain(t)
+        return b"".join(self.plain(w) if PLAIN(w) and "<|" not in w else self.whole(w) for w in map(bytes.decode, text.split()))
+
+
 @functools.cache
-def words_of(path: str, dtype: np.dtype) -> Words:
-    """One cache for all tasks of a worker."""
-    return Words(path, dtype)
+def encoder(path: str, dtype: np.dtype) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, dtype)
 
 
 def width_of(path: str) -> np.dtype:
@@ -105,17 +120,14 @@ def width_of(path: str) -> np.dtype:
 def tokenize(docs: DataFrame, path: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """file, row, doc_id, n and ids (packed little-endian) of every row."""
     docs = from_files(docs)
-    place, dtype, by_word = place_of(docs), width_of(path), Words.fits(path)
+    place, dtype = place_of(docs), width_of(path)
     rows = docs.select(place["file"].alias("file"), place["row"].alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     last = np.array([end], dtype).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, whole = words_of(path, dtype), None if by_word else Tokenizer.from_file(path)
+        encode = encoder(path, dtype)
         for batch in small_batches(batches):
-            if by_word:
-                ids = [b"".join([*map(words.__getitem__, t.split()), last]) for t in byte_texts(batch, "text")]
-            else:
-                ids = [np.array(whole.encode(t.decode(), add_special_tokens=False).ids, dtype).tobytes() + last for t in byte_texts(batch, "text")]
+            ids = [encode(t) + last for t in byte_texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), batch.column("doc_id"), pa.array([len(x) // dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["file", "row", "doc_id", "n", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

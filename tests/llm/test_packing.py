@@ -48,18 +48,17 @@ def tokenizer():
     return Tokenizer.from_file(PATH)
 
 
-def test_words_give_what_whole_texts_give(spark, tokenizer):
+def test_parts_give_what_whole_texts_give(spark, tokenizer):
     texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
     rng = random.Random(1)
     signs = ["a", "É", "é", " ", "́", "\x1c", "\x85", "\xa0", " ", "\n", "\t", "'s", "'", "Σ", "ΣΣ ", "İ", "1", "٣", "日", "<|endoftext|>", "<|startoftext|> ", "🙂", "‍", "ﬁ", "ẛ̣", "-", "\r\n", "\x0b"]
     texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     latin = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x250)]]
     texts += ["".join(rng.choice(latin + [" "] * 40 + ["'s", "'LL"]) for _ in range(40)) for _ in range(3000)]
-    words = packing.Words(PATH, packing.width_of(PATH))
+    encode = packing.Encoder(PATH, packing.width_of(PATH))
     for text in texts:
         if text is not None:
-            got = b"".join(map(words.__getitem__, text.encode().split()))
-            assert np.frombuffer(got, np.uint16).tolist() == encoded(tokenizer, text)[:-1], repr(text)
+            assert np.frombuffer(encode(text.encode()), np.uint16).tolist() == encoded(tokenizer, text)[:-1], repr(text)
 
 
 def test_packs_whole_table(spark, tokenizer):
@@ -108,7 +107,7 @@ def test_index_scores_as_by_the_formula_and_neighbours_share_windows():
 
 def test_other_vocabularies_get_whole_texts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert packing.Words.fits(PATH) and not packing.Words.fits(path)
+    assert packing.Encoder(PATH, np.dtype(np.uint16)).by_part and not packing.Encoder(path, np.dtype(np.uint16)).by_part
     rows = [(1, " The red  fox", None, None), (2, None, None, None)]
     other = Tokenizer.from_file(path)
     pieces = packing.pack(spark.createDataFrame(rows, DDL), path, window=16).collect()
