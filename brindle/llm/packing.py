@@ -48,11 +48,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 def _class(kind: str) -> str:
     """Latin signs of a kind, and U+0307, which lower-casing brings in, among the others."""
-    return "".join(re.escape(c) for c in map(chr, [*range(33, 127), *range(0xA1, 0x250)]) if unicodedata.category(c)[0] == kind)
+    return "".join(re.escape(c) for c in map(chr, [*range(33, 127), *range(0xA1, 0x180)]) if unicodedata.category(c)[0] == kind)
 
 
-#: The same for plain texts: ASCII and Latin letters, whose forms and kinds are settled.
-PLAIN = re.compile("[\t-\r -~\u00a1-\u024f]*").fullmatch
+#: The same for plain texts: ASCII, Latin-1 and Latin Extended-A, whose lower case stays among them.
+PLAIN = re.compile("[\t-\r -~\u00a1-\u017f]*").fullmatch
 PARTS = re.compile(f"[{_class('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_class('N')}]|[^\\t-\\r {_class('L')}{_class('N')}]+").findall
 
 #: Its letters for bytes: printable ones stand for themselves, the others for the signs from U+0100 on, in order.
