@@ -20,6 +20,7 @@ depends on how Spark deals out ranges; its tokens and their number do not.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import re
@@ -39,7 +40,10 @@ from tokenizers import Tokenizer
 from brindle.llm.common import byte_texts, from_files, materialise, mix, place_of, small_batches
 
 #: BM25's constants (fixed values), and parts of words after which a cache is emptied.
-K1, B, CACHE = 1.2, 0.75, 500_000
+K1, B, CACHE = 1.2, 0.75, 1_200_000
+
+#: Ranges at most, so that the sample of their bounds stays below some 500,000 rows.
+MOST_RANGES = 10_000
 
 #: The form of the vocabulary with word ends (fixed values): how it cleans texts and parts words.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -117,41 +121,39 @@ def width_of(path: str) -> np.dtype:
     return np.dtype(np.uint16 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else np.uint32)
 
 
-def tokenize(docs: DataFrame, path: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """file, row, doc_id, n and ids (packed little-endian) of every row."""
+def tokenize(docs: DataFrame, path: str, window: int, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """file, row, doc_id, n and ids (packed little-endian) of every row; and how many documents hold each token beyond their whole
+    windows (token, df), a few rows a task."""
     docs = from_files(docs)
     place, dtype = place_of(docs), width_of(path)
     rows = docs.select(place["file"].alias("file"), place["row"].alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     last = np.array([end], dtype).tobytes()
+    names = ["file", "row", "doc_id", "n", "ids", "token", "df"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, dtype)
+        encode, df, kind = encoder(path, dtype), np.zeros(0, np.int64), None
         for batch in small_batches(batches):
+            kind = batch.schema.field("doc_id").type
             ids = [encode(t) + last for t in byte_texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), batch.column("doc_id"), pa.array([len(x) // dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["file", "row", "doc_id", "n", "ids"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialise(rows.mapInArrow(run, f"file long, row long, doc_id {kind}, n long, ids binary"))
-
-
-def statistics(tokens: DataFrame, dtype: np.dtype, window: int) -> tuple[int, float, np.ndarray, np.ndarray]:
-    """What is left of the documents beyond whole windows: their number, mean length, and how many hold each token (two columns)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
-        for batch in batches:
-            for n, x in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                seen = np.unique(np.frombuffer(x, dtype)[n - n % window :])
+            for x in ids:
+                seen = np.unique(left_over(np.frombuffer(x, dtype), window))
                 if len(seen) and seen[-1] >= len(df):
                     df = np.pad(df, (0, int(seen[-1]) + 1 - len(df)))
                 df[seen] += 1
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array([len(x) // dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), none, none], names=names)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["token", "df"])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), kind, pa.int64(), pa.binary())), pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = materialise(rows.mapInArrow(run, f"file long, row long, doc_id {kind}, n long, ids binary, token long, df long"))
+    return found.filter("ids is not null").select(*names[:5]), found.filter("token is not null").select("token", "df")
 
-    left = F.col("n") % window
-    count, mean = tokens.agg(F.count_if(left > 0), F.avg(F.when(left > 0, left))).first()
-    held = tokens.select("n", "ids").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toArrow()
-    return count, mean or 1.0, held.column("token").to_numpy(), held.column("df").to_numpy()
+
+def left_over(ids: np.ndarray, window: int) -> np.ndarray:
+    """What a document has beyond its whole windows."""
+    return ids[len(ids) - len(ids) % window :]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -263,21 +265,26 @@ def _pack(rows: Iterator[tuple], idf: np.ndarray, mean: float, window: int, shar
         sequence += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids (packed little-endian)."""
-    dtype = width_of(tokenizer)
-    tokens = tokenize(docs, tokenizer, end, id_col, text_col)
-    count, mean, token, df = statistics(tokens, dtype, window)
+    dtype, context = width_of(tokenizer), docs.sparkSession.sparkContext
+    tokens, held = tokenize(docs, tokenizer, window, end, id_col, text_col)
+    rest = F.col("n") % window
+    count, total = tokens.agg(F.count_if(rest > 0), F.sum(rest)).first()
+    total, mean = total or 0, (total or 0) / count if count else 1.0
+    counts = held.groupBy("token").agg(F.sum("df").alias("df")).toArrow()  # a row a token of the vocabulary at most
+    token, df = (counts.column(c).to_numpy() for c in ("token", "df"))
     idf = np.zeros(int(token.max(initial=0)) + 1)
     idf[token] = np.log1p((count - df + 0.5) / (df + 0.5))
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = context.broadcast(idf)
     kind = tokens.schema["doc_id"].dataType
-    ddl = PIECES.format(kind.simpleString()) + ", ids binary"
+    ddl = PIECES.format(kind.simpleString()) + (", ids binary" if with_ids else "")
 
     def out(pieces: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
         doc, start, ids, total, sequence, offset = zip(*pieces)
-        longs = [start, map(len, ids), map(crc, ids), total, sequence, offset]
-        return pa.RecordBatch.from_arrays([pa.array(doc, doc_type), *[pa.array(list(c), pa.int64()) for c in longs], pa.array([x.tobytes() for x in ids], pa.binary())], names=[p.split()[0] for p in ddl.split(", ")])
+        columns = [pa.array(list(c), pa.int64()) for c in (start, map(len, ids), map(crc, ids), total, sequence, offset)]
+        columns += [pa.array([x.tobytes() for x in ids], pa.binary())] if with_ids else []
+        return pa.RecordBatch.from_arrays([pa.array(doc, doc_type), *columns], names=[p.split()[0] for p in ddl.split(", ")])
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The whole windows of long documents; their sequences have odd numbers."""
@@ -292,20 +299,20 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, shar
             if pieces:
                 yield out(pieces, batch.schema.field("doc_id").type)
 
+    def least(ids: list[bytes]) -> np.ndarray:
+        """Three weighted min-hashes of each document's rest."""
+        cost = costs(shared.value)
+        different = [np.unique(left_over(np.frombuffer(x, dtype), window)) for x in ids]
+        return np.array([d[cost[:, d].argmin(axis=1)] for d in different], np.int64).reshape(-1, 3)
+
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What is left of each document, with three weighted min-hashes."""
-        idf = shared.value
-        draws = [mix(np.arange(len(idf), dtype=np.uint64) + np.uint64(seed << 32)) for seed in (1, 2, 3)]
-        cost = np.stack([-np.log((d.astype(np.float64) + 1) / 2.0**64) / np.maximum(idf, 1e-9) for d in draws])
+        """What is left of each document, its min-hashes and the range that they lie in."""
         for batch in small_batches(batches):
-            left, found = [], []
-            for n, x in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                ids = np.frombuffer(x, dtype)[n - n % window :]
-                different = np.unique(ids)
-                found.append(different[cost[:, different].argmin(axis=1)])
-                left.append(ids.tobytes())
-            m = np.array(found, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("file", "row", "doc_id", "n")], pa.array(left, pa.binary()), *[pa.array(m[:, k]) for k in range(3)]], names=["file", "row", "doc_id", "n", "ids", "m1", "m2", "m3"])
+            ids = batch.column("ids").to_pylist()
+            m = least(ids)
+            part = np.array([bisect.bisect(bounds.value, (*k, f, r)) for *k, f, r in zip(*m.T.tolist(), batch.column("file").to_pylist(), batch.column("row").to_pylist())], np.int64)
+            left = [left_over(np.frombuffer(x, dtype), window).tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("file", "row", "doc_id", "n")], pa.array(left, pa.binary()), *[pa.array(c) for c in (*m.T, part)]], names=["file", "row", "doc_id", "n", "ids", "m1", "m2", "m3", "part"])
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, first = [], TaskContext.get().partitionId() << 33
@@ -325,14 +332,24 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, shar
         if held:
             yield out(held, *kind)
 
-    windows = tokens.filter(F.col("n") >= window).select("doc_id", "ids")
-    left = tokens.filter(F.col("n") % window > 0).mapInArrow(keys, f"file long, row long, doc_id {kind.simpleString()}, n long, ids binary, m1 long, m2 long, m3 long")
-    order = ["m1", "m2", "m3", "file", "row"]
-    parts = max(1, int(count * mean / (8 * shard_tokens)) + 1)
-    ranged = left.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return windows.mapInArrow(whole, ddl).unionByName(ranged.mapInArrow(fill, ddl))
+    # Ranges of the order with about eight shards each, by a sample of some 50 rows a range.  A task streams its range shard by shard, so
+    # large or uneven ones only cost time.
+    some, parts = tokens.filter(rest > 0), min(total // (8 * shard_tokens) + 1, MOST_RANGES)
+    sample = some.sample(min(1.0, 50 * parts / max(count, 1)), seed=1).select("file", "row", "ids") if parts > 1 else some.limit(0).select("file", "row", "ids")
+    drawn = sample.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([*map(pa.array, least(b.column("ids").to_pylist()).T), b.column("file"), b.column("row")], names=["m1", "m2", "m3", "file", "row"]) for b in batches), "m1 long, m2 long, m3 long, file long, row long")
+    drawn = sorted(tuple(r) for r in drawn.collect())
+    bounds = context.broadcast([drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else [])
+    keyed = some.mapInArrow(keys, f"file long, row long, doc_id {kind.simpleString()}, n long, ids binary, m1 long, m2 long, m3 long, part long")
+    ranged = keyed.repartition(parts, "part").sortWithinPartitions("part", "m1", "m2", "m3", "file", "row")
+    return tokens.filter(F.col("n") >= window).select("doc_id", "ids").mapInArrow(whole, ddl).unionByName(ranged.mapInArrow(fill, ddl))
+
+
+@functools.cache
+def _draws(size: int) -> np.ndarray:
+    draws = np.stack([mix(np.arange(size, dtype=np.uint64) + np.uint64(seed << 32)) for seed in (1, 2, 3)])
+    return -np.log((draws.astype(np.float64) + 1) / 2.0**64)
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """The pieces without their ids."""
-    return pieces.drop("ids")
+def costs(idf: np.ndarray) -> np.ndarray:
+    """Exponential keys of the tokens for three min-hashes; the rarer a token, the likelier its key is the least."""
+    return _draws(len(idf)) / np.maximum(idf, 1e-9)
