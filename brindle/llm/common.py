@@ -76,6 +76,22 @@ def from_files(docs: DataFrame) -> DataFrame:
         return materialise(docs)
 
 
+def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with a number for each row that is the same in every scan: that of its file, times 2^40, and its number in the file.
+
+    The list of files is taken to the driver, as every scan of them does, and broadcast.
+    """
+    docs = from_files(docs)
+    place = docs.metadataColumn("_metadata")
+    files = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
+    if len(files) < 2:
+        return docs.withColumn(name, place["row_index"])
+    path, number = fresh(docs, "_path"), fresh(docs, "_number")
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), f"{path} string, {number} long")
+    held = docs.withColumns({path: place["file_path"], name: place["row_index"]}).join(F.broadcast(numbers), path)
+    return held.withColumn(name, F.col(number) * F.lit(1 << 40) + F.col(name)).drop(path, number)
+
+
 #: Rows up to which the small side of a join (a few numbers a row) is broadcast: some 50 MB.
 BROADCAST_ROWS = 1_000_000
 

@@ -14,6 +14,7 @@ columns are not read by the report and kept by the removal.  A very long text is
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import byte_texts, from_files, small_batches
+from brindle.llm.common import byte_texts, fresh, materialise, small_batches, with_row
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -190,16 +191,16 @@ def _scan_block(rows: DataFrame, automaton: Automaton) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """doc_id, n_words, runs (hit word ranges, end exclusive, disjoint and in order) and items (sorted) of every row."""
-    docs = from_files(docs)  # several blocks number the rows alike
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    parts = [_scan_block(rows, a) for a in automata(benchmark, item_col, "text", width, block_words)]
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
+def _hits(rows: DataFrame, benchmark: DataFrame, item_col: str, width: int, block_words: int) -> DataFrame:
+    """row, doc_id, n_words, runs and items of every row, by all blocks of items; ``rows``: row, doc_id, t."""
+    blocks = automata(benchmark, item_col, "text", width, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan_block(rows, first)
+    every = None
+    for automaton in itertools.chain([first, second], blocks):
+        part = materialise(_scan_block(rows, automaton))  # so one automaton is held at a time
+        every = part if every is None else every.unionByName(part)
     merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def join_runs(acc, r):
@@ -208,7 +209,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["stop"] >= r["start"]), grown).otherwise(F.concat(acc, F.array(r)))
 
     runs = F.aggregate("runs", F.array().cast("array<struct<start:bigint,stop:bigint>>"), join_runs)
-    return merged.select("doc_id", "n_words", F.when(F.size("runs") == 0, F.col("runs")).otherwise(runs).alias("runs"), "items")
+    return merged.withColumn("runs", F.when(F.size("runs") == 0, F.col("runs")).otherwise(runs))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, block_words: int = 1_000_000) -> DataFrame:
+    """doc_id, n_words, runs (hit word ranges, end exclusive, disjoint and in order) and items (sorted) of every row."""
+    row = fresh(docs, "_row")
+    rows = with_row(docs, row).select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    return _hits(rows, benchmark, item_col, width, block_words).drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -219,47 +227,75 @@ def digest(found: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean(text: bytes, scans, max_run: int, max_coverage: float) -> bytes | None:
-    """``text`` without the hit runs of ``max_run`` words or more; None if over ``max_coverage`` of its words are hit."""
+def cut(text: bytes, runs: list[tuple[int, int]], max_coverage: float) -> bytes | None:
+    """``text`` without the runs of words (disjoint, in order); None if they are over ``max_coverage`` of its words."""
+    spans = [m.span() for m in WORD.finditer(text.lower())]
+    if sum(b - a for a, b in runs) > max_coverage * len(spans):
+        return None
+    kept, at = [], 0
+    for a, b in runs:
+        kept.append(text[at : spans[a][0]])
+        at = spans[b - 1][1]
+    return b"".join([*kept, text[at:]])
+
+
+def clean(text: bytes, scan, max_run: int, max_coverage: float) -> bytes | None:
+    """``text`` cut until no run of ``max_run`` words or more is hit; None if that takes it away."""
     while True:
-        spans = [m.span() for m in WORD.finditer(text.lower())]
-        words = [text[a:b].lower() for a, b in spans]
-        runs = sorted(r for scan in scans for r in scan(words)[0] if r[1] - r[0] >= max_run)
+        words = WORD.findall(text.lower())
+        runs = [r for r in scan(words)[0] if r[1] - r[0] >= max_run]
         if not runs:
             return text
-        hit = set()
-        for a, b in runs:
-            hit.update(range(a, b))
-        if len(hit) > max_coverage * len(words):
+        text = cut(text, runs, max_coverage)
+        if text is None:
             return None
-        kept, at = [], 0
-        for a, b in runs:
-            start, stop = spans[a][0], spans[b - 1][1]
-            kept.append(text[at : max(start, at)])
-            at = max(at, stop)
-        text = b"".join([*kept, text[at:]])
+
+
+def _with_texts(docs: DataFrame, text_col: str, change, *also: str) -> DataFrame:
+    """``docs`` with ``change(text, *also)`` for texts, without the rows where it gives None; null texts stay."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            column = batch.schema.get_field_index(text_col)
+            texts = batch.column(column).cast(pa.binary()).to_pylist()
+            changed = [t if t is None else change(t, *more) for t, *more in zip(texts, *(batch.column(c).to_pylist() for c in also))]
+            keep = pa.array([t is None or c is not None for t, c in zip(texts, changed)])
+            fresh_texts = pa.array(changed, pa.binary()).cast(batch.column(column).type)
+            yield batch.set_column(column, batch.schema.field(column), fresh_texts).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cut_by_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, width: int, max_run: int, max_coverage: float, block_words: int) -> DataFrame:
+    """As :func:`clean` by one automaton of all items: each round merges the hits of all blocks, and only cut texts go on to the next."""
+    row, runs = fresh(docs, "_row"), fresh(docs, "_runs")
+    done, rest = None, docs
+    while True:
+        rest = with_row(rest, row)
+        found = _hits(rest.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("t")), benchmark, "item_id", width, block_words)
+        long = F.filter("runs", lambda r: r["stop"] - r["start"] >= max_run)
+        found = materialise(found.select(F.col("row").alias(row), long.alias(runs)).filter(F.size(runs) > 0))
+        settled = rest.join(found, row, "left_anti").select(*docs.columns)
+        done = settled if done is None else done.unionByName(settled)
+        if found.isEmpty():
+            return done
+        hit = _with_texts(rest.join(found, row), text_col, lambda t, spans: cut(t, [(s["start"], s["stop"]) for s in spans], max_coverage), runs)
+        rest = materialise(hit.select(*docs.columns))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", width: int = 10, max_run: int = 1, max_coverage: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
     """``docs`` with the hit passages cut out of the texts, without the documents that mostly consist of them.
 
-    Texts without a hit stay byte for byte; null texts stay null.  Each block of items is one pass.
+    Texts without a hit stay byte for byte; null texts stay null.  A text is cut until nothing in it is hit; before each cut, the hits
+    of all items count for its coverage, so ``block_words`` changes no result.
     """
-    out = docs
-    for automaton in automata(benchmark, width=width, block_words=block_words):
+    blocks = automata(benchmark, width=width, block_words=block_words)
+    automaton = next(blocks)
+    if next(blocks, None) is None:
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            scan = shared.value.scan
-            for batch in small_batches(batches):
-                column = batch.schema.get_field_index(text_col)
-                texts = batch.column(column).cast(pa.binary()).to_pylist()
-                cleaned = [t and clean(t, [scan], max_run, max_coverage) for t in texts]
-                keep = pa.array([t is None or c is not None for t, c in zip(texts, cleaned)])
-                fresh = pa.array(cleaned, pa.binary()).cast(batch.column(column).type)
-                yield batch.set_column(column, batch.schema.field(column), fresh).filter(keep)
-
-        out = out.mapInArrow(run, docs.schema)
+        out = _with_texts(docs, text_col, lambda t: clean(t, shared.value.scan, max_run, max_coverage))
+    else:
+        out = _cut_by_blocks(docs, benchmark, text_col, width, max_run, max_coverage, block_words)
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
     return out

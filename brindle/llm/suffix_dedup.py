@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import byte_texts, from_files, materialise, small_batches
+from brindle.llm.common import byte_texts, fresh, materialise, small_batches, with_row
 
 LENGTH = 200
 GRAM = 80
@@ -313,8 +313,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows are told apart by their place in the files of ``docs``; other input is written first.
     """
-    docs = from_files(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    row = fresh(docs, "_row")
+    rows = with_row(docs, row).select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     found = find_repeats(rows.select("row", "t"), length, gram, chunk, heavy)
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = rows.join(spans, "row", "left").select("doc_id", "t", "spans")

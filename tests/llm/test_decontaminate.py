@@ -62,3 +62,40 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert D.find_contamination(spark.createDataFrame([], DOCS), items).count() == 0
     assert D.digest(D.find_contamination(spark.createDataFrame([(1, "a b", "", 0)], DOCS), items)).first().n_hit == 0
+
+
+@pytest.mark.parametrize("max_run", [1, 8])
+def test_blocks_change_nothing(spark, max_run):
+    items, texts = cases()
+    rng = random.Random(5)
+    # Hits of two items add up in one text, and cuts bring further windows together.
+    a, b = (" ".join(f"w{rng.randrange(900)}" for _ in range(20)) for _ in range(2))
+    texts += [f"{a} " + " ".join(f"x{k}" for k in range(30)) + f" {b}", f"tail {a[: len(a) // 2]} {b} {a[len(a) // 2 :].strip()} " + "y " * 80]
+    items += [(200, a), (201, b)]
+    rows = [(i, t, "clash", 0) for i, t in enumerate(texts)] + [(4, texts[4], "", 0), (None, None, None, None)]
+    docs, bench = spark.createDataFrame(rows, DOCS).repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    run = lambda words: sorted(map(tuple, D.decontaminate(docs, bench, max_run=max_run, block_words=words).collect()), key=repr)
+    one = run(1_000_000)
+    assert run(60) == one and len(one) < len(rows)
+    assert len(texts) - 2 not in {r[0] for r in one}  # 40 of 70 words
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path):
+    items, texts = cases()
+    rows = [(i, t, "clash", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).repartition(7).write.parquet(str(tmp_path / "docs"))
+    docs, bench = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_contamination(docs, bench, block_words=60)
+    spark.conf.set("spark.sql.files.minPartitionNum", "12")
+    try:
+        got = {r.doc_id: (r.n_words, sum(x.stop - x.start for x in r.runs), r["items"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == {i: slow(t, items) for i, t in enumerate(texts)}
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"w{k}" for k in range(12))
+    text = "filler words here " * 200_000 + item + " end" * 1000
+    row = D.find_contamination(spark.createDataFrame([(1, text, "", 0)], DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert (row.n_words, [tuple(r) for r in row.runs], row["items"]) == (601_012, [(600_000, 600_012)], ["1"])

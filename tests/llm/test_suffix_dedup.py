@@ -97,3 +97,19 @@ def test_long_periodic_text(spark, tmp_path, monkeypatch):
 
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path):
+    rng = random.Random(11)
+    shared = ["".join(rng.choice("abcdef ") for _ in range(300)) for _ in range(20)]
+    texts = ["".join(rng.choice(shared) if rng.random() < 0.4 else "".join(rng.choice("ghijkl") for _ in range(rng.randint(0, 200))) for _ in range(5)) for _ in range(80)]
+    spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], DOCS).repartition(12).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.files.minPartitionNum", "4")
+    try:
+        found = S.digest(S.remove_repeats(docs))
+        spark.conf.set("spark.sql.files.minPartitionNum", "12")
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == dict(enumerate(slow(texts, 200)))
