@@ -50,16 +50,45 @@ def overlaps(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: s
     return joined.filter("low_id < high_id and _s1 <= _e2 and _s2 <= _e1").drop("_s1", "_e1", "_s2", "_e2")
 
 
+def with_episode(events: DataFrame, episodes: DataFrame, keys: Sequence[str], date: str, start: str = "episode_start", recovery: str = "recovery_date", bucket_days: int = 64) -> DataFrame:
+    """``events`` with ``start`` and ``recovery`` of the episode that holds them (start <= date, and no recovery yet or date <
+    recovery), null where none does.  The episodes of one key must not overlap, as stockout episodes cannot.
+
+    As-of membership by a sorted union: the starts and the events of a key lie in one order, and each event takes the last start
+    before it.  Ended episodes are listed under the buckets of days that they touch, so that the order is of a key and a bucket and no
+    event meets more than one episode; a key has one open episode at most, which is joined by key.  Events with null keys or
+    dates lie in none.
+    """
+    known = F.col(start).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    e = episodes.select(*keys, start, recovery).filter(known)
+    number = lambda c: F.floor(day(c) / bucket_days)
+    begin = F.date_from_unix_date((F.col("_bucket") * bucket_days).cast("int"))
+    ended = e.filter(F.col(recovery) > F.col(start)).withColumn("_bucket", F.explode(F.sequence(number(F.col(start)), number(F.date_sub(recovery, 1)))))
+    held = F.struct(F.col(start).alias("s"), F.col(recovery).alias("r"))
+    marks = ended.select(*keys, "_bucket", F.greatest(F.col(start), begin).alias("_at"), F.lit(0).alias("_kind"), held.alias("_e"), F.lit(None).cast(events.schema).alias("_row"))
+    mine = events.select(*keys, number(F.col(date)).alias("_bucket"), F.col(date).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_e"].dataType).alias("_e"), F.struct(*events.columns).alias("_row"))
+    order = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = marks.unionByName(mine).withColumn("_e", F.last("_e", ignorenulls=True).over(order)).filter("_kind = 1")
+    open_ones = e.filter(F.col(recovery).isNull()).select(*keys, F.col(start).alias("_open"))
+    both = last.select("_row.*", "_e").join(open_ones, list(keys), "left")
+    inside = F.col(date) < F.col("_e.r")
+    at = F.when(inside, F.col("_e.s")).when(F.col("_open") <= F.col(date), F.col("_open"))
+    return both.select(*events.columns, at.alias(start), F.when(inside, F.col("_e.r")).alias(recovery))
+
+
 def in_episode(events: DataFrame, episodes: DataFrame, keys: Sequence[str], date: str, start: str = "episode_start", recovery: str = "recovery_date") -> DataFrame:
-    """Events with the episode that holds them: start <= date, and no recovery yet or date < recovery."""
-    e = episodes.select(*keys, start, recovery)
-    joined = events.join(e, list(keys))
-    return joined.filter((F.col(start) <= F.col(date)) & (F.col(recovery).isNull() | (F.col(date) < F.col(recovery))))
+    """The events that an episode holds, with its start and recovery; see :func:`with_episode`."""
+    return with_episode(events, episodes, keys, date, start, recovery).filter(F.col(start).isNotNull())
 
 
-def in_one_episode(events: DataFrame, episodes: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    """Like :func:`in_episode`, refusing events that lie in no episode or in several."""
-    joined = in_episode(events, episodes, keys, date)
+def in_one_episode(events: DataFrame, episodes: DataFrame, keys: Sequence[str], date: str, start: str = "episode_start", recovery: str = "recovery_date") -> DataFrame:
+    """Events with their episode, refusing events that lie in no episode or in several, also where episodes overlap."""
+    last = events.agg(F.max(date)).first()[0]
+    ended = F.coalesce(F.date_sub(recovery, 1), F.greatest(F.col(start), F.lit(last)))
+    held = episodes.select(*keys, start, recovery, ended.alias("_end")).filter(F.col("_end") >= F.col(start))
+    joined = validity_join(events, held, keys, date, start, "_end", "inner").drop("_end")
     several = not joined.groupBy(*keys, date).count().filter("count > 1").isEmpty()
     if several or not events.join(joined.select(*keys, date), [*keys, date], "left_anti").isEmpty():
         raise ValueError("an event lies in several episodes" if several else "an event lies in no episode")

@@ -14,7 +14,7 @@ from brindle.operators import clusters, cox, forest, rules, scoring
 from brindle.operators import sequences as W
 from brindle.operators import summaries as A
 from brindle.plans.catalog import register
-from brindle.plans.datasets import CELL, PROMOTION_DAILY_CTE, SEGMENTATION_SQL, STOCKOUT_SQL, ds01, ds02, ds03, ds05, ds07
+from brindle.plans.datasets import CELL, PROMOTION_DAILY_CTE, SEGMENTATION_SQL, STOCKOUT_SQL, ds01, ds02, ds03, ds05, ds07, segmentation
 from brindle.sources import roles
 from brindle.sources.roles import oracle, table
 
@@ -218,7 +218,10 @@ _FEATURES = ("revenue_30d", "units_30d", "active_skus_30d")
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
-    return ds03(spark, d).join(F.broadcast(roles.snapshots(spark, d).agg(F.max("snapshot_date").alias("snapshot_date"))), "snapshot_date")
+    """The stores at the last snapshot, from the sales of its thirty days alone."""
+    last = roles.snapshots(spark, d).agg(F.max("snapshot_date")).first()[0]
+    known = roles.snapshots(spark, d).filter(F.col("snapshot_date") == F.lit(last))
+    return segmentation(roles.sales(spark, d).filter(F.col("sale_date").between(F.date_add(F.lit(last), -29), F.lit(last))), known)
 
 
 _LATEST_SQL = "latest AS (SELECT store_id, sum(net)::DOUBLE AS revenue_30d, sum(units)::BIGINT AS units_30d, count(DISTINCT sku_id) AS active_skus_30d FROM sales, (SELECT max(last_day(l_shipdate::DATE)) AS s FROM lineitem WHERE last_day(l_shipdate::DATE) <= (SELECT max(l_shipdate::DATE) FROM lineitem)) WHERE sale_date <= s AND sale_date > s - 30 GROUP BY 1)"

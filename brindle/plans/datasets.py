@@ -274,13 +274,17 @@ def ds08(spark: SparkSession, d: str) -> DataFrame:
 
 
 EPISODES_CTE = """
-episodes AS (
+episodes AS MATERIALIZED (
   SELECT warehouse_id, category, d AS episode_start, recovery_date, coalesce(date_diff('day', d, recovery_date), date_diff('day', d, last_day) + 1)::INT AS duration_days, recovery_date IS NULL AS right_censored
   FROM (SELECT i.*, coalesce(lag(available) OVER o, 1) AS before, max(d) OVER (PARTITION BY warehouse_id, category) AS last_day,
                min(CASE WHEN available > 0 THEN d END) OVER (PARTITION BY warehouse_id, category ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS recovery_date
         FROM inventory i WINDOW o AS (PARTITION BY warehouse_id, category ORDER BY d))
   WHERE available <= 0 AND before > 0)"""
 
+#: The episode that holds an event ``x`` of a day: the last one that started by then, if it has not ended.  Episodes do not overlap.
+AS_OF = "ASOF LEFT JOIN episodes e ON e.warehouse_id = x.warehouse_id AND e.category = x.category AND e.episode_start <= x.{0}"
+HELD = "(e.episode_start IS NOT NULL AND (e.recovery_date IS NULL OR x.{0} < e.recovery_date))"
+
 
 @register("ds09_stockout_episodes", oracle(f"WITH {EPISODES_CTE} SELECT * FROM episodes", "inventory"))
 def ds09(spark: SparkSession, d: str) -> DataFrame:

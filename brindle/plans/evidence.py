@@ -13,7 +13,7 @@ from brindle.operators.sequences import latest
 from brindle.plans.analytics import _COMPARISON_SQL, _LATEST_SQL, _Z_SQL, _cohort, _latest, _rules, _scored, _table_sql, an01, bk04, pr03
 from brindle.plans.analytics import _PERIOD_SQL
 from brindle.plans.catalog import register
-from brindle.plans.datasets import CELL, EPISODES_CTE, PROMOTION_DAILY_CTE, ds02, ds03, ds05, ds07, ds09
+from brindle.plans.datasets import AS_OF, CELL, EPISODES_CTE, HELD, PROMOTION_DAILY_CTE, ds02, ds03, ds05, ds07, ds09
 from brindle.sources import roles, simulate
 from brindle.sources.roles import oracle, table
 
@@ -91,7 +91,7 @@ def pr06_funnel(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("promotion_id").agg(F.count(F.lit(1)).alias("n_exposures"), F.count_if("seen").alias("n_complete"), F.count_if(F.col("seen") & ~F.col("overlap")).alias("n_eligible"))
 
 
-@register("so01_horizon_episodes", oracle(f"WITH {EPISODES_CTE}, s AS (SELECT i.warehouse_id, i.category, i.d, min(j.d) AS f FROM inventory i JOIN inventory j ON j.warehouse_id = i.warehouse_id AND j.category = i.category AND j.d > i.d AND j.d <= i.d + 7 AND j.available <= 0 WHERE i.available > 0 GROUP BY ALL) SELECT s.warehouse_id, s.category, s.d, s.f AS first_stockout_date, e.episode_start FROM s JOIN episodes e ON e.warehouse_id = s.warehouse_id AND e.category = s.category AND e.episode_start <= s.f AND (e.recovery_date IS NULL OR s.f < e.recovery_date)", "inventory"))
+@register("so01_horizon_episodes", oracle(f"WITH {EPISODES_CTE}, x AS (SELECT i.warehouse_id, i.category, i.d, i.available, min(CASE WHEN available <= 0 THEN d END) OVER (PARTITION BY warehouse_id, category ORDER BY d RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 7 DAY FOLLOWING) AS f FROM inventory i) SELECT x.warehouse_id, x.category, x.d, x.f AS first_stockout_date, e.episode_start FROM (SELECT * FROM x WHERE available > 0 AND f IS NOT NULL) x {AS_OF.format('f')} WHERE {HELD.format('f')}", "inventory"))
 def so01(spark: SparkSession, d: str) -> DataFrame:
     """Positive horizons with the episode that their first stockout belongs to."""
     from brindle.operators.joins import in_episode
@@ -118,9 +118,9 @@ def sv05(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c, n, round(s, 4), round(q, 6)) for c, n, s, q in found], "covariate string, n_events long, statistic double, p_value double")
 
 
-@register("sg01_latest_cohort", oracle("WITH s AS (SELECT store_id, max(sale_date) AS last_day, count(DISTINCT sale_date) AS n_days FROM sales GROUP BY 1) SELECT * FROM s WHERE last_day >= DATE '2001-01-01'", "sales"))
+@register("sg01_latest_cohort", oracle(f"WITH s AS (SELECT store_id, max(sale_date) AS last_day, count(DISTINCT sale_date) AS n_days FROM sales GROUP BY 1) SELECT * FROM s WHERE last_day >= {roles.split_sql(0.95)}", "calendar", "sales"))
 def sg01(spark: SparkSession, d: str) -> DataFrame:
-    return roles.sales(spark, d).groupBy("store_id").agg(F.max("sale_date").alias("last_day"), F.count_distinct("sale_date").alias("n_days")).filter("last_day >= '2001-01-01'")
+    return roles.sales(spark, d).groupBy("store_id").agg(F.max("sale_date").alias("last_day"), F.count_distinct("sale_date").alias("n_days")).filter(F.col("last_day") >= roles.split_day(spark, d, 0.95))
 
 
 @register("sg08_feature_audit", oracle(f"WITH {_LATEST_SQL} SELECT feature, count(*) AS n, count(DISTINCT v) AS n_unique, round(((avg(v**3) - 3*avg(v)*avg(v**2) + 2*avg(v)**3) / stddev_pop(v)**3) * sqrt(count(*)::DOUBLE * (count(*) - 1)) / (count(*) - 2), 4) AS adjusted_skew FROM (SELECT unnest(['revenue_30d', 'units_30d']) AS feature, unnest([revenue_30d, units_30d::DOUBLE]) AS v FROM latest) GROUP BY 1", "sales"))
@@ -197,9 +197,9 @@ def se01(spark: SparkSession, d: str) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 6).alias("mean_probability")).crossJoin(serving.output_faults(scored, model.outputs).withColumnRenamed("probability", "n_faults"))
 
 
-@register("se04_latest_features", oracle("SELECT * EXCLUDE (n) FROM (SELECT warehouse_id, category, d, available, change, row_number() OVER (PARTITION BY warehouse_id, category ORDER BY d DESC) AS n FROM inventory WHERE d <= DATE '1997-02-10') WHERE n = 1", "inventory"))
+@register("se04_latest_features", oracle("SELECT * EXCLUDE (n) FROM (SELECT warehouse_id, category, d, available, change, row_number() OVER (PARTITION BY warehouse_id, category ORDER BY d DESC) AS n FROM inventory WHERE d <= " + roles.split_sql(0.7) + ") WHERE n = 1", "inventory"))
 def se04(spark: SparkSession, d: str) -> DataFrame:
-    return latest(roles.inventory(spark, d).filter("d <= '1997-02-10'"), ["warehouse_id", "category"], F.desc("d"))
+    return latest(roles.inventory(spark, d).filter(F.col("d") <= roles.split_day(spark, d, 0.7)), ["warehouse_id", "category"], F.desc("d"))
 
 
 @register("ed01_readiness")
@@ -233,17 +233,17 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
     return totals.crossJoin(sets.differences(grown, rules.counted_itemsets(rows, "order_id", "brand", 0.01)))  # one row each
 
 
-@register("u04_purged_training_rows", oracle(f"WITH {EPISODES_CTE}, x AS (SELECT i.warehouse_id, i.category, i.d, i.warehouse_id || ':' || i.category || ':' || e.episode_start AS episode FROM inventory i LEFT JOIN episodes e ON e.warehouse_id = i.warehouse_id AND e.category = i.category AND e.episode_start <= i.d AND (e.recovery_date IS NULL OR i.d < e.recovery_date)) SELECT warehouse_id, category, d FROM x WHERE d < DATE '1997-02-15' AND (episode IS NULL OR episode NOT IN (SELECT episode FROM x WHERE d >= DATE '1997-02-15' AND episode IS NOT NULL))", "inventory"))
+@register("u04_purged_training_rows", oracle(f"WITH {EPISODES_CTE}, m AS MATERIALIZED (SELECT x.warehouse_id, x.category, x.d, CASE WHEN {HELD.format('d')} THEN e.episode_start END AS e FROM inventory x {AS_OF.format('d')}), s AS (SELECT {roles.split_sql(0.7)} AS s) SELECT m.warehouse_id, m.category, m.d FROM m, s WHERE m.d < s AND NOT EXISTS (SELECT 1 FROM m o, s t WHERE o.d >= t.s AND o.warehouse_id = m.warehouse_id AND o.category = m.category AND o.e = m.e)", "inventory"))
 def u04(spark: SparkSession, d: str) -> DataFrame:
-    """Training days without those of an episode that runs on into the evaluation."""
+    """Training days without those of an episode that runs on into the evaluation, which starts 70 percent down the calendar."""
     from brindle.operators import sets
-    from brindle.operators.joins import in_episode
+    from brindle.operators.joins import with_episode
 
     days = roles.inventory(spark, d).select("warehouse_id", "category", "d")
-    held = in_episode(days, ds09(spark, d), ["warehouse_id", "category"], "d")
-    name = F.concat_ws(":", F.col("warehouse_id").cast("string"), "category", F.col("episode_start").cast("string"))
-    marked = days.join(held.select("warehouse_id", "category", "d", name.alias("episode")), ["warehouse_id", "category", "d"], "left")
-    late = F.col("d") >= "1997-02-15"
+    marked = with_episode(days, ds09(spark, d), ["warehouse_id", "category"], "d")
+    name = F.when(F.col("episode_start").isNotNull(), F.concat_ws(":", F.col("warehouse_id").cast("string"), "category", F.col("episode_start").cast("string")))
+    late = F.col("d") >= roles.split_day(spark, d, 0.7)
+    marked = marked.withColumn("episode", name)
     return sets.purge_shared(marked.filter(~late), marked.filter(late), "episode").select("warehouse_id", "category", "d")
 
 

@@ -9,7 +9,7 @@ from brindle.operators import joins as J
 from brindle.operators import sequences as W
 from brindle.operators import summaries as A
 from brindle.plans.catalog import register
-from brindle.plans.datasets import EPISODES_CTE, ds09
+from brindle.plans.datasets import AS_OF, EPISODES_CTE, HELD, ds09
 from brindle.sources import roles
 from brindle.sources.roles import oracle, table
 
@@ -167,7 +167,7 @@ def j13(spark, d):
     return J.expand_days(roles.promotions(spark, d), F.expr("date_sub(start_date, days)"), F.expr("date_add(end_date, days)")).select("promotion_id", "calendar_date")
 
 
-@register("j14_event_in_episode", oracle("WITH %s SELECT i.warehouse_id, i.category, i.d, e.episode_start, 'W' || i.warehouse_id || '_S' || i.category || '_' || strftime(e.episode_start, '%%Y%%m%%d') AS episode_id FROM inventory i JOIN episodes e ON e.warehouse_id = i.warehouse_id AND e.category = i.category AND e.episode_start <= i.d AND (e.recovery_date IS NULL OR i.d < e.recovery_date) WHERE i.available <= 0" % EPISODES_CTE, "inventory"))
+@register("j14_event_in_episode", oracle(f"WITH {EPISODES_CTE} SELECT x.warehouse_id, x.category, x.d, e.episode_start, 'W' || x.warehouse_id || '_S' || x.category || '_' || strftime(e.episode_start, '%Y%m%d') AS episode_id FROM inventory x {AS_OF.format('d')} WHERE x.available <= 0 AND {HELD.format('d')}", "inventory"))
 def j14(spark, d):
     events = roles.inventory(spark, d).filter("available <= 0").select("warehouse_id", "category", "d")
     found = J.in_episode(events, ds09(spark, d), ["warehouse_id", "category"], "d")

@@ -66,6 +66,11 @@ def split_day(spark: SparkSession, d: str, share: float) -> str:
     return str(low + (high - low) * share)
 
 
+def split_sql(share: float) -> str:
+    """:func:`split_day` for DuckDB, over the common table expression ``calendar``."""
+    return f"(SELECT min(d) + floor((max(d) - min(d)) * {share})::INT FROM calendar)"
+
+
 def grid(spark: SparkSession, d: str) -> DataFrame:
     """Every day x cell x category with its units, zero where nothing was sold."""
     cells = table(spark, d, "nation").select(F.col("n_nationkey").alias("cell_id"), F.col("n_regionkey").alias("region_id"))
@@ -127,7 +132,7 @@ SQL_ROLES = {
   FROM calendar c CROSS JOIN nation CROSS JOIN (SELECT DISTINCT p_type AS category FROM part) p
   LEFT JOIN (SELECT sale_date, cell_id, category, sum(units) AS sold, sum(net) AS net, bool_or(is_promo) AS promo FROM sales GROUP BY ALL) s
   ON s.sale_date = c.d AND s.cell_id = n_nationkey AND s.category = p.category)""",
-    "inventory": f"""inventory AS (
+    "inventory": f"""inventory AS MATERIALIZED (
   SELECT d, warehouse_id, category, change, ({FIRST_STOCK} + sum(change) OVER (PARTITION BY warehouse_id, category ORDER BY d))::BIGINT AS available FROM (
     SELECT c.d, w.warehouse_id, p.category, coalesce(m.change, 0)::BIGINT AS change
     FROM calendar c CROSS JOIN (SELECT unnest(range(4)) AS warehouse_id) w CROSS JOIN (SELECT DISTINCT p_type AS category FROM part) p

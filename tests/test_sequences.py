@@ -128,3 +128,30 @@ def test_frames_compare_with_repeats(spark):
     assert tuple(r) == (1, 1)
     train = spark.createDataFrame([(1, "E1"), (2, None), (3, "E2")], "k int, g string")
     assert sorted(x.k for x in sets.purge_shared(train, spark.createDataFrame([("E1",)], "g string"), "g").collect()) == [2, 3]
+
+
+def test_episode_membership_as_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    episodes, events = [], []
+    for k in range(6):
+        at = rng.randint(-400, 0)
+        while at < 600:
+            length = rng.choice([0, 1, 5, 63, 64, 65, 300])
+            episodes.append((k, f"c{k % 2}", day(at), day(at + length)))
+            at += length + rng.choice([0, 1, 30, 200])
+        if k % 3 == 0:
+            episodes.append((k, f"c{k % 2}", day(at), None))
+    events = [(rng.randrange(7), f"c{rng.randrange(2)}", day(rng.randint(-450, 1200)), n) for n in range(2000)] + [(None, "c0", day(3), -1), (0, None, day(3), -2), (0, "c0", None, -3)]
+    df = spark.createDataFrame(events, "k int, c string, d date, n int")
+    ep = spark.createDataFrame(episodes + [(None, "c0", day(0), None)], "k int, c string, episode_start date, recovery_date date")
+    want = set()
+    for k, c, d, n in events:
+        found = [(s, r) for a, b, s, r in episodes if (a, b) == (k, c) and d is not None and s <= d and (r is None or d < r)]
+        assert len(found) < 2
+        want.add((n, *(found[0] if found else (None, None))))
+    got = J.with_episode(df, ep, ["k", "c"], "d")
+    assert got.columns == ["k", "c", "d", "n", "episode_start", "recovery_date"]
+    assert {(r.n, r.episode_start, r.recovery_date) for r in got.collect()} == want and got.count() == len(events)
+    assert J.in_episode(df, ep, ["k", "c"], "d").count() == sum(s is not None for _, s, _ in want)
