@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from brindle.operators.summaries import quantiles
 
 
-def robust_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
-    """(x - median) / (p75 - p25) with exact linear quantiles; a spread of zero counts as one."""
-    df, scaled = df.persist(), {}  # each quantile reads it several times
+def robust_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled", fit: DataFrame | None = None) -> DataFrame:
+    """(x - median) / (p75 - p25) with exact linear quantiles of ``fit`` (``df`` itself by default); a spread of zero counts as one."""
+    if fit is None:
+        fit = df = df.persist()  # each quantile reads it several times
+    scaled = {}
     for c in columns:
-        low, middle, high = quantiles(df, c, [0.25, 0.5, 0.75])
+        low, middle, high = quantiles(fit, c, [0.25, 0.5, 0.75])
         scaled[f"{c}{suffix}"] = F.lit(None).cast("double") if low is None else (F.col(c) - middle) / ((high - low) or 1.0)
     return df.withColumns(scaled)
 

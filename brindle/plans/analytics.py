@@ -65,12 +65,6 @@ def forecast_models(frame: DataFrame) -> dict[str, Pipeline]:
     }
 
 
-def select_model(errors: dict[str, float], simplest_first: tuple[str, ...], tolerance: float = 0.005) -> str:
-    """The lowest error, or a simpler model within the tolerance of it."""
-    low = min(errors.values())
-    return next(m for m in simplest_first if errors[m] <= low * (1 + tolerance))
-
-
 @register("fc04_model_errors")
 def fc04(spark: SparkSession, d: str) -> DataFrame:
     """Each candidate fitted on the first weeks and judged once on later ones, with a week's gap between."""
@@ -217,9 +211,10 @@ def sv02(spark: SparkSession, d: str) -> DataFrame:
 _FEATURES = ("revenue_30d", "units_30d", "active_skus_30d")
 
 
-def _latest(spark: SparkSession, d: str) -> DataFrame:
-    """The stores at the last snapshot, from the sales of its thirty days alone."""
-    last = roles.snapshots(spark, d).agg(F.max("snapshot_date")).first()[0]
+def _latest(spark: SparkSession, d: str, back: int = 0) -> DataFrame:
+    """The stores at the last snapshot (or so many before it), from the sales of its thirty days alone."""
+    last = roles.snapshots(spark, d).orderBy(F.desc("snapshot_date")).offset(back).first()
+    last = last and last[0]
     known = roles.snapshots(spark, d).filter(F.col("snapshot_date") == F.lit(last))
     return segmentation(roles.sales(spark, d).filter(F.col("sale_date").between(F.date_add(F.lit(last), -29), F.lit(last))), known)
 

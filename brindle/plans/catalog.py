@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "ds01_forecasting"
-MODULES = ("datasets", "relational", "marts", "analytics", "quality", "bi", "io_streams", "panels", "evidence")
+MODULES = ("datasets", "relational", "marts", "analytics", "quality", "bi", "io_streams", "panels", "evidence", "studies")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import clusters, cox, forest, rules, scoring
+from brindle.operators import clusters, cox, forest, rules, scoring, selection
 from brindle.operators import summaries as A
 from brindle.plans import analytics
 
@@ -68,8 +68,8 @@ def test_robust_scaling_has_median_zero(spark):
 
 
 def test_model_selection_prefers_the_simpler():
-    assert analytics.select_model({"a": 1.004, "b": 1.0}, ("a", "b")) == "a"
-    assert analytics.select_model({"a": 1.01, "b": 1.0}, ("a", "b")) == "b"
+    assert selection.select_model({"a": 1.004, "b": 1.0}, ("a", "b")) == "a"
+    assert selection.select_model({"a": 1.01, "b": 1.0}, ("a", "b")) == "b"
 
 
 def test_isolation_forest_finds_the_far_point(spark):
