@@ -7,6 +7,7 @@ ledger holds, and a batch that is run again overwrites its own part.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,25 +86,41 @@ def upsert_new(batch: DataFrame, ledger: DataFrame | None, key: str = "event_id"
     return fresh if ledger is None else fresh.join(ledger.select(key), key, "left_anti")
 
 
-def _held(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The ledger's parts of other batches."""
+def _held(spark: SparkSession, path: str) -> DataFrame | None:
+    """What earlier batches of all streams have written."""
     try:
-        return spark.read.parquet(path).filter(F.col("batch_id") != batch_id)
+        return spark.read.parquet(path)
     except Exception as problem:  # an empty or missing ledger has no schema to read
         if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
             return None
         raise
 
 
-def sink(ledger_path: str, dead_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function for messages ``raw``: ledger and dead letters, one folder a batch."""
+def stream_name(checkpoint: str) -> str:
+    """The name of a stream in the folders of its sink: one for each checkpoint, whose batches are numbered from 0."""
+    return "s" + hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def sink(ledger_path: str, dead_path: str, stream: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for messages ``raw``: ledger and dead letters, one folder for each batch of each stream.
+
+    A batch that is run again, after a failure between write and commit, overwrites its own folder.  Under a fresh checkpoint batches
+    are numbered from 0 again, so streams have folders of their own; messages that they read again add nothing: the ledger
+    drops known events, and dead letters those that another stream has rejected (one stream keeps all its copies).
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         checked = validate(batch).persist()
-        fresh = upsert_new(accepted(checked), _held(spark, ledger_path, batch_id))
-        fresh.write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
-        rejected(checked).write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        folder, own = f"stream={stream}/batch_id={batch_id}", (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+        held = _held(spark, ledger_path)
+        fresh = upsert_new(accepted(checked), None if held is None else held.filter(~own))
+        fresh.write.mode("overwrite").parquet(f"{ledger_path}/{folder}")
+        dead, known = rejected(checked), _held(spark, dead_path)
+        if known is not None:
+            others = known.filter(F.col("stream") != stream).select(F.col("raw").alias("_raw")).distinct()
+            dead = dead.join(others, F.col("raw").eqNullSafe(F.col("_raw")), "left_anti")
+        dead.write.mode("overwrite").parquet(f"{dead_path}/{folder}")
         checked.unpersist()
 
     return write
@@ -111,7 +128,8 @@ def sink(ledger_path: str, dead_path: str) -> Callable[[DataFrame, int], None]:
 
 def drain(messages: DataFrame, ledger_path: str, dead_path: str, checkpoint: str) -> StreamingQuery:
     """Process all there is and stop."""
-    query = messages.writeStream.foreachBatch(sink(ledger_path, dead_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = sink(ledger_path, dead_path, stream_name(checkpoint))
+    query = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
