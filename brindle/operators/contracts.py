@@ -1,4 +1,4 @@
-"""Contracts of tables and of single features, as counts of violations."""
+"""Contracts of tables and of single features, as counts of violations or as a fault of each row."""
 
 from __future__ import annotations
 
@@ -58,6 +58,7 @@ def violations(df: DataFrame, key: Sequence[str], not_null: Sequence[str], check
 
 #: Feature kinds and the Spark types they arrive as without coercion.
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+MOMENTS = ("timestamp", "timestamp_ntz", "date")
 
 
 @dataclass(frozen=True)
@@ -70,26 +71,37 @@ class Feature:
     categories: tuple[str, ...] = ()
     coerce: bool = False
 
-    def value(self) -> Column:
+    def fits(self, dtype: str) -> bool:
+        """Whether a column of this type may be read as the kind at all.
+
+        Without ``coerce`` the type must be one of the kind's own.  With it numbers, texts and dates are read from any type but
+        boolean; a boolean is never made from another type, nor a number from a boolean.
+        """
+        own = {"number": dtype in NUMERIC or dtype.startswith("decimal"), "string": dtype == "string" or dtype.startswith(("varchar", "char")), "boolean": dtype == "boolean", "datetime": dtype in MOMENTS}
+        own["integer"] = own["number"]
+        return own[self.kind] or self.coerce and (self.kind == "string" or self.kind != "boolean" and dtype != "boolean")
+
+    def value(self, dtype: str) -> Column:
         """The feature as its kind, null where it cannot be read as such."""
-        c = F.col(self.name)
+        c = F.col(f"`{self.name}`")
         kind = {"number": "double", "integer": "double", "string": "string", "boolean": "boolean", "datetime": "timestamp"}[self.kind]
-        return c.try_cast(kind) if self.coerce or self.kind in ("string", "datetime") else c.cast(kind)
+        if not self.fits(dtype):
+            return F.lit(None).cast(kind)
+        if self.kind == "datetime" and dtype in NUMERIC:
+            return F.timestamp_seconds(c)
+        return c.try_cast(kind) if self.coerce and dtype == "string" else c.cast(kind)
 
     def fault(self, dtype: str) -> Column:
         """Rows that break the feature's rules, as a code, or null."""
-        c, v = F.col(self.name), self.value()
-        numeric = self.kind in ("number", "integer")
-        wrong = dtype == "boolean" and numeric or self.kind == "boolean" and dtype != "boolean" and not self.coerce or numeric and dtype not in NUMERIC and not dtype.startswith("decimal") and not self.coerce
-        bad = F.lit(True) if wrong else c.isNotNull() & v.isNull()
-        if numeric and not wrong:
+        c, v = F.col(f"`{self.name}`"), self.value(dtype)
+        bad = v.isNull()
+        if self.fits(dtype) and self.kind in ("number", "integer"):
             bad = bad | F.isnan(v) | (F.abs(v) == float("inf"))
-        if self.kind == "integer" and not wrong:
-            bad = bad | (v != F.floor(v))
-        if self.categories:
-            bad = bad | ~c.isin(*self.categories)
+            bad = bad | (v != F.floor(v)) if self.kind == "integer" else bad
+        if self.fits(dtype) and self.categories:
+            bad = bad | ~v.isin(*self.categories)
         empty = F.lit(False) if self.nullable else c.isNull()
-        return F.when(empty, "NULL_FEATURE").when(F.coalesce(bad, F.lit(False)) & c.isNotNull(), "INVALID_FEATURE")
+        return F.when(empty, "NULL_FEATURE").when(F.coalesce(bad, F.lit(True)) & c.isNotNull(), "INVALID_FEATURE")
 
 
 @dataclass(frozen=True)
@@ -99,14 +111,22 @@ class Signature:
     features: tuple[Feature, ...]
     forbidden: tuple[str, ...] = ()
 
-    def validate(self, df: DataFrame) -> DataFrame:
-        """``df`` with its features read as their kinds; the first broken rule raises."""
+    def check_columns(self, df: DataFrame) -> None:
+        """The columns' names, by the first broken rule."""
         if len(set(df.columns)) != len(df.columns):
-            raise ContractError("DUPLICATE_FEATURE", "column names repeat")
+            raise ContractError("INVALID_SCHEMA", "column names repeat")
         names = [f.name for f in self.features]
         for code, found in (("FORBIDDEN_FEATURE", [c for c in df.columns if c in self.forbidden]), ("MISSING_FEATURE", [n for n in names if n not in df.columns]), ("UNEXPECTED_FEATURE", [c for c in df.columns if c not in names])):
             if found:
                 raise ContractError(code, ", ".join(sorted(found)))
+
+    def _read(self, df: DataFrame) -> list[Column]:
+        types = dict(df.dtypes)
+        return [(f.value(types[f.name]).cast("long") if f.kind == "integer" else f.value(types[f.name])).alias(f.name) for f in self.features]
+
+    def validate(self, df: DataFrame) -> DataFrame:
+        """``df`` with its features read as their kinds; the first broken rule raises."""
+        self.check_columns(df)
         types = dict(df.dtypes)
         counts = [F.count_if(f.fault(types[f.name]) == code).alias(f"{i}:{code}") for i, f in enumerate(self.features) for code in ("NULL_FEATURE", "INVALID_FEATURE")]
         found = df.agg(*counts).first().asDict()
@@ -114,7 +134,21 @@ class Signature:
             if n:
                 i, _, code = key.partition(":")
                 raise ContractError(code, f"{self.features[int(i)].name} in {n} rows")
-        return df.select(*[f.value().alias(f.name) if f.kind != "integer" else f.value().cast("long").alias(f.name) for f in self.features])
+        return df.select(*self._read(df))
+
+    def faults(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``df`` with its features read as their kinds and ``faults``, the (feature, code) of every rule that a row breaks.
+
+        One projection, lazy, so a frame of any size is judged row by row as it is read; only its column names can raise.  A
+        feature at fault is null unless it can be read.  Columns of ``keep`` (a row's key) are carried along and are no features.
+        """
+        clash = sorted({*keep, "faults"} & {f.name for f in self.features} | set(keep) & {"faults"})
+        if clash:
+            raise ContractError("INVALID_SCHEMA", f"reserved: {', '.join(clash)}")
+        self.check_columns(df.drop(*keep))
+        types = dict(df.dtypes)
+        found = [F.when(f.fault(types[f.name]).isNotNull(), F.struct(F.lit(f.name).alias("feature"), f.fault(types[f.name]).alias("code"))) for f in self.features]
+        return df.select(*[F.col(f"`{k}`") for k in keep], *self._read(df), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("faults"))
 
 
 @dataclass(frozen=True)
@@ -146,7 +180,7 @@ def capabilities(required: Mapping[str, Sequence[str]], supplied: Mapping[str, b
         if name in blocked:
             out[name] = "BLOCKED_SCIENTIFICALLY"
         elif any(n in supplied and not supplied[n] for n in needs):
-            out[name] = "UNAVAILABLE_INVALID_CONTRACT"
+            out[name] = "INVALID_CONTRACT"
         elif any(n not in supplied for n in needs):
             out[name] = "UNAVAILABLE_MISSING_CONTRACT"
         else:

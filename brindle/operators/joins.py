@@ -42,12 +42,22 @@ def expand_days(df: DataFrame, start: Column, end: Column, name: str = "calendar
     return df.withColumn(name, F.explode(F.sequence(start, end)))
 
 
-def overlaps(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str) -> DataFrame:
-    """Pairs (low, high) of rows of one key whose inclusive intervals share a day."""
-    a = df.select(*keys, F.col(row_id).alias("low_id"), F.col(start).alias("_s1"), F.col(end).alias("_e1"))
-    b = df.select(*keys, F.col(row_id).alias("high_id"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
-    joined = a.join(b, list(keys)) if keys else a.join(b, F.col("low_id") < F.col("high_id"))
-    return joined.filter("low_id < high_id and _s1 <= _e2 and _s2 <= _e1").drop("_s1", "_e1", "_s2", "_e2")
+def overlaps(df: DataFrame, keys: Sequence[str], row_id: str, start: str, end: str, bucket_days: int = 32) -> DataFrame:
+    """Pairs (low, high) of rows of one key whose inclusive intervals share a day; none for null bounds or keys.
+
+    Intervals are listed under the buckets of days that they touch, and a pair is found in the bucket where the later of the two
+    starts, once.  So rows of one key that lie far apart never meet.  Ends are cut at the last start of all, which no overlap needs
+    to pass, so open intervals are listed no further than the data go.
+    """
+    bucket = lambda c: F.floor(day(c) / bucket_days)
+    known = df.select(*keys, F.col(row_id).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e")).filter("_s is not null and _e is not null")
+    last = known.agg(F.max("_s").alias("_last"))  # one row
+    cut = known.crossJoin(F.broadcast(last)).withColumn("_e", F.least("_e", "_last"))
+    held = cut.withColumn("_bucket", F.explode(F.sequence(bucket("_s"), bucket("_e"))))
+    a = held.select(*keys, "_bucket", F.col("_id").alias("low_id"), F.col("_s").alias("_s1"), F.col("_e").alias("_e1"))
+    b = held.select(*keys, "_bucket", F.col("_id").alias("high_id"), F.col("_s").alias("_s2"), F.col("_e").alias("_e2"))
+    met = a.join(b, [*keys, "_bucket"]).filter("low_id < high_id and _s1 <= _e2 and _s2 <= _e1")
+    return met.filter(F.col("_bucket") == bucket(F.greatest("_s1", "_s2"))).select(*keys, "low_id", "high_id")
 
 
 def with_episode(events: DataFrame, episodes: DataFrame, keys: Sequence[str], date: str, start: str = "episode_start", recovery: str = "recovery_date", bucket_days: int = 64) -> DataFrame:

@@ -80,6 +80,25 @@ def value_ranks(df: DataFrame, value: str, width: float = 1.0) -> DataFrame:
     return ranked.select(value, ((F.col("cum__n") - (F.col("_n") - 1) / 2) / F.col("_total")).alias("pct_rank"))
 
 
+def rank_shares(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+    """Adds ``share``, the average rank of ties over the rows of the key, ``n_below`` and ``n_all``, its rows below and in all.
+
+    Rows are first counted by value, so no task sorts the rows of a key; ``width`` as in :func:`running_sums`.  Rows with a null key
+    or value are left out.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).filter(F.col(value).isNotNull())
+    summed = running_sums(counts, keys, value, ["n"], width).select(*keys, value, "n", (F.col("cum_n") - F.col("n")).alias("n_below"))
+    whole = counts.groupBy(*keys).agg(F.sum("n").alias("n_all"))
+    ranks = summed.join(whole, list(keys)).withColumn("share", (F.col("n_below") + (F.col("n") + 1) / 2) / F.col("n_all"))
+    return df.join(ranks.drop("n"), [*keys, value])
+
+
+def places(df: DataFrame, keys: Sequence[str], order: str, width: float) -> DataFrame:
+    """Adds ``place``, from 1 in each key, by a column that is unique in it; sorted by buckets as in :func:`running_sums`."""
+    counts = df.select(*keys, order, F.lit(1).cast("long").alias("place"))
+    return df.join(running_sums(counts, keys, order, ["place"], width).select(*keys, order, F.col("cum_place").alias("place")), [*keys, order])
+
+
 def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: int) -> DataFrame:
     """About ``wanted`` rows of each key, spread evenly over its order."""
     ordered, whole = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)

@@ -35,7 +35,7 @@ class Registry:
         with self._lock:
             versions = self._models.setdefault(model.name, {})
             if model.version in versions:
-                raise ContractError("VERSION_CONFLICT", f"{model.name} {model.version}")
+                raise ContractError("MODEL_CONFLICT", f"{model.name} {model.version}")
             versions[model.version] = model
 
     def find(self, name: str, version: str | None = None) -> Model:
@@ -68,6 +68,29 @@ class Engine:
             raise ContractError("INVALID_OUTPUT", ", ".join(lost))
         return out
 
+    def infer_rows(self, name: str, df: DataFrame, version: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+        """Scores of the good rows, and codes for the bad ones, in a frame of any size.
+
+        Columns: ``keep``, the model's outputs, ``faults``.  A row with faults has no outputs and never reaches the model; an output
+        that breaks its kind is a fault of its row too, with code INVALID_OUTPUT, and is null.  The rows are read in two branches, the bad ones
+        and those to be scored; nothing is collected, and the order of rows is free.
+        """
+        model = self.registry.find(name, version)
+        judged = model.signature.faults(df, keep)
+        features = [f.name for f in model.signature.features]
+        good, bad = (judged.filter(F.size("faults") == 0), judged.filter(F.size("faults") > 0))
+        scored = model.score(good.drop("faults"))
+        lost = [c for c in [*keep, *model.outputs] if c not in scored.columns]
+        if lost:
+            raise ContractError("INVALID_OUTPUT", ", ".join(lost))
+        wrong = {c: _breaks(F.col(c), kind) for c, kind in model.outputs.items() if kind != "any"}
+        found = [F.when(w, F.struct(F.lit(c).alias("feature"), F.lit("INVALID_OUTPUT").alias("code"))) for c, w in wrong.items()]
+        faults = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<struct<feature:string,code:string>>")
+        outputs = [F.when(~wrong[c], F.col(c)).alias(c) if c in wrong else F.col(c) for c in model.outputs]
+        kinds = dict(scored.dtypes)
+        empty = [F.lit(None).cast(kinds[c]).alias(c) for c in model.outputs]
+        return scored.select(*keep, *outputs, faults.alias("faults")).unionByName(bad.drop(*features).select(*keep, *empty, "faults"))
+
     def infer_batch(self, name: str, df: DataFrame, version: str | None = None, domain: str | None = None) -> tuple[list[dict], dict]:
         n = df.limit(self.most_rows + 1).count()
         if not 1 <= n <= self.most_rows:
@@ -87,15 +110,15 @@ class Engine:
         return records, facts
 
 
-def output_faults(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
-    """One row: for each output, how many values break its kind; for frames too large to collect."""
+def _breaks(x: Column, kind: str) -> Column:
+    """Whether a value is no finite number, or no probability."""
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.coalesce(bad | (x < 0) | (x > 1) if kind == "probability" else bad, F.lit(True))
 
-    def fault(c: str, kind: str) -> Column:
-        x = F.col(c)
-        bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-        return F.count_if(bad | (x < 0) | (x > 1) if kind == "probability" else bad).alias(c)
 
-    return df.agg(*[fault(c, k) for c, k in outputs.items() if k != "any"])
+def output_faults(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
+    """One row: for each output, how many values break its kind; for frames too large to collect."""
+    return df.agg(*[F.count_if(_breaks(F.col(c), k)).alias(c) for c, k in outputs.items() if k != "any"])
 
 
 def resolve_features(df: DataFrame, keys: Mapping[str, object], date: str, outcomes: Sequence[str], as_of: Column | None = None) -> DataFrame:

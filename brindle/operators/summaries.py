@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.sequences import running_sums
+
 
 def quantiles(df: DataFrame, column: str, wanted: Sequence[float], buckets: int = 4096) -> list[float]:
     """Exact linear quantiles without one task that sees all values.
@@ -40,6 +43,28 @@ def quantiles(df: DataFrame, column: str, wanted: Sequence[float], buckets: int
     return out
 
 
+def group_quantiles(df: DataFrame, keys: Sequence[str], column: str, wanted: Mapping[str, float], buckets: int = 4096) -> DataFrame:
+    """Exact linear quantiles (name: share) of each key.  Values are counted first, and counts are added up over ``buckets`` equal parts of
+    the values' range, so neither the rows nor the different values of a key meet in one task.
+
+    Null and NaN values do not count; a key without values has no row.  Infinite values are refused.
+    """
+    counts = df.select(*keys, F.col(column).cast("double").alias("_x")).filter("_x is not null and not isnan(_x)").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.agg(F.min("_x").alias("low"), F.max("_x").alias("high")).first()
+    span = (ends["high"] - ends["low"]) if ends["low"] is not None else 0.0
+    if not math.isfinite(span):
+        raise ValueError("quantiles of infinite values")
+    summed = running_sums(counts, keys, "_x", ["n"], buckets / span if span else 1.0)
+    ranked = summed.join(counts.groupBy(*keys).agg(F.sum("n").alias("_all")), list(keys))
+    at = lambda rank: F.max(F.when((F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n")), F.col("_x")))
+    out = []
+    for name, q in wanted.items():
+        rank = (F.col("_all") - 1) * q
+        low, part = at(F.floor(rank)), F.max(rank - F.floor(rank))
+        out.append((low + (at(F.ceil(rank)) - low) * part).alias(name))
+    return ranked.groupBy(*keys).agg(*out)
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: count, mean, sample deviation, linear quantiles, population skew.  Quantiles by buckets, as above."""
     measures = []

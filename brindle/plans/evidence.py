@@ -13,7 +13,7 @@ from brindle.operators.sequences import latest
 from brindle.plans.analytics import _COMPARISON_SQL, _LATEST_SQL, _Z_SQL, _cohort, _latest, _rules, _scored, _table_sql, an01, bk04, pr03
 from brindle.plans.analytics import _PERIOD_SQL
 from brindle.plans.catalog import register
-from brindle.plans.datasets import AS_OF, CELL, EPISODES_CTE, HELD, PROMOTION_DAILY_CTE, ds02, ds03, ds05, ds07, ds09
+from brindle.plans.datasets import AS_OF, CELL, EPISODES_CTE, HELD, PROMOTION_DAILY_CTE, STOCKOUT_SQL, ds02, ds03, ds05, ds07, ds09
 from brindle.sources import roles, simulate
 from brindle.sources.roles import oracle, table
 
@@ -185,7 +185,7 @@ def si03(spark: SparkSession, d: str) -> DataFrame:
     return simulate.donor_statistics(rows, "category", "units", "is_promo", "gross")
 
 
-@register("se01_batch_inference")
+@register("se01_batch_inference", oracle(f"WITH s AS ({STOCKOUT_SQL}), p AS (SELECT round(1 / (1 + exp((available - 20) / 10.0::DOUBLE)), 6) AS p FROM s) SELECT count(*) AS n, round(avg(p), 6) AS mean_probability, count(*) FILTER (WHERE p NOT BETWEEN 0 AND 1) AS n_faults FROM p", "inventory"))
 def se01(spark: SparkSession, d: str) -> DataFrame:
     """A fixed linear model over the stockout features behind its signature."""
     p = 1 / (1 + F.exp((F.col("available") - 20) / 10.0))
@@ -197,6 +197,24 @@ def se01(spark: SparkSession, d: str) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 6).alias("mean_probability")).crossJoin(serving.output_faults(scored, model.outputs).withColumnRenamed("probability", "n_faults"))
 
 
+_SPOILT = "CASE WHEN o_orderkey % 13 = 5 THEN NULL WHEN o_orderkey % 17 = 3 THEN 'n/a' WHEN o_orderkey % 19 = 2 THEN '2.5' ELSE (o_orderkey % 40)::VARCHAR END"
+_SCORE = "20 / (20 + ({}))"
+
+
+@register("se03_scored_rows", f"WITH x AS (SELECT o_orderkey, {_SPOILT} AS v, CASE WHEN o_orderstatus = 'P' THEN '?' ELSE o_orderstatus END AS s, o_orderkey % 40 AS k FROM orders), f AS (SELECT *, concat_ws(',', CASE WHEN v IS NULL THEN 'available:NULL_FEATURE' WHEN v IN ('n/a', '2.5') THEN 'available:INVALID_FEATURE' END, CASE WHEN s = '?' THEN 'status:INVALID_FEATURE' END) AS faults FROM x) SELECT o_orderkey, CASE WHEN faults = '' AND k <> 33 THEN round({_SCORE.format('k')}::DOUBLE, 6) END AS probability, CASE WHEN faults = '' AND k = 33 THEN 'probability:INVALID_OUTPUT' ELSE faults END AS faults FROM f")
+def se03(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as rows to be scored, some of them spoilt, by a model that errs on one value: scores for good rows, codes for bad ones."""
+    k = F.col("o_orderkey")
+    spoilt = F.when(k % 13 == 5, None).when(k % 17 == 3, "n/a").when(k % 19 == 2, "2.5").otherwise((k % 40).cast("string"))
+    rows = table(spark, d, "orders").select("o_orderkey", spoilt.alias("available"), F.when(F.col("o_orderstatus") == "P", "?").otherwise(F.col("o_orderstatus")).alias("status"))
+    p = F.when(F.col("available") == 33, 1.5).otherwise(F.round(F.expr(_SCORE.format("available")), 6))
+    signature = Signature((Feature("available", "integer", coerce=True), Feature("status", "string", categories=("F", "O"))))
+    registry = serving.Registry()
+    registry.add(serving.Model("stockout", "1", signature, lambda f: f.withColumn("probability", p), {"probability": "probability"}))
+    out = serving.Engine(registry).infer_rows("stockout", rows, keep=["o_orderkey"])
+    return out.withColumn("faults", F.array_join(F.transform("faults", lambda x: F.concat(x.feature, F.lit(":"), x.code)), ","))
+
+
 @register("se04_latest_features", oracle("SELECT * EXCLUDE (n) FROM (SELECT warehouse_id, category, d, available, change, row_number() OVER (PARTITION BY warehouse_id, category ORDER BY d DESC) AS n FROM inventory WHERE d <= " + roles.split_sql(0.7) + ") WHERE n = 1", "inventory"))
 def se04(spark: SparkSession, d: str) -> DataFrame:
     return latest(roles.inventory(spark, d).filter(F.col("d") <= roles.split_day(spark, d, 0.7)), ["warehouse_id", "category"], F.desc("d"))

@@ -155,11 +155,11 @@ def j11(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@register("j12_interval_overlaps", oracle("WITH x AS (SELECT cell_id, category, episode_start AS s, coalesce(recovery_date, DATE '9999-12-31') AS e, row_number() OVER (ORDER BY cell_id, category, episode_start) AS id FROM (SELECT warehouse_id AS cell_id, category, episode_start, recovery_date FROM (WITH %s SELECT * FROM episodes))) SELECT a.cell_id, a.id AS low_id, b.id AS high_id FROM x a JOIN x b ON a.cell_id = b.cell_id AND a.id < b.id AND a.s <= b.e AND b.s <= a.e" % EPISODES_CTE, "inventory"))
+@register("j12_interval_overlaps", oracle("WITH x AS (SELECT warehouse_id AS cell_id, episode_start AS s, coalesce(recovery_date, DATE '9999-12-31') AS e, category || ':' || strftime(episode_start, '%%Y%%m%%d') AS id FROM (WITH %s SELECT * FROM episodes)) SELECT a.cell_id, a.id AS low_id, b.id AS high_id FROM x a JOIN x b ON a.cell_id = b.cell_id AND a.id < b.id AND a.s <= b.e AND b.s <= a.e" % EPISODES_CTE, "inventory"))
 def j12(spark, d):
-    e = ds09(spark, d).select(F.col("warehouse_id").alias("cell_id"), "category", F.col("episode_start").alias("s"), F.coalesce("recovery_date", F.to_date(F.lit("9999-12-31"))).alias("e"))
-    numbered = e.withColumn("id", F.row_number().over(Window.orderBy("cell_id", "category", "s")))  # some dozen episodes
-    return J.overlaps(numbered, ["cell_id"], "id", "s", "e")
+    name = F.concat("category", F.lit(":"), F.date_format("episode_start", "yyyyMMdd"))
+    e = ds09(spark, d).select(F.col("warehouse_id").alias("cell_id"), name.alias("id"), F.col("episode_start").alias("s"), F.coalesce("recovery_date", F.to_date(F.lit("9999-12-31"))).alias("e"))
+    return J.overlaps(e, ["cell_id"], "id", "s", "e")
 
 
 @register("j13_series_expand", oracle("SELECT promotion_id, unnest(generate_series(start_date - days::INT, end_date + days::INT, INTERVAL 1 DAY))::DATE AS calendar_date FROM promotions", "promotions"))
@@ -383,8 +383,12 @@ def w13(spark, d):
 
 @register("w14_percent_rank", "SELECT p_partkey, p_size, round((rank() OVER (PARTITION BY p_type ORDER BY p_size) + (count(*) OVER (PARTITION BY p_type, p_size) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY p_type), 9) AS pct_rank, ntile(3) OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS tercile FROM part")
 def w14(spark, d):
-    tercile = F.ntile(3).over(Window.partitionBy("p_type").orderBy("p_size", "p_partkey"))
-    return table(spark, d, "part").select("p_partkey", "p_size", F.round(W.percent_rank(["p_type"], F.col("p_size")), 9).alias("pct_rank"), tercile.cast("long").alias("tercile"))
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_size")
+    placed = W.places(W.rank_shares(part, ["p_type"], "p_size", 1 / 8), ["p_type", "p_size"], "p_partkey", 1 / 65536)
+    first = F.col("n_below") + F.col("place")  # from 1, in the order of size and key
+    long, size = F.col("n_all") % 3, F.floor(F.col("n_all") / 3)  # the first terciles have one row more
+    tercile = F.when(first <= long * (size + 1), F.ceil(first / (size + 1))).otherwise(long + F.ceil((first - long * (size + 1)) / size))
+    return placed.select("p_partkey", "p_size", F.round("share", 9).alias("pct_rank"), tercile.cast("long").alias("tercile"))
 
 
 @register("w15_ratio_to_max", "SELECT p_partkey, round(p_retailprice / max(p_retailprice) OVER (PARTITION BY p_type), 9) AS ratio FROM part")

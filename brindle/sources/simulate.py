@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.summaries import group_quantiles
+
 
 def weekly_prices(bases: DataFrame, days: DataFrame, key: str, base: str) -> DataFrame:
     """A price for every ``key`` and week of the calendar ``days``, both ends of its validity inclusive; each third week 10 %
@@ -17,7 +19,6 @@ def weekly_prices(bases: DataFrame, days: DataFrame, key: str, base: str) -> Dat
 
 def donor_statistics(df: DataFrame, group: str, value: str, flag: str, price: str) -> DataFrame:
     """For each group: share of flagged rows and of rows above zero, quantiles of the values, mean of price over its top."""
-    ratio = F.col(price) / F.nullif(F.max(price).over(Window.partitionBy(group)), F.lit(0.0))
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9)))
-    out = df.withColumn("_ratio", ratio).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(flag).cast("int")), 6).alias("flag_rate"), F.round(F.avg((F.col(value) > 0).cast("int")), 6).alias("nonzero_rate"), q.alias("_q"), F.round(F.avg("_ratio"), 6).alias("price_ratio"))
-    return out.select(group, "n", "flag_rate", "nonzero_rate", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p90"), "price_ratio")
+    ratio = F.avg(price) / F.nullif(F.max(price), F.lit(0.0))
+    facts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(flag).cast("int")), 6).alias("flag_rate"), F.round(F.avg((F.col(value) > 0).cast("int")), 6).alias("nonzero_rate"), F.round(ratio, 6).alias("price_ratio"))
+    return facts.join(group_quantiles(df, [group], value, {"p50": 0.5, "p90": 0.9}), group, "left").select(group, "n", "flag_rate", "nonzero_rate", "p50", "p90", "price_ratio")

@@ -47,6 +47,29 @@ def test_coercion_is_opt_in(spark):
             Signature((Feature("n", kind, coerce=True),)).validate(spark.createDataFrame([(value,)], "n string"))
 
 
+@pytest.mark.parametrize("kind,coerce,value,dtype,good", [
+    ("string", False, 5, "int", False), ("string", True, 5, "int", True), ("string", False, "x", "string", True),
+    ("datetime", False, "2024-01-02", "string", False), ("datetime", True, "2024-01-02", "string", True), ("datetime", False, date(2024, 1, 2), "date", True),
+    ("boolean", True, "true", "string", False), ("boolean", True, 1, "int", False), ("boolean", False, True, "boolean", True),
+    ("number", True, True, "boolean", False), ("integer", True, "7", "string", True), ("number", False, "7", "string", False),
+])
+def test_types_of_kinds(spark, kind, coerce, value, dtype, good):
+    df = spark.createDataFrame([(value,), (None,)], f"x {dtype}")
+    signature = Signature((Feature("x", kind, nullable=True, coerce=coerce),))
+    codes = [[f.code for f in r.faults] for r in signature.faults(df).collect()]
+    assert codes == [[] if good else ["INVALID_FEATURE"], []]
+    if good:
+        assert signature.validate(df).filter("x is not null").count() == 1
+    else:
+        with pytest.raises(ContractError, match="INVALID_FEATURE"):
+            signature.validate(df)
+
+
+def test_repeated_names_are_an_invalid_schema(spark):
+    with pytest.raises(ContractError, match="INVALID_SCHEMA"):
+        SIGNATURE.validate(spark.createDataFrame([(1.0, 2.0)], "x double, n double").select("x", "x", "n"))
+
+
 def test_domain_pack(spark):
     pack = DomainPack(Signature((Feature("x"),)), {"raw": "x"}, {"x": 2.0})
     assert pack.normalize(spark.createDataFrame([(3.0,)], "raw double")).first().x == 6.0
@@ -56,7 +79,7 @@ def test_domain_pack(spark):
 
 def test_capabilities():
     got = capabilities({"forecasting": ["sales_daily"], "basket": ["orders"], "membership": ["sales_daily"], "supervised": ["sales_daily"], "broken": ["locations"]}, {"sales_daily": True, "locations": False}, ("supervised",), ("membership",))
-    assert got == {"forecasting": "AVAILABLE", "basket": "UNAVAILABLE_MISSING_CONTRACT", "membership": "ACTIVE_EXPERIMENTAL", "supervised": "BLOCKED_SCIENTIFICALLY", "broken": "UNAVAILABLE_INVALID_CONTRACT"}
+    assert got == {"forecasting": "AVAILABLE", "basket": "UNAVAILABLE_MISSING_CONTRACT", "membership": "ACTIVE_EXPERIMENTAL", "supervised": "BLOCKED_SCIENTIFICALLY", "broken": "INVALID_CONTRACT"}
 
 
 def test_filters_refuse_bad_input(spark):

@@ -155,3 +155,41 @@ def test_episode_membership_as_by_brute_force(spark):
     assert got.columns == ["k", "c", "d", "n", "episode_start", "recovery_date"]
     assert {(r.n, r.episode_start, r.recovery_date) for r in got.collect()} == want and got.count() == len(events)
     assert J.in_episode(df, ep, ["k", "c"], "d").count() == sum(s is not None for _, s, _ in want)
+
+
+def test_overlaps_equal_all_pairs(spark):
+    import random
+    from datetime import date, timedelta
+
+    r, first = random.Random(3), date(2020, 1, 1)
+    rows = []
+    for i in range(200):
+        s = first + timedelta(r.randrange(2000))
+        rows.append((i, r.choice(["a", "b", None]), s, r.choice([s, s + timedelta(r.randrange(300)), date(9999, 12, 31), None])))
+    df = spark.createDataFrame(rows, "id int, k string, s date, e date")
+    want = sorted((k, i, j) for i, k, s, e in rows for j, k2, s2, e2 in rows if k and k == k2 and i < j and e and e2 and s <= e2 and s2 <= e)
+    assert sorted(map(tuple, J.overlaps(df, ["k"], "id", "s", "e").collect())) == want and len(want) > 100
+
+
+def test_ranks_places_and_quantiles_by_buckets_equal_one_sort(spark):
+    import random
+
+    import numpy as np
+    from brindle.operators import summaries as A
+
+    r = random.Random(5)
+    rows = [(r.choice("ab"), r.choice([-7.5, 0.0, 2.25, *range(40)]) * 1.0, i) for i in range(500)] + [("c", 1.0, 500), ("c", None, 501)]
+    df = spark.createDataFrame(rows, "k string, x double, i long")
+    got = {q.i: q for q in W.places(W.rank_shares(df, ["k"], "x", 0.5), ["k", "x"], "i", 0.1).collect()}
+    for k, x, i in rows:
+        mine = [(y, j) for k2, y, j in rows if k2 == k and y is not None]
+        if x is None:
+            assert i not in got
+            continue
+        below, same = sum(y < x for y, _ in mine), sum(y == x for y, _ in mine)
+        assert abs(got[i].share - (below + (same + 1) / 2) / len(mine)) < 1e-12 and (got[i].n_below, got[i].n_all) == (below, len(mine))
+        assert got[i].place == sum(y == x and j <= i for y, j in mine)
+    q = {g.k: (g.a, g.b) for g in A.group_quantiles(df, ["k"], "x", {"a": 0.5, "b": 0.9}, 16).collect()}
+    for k in "abc":
+        assert np.allclose(q[k], np.quantile([y for k2, y, _ in rows if k2 == k and y is not None], [0.5, 0.9]))
+    assert A.group_quantiles(df.filter("i < 0"), ["k"], "x", {"a": 0.5}).count() == 0

@@ -15,7 +15,7 @@ def engine(score=lambda df: df.withColumn("p", F.col("x") / 10)):
 
 def test_versions(spark):
     registry, e = engine()
-    with pytest.raises(ContractError, match="VERSION_CONFLICT"):
+    with pytest.raises(ContractError, match="MODEL_CONFLICT"):
         registry.add(registry.find("m"))
     registry.add(serving.Model("m", "2", Signature((Feature("x"),)), lambda df: df))
     for version, code in ((None, "VERSION_REQUIRED"), ("3", "MODEL_NOT_FOUND")):
@@ -45,6 +45,25 @@ def test_output_faults_count_without_collecting(spark):
     assert serving.output_faults(df, {"p": "probability"}).first().p == 3
 
 
+def test_mixed_rows_get_scores_or_codes(spark):
+    seen = []
+
+    def score(df):
+        seen.append(df.columns)
+        return df.withColumn("p", F.col("x") / 10)
+
+    _, e = engine(score)
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, float("nan")), (4, 50.0), (5, 0.0)], "k int, x double")
+    got = {r.k: (r.p, [(f.feature, f.code) for f in r.faults]) for r in e.infer_rows("m", df, keep=["k"]).collect()}
+    assert got == {1: (0.5, []), 2: (None, [("x", "NULL_FEATURE")]), 3: (None, [("x", "INVALID_FEATURE")]), 4: (None, [("p", "INVALID_OUTPUT")]), 5: (0.0, [])}
+    assert e.infer_rows("m", df.filter("k > 9"), keep=["k"]).count() == 0 and seen[0] == ["k", "x"]
+    for bad, code in ((df.withColumn("y", F.lit(1)), "UNEXPECTED_FEATURE"), (df.drop("x"), "MISSING_FEATURE")):
+        with pytest.raises(ContractError, match=code):
+            e.infer_rows("m", bad, keep=["k"])
+    with pytest.raises(ContractError, match="INVALID_SCHEMA"):
+        e.infer_rows("m", df, keep=["x"])
+
+
 def test_features_resolve_to_the_latest_row_without_outcomes(spark):
     df = spark.createDataFrame([(1, "2024-01-01", 1.0, 9), (1, "2024-01-02", float("nan"), 9), (2, "2024-01-03", 3.0, 9)], "k int, d string, x double, y int").withColumn("d", F.to_date("d"))
     row = serving.resolve_features(df, {"k": 1}, "d", ["y"]).first()
