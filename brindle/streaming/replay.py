@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,15 +43,24 @@ def sale_event(sales: DataFrame) -> DataFrame:
     return sales.select(F.to_json(body).alias("raw"))
 
 
+def worked_out(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once a row.
+
+    Filters and later columns otherwise take copies of the expressions that they name, so a filter on a column that names another
+    ten times computes that one ten times, and all that it names in turn.  They take none through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def validate(messages: DataFrame) -> DataFrame:
     """Adds the parsed envelope ``e``, a sale's payload ``p``, and ``reason``, the first broken rule or null.
 
     A field that is there is not missing, even if null.  Only sales must have a sale's payload.
     """
     parsed = F.from_json("raw", "event_id string, event_type string, event_time string, source string, schema_version string, payload string", {"mode": "PERMISSIVE"})
-    body = messages.withColumn("e", parsed).withColumn("_keys", F.json_object_keys("raw"))
-    body = body.withColumn("p", F.from_json("e.payload", ", ".join(f"{f} string" for f in SALE_FIELDS))).withColumn("_sale_keys", F.json_object_keys("e.payload"))
-    without = lambda fields, keys: F.filter(F.array(*map(F.lit, fields)), lambda f: ~F.array_contains(F.coalesce(keys, F.array().cast("array<string>")), f))
+    body = worked_out(messages, parsed.alias("e"), F.json_object_keys("raw").alias("_keys"))
+    body = worked_out(body, F.from_json("e.payload", ", ".join(f"{f} string" for f in SALE_FIELDS)).alias("p"), F.json_object_keys("e.payload").alias("_sale_keys"))
+    without = lambda fields, keys: F.array_except(F.array(*map(F.lit, fields)), F.coalesce(keys, F.array().cast("array<string>")))
     missing, lost = without(FIELDS, "_keys"), without(SALE_FIELDS, "_sale_keys")
     number = lambda f: F.col(f"p.{f}").try_cast("decimal(38,6)")
     digits = F.regexp_replace(F.regexp_replace(F.lower("e.event_id"), "urn:|uuid:|-", ""), "^[{}]+|[{}]+$", "")
@@ -67,7 +76,7 @@ def validate(messages: DataFrame) -> DataFrame:
         .when(sale & (number("quantity_units").isNull() | number("unit_price").isNull()), "invalid_number")
         .when(sale & ((number("quantity_units") < 0) | (number("unit_price") < 0)), "negative_value")
     )
-    return body.withColumn("reason", reason).drop("_keys", "_sale_keys")
+    return worked_out(body, reason.alias("reason")).drop("_keys", "_sale_keys")
 
 
 def accepted(validated: DataFrame) -> DataFrame:

@@ -59,3 +59,17 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
     want = sorted(map(tuple, replay.tumbling(events).collect()))
     assert sorted(map(tuple, spark.table("windows").collect())) == want
     assert replay.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_a_filter_on_the_reason_copies_no_parsing(spark):
+    raw = spark.createDataFrame([('{"event_id":"x"}',), ("{bad",)], "raw string")
+    plan = replay.rejected(replay.validate(raw)).groupBy("reason").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 2 and plan.count("sonObjectKeys") <= 2  # the envelope's and the payload's
+
+
+def test_every_fifth_message_comes_twice(spark, tmp_path):
+    from brindle.plans.io_streams import _messages
+
+    spark.range(1, 16).selectExpr("id AS event_id", "id AS user_id", "timestamp_ntz'2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    found = sorted(r["k"] for r in _messages(spark, str(tmp_path)).select("k").collect())
+    assert found == sorted([*range(1, 16), 5, 10, 15])
