@@ -14,6 +14,7 @@ from brindle.plans.analytics import _COMPARISON_SQL, _LATEST_SQL, _Z_SQL, _cohor
 from brindle.plans.analytics import _PERIOD_SQL
 from brindle.plans.catalog import register
 from brindle.plans.datasets import AS_OF, CELL, EPISODES_CTE, HELD, PROMOTION_DAILY_CTE, STOCKOUT_SQL, ds02, ds03, ds05, ds07, ds09
+from brindle.plans.io_streams import shared_folder
 from brindle.sources import roles, simulate
 from brindle.sources.roles import oracle, table
 
@@ -222,10 +223,11 @@ def se04(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ed01_readiness")
 def ed01(spark: SparkSession, d: str) -> DataFrame:
-    """Exploratory runs of two datasets: rows, repeated keys, coverage, readiness."""
-    out = []
+    """Exploratory runs of two datasets: rows, repeated keys, coverage, readiness.  A run reads its dataset some forty times, so each is stored first."""
+    out, folder = [], shared_folder(spark)
     for name, frame, keys, target in (("stockout", ds02(spark, d), ["warehouse_id", "category", "d"], "stockout_within_7d"), ("segmentation", ds03(spark, d), ["snapshot_date", "store_id"], None)):
-        r = eda.run_eda(frame, keys, target)
+        frame.write.parquet(f"{folder}/{name}")
+        r = eda.run_eda(spark.read.parquet(f"{folder}/{name}"), keys, target)
         out.append((name, r["metrics"]["rows"], r["metrics"]["repeated_keys"], float(r["metrics"]["target_coverage"]), r["readiness"], len(r["findings"])))
     return spark.createDataFrame(out, "dataset string, n_rows long, repeated_keys long, target_coverage double, readiness string, n_findings int")
 

@@ -133,3 +133,26 @@ def test_a_number_taken_in_between_is_left_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(RunStore, "list", stale)
     assert store.save("eda", {"a": spark.range(7)}) == 2
     assert store.load("eda", "a", 1).count() == 1 and store.load("eda", "a", 2).count() == 7
+
+
+@pytest.mark.parametrize("name, role", [("snk06_run_store", "sales"), ("ed01_readiness", "inventory")])
+def test_what_is_read_many_times_is_computed_once(spark, monkeypatch, name, role):
+    """Lines that pass through the role's frame: once each, however many tables or profiles are made of it."""
+    import __spark_entry__ as entry
+    from brindle.sources import roles
+
+    passed, plain = spark.sparkContext.accumulator(0), getattr(roles, role)
+
+    def counted(session, d):
+        frame = plain(session, d)
+
+        def run(batches):
+            for batch in batches:
+                passed.add(batch.num_rows)
+                yield batch
+
+        return frame.mapInArrow(run, frame.schema)
+
+    monkeypatch.setattr(roles, role, counted)
+    entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert passed.value == plain(spark, "/root/testdata/sf0.001").count()
