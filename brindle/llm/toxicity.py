@@ -5,8 +5,8 @@ lattices of the letters that each sign may stand for; a Viterbi search finds the
 the training words and the channel's costs like best; the lattice of a spaced run also has word breaks.  The restored words, together with the plain ones, are looked up in
 a lexicon of words and word beginnings that the labels tie to toxicity; a document's score is a noisy-or of its features.
 
-The model is fitted on a bounded sample of labelled rows (``max_labelled``) outside the held-out bucket, which bounds lexicon and
-letter model too; of texts that share a sketch the one of the smallest hash counts, so reruns agree.  Null and empty texts have no
+The model is fitted on all labelled rows outside the held-out bucket.  What is broadcast are the words that pass the evidence and the
+letter model's runs of four letters at most, whose number the alphabets bound, not the rows.  Of texts that share a sketch the one of the smallest hash counts, so reruns agree.  Null and empty texts have no
 features and get the share of label 1 among such.  A null id is not held out.  Repeated documents get their own rows; null labels
 are ignored.  Without labels the score is 0.5.  Equally good readings of a lattice fall to the first in the alphabet.  An empty
 table gives an empty result.  Columns beside id and text are not read.  Very long texts take time in proportion to their length.
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import crc_bucket, materialise, small_batches
-from brindle.llm.quality_knn import labelled_ids, labelled_rows
+from brindle.llm.common import crc_bucket, materialise, sized_join, small_batches
 
-MAX_LABELLED = 10_000
+#: Different features and n-grams that a task counts before it sends them on.
+HELD_KEYS = 300_000
 PREDICT_FROM = 0.7
 #: Nats by which a feature's toxic share must speak against the base rate.
 EVIDENCE = 16.0
@@ -216,18 +216,26 @@ def _with_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("t"), pa.array(sketches, pa.int64())], names=["label", "t", "sketch"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", buckets: int = 3, held_out: int = 1, max_labelled: int = MAX_LABELLED, evidence: float = EVIDENCE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", buckets: int = 3, held_out: int = 1, evidence: float = EVIDENCE) -> Model:
     """``docs``: doc_id, t."""
-    chosen = labelled_ids(labels, label_col, buckets, held_out, max_labelled)
-    rows = labelled_rows(docs, chosen, labels.schema["doc_id"].dataType).select("label", "t")
+    own = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().distinct()
+    own = materialise(own.filter(crc_bucket(F.col("doc_id"), buckets) != held_out))
+    rows = sized_join(docs, own, "doc_id").select("label", "t")
     rows = rows.mapInArrow(_with_sketches, "label int, t string, sketch long")
     rows = rows.groupBy("sketch", "label").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        grams: Counter = Counter()
+        totals = [0, 0]
+
+        def counted() -> pa.RecordBatch:
+            keys = [*(f"f{x}" for x in seen[0].keys() | seen[1].keys()), *(f"g{x}" for x in grams), "n"]
+            toxic = [seen[1][k[1:]] if k[0] == "f" else grams[k[1:]] if k[0] == "g" else totals[1] for k in keys]
+            clean = [seen[0][k[1:]] if k[0] == "f" else 0 if k[0] == "g" else totals[0] for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["k", "toxic", "clean"])
+
         for batch in small_batches(batches, 500):
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            grams: Counter = Counter()
-            totals = [0, 0]
             for text, label in zip(batch.column("t").to_pylist(), batch.column("label").to_pylist()):
                 words = set(WORD.findall((text or "").lower()))
                 totals[label == 1] += 1
@@ -235,14 +243,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", buckets: i
                 for w in words:
                     w = f"^{w}$"
                     grams.update(w[i : i + k] for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
-            keys = [*(f"f{x}" for x in seen[0].keys() | seen[1].keys()), *(f"g{x}" for x in grams), "n"]
-            toxic = [seen[1][k[1:]] if k[0] == "f" else grams[k[1:]] if k[0] == "g" else totals[1] for k in keys]
-            clean = [seen[0][k[1:]] if k[0] == "f" else 0 if k[0] == "g" else totals[0] for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["k", "toxic", "clean"])
+            if len(seen[0]) + len(seen[1]) + len(grams) > HELD_KEYS:
+                yield counted()
+                for held in (*seen, grams):
+                    held.clear()
+                totals[:] = [0, 0]
+        yield counted()
 
     counts = materialise(rows.mapInArrow(run, "k string, toxic long, clean long").groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    # Features far more toxic than the base rate, beyond what the number of features lets chance bring, and the n-grams of the
-    # bounded sample.
+    # Features far more toxic than the base rate, beyond what the number of features lets chance bring, and all n-grams.
     sums = counts.filter("k = 'n'").first()
     n_toxic, n_clean = (sums["toxic"], sums["clean"]) if sums else (0, 0)
     base = (n_toxic + 1) / (n_toxic + n_clean + 2)
@@ -257,10 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", buckets: i
     return Model(LetterModel({k[1:]: t for k, (t, _) in found.items() if k[0] == "g"}), features, floor)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", buckets: int = 3, held_out: int = 1, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", buckets: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, label_col, buckets, held_out, max_labelled))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, label_col, buckets, held_out))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):

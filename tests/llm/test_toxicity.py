@@ -88,3 +88,11 @@ def test_word_breaks_signs_at_the_end_and_other_scripts(spark):
     assert "moron" in model.restored("i d i o t " * 12 + "m o r o n " + "i d i o t " * 12)
     assert X.masked("a$$ idi07 wow! page") == {"a$$", "idi07"}
     assert X.stretched("дуррррак οχιιι nooo no") == {"дуррррак", "οχιιι", "nooo"}
+
+
+def test_every_labelled_row_counts(spark):
+    """No bound on the labelled rows: the word of the twenty toxic ones among 10,400 is in the lexicon, and all letters are counted."""
+    docs = spark.range(10_400).selectExpr("id AS doc_id", "concat(translate(cast(id AS string), '0123456789', 'abcdefghij'), ' plain', if(id % 520 = 0, ' zworp', '')) AS t")
+    labels = spark.range(10_400).selectExpr("id AS doc_id", "cast(id % 520 = 0 AS int) AS toxic")
+    model = X.fit(docs, labels, held_out=-1)
+    assert "zworp" in model.features and model.letters.grams["^zwo"] == 20 and model.letters.grams["^pla"] == 10_400
