@@ -9,7 +9,8 @@ shingles of the lower-cased text:
    number of candidates; the sum is that of the pigeonhole principle for ``PROBED`` - 1 differing bits.  Pairs that differ in
    more bits are found with the probability 1 - (1 - (1 - 0.15)**16)**PROBED, 0.96 at a similarity of 0.8 and 0.99 at 0.85.
 3. Candidates whose first 128 bits differ by ``REACH`` or fewer are verified by the Jaccard similarity itself.  Of the
-   candidates of a bucket a minimum spanning forest is verified, never all pairs: a link left out joins what nearer pairs join.
+   candidates of a bucket a minimum spanning forest comes first.  A pair of it may fall short where another that it stands for does
+   not, so the pairs of a bucket whose texts are still in different classes then are verified too, all of them.
 4. Verified links make classes, by connected components; one document of each class stays, that of the smallest id.
 
 Texts of fewer than five words are one shingle, null texts and those without words are alike.  Repeated rows and rows of one id
@@ -219,12 +220,54 @@ def _bucket_edges(reach: int, small: int = 48):
     return run
 
 
-def candidate_edges(nodes: DataFrame, reach: int = REACH, probed: int = PROBED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Candidate pairs a, b of ``nodes`` (node, bits; distinct, materialised): the spanning forests of all buckets."""
+def _bucket_pairs(reach: int, rows: int = 128):
+    """All pairs within ``reach`` of the nodes of a bucket whose classes differ; a bucket is held at a time, its pairs are not."""
+
+    def pairs(node: np.ndarray, x: np.ndarray, y: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if (root == root[0]).all():
+            return
+        for at in range(0, len(node), rows):
+            some, later = np.arange(at, min(at + rows, len(node))), np.arange(at, len(node))
+            open_ones = (later[None, :] > some[:, None]) & (root[some][:, None] != root[later][None, :])
+            i, j = np.nonzero(open_ones & (_far(x, y, some[:, None], later[None, :]) <= reach))
+            a, b = node[some[i]], node[later[j]]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("bucket").to_numpy()
+            columns = [batch.column(c).to_numpy() for c in ("node", "x", "y", "root")]
+            columns[1:3] = [c.view(np.uint64) for c in columns[1:3]]
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if held and keys[start] != last:
+                    yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+                    held = []
+                held.append([c[start:stop] for c in columns])
+                last = keys[start]
+        if held:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def candidate_edges(nodes: DataFrame, reach: int = REACH, probed: int = PROBED, block_rows: int = BLOCK_ROWS, classes: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs a, b of ``nodes`` (node, bits; distinct, materialised): the spanning forests of all buckets.
+
+    With ``classes`` (node, root; materialised; a node that is not there is its own root): all pairs between classes.
+    """
     groups, costs = partitions(nodes)
     thresholds = allocate_thresholds([[0.0, c] for c in costs], probed - 1)
     rows = _probes(nodes, [(k, g) for k, (g, t) in enumerate(zip(groups, thresholds)) if t == 0])
     heavy = materialise(rows.groupBy("key").count().filter(F.col("count") > block_rows).select(F.col("key").alias("heavy"), F.ceil(F.col("count") / block_rows).cast("int").alias("g")))
+    held = ["node", "x", "y"]
+    if classes is not None:
+        rows = sized_join(rows, classes.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        held.append("root")
     if heavy.isEmpty():
         rows = rows.withColumnRenamed("key", "bucket")
     else:
@@ -232,9 +275,9 @@ def candidate_edges(nodes: DataFrame, reach: int = REACH, probed: int = PROBED,
         rows = sized_join(rows, heavy, F.col("key") == F.col("heavy"), "left").withColumn("g", F.coalesce("g", F.lit(1)))
         own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(o, own) * F.col("g") + F.greatest(o, own))
-        rows = rows.select("key", "node", "x", "y", F.explode(blocks).alias("block")).select(F.xxhash64("key", "block").alias("bucket"), "node", "x", "y")
+        rows = rows.select("key", *held, F.explode(blocks).alias("block")).select(F.xxhash64("key", "block").alias("bucket"), *held)
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_bucket_edges(reach), "a long, b long").distinct()
+    return dealt.mapInArrow(_bucket_edges(reach) if classes is None else _bucket_pairs(reach), "a long, b long").distinct()
 
 
 def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -264,13 +307,24 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialise(with_wide_fingerprints(texts, ["row", "id"], body))
     nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("times"))
     nodes = materialise(nodes)
-    edges = materialise(candidate_edges(nodes))
-    # The texts of the nodes that any candidate has: those of the rows that stand for them.
-    named = materialise(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("best.row").alias("row")))
-    bodies = sized_join(texts.select("row", F.col(body).alias("t")), named, "row").select("node", "t")
-    found = components(verified(edges, materialise(bodies), similarity))
-    roots = found.select(F.col("root").alias("node"), "root").distinct()
-    classes = materialise(found.unionByName(roots.select("node", "root")))
+
+    def linked(edges: DataFrame) -> DataFrame:
+        """The edges that are verified."""
+        # The texts of the nodes that any candidate has: those of the rows that stand for them.
+        named = materialise(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("best.row").alias("row")))
+        bodies = sized_join(texts.select("row", F.col(body).alias("t")), named, "row").select("node", "t")
+        return materialise(verified(edges, materialise(bodies), similarity))
+
+    def classified(links: DataFrame) -> DataFrame:
+        """node, root of the nodes that any link has."""
+        found = components(links)
+        roots = found.select(F.col("root").alias("node"), "root").distinct()
+        return materialise(found.unionByName(roots.select("node", "root")).distinct())
+
+    tried = materialise(candidate_edges(nodes))
+    links = linked(tried)
+    rest = materialise(candidate_edges(nodes, classes=classified(links)).join(tried, ["a", "b"], "left_anti"))
+    classes = classified(links.unionByName(linked(rest)))
     first = materialise(nodes.join(classes, "node").groupBy("root").agg(F.min("best").alias("best")))
     # Rows that go: those of a node that are not its first, and the first ones of nodes that are not their class's first.
     keeps = sized_join(classes, first, "root").select("node", F.col("best.row").alias("keep"))

@@ -111,3 +111,18 @@ def test_rows_of_one_class(spark, tmp_path):
 
 def test_empty_table(spark):
     assert N.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_pair_outside_the_spanning_forest_is_verified_too(spark, tmp_path, monkeypatch):
+    """Of three near copies the forest has two pairs; where those fall short and the third does not, it is a link all the same."""
+    words = [f"w{k}" for k in range(400)]
+    docs = written(spark, tmp_path, [(i, " ".join([*words[: 100 * i], "x", *words[100 * i :]]), "", "") for i in range(3)])
+    plain, calls = N.verified, []
+
+    def forest_fails(edges, *rest):
+        calls.append(edges.count())
+        return plain(edges, *rest).filter("false") if len(calls) == 1 else plain(edges, *rest)
+
+    monkeypatch.setattr(N, "verified", forest_fails)
+    assert N.one_of_each(docs).count() == 2
+    assert calls == [2, 1]
