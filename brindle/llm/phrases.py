@@ -6,8 +6,9 @@ frequent k-grams another one; both are broadcast, and the next pass counts a (k+
 k-grams (Apriori) have their bits.  A bitmap has one bit for every ``min_count / 4`` words of the corpus, and ``MOST_BITS`` (64 MB) at
 most; a fuller one prunes less and changes no result, for what passes it is counted exactly, by its text.
 
-Tasks number their words anew for every chunk of ``CHUNK`` words and send one row for each different phrase of a chunk, so a frequent
-phrase or language is summed before it is shuffled.
+Tasks number their words anew for every chunk of ``CHUNK`` words and sum each phrase within a chunk.  The different phrases of a chunk
+are dealt by hash into ``parts``, and each part travels as one packed row; the parts are merged by text, and only frequent phrases leave
+as rows.  So a frequent phrase or language is summed before it is shuffled, and the rows are as many as chunks and parts.
 
 Null texts are empty; a null language is ``und`` and the same as that word.  Empty texts and those without words add nothing.  A
 repeated row counts as often as it is there.  Ties fall to the smallest cut, and in the ranking to the phrase that comes first in
@@ -17,11 +18,13 @@ at a break.
 
 from __future__ import annotations
 
+import itertools
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +38,13 @@ CLEAN = bytes.maketrans(BREAKS + UPPER, b"." * len(BREAKS) + UPPER.lower())
 
 #: Words in a chunk, bits of a bitmap at most, and buckets whose counts travel as one row.
 CHUNK, MOST_BITS, SLICE = 2_000_000, 1 << 29, 1 << 16
+#: Parts of the phrases: a power of two for some 8 MB of text each, between these.
+PARTS = 64, 1024
+#: Phrases of a part that are held before they are summed.
+HELD = 1_000_000
 
-COUNTS = "lang string, phrase string, h long, n long, slice long, packed binary"
+#: One of three kinds of row: a language and its words (lang, n), a part of the phrases (part, packed), bucket counts (slice, packed).
+COUNTS = "lang string, n long, part long, slice long, packed binary"
 CHUNKS = "ids binary, words binary, lang_of binary, langs array<string>"
 
 
@@ -119,12 +127,23 @@ def tally(ids: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.nd
     return at[first], n
 
 
-def _phrases(chunk: Chunk, ids: np.ndarray, h: np.ndarray, at: np.ndarray, n: np.ndarray, k: int) -> list[pa.Array]:
-    """The first columns of :data:`COUNTS`."""
+def _phrases(chunk: Chunk, ids: np.ndarray, h: np.ndarray, at: np.ndarray, n: np.ndarray, k: int) -> bytes:
+    """Some phrases (lang, phrase, h, n) in Arrow's stream format."""
     word = chunk.words.__getitem__
     texts = [b" ".join(map(word, gram)) for gram in zip(*(ids[at + j].tolist() for j in range(k)))]
     langs = pa.DictionaryArray.from_arrays(pa.array(np.asarray(chunk.lang_of)[ids[at]], pa.int32()), pa.array(chunk.langs, pa.string())).cast(pa.string())
-    return [langs, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(h[at].view(np.int64)), pa.array(n, pa.int64())]
+    columns = [langs, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(h[at].view(np.int64)), pa.array(n, pa.int64())]
+    batch, sink = pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "h", "n"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(**columns: list) -> list[pa.Array]:
+    """Columns of :data:`COUNTS`; those that are not given are null."""
+    kinds = {"lang": pa.string(), "n": pa.int64(), "part": pa.int64(), "slice": pa.int64(), "packed": pa.binary()}
+    size = len(next(iter(columns.values())))
+    return [pa.array(columns[c], kind) if c in columns else pa.nulls(size, kind) for c, kind in kinds.items()]
 
 
 def _slices(longer: np.ndarray, bits: int, least: int) -> list[tuple[int, bytes]]:
@@ -137,7 +156,7 @@ def _slices(longer: np.ndarray, bits: int, least: int) -> list[tuple[int, bytes]
     return [(int(slices[a]), low[a:b].tobytes() + n[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(bucket)])]
 
 
-def count_chunk(chunk: Chunk, k: int, shorter: np.ndarray | None, buckets: np.ndarray | None, bits: int, longest: int, least: int) -> Iterator[list[pa.Array]]:
+def count_chunk(chunk: Chunk, k: int, shorter: np.ndarray | None, buckets: np.ndarray | None, bits: int, longest: int, least: int, parts: int = PARTS[0]) -> Iterator[list[pa.Array]]:
     """Columns of :data:`COUNTS`: the k-grams that may be frequent, and the bucket counts of the (k+1)-grams made of them."""
     ids, hashes = np.frombuffer(chunk.ids, np.int32), chunk.hashes()
     if len(ids) < k:
@@ -154,30 +173,32 @@ def count_chunk(chunk: Chunk, k: int, shorter: np.ndarray | None, buckets: np.nd
         at = np.zeros(len(hashes), np.int64)
         at[ids] = np.arange(len(ids))
         at = at[1:]
-    for a in range(0, len(at), 100_000):
-        part = slice(a, a + 100_000)
-        columns = _phrases(chunk, ids, h, at[part], n[part], k)
-        yield [*columns, pa.nulls(len(columns[0]), pa.int64()), pa.nulls(len(columns[0]), pa.binary())]
+        words = np.bincount(np.asarray(chunk.lang_of)[1:], weights=n, minlength=len(chunk.langs)).astype(np.int64)
+        yield _rows(lang=chunk.langs, n=words)
+    of = (h[at] >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    at, n, of = at[order], n[order], of[order]
+    for a, b in itertools.pairwise(np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()):
+        yield _rows(part=of[a : a + 1], packed=[_phrases(chunk, ids, h, at[a:b], n[a:b], k)])
     if k < longest and len(ids) > k:
         at = np.flatnonzero(may[:-1] & may[1:])
         packed = _slices(mix(h[at], hashes[ids[at + k]]), bits, least)
         for a in range(0, len(packed), 500):
-            numbers, parts = zip(*packed[a : a + 500])
-            yield [*(pa.nulls(len(parts), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())]
+            numbers, counts = zip(*packed[a : a + 500])
+            yield _rows(slice=numbers, packed=counts)
 
 
 NAMES = [part.split()[0] for part in f"{COUNTS}, {CHUNKS}".split(", ")]
 
 
-def _first_pass(texts: DataFrame, bits: int, longest: int, least: int, chunk_words: int) -> DataFrame:
+def _first_pass(texts: DataFrame, bits: int, longest: int, least: int, parts: int, chunk_words: int) -> DataFrame:
     """Rows of :data:`COUNTS` for single words and buckets of pairs, and the chunks, which the other passes read."""
     kinds = [pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
 
     def rows(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        for columns in count_chunk(chunk, 1, None, None, bits, longest, least):
+        for columns in count_chunk(chunk, 1, None, None, bits, longest, least, parts):
             yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), t) for t in kinds)], names=NAMES)
-        empty = [pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*empty, *(pa.array([x], t) for x, t in zip(chunk.packed(), kinds))], names=NAMES)
+        yield pa.RecordBatch.from_arrays([*_rows(packed=[None]), *(pa.array([x], t) for x, t in zip(chunk.packed(), kinds))], names=NAMES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
@@ -193,18 +214,50 @@ def _first_pass(texts: DataFrame, bits: int, longest: int, least: int, chunk_wor
     return materialise(texts.mapInArrow(run, f"{COUNTS}, {CHUNKS}"))
 
 
-def _pass(chunks: DataFrame, k: int, shorter, buckets, bits: int, longest: int, least: int) -> DataFrame:
+def _pass(chunks: DataFrame, k: int, shorter, buckets, bits: int, longest: int, least: int, parts: int) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast((shorter, buckets))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
             chunk = Chunk.unpacked(*(batch.column(c)[0].as_py() for c in ("ids", "words", "lang_of", "langs")))
-            for columns in count_chunk(chunk, k, *shared.value, bits, longest, least):
-                yield pa.RecordBatch.from_arrays(columns, names=NAMES[:6])
+            for columns in count_chunk(chunk, k, *shared.value, bits, longest, least, parts):
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES[:5])
 
     return materialise(chunks.mapInArrow(run, COUNTS))
 
 
+def _frequent(counts: DataFrame, least: int, held_rows: int = HELD) -> DataFrame:
+    """(lang, phrase, f, h) of the phrases that reach ``least``, summed by text; a task holds the different phrases of one part."""
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum"), ("h", "max")])  # h is of the phrase
+        return sums.select(["lang", "phrase", "h_max", "n_sum"]).rename_columns(["lang", "phrase", "h", "n"])
+
+    def rows(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        sums = summed(tables)
+        yield from sums.filter(pc.greater_equal(sums["n"], least)).select(["lang", "phrase", "n", "h"]).rename_columns(["lang", "phrase", "f", "h"]).to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, most = None, [], 0, held_rows
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("packed")):
+                if part != now:
+                    if held:
+                        yield from rows(held)
+                    now, held, size, most = part, [], 0, held_rows
+                held.append(pa.ipc.open_stream(packed.as_buffer()).read_all())
+                size += held[-1].num_rows
+                if size > most:
+                    held = [summed(held)]
+                    size = held[0].num_rows
+                    most = max(held_rows, 2 * size)
+        if held:
+            yield from rows(held)
+
+    parts = counts.filter("part is not null").select("part", "packed").repartition("part").sortWithinPartitions("part")
+    return parts.mapInArrow(run, "lang string, phrase string, f long, h long")
+
+
 def _filled(counts: DataFrame, least: int) -> DataFrame:
     """(slice, bitmap) of the buckets that reach ``least``."""
 
@@ -232,11 +285,12 @@ def _filled(counts: DataFrame, least: int) -> DataFrame:
 
 
 def _bitmap(slices: DataFrame, bits: int) -> np.ndarray:
-    """The whole bitmap, at most :data:`MOST_BITS`, on the driver."""
+    """The whole bitmap, at most :data:`MOST_BITS`, on the driver; all partitions in one job."""
     out = np.zeros(bits // 8, np.uint8)
-    for row in slices.toLocalIterator():
-        part = np.frombuffer(row["bits"], np.uint8)
-        out[row["slice"] * len(part) : (row["slice"] + 1) * len(part)] = part
+    found = slices.toArrow()
+    for k, cell in zip(found.column("slice").to_pylist(), found.column("bits")):
+        part = np.frombuffer(cell.as_buffer(), np.uint8)
+        out[k * len(part) : (k + 1) * len(part)] = part
     return out
 
 
@@ -251,17 +305,16 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(1 << 18, 1 << (size * 4 // (6 * min_count)).bit_length()))
+    parts = min(PARTS[1], max(PARTS[0], 1 << (size >> 23).bit_length()))
     shorter = buckets = None
-    found, totals = [], None
-    counts = _first_pass(texts, bits, longest, min_count, chunk_words)
+    found = []
+    counts = _first_pass(texts, bits, longest, min_count, parts, chunk_words)
+    totals = counts.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     chunks = counts.filter("ids is not null").select("ids", "words", "lang_of", "langs")
     for k in range(1, longest + 1):
         if k > 1:
-            counts = _pass(chunks, k, shorter, buckets, bits, longest, min_count)
-        phrases = counts.filter("phrase is not null").select("lang", "phrase", "h", "n")
-        if k == 1:
-            totals = phrases.groupBy("lang").agg(F.sum("n").alias("n"))
-        frequent = materialise(phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("h").alias("h")).filter(F.col("f") >= min_count))
+            counts = _pass(chunks, k, shorter, buckets, bits, longest, min_count, parts)
+        frequent = materialise(_frequent(counts, min_count))
         found.append(frequent.select("lang", "phrase", F.lit(k).alias("k"), "f"))
         if k < longest:
             shorter, buckets = _bitmap(_bits_of(frequent, bits), bits), _bitmap(_filled(counts, min_count), bits)

@@ -79,3 +79,13 @@ def test_long_texts_are_cut_at_breaks_only():
     text = b"Aa bb, " * 1000 + b"c" * 5000 + b" d! e"
     parts = list(phrases.segments(text, 100))
     assert b"".join(parts) == text.translate(phrases.CLEAN) and len(parts) > 50 and all(p.startswith(b".") for p in parts[1:])
+
+
+def test_a_pass_sends_a_row_a_part_not_a_row_a_phrase(spark):
+    text = " ".join(f"w{k % 997}" for k in range(5000))
+    docs = spark.createDataFrame([("en", text), ("de", text)], "lang string, text string").coalesce(1)
+    counts = phrases._first_pass(docs, 1 << 18, 5, 2, 64, 4000)  # two chunks of 997 words
+    assert counts.filter("slice is null and ids is null").count() == 2 * (64 + 1)
+    got = {held: sorted(map(tuple, phrases._frequent(counts, 6, held).select("lang", "phrase", "f").collect())) for held in (1, 10**6)}
+    want = sorted((lang, f"w{k}", 6 if k < 5000 % 997 else 5) for lang in ("de", "en") for k in range(997))
+    assert got[1] == got[10**6] == [r for r in want if r[2] >= 6]
