@@ -10,7 +10,10 @@ shingles of the lower-cased text:
    more bits are found with the probability 1 - (1 - (1 - 0.15)**16)**PROBED, 0.96 at a similarity of 0.8 and 0.99 at 0.85.
 3. Candidates whose first 128 bits differ by ``REACH`` or fewer are verified by the Jaccard similarity itself.  Of the
    candidates of a bucket a minimum spanning forest comes first.  A pair of it may fall short where another that it stands for does
-   not, so the pairs of a bucket whose texts are still in different classes then are verified too, all of them.
+   not, so the pairs of a bucket whose texts are still in different classes then are judged too, all of them.  That is done within the
+   bucket first: each text that has such a pair gets a sketch, a bitmap of its shingles; the bits that two sketches differ in are never
+   more than the shingles that the texts do, so a pair whose sketches differ in too many falls short of the similarity for certain.  Only
+   pairs that pass leave the bucket as rows and are verified.
 4. Verified links make classes, by connected components; one document of each class stays, that of the smallest id.
 
 Texts of fewer than five words are one shingle, null texts and those without words are alike.  Repeated rows and rows of one id
@@ -27,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.common import Hashes, byte_texts, checkpoint, fresh, from_files, materialise, mix, place_of, small_batches, sized_join
 from brindle.llm.simhash import allocate_thresholds, components, group_bits
@@ -35,6 +39,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: 64-bit words of a fingerprint, bits of a partition, and partitions probed.
 WORDS, PART, PROBED = 12, 16, 44
 REACH = 34
+#: Bits of a sketch, and pairs whose sketches are compared at once.
+SKETCH, AT_ONCE = 2048, 50_000
 #: Buckets above this many fingerprints are dealt into blocks.
 BLOCK_ROWS = 4_000
 _SALTS = np.random.default_rng(20240311).integers(0, 2**64, WORDS, dtype=np.uint64)
@@ -113,7 +119,9 @@ def partitions(nodes: DataFrame) -> tuple[list[list[int]], list[float]]:
 
 
 def _probes(nodes: DataFrame, probed: list[tuple[int, list[int]]]) -> DataFrame:
-    """key (partition and its value), node, and the first 128 bits as x and y: a row a probed partition."""
+    """key (partition and its value), node, the first 128 bits as x and y, and the further columns of ``nodes``: a row a probed partition."""
+    more = [f for f in nodes.schema if f.name not in ("node", "bits")]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "node", "x", "y")] + more)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -123,9 +131,10 @@ def _probes(nodes: DataFrame, probed: list[tuple[int, list[int]]]) -> DataFrame:
             keys = [k << PART | v.astype(np.int64) for (k, _), v in zip(probed, values)]
             head = np.ascontiguousarray(raw[:, :16]).view(np.int64)
             columns = [np.concatenate(keys), *(np.tile(x, len(keys)) for x in (node, head[:, 0], head[:, 1]))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["key", "node", "x", "y"])
+            others = [pa.concat_arrays([batch.column(f.name)] * len(keys)) for f in more]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), *others], names=schema.names)
 
-    return nodes.select("node", "bits").mapInArrow(run, "key long, node long, x long, y long")
+    return nodes.mapInArrow(run, schema)
 
 
 def _far(x: np.ndarray, y: np.ndarray, i, j) -> np.ndarray:
@@ -220,54 +229,110 @@ def _bucket_edges(reach: int, small: int = 48):
     return run
 
 
-def _bucket_pairs(reach: int, rows: int = 128):
-    """All pairs within ``reach`` of the nodes of a bucket whose classes differ; a bucket is held at a time, its pairs are not."""
-
-    def pairs(node: np.ndarray, x: np.ndarray, y: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if (root == root[0]).all():
-            return
-        for at in range(0, len(node), rows):
-            some, later = np.arange(at, min(at + rows, len(node))), np.arange(at, len(node))
-            open_ones = (later[None, :] > some[:, None]) & (root[some][:, None] != root[later][None, :])
-            i, j = np.nonzero(open_ones & (_far(x, y, some[:, None], later[None, :]) <= reach))
-            a, b = node[some[i]], node[later[j]]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _by_bucket(names: list[str], work):
+    """``work`` on the columns ``names`` of each bucket, of a partition sorted by bucket; a bucket is held at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[list] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column("bucket").to_numpy()
-            columns = [batch.column(c).to_numpy() for c in ("node", "x", "y", "root")]
-            columns[1:3] = [c.view(np.uint64) for c in columns[1:3]]
+            columns = [np.array(batch.column(c).to_pylist(), dtype=f"V{SKETCH // 8}") if c == "sketch" else batch.column(c).to_numpy() for c in names]
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             for start, stop in zip(cuts, cuts[1:]):
                 if held and keys[start] != last:
-                    yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+                    yield from work(*(np.concatenate(c) for c in zip(*held)))
                     held = []
                 held.append([c[start:stop] for c in columns])
                 last = keys[start]
         if held:
-            yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+            yield from work(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
 
-def candidate_edges(nodes: DataFrame, reach: int = REACH, probed: int = PROBED, block_rows: int = BLOCK_ROWS, classes: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs a, b of ``nodes`` (node, bits; distinct, materialised): the spanning forests of all buckets.
+def _between(x: np.ndarray, y: np.ndarray, root: np.ndarray, reach: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of all pairs of a bucket within ``reach`` whose classes differ, for some i at a time."""
+    if (root == root[0]).all():
+        return
+    x, y = x.view(np.uint64), y.view(np.uint64)  # bits are counted of unsigned numbers only
+    for at in range(0, len(x), rows):
+        some, later = np.arange(at, min(at + rows, len(x))), np.arange(at, len(x))
+        open_ones = (later[None, :] > some[:, None]) & (root[some][:, None] != root[later][None, :])
+        i, j = np.nonzero(open_ones & (_far(x, y, some[:, None], later[None, :]) <= reach))
+        if len(i):
+            yield some[i], later[j]
 
-    With ``classes`` (node, root; materialised; a node that is not there is its own root): all pairs between classes.
-    """
+
+def _open_rows(reach: int):
+    """The rows of a bucket that have a pair between classes."""
+    names = ["bucket", "node", "x", "y", "root"]
+
+    def work(bucket: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(node), dtype=bool)
+        for i, j in _between(x, y, root, reach):
+            found[i] = found[j] = True
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (bucket, node, x, y, root)], names=names)
+
+    return _by_bucket(names, work)
+
+
+def may_be_similar(size: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """False where the sketches (rows of 64-bit words) show that the similarity is not reached."""
+    apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+    both = size[i] + size[j]
+    most = (both - apart) / 2  # shingles that both can have
+    return most + 1e-6 >= similarity * (both - most)
+
+
+def _bucket_pairs(reach: int, similarity: float):
+    """The pairs of a bucket between classes that the sketches do not rule out."""
+
+    def work(node: np.ndarray, x: np.ndarray, y: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bits = sketch.view(np.uint64).reshape(len(node), -1)
+        for i, j in _between(x, y, root, reach):
+            for at in range(0, len(i), AT_ONCE):
+                p, q = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+                may = may_be_similar(size, bits, p, q, similarity)
+                a, b = node[p[may]], node[q[may]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _by_bucket(["node", "x", "y", "root", "size", "sketch"], work)
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """node, size (different shingles) and sketch of ``texts`` (node, t)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in small_batches(batches, 200):
+            sizes, bits = [], np.zeros((batch.num_rows, SKETCH), dtype=np.uint8)
+            for k, t in enumerate(byte_texts(batch, "t")):
+                found = shingles(t, hashes)
+                sizes.append(len(found))
+                bits[k, (found % np.uint64(SKETCH)).astype(np.int64)] = 1
+            hashes.trim()
+            sketches = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), sketches], names=["node", "size", "sketch"])
+
+    return texts.mapInArrow(run, "node long, size long, sketch binary")
+
+
+def chosen_partitions(nodes: DataFrame, probed: int = PROBED) -> list[tuple[int, list[int]]]:
+    """The number and the bits of each partition that is probed."""
     groups, costs = partitions(nodes)
     thresholds = allocate_thresholds([[0.0, c] for c in costs], probed - 1)
-    rows = _probes(nodes, [(k, g) for k, (g, t) in enumerate(zip(groups, thresholds)) if t == 0])
-    heavy = materialise(rows.groupBy("key").count().filter(F.col("count") > block_rows).select(F.col("key").alias("heavy"), F.ceil(F.col("count") / block_rows).cast("int").alias("g")))
-    held = ["node", "x", "y"]
-    if classes is not None:
-        rows = sized_join(rows, classes.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        held.append("root")
+    return [(k, g) for k, (g, t) in enumerate(zip(groups, thresholds)) if t == 0]
+
+
+def bucketed(nodes: DataFrame, probed: list[tuple[int, list[int]]]) -> DataFrame:
+    """bucket, node, x, y and the further columns of ``nodes``, dealt and sorted by bucket; heavy buckets are dealt into blocks."""
+    rows = _probes(nodes, probed)
+    heavy = materialise(rows.groupBy("key").count().filter(F.col("count") > BLOCK_ROWS).select(F.col("key").alias("heavy"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("g")))
+    held = [c for c in rows.columns if c != "key"]
     if heavy.isEmpty():
         rows = rows.withColumnRenamed("key", "bucket")
     else:
@@ -276,8 +341,24 @@ def candidate_edges(nodes: DataFrame, reach: int = REACH, probed: int = PROBED,
         own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(o, own) * F.col("g") + F.greatest(o, own))
         rows = rows.select("key", *held, F.explode(blocks).alias("block")).select(F.xxhash64("key", "block").alias("bucket"), *held)
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_bucket_edges(reach) if classes is None else _bucket_pairs(reach), "a long, b long").distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def candidate_edges(nodes: DataFrame, probed: list[tuple[int, list[int]]], reach: int = REACH) -> DataFrame:
+    """Candidate pairs a, b of ``nodes`` (node, bits; distinct, materialised): the spanning forests of all buckets."""
+    return bucketed(nodes.select("node", "bits"), probed).mapInArrow(_bucket_edges(reach), "a long, b long").distinct()
+
+
+def edges_between(nodes: DataFrame, probed: list[tuple[int, list[int]]], classes: DataFrame, texts_of, reach: int = REACH, similarity: float = SIMILARITY) -> DataFrame:
+    """All candidate pairs a, b between classes (node, root; materialised; a node that is not there is its own root) that may be similar.
+
+    ``texts_of`` gives the texts (node, t) of some nodes; only nodes that have a candidate in another class are sketched.
+    """
+    rooted = materialise(sized_join(nodes.select("node", "bits"), classes.select("node", "root"), "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root")))
+    rows = materialise(bucketed(rooted, probed).mapInArrow(_open_rows(reach), "bucket long, node long, x long, y long, root long"))
+    sketches = materialise(sketched(texts_of(rows.select("node").distinct())))
+    dealt = rows.join(sketches, "node").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_bucket_pairs(reach, similarity), "a long, b long").distinct()
 
 
 def verified(edges: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -308,12 +389,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("times"))
     nodes = materialise(nodes)
 
+    def texts_of(some: DataFrame) -> DataFrame:
+        """The texts of some nodes: those of the rows that stand for them."""
+        named = materialise(some.join(nodes, "node").select("node", F.col("best.row").alias("row")))
+        return sized_join(texts.select("row", F.col(body).alias("t")), named, "row").select("node", "t")
+
     def linked(edges: DataFrame) -> DataFrame:
         """The edges that are verified."""
-        # The texts of the nodes that any candidate has: those of the rows that stand for them.
-        named = materialise(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("best.row").alias("row")))
-        bodies = sized_join(texts.select("row", F.col(body).alias("t")), named, "row").select("node", "t")
-        return materialise(verified(edges, materialise(bodies), similarity))
+        some = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        return materialise(verified(edges, materialise(texts_of(some)), similarity))
 
     def classified(links: DataFrame) -> DataFrame:
         """node, root of the nodes that any link has."""
@@ -321,9 +405,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         roots = found.select(F.col("root").alias("node"), "root").distinct()
         return materialise(found.unionByName(roots.select("node", "root")).distinct())
 
-    tried = materialise(candidate_edges(nodes))
+    probed = chosen_partitions(nodes)
+    tried = materialise(candidate_edges(nodes, probed))
     links = linked(tried)
-    rest = materialise(candidate_edges(nodes, classes=classified(links)).join(tried, ["a", "b"], "left_anti"))
+    rest = materialise(edges_between(nodes, probed, classified(links), texts_of, similarity=similarity).join(tried, ["a", "b"], "left_anti"))
     classes = classified(links.unionByName(linked(rest)))
     first = materialise(nodes.join(classes, "node").groupBy("root").agg(F.min("best").alias("best")))
     # Rows that go: those of a node that are not its first, and the first ones of nodes that are not their class's first.

@@ -126,3 +126,34 @@ def test_a_pair_outside_the_spanning_forest_is_verified_too(spark, tmp_path, mon
     monkeypatch.setattr(N, "verified", forest_fails)
     assert N.one_of_each(docs).count() == 2
     assert calls == [2, 1]
+
+
+def test_pairs_between_classes_do_not_grow_with_the_square_of_a_group(spark, tmp_path, monkeypatch):
+    """Texts of one base, six words changed in each: all lie in the reach of each other, none is similar, and hardly any pair leaves its bucket."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(300)]
+    some = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(300), 6):
+            words[k] = f"x{i}.{k}"
+        some.append(" ".join(words))
+    some += texts(60, seed=9)
+    plain, calls = N.verified, []
+    monkeypatch.setattr(N, "verified", lambda edges, *rest: calls.append(edges.count()) or plain(edges, *rest))
+    kept = {r.doc_id for r in N.one_of_each(written(spark, tmp_path, [(i, t, "", "") for i, t in enumerate(some)])).collect()}
+    assert kept == set(slow_classes(some)) and calls[1] < 500
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng, hashes = np.random.default_rng(3), Hashes()
+    some = [N.shingles(t.encode(), hashes) for t in texts(120, seed=6)] + [N.shingles(b"", hashes)] * 2
+    bits = np.zeros((len(some), N.SKETCH), dtype=np.uint8)
+    for k, found in enumerate(some):
+        bits[k, (found % np.uint64(N.SKETCH)).astype(np.int64)] = 1
+    sketch, size = np.packbits(bits, axis=1).view(np.uint64), np.array([len(x) for x in some])
+    i, j = np.triu_indices(len(some), 1)
+    both = np.array([len(np.intersect1d(some[a], some[b])) for a, b in zip(i, j)])
+    similar = both >= 0.8 * (size[i] + size[j] - both)
+    may = N.may_be_similar(size, sketch, i, j, 0.8)
+    assert similar.sum() > 20 and may[similar].all() and not may.all()
