@@ -46,3 +46,9 @@ def test_matches_oracle(spark, con, name):
 def test_entry_runs(spark):
     lines = spark.read.parquet(f"{DIR}/lineitem.parquet").selectExpr("datediff(max(to_date(l_shipdate)), min(to_date(l_shipdate))) + 1 AS days")
     assert entry.entry(spark).count() == 25 * 6 * lines.first().days
+
+
+def test_the_product_mart_does_not_expand_its_lines(spark):
+    """Two distinct counts would shuffle every line once for each of them and once for the sums."""
+    plan = __import__("__spark_entry__").queries()["m_mart_product_performance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
