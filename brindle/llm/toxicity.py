@@ -45,6 +45,10 @@ WORD = re.compile(rf"{LETTER}+")
 _ONE = rf"(?:{LETTER}|{SIGN})"
 #: Three or more single letters or signs with blanks or line ends of any width, or one and the same mark, between them.
 SPACED = re.compile(rf"(?<![\w@$!|+*]){_ONE}(?:(?:\s++{_ONE}){{2,}}|([.\-_*]){_ONE}(?:\1{_ONE})+)(?![\w@$|+])")
+#: Two single letters or signs in a row, without which no run is spaced by blanks.
+ALONE = re.compile(rf"\s(?=\S\s){_ONE}\s++{_ONE}(?![\w@$|+])")
+#: Three letters or signs with one mark between them, without which a token is no spaced run.
+DOTTED = re.compile(rf"{_ONE}([.\-_*]){_ONE}\1{_ONE}")
 #: A mark inside a word.
 BROKEN = re.compile(rf"{LETTER}[.\-_*~]{LETTER}")
 PIECES = re.compile(rf"(?:{LETTER}|[.\-_*~])+")
@@ -57,6 +61,10 @@ ENDED = re.compile(rf"{LETTER}[{re.escape(OUTER)}](?!{SIGN}|{LETTER})")
 RUN = re.compile(rf"(?:{LETTER}|{SIGN})+")
 THREE = re.compile(rf"({LETTER})\1\1")
 LONGEST = 64
+#: Characters that are no letter, sign or mark.
+CUTS = ",;:?\"'"
+#: Tokens whose features a model keeps at most.
+HELD_TOKENS = 200_000
 #: Nats that a break between the words of a spaced run costs: 1, less the 3.6 that the letter model's missing contexts put on
 #: the beginning of any word.
 BREAK = -2.6
@@ -113,6 +121,23 @@ def stretched(lower: str) -> set[str]:
     return {run[i : i + LONGEST] for run in _runs(lower, THREE, WORD) for i in range(0, len(run), LONGEST)}
 
 
+def tokens_of(lower: str) -> set[str]:
+    """The different tokens of a lower-cased text.
+
+    They end at blanks, at ``CUTS`` and at a full stop before a blank or line end, none of which lies within a word, a masked one, or one that marks break.
+    """
+    for cut in CUTS:
+        lower = lower.replace(cut, " ")
+    return set(lower.replace(". ", " ").replace(".\n", "\n").split())
+
+
+def words_of(lower: str) -> set[str]:
+    """The words of a lower-cased text; no word goes beyond a token, so each different token is looked at once."""
+    tokens = tokens_of(lower)
+    plain = set(filter(str.isalpha, tokens))
+    return plain.union(WORD.findall(" ".join(tokens - plain)))
+
+
 class LetterModel:
     """Character trigrams with a backoff weight, over words between ``^`` and ``$``."""
 
@@ -174,11 +199,19 @@ class LetterModel:
 class Model:
     def __init__(self, letters: LetterModel, features: dict[str, float], floor: float):
         self.letters, self.features, self.floor = letters, features, floor
+        #: How the features begin.
+        self.heads = {f.rstrip("*")[: PREFIXES[0]] for f in features}
         self.known: dict[tuple[str, bool], list[str]] = {}
+        #: Tokens without features, and the others' features with whether a token may be a spaced run; only a cache.
+        self.plain: set[str] = set()
+        self.marked: dict[str, tuple[set[str], bool]] = {}
 
     def restored(self, lower: str) -> set[str]:
         """Decoded readings of the masked, spaced and stretched words of a lower-cased text."""
-        odd = [(x, False) for x in masked(lower) | ended(lower) | stretched(lower)] + [(x, True) for x in spaced(lower)]
+        return self.read([(x, False) for x in masked(lower) | ended(lower) | stretched(lower)] + [(x, True) for x in spaced(lower)])
+
+    def read(self, odd: Iterable[tuple[str, bool]]) -> set[str]:
+        """The readings of words, or of spaced runs (True)."""
         out: set[str] = set()
         for key in odd:
             if key not in self.known:
@@ -188,12 +221,39 @@ class Model:
             out.update(self.known[key])
         return out
 
+    def found(self, words: Iterable[str]) -> set[str]:
+        return features_of(words) & self.features.keys()
+
+    def look(self, token: str) -> tuple[set[str], bool]:
+        """The features of one token, and whether it may be a spaced run."""
+        if token.isalpha() and token[: PREFIXES[0]] not in self.heads and not THREE.search(token):
+            hits, dotted = set(), False
+        else:
+            odd = masked(token) | ended(token) | stretched(token)
+            hits = self.found(joined(token).union(WORD.findall(token), self.read((x, False) for x in odd)))
+            dotted = bool(DOTTED.search(token))
+        if len(self.plain) + len(self.marked) >= HELD_TOKENS:
+            self.plain.clear()
+            self.marked.clear()
+        if hits or dotted:
+            self.marked[token] = hits, dotted
+        else:
+            self.plain.add(token)
+        return hits, dotted
+
     def score(self, text: str) -> float:
         lower = text.lower()
-        words = set(WORD.findall(lower))
-        words |= self.restored(lower) | joined(lower)
+        hits: set[str] = set()
+        far = bool(ALONE.search(lower))
+        # All but spaced runs lie within one token.
+        for token in tokens_of(lower) - self.plain:
+            own, dotted = self.marked.get(token) or self.look(token)
+            hits |= own
+            far |= dotted
+        if far:
+            hits |= self.found(self.read((x, True) for x in spaced(lower)))
         rest = 1.0 - self.floor
-        for f in features_of(words) & self.features.keys():
+        for f in sorted(hits):
             rest *= 1.0 - self.features[f]
         return 1.0 - rest
 
@@ -216,6 +276,25 @@ def _with_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("t"), pa.array(sketches, pa.int64())], names=["label", "t", "sketch"])
 
 
+def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of runs of one to four letters, from words (w) and their counts (n)."""
+    held: Counter = Counter()
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["g", "n"])
+
+    for batch in batches:
+        for w, n in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist()):
+            w = f"^{w}$"
+            for k in (1, 2, 3, 4):
+                for i in range(len(w) - k + 1):
+                    held[w[i : i + k]] += n
+        if len(held) > HELD_KEYS:
+            yield counted()
+            held.clear()
+    yield counted()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", buckets: int = 3, held_out: int = 1, evidence: float = EVIDENCE) -> Model:
     """``docs``: doc_id, t."""
     own = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().distinct()
@@ -226,26 +305,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", buckets: i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        grams: Counter = Counter()
         totals = [0, 0]
 
         def counted() -> pa.RecordBatch:
-            keys = [*(f"f{x}" for x in seen[0].keys() | seen[1].keys()), *(f"g{x}" for x in grams), "n"]
-            toxic = [seen[1][k[1:]] if k[0] == "f" else grams[k[1:]] if k[0] == "g" else totals[1] for k in keys]
-            clean = [seen[0][k[1:]] if k[0] == "f" else 0 if k[0] == "g" else totals[0] for k in keys]
+            names = seen[0].keys() | seen[1].keys()
+            keys = [*(f"f{x}" for x in names), "n"]
+            toxic, clean = ([*(own[x] for x in names), n] for own, n in ((seen[1], totals[1]), (seen[0], totals[0])))
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["k", "toxic", "clean"])
 
         for batch in small_batches(batches, 500):
             for text, label in zip(batch.column("t").to_pylist(), batch.column("label").to_pylist()):
-                words = set(WORD.findall((text or "").lower()))
                 totals[label == 1] += 1
-                seen[label == 1].update(features_of(words))
-                for w in words:
-                    w = f"^{w}$"
-                    grams.update(w[i : i + k] for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
-            if len(seen[0]) + len(seen[1]) + len(grams) > HELD_KEYS:
+                seen[label == 1].update(features_of(words_of((text or "").lower())))
+            if len(seen[0]) + len(seen[1]) > HELD_KEYS:
                 yield counted()
-                for held in (*seen, grams):
+                for held in seen:
                     held.clear()
                 totals[:] = [0, 0]
         yield counted()
@@ -258,7 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", buckets: i
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     surprise = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     picked = counts.filter("k like 'f%' and toxic >= 3 and toxic >= 20 * clean").filter(surprise > evidence)
-    grams = counts.filter("k like 'g%'")
+    # A word of n texts brings each of its n-grams n times, so each different word is taken apart once.
+    words = counts.filter("k like 'f%' and k not like '%*'").selectExpr("substring(k, 2) AS w", "toxic + clean AS n")
+    grams = words.mapInArrow(_grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).selectExpr("concat('g', g) AS k", "n AS toxic", "0L AS clean")
     table = picked.unionByName(grams).toArrow()
     found = {k: (t, c) for k, t, c in zip(*(table.column(x).to_pylist() for x in ("k", "toxic", "clean")))}
     features = {k[1:]: (t + 0.5) / (t + c + 1.0) for k, (t, c) in found.items() if k[0] == "f"}

@@ -96,3 +96,22 @@ def test_every_labelled_row_counts(spark):
     labels = spark.range(10_400).selectExpr("id AS doc_id", "cast(id % 520 = 0 AS int) AS toxic")
     model = X.fit(docs, labels, held_out=-1)
     assert "zworp" in model.features and model.letters.grams["^zwo"] == 20 and model.letters.grams["^pla"] == 10_400
+
+
+def test_each_token_is_looked_at_once(spark, monkeypatch):
+    """The look-alike searches see each different token once, not the whole text, and find what they find in the whole text."""
+    rng = random.Random(3)
+    features = {"idiot": 0.9, "idio*": 0.8, "stup*": 0.7, "moron": 0.6, "scum": 0.5}
+    model = X.Model(X.LetterModel({"i": 9, "d": 5, "o": 8, "t": 7, "^i": 4, "^id": 4, "^idi": 4, "idio": 4, "diot": 4, "iot$": 4}), features, 0.1)
+    pieces = ["1d10t", "i d i o t", "s.c.u.m", "stuuupid", "m-o-r-o-n", "idio+", "x.y", "a", "b,", "(c", "wow!", "it's", "é", "½", "the", "stu_pid.", "...", '"moron"', "m0r0n;", "\n", ".\n"]
+    texts = [rng.choice(["", " "]).join(rng.choice(pieces) + rng.choice(["", " ", ". ", ", "]) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    monkeypatch.setattr(X, "HELD_TOKENS", 50)
+    for text in texts:
+        lower, rest = text.lower(), 0.9
+        for f in X.features_of(set(X.WORD.findall(lower)) | model.restored(lower) | X.joined(lower)) & features.keys():
+            rest *= 1 - features[f]
+        assert abs(model.score(text) - (1 - rest)) < 1e-12, text
+    seen, whole = [], X.masked
+    monkeypatch.setattr(X, "masked", lambda lower: seen.append(len(lower)) or whole(lower))
+    model.score("kind w0rds here. " * 10_000)
+    assert sum(seen) < 1000
