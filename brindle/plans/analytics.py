@@ -324,7 +324,7 @@ _RULES_SQL = "b AS (SELECT DISTINCT order_id, brand FROM sales), n AS (SELECT co
 
 
 def _rules(spark: SparkSession, d: str) -> DataFrame:
-    return rules.pair_rules(roles.sales(spark, d).select("order_id", "brand"), "order_id", "brand", 0.005, 0.05, 0.9)
+    return rules.pair_rules(roles.sales(spark, d, by_order=True).select("order_id", "brand"), "order_id", "brand", 0.005, 0.05, 0.9)
 
 
 @register("bk02_pair_rules", oracle(f"WITH {_RULES_SQL} SELECT antecedent, consequent, n_both, round(support, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift, rule_id FROM rules", "sales"))
@@ -334,14 +334,14 @@ def bk02(spark: SparkSession, d: str) -> DataFrame:
 
 @register("bk02_frequent_itemsets", oracle("WITH b AS (SELECT DISTINCT order_id, brand FROM sales), n AS (SELECT count(DISTINCT order_id) AS n FROM b), i AS (SELECT brand AS itemset, count(*) AS c FROM b GROUP BY 1 UNION ALL SELECT x.brand || '|' || y.brand, count(*) FROM b x JOIN b y ON x.order_id = y.order_id AND x.brand < y.brand GROUP BY 1) SELECT itemset, c AS n FROM i, n WHERE c >= n * 0.01", "sales"))
 def bk02_sets(spark: SparkSession, d: str) -> DataFrame:
-    return rules.frequent_itemsets(roles.sales(spark, d).select("order_id", "brand"), "order_id", "brand", 0.01)
+    return rules.frequent_itemsets(roles.sales(spark, d, by_order=True).select("order_id", "brand"), "order_id", "brand", 0.01)
 
 
 _PERIOD_SQL = f"{_RULES_SQL}, o AS (SELECT DISTINCT order_id, strftime(order_date, '%Y') AS period FROM sales), bp AS (SELECT b.*, period FROM b JOIN o USING (order_id)), g AS (SELECT period, count(*) AS n_groups FROM o GROUP BY 1), sp AS (SELECT period, brand, count(*) AS n_a FROM bp GROUP BY ALL), pp AS (SELECT x.period, x.brand AS a, y.brand AS c, count(*) AS n_both FROM bp x JOIN bp y ON x.order_id = y.order_id AND x.brand <> y.brand GROUP BY ALL), per AS (SELECT rule_id, g.period, round(coalesce(pp.n_both, 0) / n_groups::DOUBLE, 9) AS period_support, round(coalesce(pp.n_both, 0) / nullif(sp.n_a, 0)::DOUBLE, 9) AS period_confidence FROM rules CROSS JOIN g LEFT JOIN pp ON pp.period = g.period AND pp.a = antecedent AND pp.c = consequent LEFT JOIN sp ON sp.period = g.period AND sp.brand = antecedent)"
 
 
 def _by_period(spark: SparkSession, d: str) -> DataFrame:
-    rows = roles.sales(spark, d).select("order_id", "brand", F.date_format("order_date", "yyyy").alias("period"))
+    rows = roles.sales(spark, d, by_order=True).select("order_id", "brand", F.date_format("order_date", "yyyy").alias("period"))
     return rules.rules_by_period(rows, _rules(spark, d), "order_id", "brand", "period")
 
 

@@ -181,7 +181,7 @@ def baskets(sales: DataFrame) -> DataFrame:
 
 @register("ds06_basket", oracle("SELECT order_id, sku_id, order_date, store_id, brand, category, region_id, channel, sum(units)::BIGINT AS quantity FROM sales GROUP BY ALL", "sales"))
 def ds06(spark: SparkSession, d: str) -> DataFrame:
-    return baskets(roles.sales(spark, d))
+    return baskets(roles.sales(spark, d, by_order=True))
 
 
 def promotion_daily(grid: DataFrame, prices: DataFrame, promotions: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def bk05(spark: SparkSession, d: str) -> DataFrame:
     """How many pairs stay at each support, for brands and for categories."""
     from brindle.operators.joins import item_pairs
 
-    sales = roles.sales(spark, d)
+    sales = roles.sales(spark, d, by_order=True)
     n = sales.agg(F.count_distinct("order_id").alias("n_orders"))
     out = None
     for level in ("brand", "category"):
@@ -247,7 +247,7 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
     """Itemsets by frequent-pattern growth and by counting are the same; how many there are, and their occurrences."""
     from brindle.operators import rules, sets
 
-    rows = roles.sales(spark, d).select("order_id", "brand")
+    rows = roles.sales(spark, d, by_order=True).select("order_id", "brand")
     grown = rules.frequent_itemsets(rows, "order_id", "brand", 0.01).persist()
     totals = grown.agg(F.count(F.lit(1)).alias("n_itemsets"), F.sum("n").alias("n_occurrences"))
     return totals.crossJoin(sets.differences(grown, rules.counted_itemsets(rows, "order_id", "brand", 0.01)))  # one row each

@@ -177,7 +177,7 @@ def j14(spark, d):
 
 @register("j15_item_pairs", oracle("WITH b AS (SELECT DISTINCT order_id, brand FROM sales) SELECT x.brand AS a, y.brand AS b, count(*) AS n_orders, round(count(*) / (SELECT count(DISTINCT order_id) FROM b)::DOUBLE, 9) AS support FROM b x JOIN b y ON x.order_id = y.order_id AND x.brand < y.brand GROUP BY ALL", "sales"))
 def j15(spark, d):
-    rows = roles.sales(spark, d).select("order_id", "brand")
+    rows = roles.sales(spark, d, by_order=True).select("order_id", "brand")
     n = rows.agg(F.count_distinct("order_id").alias("n"))
     pairs = J.item_pairs(rows, "order_id", "brand").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_orders"))
     return pairs.crossJoin(F.broadcast(n)).select("a", "b", "n_orders", F.round(F.col("n_orders") / F.col("n"), 9).alias("support"))
@@ -314,7 +314,7 @@ def a18(spark, d):
 
 @register("a19_basket_density", oracle("SELECT round(count(*) / (count(DISTINCT order_id) * count(DISTINCT brand))::DOUBLE, 9) AS density FROM (SELECT DISTINCT order_id, brand FROM sales)", "sales"))
 def a19(spark, d):
-    rows = roles.sales(spark, d).select("order_id", "brand").distinct()
+    rows = roles.sales(spark, d, by_order=True).select("order_id", "brand").distinct()
     return rows.agg(F.round(F.count(F.lit(1)) / (F.count_distinct("order_id") * F.count_distinct("brand")), 9).alias("density"))
 
 

@@ -6,8 +6,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from brindle.sources import roles
 
 DIR = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
@@ -52,3 +54,17 @@ def test_the_product_mart_does_not_expand_its_lines(spark):
     """Two distinct counts would shuffle every line once for each of them and once for the sums."""
     plan = __import__("__spark_entry__").queries()["m_mart_product_performance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_sales_by_order_are_dealt_out_by_the_number_of_lines(spark, monkeypatch):
+    """More lines make more parts, not larger ones; an order's lines stay together, no line is lost and results stay the same."""
+    names = ("a19_basket_density", "bi05_average_basket", "bk02_pair_rules", "bk04_rule_stability", "u05_itemsets_agree", "j15_item_pairs", "bk05_support_levels")
+    before = {n: sorted(entry.queries()[n](spark, DIR).collect(), key=repr) for n in names}
+    monkeypatch.setattr(roles, "ORDER_LINES", 300, raising=False)
+    assert {n: sorted(entry.queries()[n](spark, DIR).collect(), key=repr) for n in names} == before
+    part = F.spark_partition_id().alias("part")
+    basket = entry.queries()["ds06_basket"](spark, DIR)
+    assert max(r["count"] for r in basket.groupBy(part).count().collect()) < 3 * 300
+    assert basket.select("order_id", part).distinct().count() == basket.select("order_id").distinct().count()
+    dealt, plain_sales = roles.sales(spark, DIR, by_order=True), roles.sales(spark, DIR)
+    assert dealt.exceptAll(plain_sales).isEmpty() and plain_sales.exceptAll(dealt).isEmpty()
