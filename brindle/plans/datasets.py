@@ -197,13 +197,14 @@ def promotion_daily(grid: DataFrame, prices: DataFrame, promotions: DataFrame) -
     days = days.withColumn("period", period).crossJoin(F.broadcast(bounds))
     seen = c.between(F.col("first_day"), F.col("last_day"))
     days = days.withColumn("is_observable", seen).withColumn("boundary_status", F.when(seen, "IN_BOUNDS").when(c < F.col("first_day"), "BEFORE_DATA").otherwise("AFTER_DATA"))
+    exposed = days.select("promotion_id", *CELL, "calendar_date")  # before the joins below, which keep every day once
     sold = grid.filter("units > 0").select(F.col("d").alias("calendar_date"), *CELL, F.col("units").alias("_units"), F.col("revenue").alias("_revenue"))
     days = days.join(sold, ["calendar_date", *CELL], "left")
     days = days.withColumn("realized_units", F.when(seen, F.coalesce("_units", F.lit(0)))).withColumn("realized_revenue", F.when(seen, F.coalesce("_revenue", F.lit(0.0))))
     days = validity_join(days, prices, CELL, "calendar_date").withColumn("posted_price", F.when(F.col("is_observable"), F.col("price")))
     running = expand_days(promotions.withColumnRenamed("promotion_id", "other"), F.col("start_date"), F.col("end_date"))
     running = running.select("calendar_date", "other").distinct()
-    also = days.select("promotion_id", *CELL, "calendar_date").join(F.broadcast(running), "calendar_date").filter((F.col("other") != F.col("promotion_id")) & (F.col("cell_id") % 3 == F.col("other") % 3))
+    also = exposed.join(F.broadcast(running), "calendar_date").filter((F.col("other") != F.col("promotion_id")) & (F.col("cell_id") % 3 == F.col("other") % 3))
     also = also.groupBy("promotion_id", *CELL, "calendar_date").agg(F.expr("listagg(cast(other as string), ',') WITHIN GROUP (ORDER BY other)").alias("overlapping_promotion_ids"))
     days = days.join(also, ["promotion_id", *CELL, "calendar_date"], "left").withColumn("promotion_overlap", F.col("overlapping_promotion_ids").isNotNull())
     return days.select("promotion_id", *CELL, "region_id", "calendar_date", "period", "is_observable", "boundary_status", "realized_units", "realized_revenue", "posted_price", "promotion_overlap", "overlapping_promotion_ids")

@@ -68,3 +68,9 @@ def test_sales_by_order_are_dealt_out_by_the_number_of_lines(spark, monkeypatch)
     assert basket.select("order_id", part).distinct().count() == basket.select("order_id").distinct().count()
     dealt, plain_sales = roles.sales(spark, DIR, by_order=True), roles.sales(spark, DIR)
     assert dealt.exceptAll(plain_sales).isEmpty() and plain_sales.exceptAll(dealt).isEmpty()
+
+
+def test_promotion_days_compute_the_sales_twice_only(spark):
+    """Once for units, once for prices; which promotions overlap needs no sales."""
+    plan = entry.queries()["q09_promotion_diagnostics"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "o_orderkey" in line for line in plan.split("\n")) == 2
