@@ -70,6 +70,23 @@ def test_sales_by_order_are_dealt_out_by_the_number_of_lines(spark, monkeypatch)
     assert dealt.exceptAll(plain_sales).isEmpty() and plain_sales.exceptAll(dealt).isEmpty()
 
 
+def test_many_products_and_stores_are_hashed_within_their_partition(spark, monkeypatch):
+    """Else a task sorts all lines that meet a part of the products, or holds every store."""
+    names = ("bk02_pair_rules", "bi07_recommended_products", "bi07_rule_kpis", "bi07_rule_pairs", "bi07_rule_table")
+    before = {n: [tuple(r) for r in entry.queries()[n](spark, DIR).collect()] for n in names}
+    monkeypatch.setattr(roles, "ORDER_LINES", 300)
+    monkeypatch.setattr(roles, "HASHED_FROM", 1, raising=False)
+    for n in names:
+        df = entry.queries()[n](spark, DIR)
+        plan = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+        for key in ("l_partkey", "o_custkey"):
+            joins = [line for line in plan if "Join" in line and key in line]
+            assert joins and all("ShuffledHashJoin" in line for line in joins)
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(before[n], key=repr)
+    dealt, plain_sales = roles.sales(spark, DIR, by_order=True), roles.sales(spark, DIR)
+    assert dealt.exceptAll(plain_sales).isEmpty() and plain_sales.exceptAll(dealt).isEmpty()
+
+
 def test_promotion_days_compute_the_sales_twice_only(spark):
     """Once for units, once for prices; which promotions overlap needs no sales."""
     plan = entry.queries()["q09_promotion_diagnostics"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
