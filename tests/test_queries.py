@@ -91,3 +91,45 @@ def test_promotion_days_compute_the_sales_twice_only(spark):
     """Once for units, once for prices; which promotions overlap needs no sales."""
     plan = entry.queries()["q09_promotion_diagnostics"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "o_orderkey" in line for line in plan.split("\n")) == 2
+
+
+def test_integrity_checks_join_sales_and_stock_once(spark):
+    """They are stored by day and category first; of the products the query itself only looks up keys and categories."""
+    plan = entry.queries()["q04_integrity_checks"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("Join" in line and "p_partkey" in line for line in plan) == 1
+    assert not any("Join" in line and key in line for line in plan for key in ("n_regionkey", "o_custkey#", "c_nationkey") if "LeftAnti" not in line)
+
+
+#: What is planted in a copy of the smallest tables: rows of a query, or (last) a filter of those that stay.
+PLANTED = {
+    "lineitem": """SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey < 9
+        UNION ALL SELECT * REPLACE (-1 AS l_orderkey, 0 AS l_quantity) FROM lineitem WHERE l_orderkey = 7 UNION ALL SELECT * REPLACE (NULL AS l_orderkey, -2 AS l_quantity) FROM lineitem WHERE l_orderkey = 8
+        UNION ALL SELECT * REPLACE (-1 AS l_partkey, 1.5 AS l_discount) FROM lineitem WHERE l_orderkey = 9 UNION ALL SELECT * REPLACE (NULL AS l_partkey, -0.5 AS l_discount) FROM lineitem WHERE l_orderkey = 10
+        UNION ALL SELECT * REPLACE (-1 AS l_suppkey, -5 AS l_extendedprice) FROM lineitem WHERE l_orderkey = 11 UNION ALL SELECT * REPLACE (NULL AS l_suppkey) FROM lineitem WHERE l_orderkey = 12
+        UNION ALL SELECT * REPLACE (1.5 AS l_discount) FROM lineitem WHERE l_orderkey = 13""",
+    "orders": """SELECT * FROM orders UNION ALL SELECT * REPLACE (o_orderdate + INTERVAL 9 YEAR AS o_orderdate) FROM orders WHERE o_orderkey IN (5, 6, 7, 13)
+        UNION ALL SELECT * REPLACE (-7 AS o_orderkey, -1 AS o_custkey) FROM orders WHERE o_orderkey < 4 UNION ALL SELECT * REPLACE (-8 AS o_orderkey, NULL AS o_custkey) FROM orders WHERE o_orderkey < 3""",
+    "customer": "SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey < 20",
+    "part": "SELECT * FROM part UNION ALL SELECT * REPLACE ('OTHER' AS p_type) FROM part WHERE p_partkey < 5 UNION ALL SELECT * REPLACE (NULL AS p_type) FROM part WHERE p_partkey IN (6, 7)",
+}
+NULL_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey"}
+
+
+@pytest.mark.parametrize("case", ["planted", "null_keys", "no_orders"])
+def test_integrity_checks_count_what_is_planted(spark, tmp_path, case):
+    """Repeated and missing keys, null keys on either side of a reference and a table without rows, as SQL counts them."""
+    source, copy = duckdb.connect(), duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        source.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+        rows = PLANTED.get(t, f"SELECT * FROM {t}")
+        if case == "null_keys" and t in NULL_KEYS:
+            rows = f"SELECT * FROM ({rows}) UNION ALL (SELECT * REPLACE (NULL AS {NULL_KEYS[t]}) FROM {t} LIMIT 1)"
+        if case == "no_orders" and t == "orders":
+            rows = "SELECT * FROM orders WHERE false"
+        types = ", ".join(f"{c}::{k} AS {c}" for c, k, *_ in source.sql(f"DESCRIBE {t}").fetchall())
+        source.sql(f"COPY (SELECT {types} FROM ({rows})) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        copy.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = {r["check_name"]: r["violations"] for r in entry.queries()["q04_integrity_checks"](spark, str(tmp_path)).collect()}
+    want = dict(copy.sql(ORACLES["q04_integrity_checks"]).fetchall())
+    assert got == want
+    assert sum(v != 0 for v in want.values()) > {"planted": 15, "null_keys": 11, "no_orders": 9}[case]
